@@ -98,13 +98,14 @@ def apply_scoring_codes(df: DataFrame, maps: dict[str, dict[str, int]], suffix:
     """D3: upper-case first; an unknown label, a null or a missing map gives code 0.
 
     ``columns`` maps a map name to the input column holding it (for example
-    ``{"default_flag": "default"}`` for the scoring request schema).
+    ``{"default_flag": "default"}`` for the scoring request schema); the
+    output column is always ``<map name><suffix>``.
     """
     out = df
     columns = columns or {}
     for name, m in maps.items():
         src = columns.get(name, name)
-        out = out.withColumn(src + suffix, code_expr(src, m or {}, upper=True, default=0))
+        out = out.withColumn(name + suffix, code_expr(src, m or {}, upper=True, default=0))
     return out
 
 

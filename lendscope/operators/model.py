@@ -30,10 +30,12 @@ class ForestParams:
     min_instances_per_node: int = FOREST_MIN_LEAF
     seed: int = FOREST_SEED
     features_per_split: str = "3"
-    max_bins: int = 64
+    max_bins: int = 32
     subsampling_rate: float = 1.0
     bootstrap: bool = True
     checkpoint_interval: int = 10
+    max_memory_mb: int = 1024
+    cache_node_ids: bool = True
 
 
 def fit_forest(train: DataFrame, params: ForestParams | None = None, features_col: str = "features",
@@ -45,7 +47,8 @@ def fit_forest(train: DataFrame, params: ForestParams | None = None, features_co
         minInstancesPerNode=p.min_instances_per_node, seed=p.seed,
         featureSubsetStrategy=p.features_per_split, maxBins=p.max_bins,
         subsamplingRate=p.subsampling_rate, bootstrap=p.bootstrap,
-        checkpointInterval=p.checkpoint_interval,
+        checkpointInterval=p.checkpoint_interval, maxMemoryInMB=p.max_memory_mb,
+        cacheNodeIds=p.cache_node_ids and bool(train.sparkSession.sparkContext.getCheckpointDir()),
     )
     return rf.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
 

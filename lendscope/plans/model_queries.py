@@ -1,3 +1,76 @@
-"""Model-backed queries (registered without SQL: checked on rows only). Filled in below."""
+"""Model-backed queries: the forest is trained by Spark ML on the exact split.
+
+These have no SQL oracle (tree growing is not SQL); the driver checks them on
+rows. One training run per ``sf_dir`` is kept in this process, as the
+original service keeps its model loaded, so the four queries share it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, quality, score
+from ..schema import ID, TARGET
+from ..sources.tables import applications
+from . import training
+
+_TRAINED: dict = {}
 
 Q: dict = {}
+
+
+def trained(spark, sf_dir, cfg: training.TrainConfig | None = None) -> training.TrainResult:
+    key = (sf_dir, repr(cfg))
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train(spark, applications(spark, sf_dir), cfg)
+    return _TRAINED[key]
+
+
+def _register(name):
+    def deco(fn):
+        Q[name] = fn
+        return fn
+    return deco
+
+
+@_register("rf_importance")
+def q_rf_importance(spark, sf_dir):
+    """G4 + J1: ``(feature, importance)`` sorted descending."""
+    return trained(spark, sf_dir).importance
+
+
+@_register("rf_report")
+def q_rf_report(spark, sf_dir):
+    """H1-H3 + R5 numbers of the forest on the test side, one row."""
+    res = trained(spark, sf_dir)
+    preds = res.test_predictions
+    return evaluate.report_summary(preds, TARGET, "prediction_code").select(
+        F.lit("Random Forest Classifier").alias("model_type"),
+        "accuracy", "accuracy_percent", "precision_rejected", "recall_rejected",
+        "precision_approved", "recall_approved",
+        F.lit(res.sizes["train_rows"]).cast("long").alias("train_rows"),
+        F.lit(res.sizes["test_rows"]).cast("long").alias("test_rows"),
+    )
+
+
+@_register("rf_confusion")
+def q_rf_confusion(spark, sf_dir):
+    """H2 for the forest: ``(actual, predicted, count)``."""
+    return evaluate.confusion_matrix(trained(spark, sf_dir).test_predictions, TARGET, "prediction_code")
+
+
+@_register("rf_score")
+def q_rf_score(spark, sf_dir):
+    """I11 over every application: decision, confidence, risk level and factors (as JSON)."""
+    res = trained(spark, sf_dir)
+    checked = quality.validate(applications(spark, sf_dir), quality.API_RULES)
+    valid, rejected = quality.split_valid(checked)
+    scored = score.score(valid, res.pipeline, res.maps, columns={}, keep=[ID]).select(
+        ID, "prediction", "prediction_code", "confidence", "risk_level",
+        F.to_json("factors").alias("factors"), F.lit("").alias("violations"))
+    # Rows the service would refuse keep their place, with the reasons.
+    refused = rejected.select(
+        ID, F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("int").alias("prediction_code"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("risk_level"),
+        F.lit(None).cast("string").alias("factors"), F.array_join("violations", ",").alias("violations"))
+    return scored.unionByName(refused)

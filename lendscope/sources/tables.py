@@ -22,6 +22,24 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Spread a frame whose scan yields fewer partitions than the cluster has cores.
+
+    A small file with one row group is read by one task, and every later
+    narrow step (projection, model scoring, tree statistics) would run on
+    that single task. Only then is the frame hash-partitioned on ``key``
+    (deterministic across retries). A large input already has more splits
+    than cores and is returned untouched, so no shuffle is added at scale.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def _case(*branches: tuple[Column, object], otherwise: object) -> Column:
     expr = None
     for cond, value in branches:
