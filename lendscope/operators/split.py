@@ -62,28 +62,52 @@ def allocate(class_counts: dict, test_fraction: float) -> dict:
     return {c: class_counts[c] - floors[c] for c in keys}
 
 
-def _boundaries(df: DataFrame, id_col: str, label_col: str, targets: dict,
-                digits: int, local_limit: int) -> dict:
-    """Per class: the (hash, id) of its ``targets[c]``-th smallest key (1-based)."""
-    state = {c: {"prefix": "", "below": 0} for c, t in targets.items() if t > 0}
-    result = {}
+def _histogram(df: DataFrame, label_col: str, state: dict, digits: int, cap: int) -> dict:
+    """One distributed count per (class, next hex digits) inside each class's prefix.
+
+    ``state`` maps a class to its fixed prefix; ``None`` as the only key means
+    "every class, empty prefix" (the first level, before classes are known).
+    At most ``cap`` rows come back (bounded by classes x 16^digits).
+    """
     h, lab = F.col(HASH_COL), F.col(label_col)
-    while state:
-        # Classes whose boundary bucket is small enough are ranked directly.
+    if None in state:
+        chunk = F.substring(h, 1, digits)
+    else:
         chunk = None
         for c, s in state.items():
             cond = (lab == F.lit(c)) & F.startswith(h, F.lit(s["prefix"]))
             part = F.substring(h, 1, len(s["prefix"]) + digits)
             chunk = F.when(cond, part) if chunk is None else chunk.when(cond, part)
-        counts = (
-            df.select(lab.alias("c"), chunk.alias("p"))
-            .where(F.col("p").isNotNull())
-            .groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        per_class: dict = {}
-        for r in counts:
-            per_class.setdefault(r["c"], []).append((r["p"], r["n"]))
+    rows = (
+        df.select(lab.alias("c"), chunk.alias("p"))
+        .where(F.col("p").isNotNull() & F.col("c").isNotNull())
+        .groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"))
+        .limit(cap + 1)
+        .collect()
+    )
+    if len(rows) > cap:
+        raise ValueError(f"too many classes in {label_col} for an exact stratified split")
+    per_class: dict = {}
+    for r in rows:
+        per_class.setdefault(r["c"], []).append((r["p"], r["n"]))
+    return per_class
+
+
+def _boundaries(df: DataFrame, id_col: str, label_col: str, test_fraction: float,
+                digits: int, local_limit: int, max_classes: int) -> dict:
+    """Per class: the (hash, id) of its t_c-th smallest key (1-based), t_c from ``allocate``.
+
+    The first histogram also gives the class sizes, so the allocation needs
+    no separate pass.
+    """
+    cap = max_classes * 16 ** digits
+    per_class = _histogram(df, label_col, {None: None}, digits, cap)
+    counts = {c: sum(n for _, n in items) for c, items in per_class.items()}
+    targets = allocate(counts, test_fraction)
+    state = {c: {"prefix": "", "below": 0} for c, t in targets.items() if t > 0}
+    result = {}
+    h, lab = F.col(HASH_COL), F.col(label_col)
+    while state:
         finish = {}
         for c, s in list(state.items()):
             want = targets[c]
@@ -100,6 +124,7 @@ def _boundaries(df: DataFrame, id_col: str, label_col: str, targets: dict,
             for c, s in finish.items():
                 one = (lab == F.lit(c)) & F.startswith(h, F.lit(s["prefix"]))
                 cond = one if cond is None else cond | one
+            # Only the boundary buckets (each at most ``local_limit`` rows) are ranked.
             w = Window.partitionBy(label_col).orderBy(HASH_COL, id_col)
             ranked = (
                 df.where(cond).select(label_col, HASH_COL, id_col)
@@ -113,6 +138,8 @@ def _boundaries(df: DataFrame, id_col: str, label_col: str, targets: dict,
                 result[r[label_col]] = (r[HASH_COL], r[id_col])
             for c in finish:
                 del state[c]
+        if state:
+            per_class = _histogram(df, label_col, state, digits, cap)
     return result
 
 
@@ -125,21 +152,16 @@ def stratified_split(
     out_col: str = "is_test",
     digits: int = 3,
     local_limit: int = 200_000,
-    max_classes: int = 10_000,
+    max_classes: int = 1_000,
 ) -> DataFrame:
     """Exact stratified split; adds boolean ``out_col``.
 
-    ``id_col`` must be a key (unique per row). Class counts come from one
-    aggregation and are size-checked (``max_classes``) before they reach the
-    driver; per-class boundaries need 1-3 small aggregations in practice.
+    ``id_col`` must be a key (unique per row); rows with a null class are
+    never in the test side. In practice two small aggregations and one
+    ranking of a bounded bucket per class find the boundaries.
     """
     hashed = df.withColumn(HASH_COL, split_hash(id_col, seed))
-    class_rows = hashed.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
-    if len(class_rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label_col}")
-    counts = {r[label_col]: r["n"] for r in class_rows if r[label_col] is not None}
-    targets = allocate(counts, test_fraction)
-    bounds = _boundaries(hashed, id_col, label_col, targets, digits, local_limit)
+    bounds = _boundaries(hashed, id_col, label_col, test_fraction, digits, local_limit, max_classes)
     is_test = F.lit(False)
     for c, (bh, bid) in bounds.items():
         below = (F.col(HASH_COL) < F.lit(bh)) | ((F.col(HASH_COL) == F.lit(bh)) & (F.col(id_col) <= F.lit(bid)))

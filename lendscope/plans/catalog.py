@@ -530,3 +530,55 @@ UNION ALL SELECT 'avg_rate', value, format('{{:.2f}}', value) || '%' FROM st WHE
 UNION ALL SELECT 'max_amount', value, format('{{:,.2f}}', value) FROM st WHERE section = 'amount_stats' AND key = 'max'""")
 def q_kpi_rows(spark, sf_dir):
     return reports.kpi_rows(reports.dataset_stats(_apps(spark, sf_dir), TARGET, rounding=R))
+
+
+# --- B11: numbers typed as text (JavaScript parseInt / parseFloat rules) ---------------
+_INT_RE = r"^([+-]?[0-9]+)"
+_FLOAT_RE = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+
+
+def _parse_sql(col, pattern, typ):
+    m = f"regexp_extract(ltrim({col}), '{pattern}', 1)"
+    return f"CASE WHEN {m} = '' THEN NULL ELSE TRY_CAST({m} AS {typ}) END"
+
+
+@register("priority_numbers", f"""
+SELECT o_orderkey, {_parse_sql('o_orderpriority', _INT_RE, 'BIGINT')} AS priority_int,
+       {_parse_sql('o_orderpriority', _FLOAT_RE, 'DOUBLE')} AS priority_float,
+       {_parse_sql('o_orderstatus', _INT_RE, 'BIGINT')} AS status_int
+FROM orders""")
+def q_priority_numbers(spark, sf_dir):
+    from ..functions.numeric import parse_float_prefix, parse_int_prefix
+    from ..sources.tables import load_table
+    o = load_table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", parse_int_prefix("o_orderpriority").alias("priority_int"),
+                    parse_float_prefix("o_orderpriority").alias("priority_float"),
+                    parse_int_prefix("o_orderstatus").alias("status_int"))
+
+
+# --- K10: text bars of the approval rate per intent ---------------------------------------
+@register("approval_bars", f"""
+SELECT intent, approval_rate, repeat('#', CAST(trunc(approval_rate / 100 * 50) AS INTEGER)) AS bar
+FROM (SELECT intent, {_r('avg(status) * 100', 1)} AS approval_rate FROM applications
+      WHERE intent IS NOT NULL GROUP BY intent) r""")
+def q_approval_bars(spark, sf_dir):
+    from ..functions.text import text_bar
+    rates = profile.rate_by_group(_apps(spark, sf_dir), "intent", TARGET, rounding=R)
+    return rates.select("intent", "approval_rate", text_bar(F.col("approval_rate") / 100, 50).alias("bar"))
+
+
+# --- M1 / M3 / M4 / M10: distributions as JSON maps and back to rows -----------------------
+@register("report_roundtrip", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count "
+    f"FROM applications WHERE {c} IS NOT NULL GROUP BY {c}" for c in CATEGORICAL))
+def q_report_roundtrip(spark, sf_dir):
+    """Value counts -> one JSON object per column (as the report stores them) -> rows again.
+
+    The map per column holds one entry per distinct category value (the
+    encoder's ``max_labels`` bounds that), never per row.
+    """
+    vc = profile.value_counts_multi(_apps(spark, sf_dir), CATEGORICAL)
+    docs = vc.groupBy("column_name").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("value", "count")))).alias("doc"))
+    back = docs.select("column_name", F.explode(F.from_json("doc", "map<string,bigint>")).alias("value", "count"))
+    return back

@@ -74,3 +74,9 @@ def q_rf_score(spark, sf_dir):
         F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("risk_level"),
         F.lit(None).cast("string").alias("factors"), F.array_join("violations", ",").alias("violations"))
     return scored.unionByName(refused)
+
+
+@_register("rf_top_features")
+def q_rf_top_features(spark, sf_dir):
+    """The three most important features (the limit is the feature)."""
+    return trained(spark, sf_dir).importance.limit(3)

@@ -43,36 +43,37 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
     original computes them from a second read of the untouched file.
     """
     rnd = rounder(rounding)
-    # Scan 1: scalars, moments, extremes and age bins (one aggregation).
+    spark = df.sparkSession
+    # Scan 1: scalars, moments, extremes and age bins (one aggregation, one row).
     aggs = [F.count(F.lit(1)).alias("total"), F.sum(F.col(target)).cast("long").alias("approved")]
     for section, (col, funcs) in STATS_SPEC.items():
         x = F.col(col).cast("double")
-        parts = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x)}
-        aggs += [parts[f].alias(f"{section}__{f}") for f in funcs if f in parts]
-        aggs += [F.count(x).alias(f"{section}__n")]
+        x = F.when(~F.isnan(x), x)
+        aggs += [F.avg(x).alias(f"{section}__mean"), F.min(x).alias(f"{section}__min"),
+                 F.max(x).alias(f"{section}__max"), F.stddev_samp(x).alias(f"{section}__std"),
+                 F.count(x).alias(f"{section}__n")]
     age = F.col("age")
     for i in range(len(AGE_BIN_LABELS)):
         aggs.append(F.count_if((age > AGE_BIN_EDGES[i]) & (age <= AGE_BIN_EDGES[i + 1])).alias(f"bin{i}"))
-    scalars = df.agg(*aggs)
-
-    # Exact medians (bounded memory), attached as literals.
-    med_cols = [col for col, funcs in STATS_SPEC.values() if "median" in funcs]
-    medians = quantiles.exact_medians(df, med_cols, **(median_kw or {}))
-
-    rows = [
-        _row("total_records", None, F.col("total")),
-        _row("approved_count", None, F.col("approved")),
-        _row("rejected_count", None, F.col("total") - F.col("approved")),
-        _row("approval_rate", None,
-             rnd(F.try_divide(F.col("approved").cast("double"), F.col("total")) * 100, 1)),
-    ]
-    for i, lab in enumerate(AGE_BIN_LABELS):
-        rows.append(_row("age_distribution", lab, F.col(f"bin{i}")))
+    sc = df.agg(*aggs).first().asDict()
+
+    # Exact medians (bounded memory); count / min / max come from scan 1.
+    med_cols = {col: section for section, (col, funcs) in STATS_SPEC.items() if "median" in funcs}
+    extents = {col: (sc[f"{sec}__n"], sc[f"{sec}__min"], sc[f"{sec}__max"]) for col, sec in med_cols.items()}
+    medians = quantiles.exact_medians(df, list(med_cols), extents=extents, **(median_kw or {}))
+
+    total, approved = sc["total"], sc["approved"] or 0
+    values = [("total_records", None, float(total)), ("approved_count", None, float(approved)),
+              ("rejected_count", None, float(total - approved)),
+              ("approval_rate", None, (approved / total * 100) if total else None)]
+    values += [("age_distribution", lab, float(sc[f"bin{i}"])) for i, lab in enumerate(AGE_BIN_LABELS)]
     for section, (col, funcs) in STATS_SPEC.items():
         for f in funcs:
-            v = F.lit(medians[col]).cast("double") if f == "median" else F.col(f"{section}__{f}")
-            rows.append(_row(section, f, rnd(v, 2)))
-    part1 = scalars.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            values.append((section, f, medians[col] if f == "median" else sc[f"{section}__{f}"]))
+    part1 = spark.createDataFrame(values, "section string, key string, value double")
+    part1 = part1.select("section", "key", F.when(F.col("section") == "approval_rate", rnd(F.col("value"), 1))
+                         .when(F.col("section").endswith("_stats"), rnd(F.col("value"), 2))
+                         .otherwise(F.col("value")).alias("value"))
 
     # Scan 2: distributions and group rates in one GROUPING SETS pass.
     keys = sorted(set(DISTRIBUTIONS.values()) | set(RATES.values()))
