@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, quality, score
 from ..schema import ID, TARGET
 from ..sources.tables import applications
+from ..session import CHECKPOINT_CONF, checkpoint_dir
 from . import training
 
 _TRAINED: dict = {}
@@ -20,6 +21,12 @@ Q: dict = {}
 
 
 def trained(spark, sf_dir, cfg: training.TrainConfig | None = None) -> training.TrainResult:
+    if spark.sparkContext.master.startswith("local"):
+        # Local runs (the driver's check, tests) may have no checkpoint folder;
+        # a cluster names a shared one in spark.checkpoint.dir, which wins.
+        import tempfile
+        if not spark.sparkContext.getCheckpointDir() and not spark.conf.get(CHECKPOINT_CONF, None):
+            checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="lendscope-ckpt-"))
     key = (sf_dir, repr(cfg))
     if key not in _TRAINED:
         _TRAINED[key] = training.train(spark, applications(spark, sf_dir), cfg)
@@ -65,7 +72,7 @@ def q_rf_score(spark, sf_dir):
     res = trained(spark, sf_dir)
     checked = quality.validate(applications(spark, sf_dir), quality.API_RULES)
     valid, rejected = quality.split_valid(checked)
-    scored = score.score(valid, res.pipeline, res.maps, columns={}, keep=[ID]).select(
+    scored = score.score(valid, res.pipeline, res.maps, columns={}, keep=[ID], arrays=res.arrays).select(
         ID, "prediction", "prediction_code", "confidence", "risk_level",
         F.to_json("factors").alias("factors"), F.lit("").alias("violations"))
     # Rows the service would refuse keep their place, with the reasons.

@@ -15,13 +15,14 @@ tree level.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, encode, evaluate, model, split
+from ..operators import clean, encode, evaluate, forest_arrays, model, split
 from ..operators.score import CODE_SUFFIX, model_inputs
 from ..schema import (AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES, FEATURES, ID, MODEL_TYPE,
                       NUMERIC, SPLIT_SEED, TARGET, TEST_FRACTION)
@@ -39,6 +40,7 @@ class TrainConfig:
     rounding: str = "even"
     materialize: str = "persist"         # 'persist', 'table' or 'none'
     median_kw: dict = field(default_factory=dict)
+    fast_scoring: bool = True            # vectorised forest scorer (needs the checkpoint folder)
 
 
 @dataclass
@@ -54,6 +56,8 @@ class TrainResult:
     report: dict
     test_predictions: DataFrame
     sizes: dict
+    timings: dict = field(default_factory=dict)
+    arrays: object = None                 # ForestArrays for the fast scorer, when built
 
 
 def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str) -> DataFrame:
@@ -81,6 +85,14 @@ def prepare(raw: DataFrame, cfg: TrainConfig, fit_rows: DataFrame | None = None)
 
 def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None) -> TrainResult:
     cfg = cfg or TrainConfig()
+    timings: dict = {}
+    clock = [time.perf_counter()]
+
+    def lap(name):
+        now = time.perf_counter()
+        timings[name] = round(now - clock[0], 3)
+        clock[0] = now
+
     raw = _materialize(spark, raw_df, cfg.materialize, "applications_raw")
 
     if cfg.fit_cleaning_on == "train":
@@ -90,6 +102,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
         coded, imp, cap, maps = prepare(raw, cfg)
         flagged = split.stratified_split(coded, ID, TARGET, cfg.test_fraction, cfg.split_seed)
         coded = flagged
+    lap("clean_encode_split")
 
     inputs = model_inputs()
     assembled = encode.assemble(coded.select(ID, TARGET, "is_test", *inputs), inputs)
@@ -100,12 +113,25 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     ).persist(StorageLevel.MEMORY_AND_DISK)
     test_rows = assembled.where(F.col("is_test")).select(ID, TARGET, "features")
 
+    n_train = train_rows.count()
+    lap("train_vectors")
     forest = model.fit_forest(train_rows, cfg.forest, label_col=TARGET)
-    predictions = model.predict(forest, test_rows).select(ID, TARGET, "prediction_code", "probability")
+    lap("forest_fit")
+    arrays = None
+    if cfg.fast_scoring and spark.sparkContext.getCheckpointDir():
+        arrays = forest_arrays.ForestArrays.from_model(spark, forest)
+    if arrays is not None:
+        predictions = forest_arrays.score_arrays(
+            ensure_parallelism(coded.where(F.col("is_test")).select(ID, TARGET, *inputs)), arrays, inputs
+        ).select(ID, TARGET, "prediction_code", "probability")
+    else:
+        predictions = model.predict(forest, ensure_parallelism(test_rows)).select(
+            ID, TARGET, "prediction_code", "probability")
     pred_kept = predictions.persist(StorageLevel.MEMORY_AND_DISK)
     summary_row = evaluate.report_summary(pred_kept, TARGET, "prediction_code", cfg.rounding).first()
-    sizes = {"train_rows": train_rows.count(), "test_rows": int(sum(sum(r) for r in summary_row["confusion_matrix"]))}
+    sizes = {"train_rows": n_train, "test_rows": int(sum(sum(r) for r in summary_row["confusion_matrix"]))}
     train_rows.unpersist()
+    lap("evaluate")
 
     importance = model.feature_importance(spark, forest, FEATURE_DISPLAY_NAMES, cfg.rounding)
     stats_rows = reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw).collect()
@@ -125,8 +151,9 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
         "confusion_matrix": summary["confusion_matrix"],
     }
     pipeline = model.scoring_pipeline(forest, inputs)
+    lap("report")
     return TrainResult(pipeline, forest, maps, imp, cap, summary, importance, stats_rows, doc,
-                       pred_kept, sizes)
+                       pred_kept, sizes, timings, arrays)
 
 
 def save(spark: SparkSession, result: TrainResult, model_path: str, report_path: str) -> None:

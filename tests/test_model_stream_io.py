@@ -45,6 +45,26 @@ def test_save_load_and_scoring_equal(spark, trained, tmp_path, apps_mid):
     assert min(confs) >= 50.0 and max(confs) <= 100.0
 
 
+def test_array_scorer_equals_spark_ml(spark, trained, apps_mid):
+    assert trained.arrays is not None
+    valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull())
+    a = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"])
+    b = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"], arrays=trained.arrays)
+    ra = {r.app_id: (r.prediction, r.prediction_code, r.confidence, r.risk_level) for r in a.collect()}
+    rb = {r.app_id: (r.prediction, r.prediction_code, r.confidence, r.risk_level) for r in b.collect()}
+    assert len(ra) == valid.count() and ra == rb
+    # Raw probabilities agree to the last bit.
+    from pyspark.ml.functions import vector_to_array
+    from lendscope.operators import encode, forest_arrays
+    coded = encode.apply_scoring_codes(valid, trained.maps, suffix="_code")
+    inputs = score.model_inputs()
+    pa = {r.app_id: list(r.p) for r in trained.pipeline.transform(coded).select(
+        "app_id", vector_to_array("probability").alias("p")).collect()}
+    pb = {r.app_id: list(r.probability) for r in forest_arrays.score_arrays(
+        coded.select("app_id", *inputs), trained.arrays, inputs).collect()}
+    assert pa == pb
+
+
 def test_report_roundtrip(spark, trained, tmp_path):
     path = str(tmp_path / "report")
     reports.write_report(spark, trained.report, path)
