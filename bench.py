@@ -2,8 +2,11 @@
 
 Each query's result is fully computed with the ``noop`` sink (no collect
 cost); parts that run eagerly inside a query (median selection, split
-boundaries, model fit) are included in its time. ``train_forest`` is the
-whole training job with the original settings (100 trees, depth 15).
+boundaries) are included in its time. Every short query runs once untimed
+first (JVM JIT and code generation warm-up) and is then timed.
+``train_forest`` is the whole training job with the original settings
+(100 trees, depth 15), timed on its only run; ``train_steps`` breaks it
+down. ``rf_score`` scores every application with the trained forest.
 """
 
 from __future__ import annotations
@@ -38,12 +41,13 @@ def main() -> None:
 
     times: dict[str, float] = {}
     for name in HEADLINE:
+        catalog.Q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         t0 = time.perf_counter()
         catalog.Q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
 
     t0 = time.perf_counter()
-    model_queries.trained(spark, sf_dir)
+    trained = model_queries.trained(spark, sf_dir)
     times["train_forest"] = round(time.perf_counter() - t0, 3)
     t0 = time.perf_counter()
     model_queries.Q["rf_score"](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -56,6 +60,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+        "train_steps": trained.timings,
     }))
     spark.stop()
 

@@ -87,3 +87,30 @@ def q_rf_score(spark, sf_dir):
 def q_rf_top_features(spark, sf_dir):
     """The three most important features (the limit is the feature)."""
     return trained(spark, sf_dir).importance.limit(3)
+
+
+@_register("rf_stream_score")
+def q_rf_stream_score(spark, sf_dir):
+    """Applications written as JSON request files, scored by a Structured
+    Streaming job (``availableNow``), read back from the stream's Parquet sink.
+
+    Files live under the session's shared checkpoint folder; each call uses a
+    fresh sub-folder so the stream's checkpoint starts clean.
+    """
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming import scoring as stream
+
+    res = trained(spark, sf_dir)
+    run = scratch_path(spark, f"stream_{uuid.uuid4().hex}")
+    requests = applications(spark, sf_dir).select(
+        ID, "age", "income", "home", "emp_length", "intent", "amount", "rate", "percent_income",
+        F.col("default_flag").alias("default"), "cred_length")
+    requests.write.json(f"{run}/requests")
+    q = stream.start_scoring_stream(spark, f"{run}/requests", res.pipeline, res.maps, f"{run}/scored",
+                                    checkpoint=f"{run}/checkpoint", keep=[ID], arrays=res.arrays)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{run}/scored")
+    return out.select(ID, "prediction", "prediction_code", "confidence", "risk_level",
+                      F.to_json("factors").alias("factors"), F.array_join("violations", ",").alias("violations"))

@@ -239,9 +239,11 @@ MODEL_INFO_FIELDS = ["model_type", "accuracy", "accuracy_percent", "n_estimators
 
 
 def model_info(report: DataFrame) -> DataFrame:
-    """The eight model fields; a missing field is null."""
-    return report.select(*[F.col(f) if f in report.columns else F.lit(None).alias(f)
-                           for f in MODEL_INFO_FIELDS])
+    """The eight model fields (a missing field is null), plus the short
+    model name shown on the model page (K9: ``Classifier`` removed)."""
+    from ..functions.text import remove_word
+    cols = [F.col(f) if f in report.columns else F.lit(None).alias(f) for f in MODEL_INFO_FIELDS]
+    return report.select(*cols).withColumn("model_name", F.trim(remove_word(F.col("model_type"), "Classifier")))
 
 
 def model_summary(report: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_report_roundtrip(spark, trained, tmp_path):
     assert row.n_estimators == 20 and row.dataset_stats.total_records == 15000
     assert training.maps_from_report(row)["default_flag"] == {"N": 0, "Y": 1}
     info = reports.model_info(rep).first()
-    assert info.feature_columns[0] == "Age"
+    assert info.feature_columns[0] == "Age" and info.model_name == "Random Forest"
     summary = reports.model_summary(rep).collect()
     assert [r.position for r in summary] == list(range(1, 11))
     assert summary[3].label == "Emp Length"
@@ -110,3 +110,27 @@ def test_csv_source_null_tokens(spark, tmp_path):
     assert rows[1].rate is None and rows[2].age is None and rows[2].emp_length is None
     assert rows[3].age is None and rows[3].income is None and rows[3].amount is None
     assert rows[0].default_flag == "Y" and rows[0].percent_income == 0.59
+
+
+def test_write_scored_and_column_types(spark, trained, tmp_path, apps_mid):
+    from lendscope.operators import profile
+    valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull()).limit(50)
+    out = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"], arrays=trained.arrays)
+    files.write_scored(out, str(tmp_path / "scored"))
+    back = spark.read.parquet(str(tmp_path / "scored"))
+    assert back.count() == 50 and dict(back.dtypes)["factors"] == "map<string,string>"
+    types = {r.column_name: r.data_type for r in profile.column_types(apps_mid).collect()}
+    assert types["app_id"] == "bigint" and types["income"] == "double" and types["home"] == "string"
+
+
+def test_stream_query_matches_batch_query(spark, apps_mid):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    from lendscope.plans import model_queries
+    key = (SF_SMALL, repr(None))
+    model_queries._TRAINED[key] = training.train(
+        spark, __import__("lendscope.sources.tables", fromlist=["applications"]).applications(spark, SF_SMALL), SMALL)
+    batch = {r.app_id: (r.prediction, r.confidence, r.violations) for r in E.queries()["rf_score"](spark, SF_SMALL).collect()}
+    streamed = {r.app_id: (r.prediction, r.confidence, r.violations)
+                for r in E.queries()["rf_stream_score"](spark, SF_SMALL).collect()}
+    assert streamed == batch

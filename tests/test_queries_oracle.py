@@ -41,7 +41,8 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql_or_is_model_backed():
     missing = set(E.queries()) - set(SQL)
-    assert missing == {"rf_importance", "rf_report", "rf_confusion", "rf_score", "rf_top_features"}
+    assert missing == {"rf_importance", "rf_report", "rf_confusion", "rf_score", "rf_top_features",
+                       "rf_stream_score"}
 
 
 def test_entry_smoke(spark):
