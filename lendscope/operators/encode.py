@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_even
+from . import joins
 
 MAX_LITERAL_LABELS = 10_000
 MISSING_LABEL = "nan"
@@ -113,14 +114,14 @@ def apply_codes_join(df: DataFrame, codes: DataFrame, col: str, out_col: str,
                      default: int | None = None, upper: bool = False) -> DataFrame:
     """D3 for dictionaries too large for a literal map: a left join on the label.
 
-    No broadcast hint: the code table's size is measured by AQE at runtime,
-    which broadcasts it only when it is under the threshold.
+    The code table is stored and counted first; it is broadcast only when
+    its size is under the bound (``joins.join_bounded``), else shuffled.
     """
     key = F.upper(F.col(col).cast("string")) if upper else F.col(col).cast("string")
     table = codes.where(F.col("column_name") == col).select(
         F.col("label").alias("_label"), F.col("code").alias(out_col)
     )
-    joined = df.withColumn("_label", key).join(table, "_label", "left").drop("_label")
+    joined = joins.join_bounded(df.withColumn("_label", key), table, "_label", "left").drop("_label")
     if default is not None:
         joined = joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default)))
     return joined

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..operators import clean, encode, evaluate, explain, profile, quality, split
+from ..operators import clean, encode, evaluate, explain, joins, profile, quality, split
 from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS, AGE_CAP, CATEGORICAL, NUMERIC, TARGET
 from ..sources.tables import APPLICATIONS_SQL, applications
 from . import reports
@@ -392,7 +392,8 @@ FROM s""")
 def q_risk_level(spark, sf_dir):
     apps = _apps(spark, sf_dir)
     rates = apps.groupBy("intent", "home").agg(F.avg(F.col("status").cast("double")).alias("p1"))
-    scored = apps.select("app_id", "intent", "home").join(rates, ["intent", "home"], "left")
+    # One row per group: broadcast after a size check, so the applications are never shuffled.
+    scored = joins.join_bounded(apps.select("app_id", "intent", "home"), rates, ["intent", "home"], "left")
     code = F.when(F.col("p1") > 0.5, 1).otherwise(0)
     conf = explain.confidence_from_array(F.array(F.col("p1"), F.lit(1.0) - F.col("p1")), rounding=round_half_up)
     return scored.select(

@@ -105,6 +105,24 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("status", status)
 
 
+def materialize_applications(spark: SparkSession, sf_dir: str, path: str,
+                             buckets: int | None = None) -> DataFrame:
+    """Write the view once as a Parquet table and return a reader over it.
+
+    At scale every query over ``applications`` would otherwise repeat the
+    orders x customer join (a full shuffle of both when customer is too
+    large to broadcast). Writing the joined rows once under shared storage
+    turns each later query into a single pruned scan. ``buckets`` spreads
+    the rows over that many files by ``app_id`` hash (one shuffle, once),
+    so later scans have enough splits for every core.
+    """
+    df = applications(spark, sf_dir)
+    if buckets:
+        df = df.repartition(buckets, "app_id")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 # The same view as SQL text, for engines that take SQL (the DuckDB oracle).
 APPLICATIONS_SQL = """
 SELECT v.*,
