@@ -51,14 +51,14 @@ def fit_label_codes(
     max_labels: int = MAX_LITERAL_LABELS,
 ) -> dict[str, dict[str, int]]:
     """``{column: {label: code}}``, size-checked before it reaches the driver."""
-    codes = label_codes(df, cols, null_label)
-    n = codes.count()
-    if n > max_labels:
+    # One job; at most max_labels + 1 rows ever reach the driver.
+    rows = label_codes(df, cols, null_label).limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
         raise ValueError(
-            f"{n} labels exceed max_labels={max_labels}; use label_codes() with apply_codes_join()"
+            f"more than max_labels={max_labels} labels; use label_codes() with apply_codes_join()"
         )
     maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-    for r in codes.collect():
+    for r in rows:
         maps[r["column_name"]][r["label"]] = r["code"]
     return {c: dict(sorted(m.items(), key=lambda kv: kv[1])) for c, m in maps.items()}
 

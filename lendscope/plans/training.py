@@ -16,6 +16,7 @@ tree level.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -117,24 +118,28 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     lap("train_vectors")
     forest = model.fit_forest(train_rows, cfg.forest, label_col=TARGET)
     lap("forest_fit")
-    arrays = None
+    # Three independent pieces of work overlap: the forest's node table is
+    # written and read back (for the fast scorer), the test side is scored
+    # and evaluated, and the dataset statistics are computed. Spark runs
+    # jobs from several driver threads side by side.
+    pool = ThreadPoolExecutor(max_workers=2)
+    arrays_f = None
     if cfg.fast_scoring and spark.sparkContext.getCheckpointDir():
-        arrays = forest_arrays.ForestArrays.from_model(spark, forest)
-    if arrays is not None:
-        predictions = forest_arrays.score_arrays(
-            ensure_parallelism(coded.where(F.col("is_test")).select(ID, TARGET, *inputs)), arrays, inputs
-        ).select(ID, TARGET, "prediction_code", "probability")
-    else:
-        predictions = model.predict(forest, ensure_parallelism(test_rows)).select(
-            ID, TARGET, "prediction_code", "probability")
+        arrays_f = pool.submit(forest_arrays.ForestArrays.from_model, spark, forest)
+    stats_f = pool.submit(lambda: reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw).collect())
+    predictions = model.predict(forest, ensure_parallelism(test_rows)).select(
+        ID, TARGET, "prediction_code", "probability")
     pred_kept = predictions.persist(StorageLevel.MEMORY_AND_DISK)
     summary_row = evaluate.report_summary(pred_kept, TARGET, "prediction_code", cfg.rounding).first()
     sizes = {"train_rows": n_train, "test_rows": int(sum(sum(r) for r in summary_row["confusion_matrix"]))}
     train_rows.unpersist()
     lap("evaluate")
+    stats_rows = stats_f.result()
+    arrays = arrays_f.result() if arrays_f is not None else None
+    pool.shutdown()
+    lap("report_overlap")
 
     importance = model.feature_importance(spark, forest, FEATURE_DISPLAY_NAMES, cfg.rounding)
-    stats_rows = reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw).collect()
     summary = summary_row.asDict(recursive=True)
     imp_rows = importance.collect()
     doc = {
