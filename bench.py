@@ -2,7 +2,8 @@
 
 Each query's result is fully computed with the ``noop`` sink (no collect
 cost); parts that run eagerly inside a query (median selection, split
-boundaries) are included in its time. Every short query runs once untimed
+boundaries) are included in its time. The applications view is written once
+(``materialize_view``, timed) and read by all queries. Every short query runs once untimed
 first (JVM JIT and code generation warm-up) and is then timed.
 ``train_forest`` is the whole training job with the original settings
 (100 trees, depth 15), timed on its only run; ``train_steps`` breaks it
@@ -20,8 +21,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lendscope.plans import catalog, model_queries, training  # noqa: E402
-from lendscope.session import build_session, checkpoint_dir  # noqa: E402
-from lendscope.sources.tables import applications  # noqa: E402
+from lendscope.session import build_session, checkpoint_dir, scratch_path  # noqa: E402
+from lendscope.sources.tables import applications, materialize_applications, use_materialized  # noqa: E402
 
 HEADLINE = [
     "dataset_stats", "rate_by_intent", "null_profile", "age_bins", "income_stats",
@@ -40,6 +41,14 @@ def main() -> None:
     applications(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    # The orders x customer join is written once (as it would be at scale,
+    # where every query would otherwise repeat a shuffle join); its time
+    # counts in the total. Queries then start from one pruned scan.
+    t0 = time.perf_counter()
+    view = scratch_path(spark, "applications_sf" + os.path.basename(sf_dir.rstrip("/")))
+    materialize_applications(spark, sf_dir, view, buckets=int(cpus))
+    use_materialized(sf_dir, view)
+    times["materialize_view"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         catalog.Q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         t0 = time.perf_counter()

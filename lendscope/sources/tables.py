@@ -49,14 +49,35 @@ def _case(*branches: tuple[Column, object], otherwise: object) -> Column:
     return expr.otherwise(other)
 
 
+_MATERIALIZED: dict[str, str] = {}
+
+
+def use_materialized(sf_dir: str, path: str | None) -> None:
+    """Make ``applications(spark, sf_dir)`` read a table written by
+    ``materialize_applications`` (``None`` goes back to the join)."""
+    if path is None:
+        _MATERIALIZED.pop(sf_dir, None)
+    else:
+        _MATERIALIZED[sf_dir] = path
+
+
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one loan application per order (columns of ``APPLICATION_SCHEMA``).
 
+    Reads the materialised table instead when one was registered for
+    ``sf_dir`` with ``use_materialized``.
+
     Plan: scan of ``orders`` (6 columns) and ``customer`` (3 columns), one
     equi-join on the customer key. AQE turns it into a broadcast hash join
     when the customer side is measured small; at scale both sides shuffle on
     the key once, and every later operator works on the joined stream.
     """
+    if sf_dir in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[sf_dir])
+    return _derive_applications(spark, sf_dir)
+
+
+def _derive_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
@@ -116,7 +137,7 @@ def materialize_applications(spark: SparkSession, sf_dir: str, path: str,
     the rows over that many files by ``app_id`` hash (one shuffle, once),
     so later scans have enough splits for every core.
     """
-    df = applications(spark, sf_dir)
+    df = _derive_applications(spark, sf_dir)
     if buckets:
         df = df.repartition(buckets, "app_id")
     df.write.mode("overwrite").parquet(path)
