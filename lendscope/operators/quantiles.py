@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_INMEMORY_LIMIT = 2_000_000
+DEFAULT_INMEMORY_LIMIT = 1_000_000
 DEFAULT_BUCKETS = 2048
 DEFAULT_COLLECT_LIMIT = 200_000
 
