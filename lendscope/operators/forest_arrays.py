@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 MAX_NODES = 50_000_000
+_broadcasts: dict = {}
 
 
 @dataclass
@@ -120,7 +121,11 @@ def score_arrays(df: DataFrame, arrays: ForestArrays, feature_cols: list[str],
     is self-contained (numpy only), so executors need nothing but numpy.
     """
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(dict(arrays.__dict__))
+    bc = _broadcasts.get(id(arrays))
+    if bc is None:
+        # One broadcast per forest, reused by every later scoring job.
+        bc = spark.sparkContext.broadcast(dict(arrays.__dict__))
+        _broadcasts[id(arrays)] = bc
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(prob_col, T.ArrayType(T.DoubleType()), True),
         T.StructField(code_col, T.IntegerType(), True),

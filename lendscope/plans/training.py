@@ -62,6 +62,9 @@ class TrainResult:
 
 
 def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str) -> DataFrame:
+    # Spread a few-file input over all cores before it is kept, so every
+    # later pass (fits, split, forest, evaluation) runs in parallel.
+    df = ensure_parallelism(df, ID)
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "table":
