@@ -14,7 +14,7 @@ original); a forest with categorical splits must use ``model.transform``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 MAX_NODES = 50_000_000
-_broadcasts: dict = {}
 
 
 @dataclass
@@ -121,11 +120,12 @@ def score_arrays(df: DataFrame, arrays: ForestArrays, feature_cols: list[str],
     is self-contained (numpy only), so executors need nothing but numpy.
     """
     spark = df.sparkSession
-    bc = _broadcasts.get(id(arrays))
+    bc = getattr(arrays, "_broadcast", None)
     if bc is None:
-        # One broadcast per forest, reused by every later scoring job.
-        bc = spark.sparkContext.broadcast(dict(arrays.__dict__))
-        _broadcasts[id(arrays)] = bc
+        # One broadcast per forest, kept on the object and reused by every
+        # later scoring job.
+        bc = spark.sparkContext.broadcast({f.name: getattr(arrays, f.name) for f in fields(arrays)})
+        arrays._broadcast = bc
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(prob_col, T.ArrayType(T.DoubleType()), True),
         T.StructField(code_col, T.IntegerType(), True),
