@@ -21,38 +21,65 @@ MAX_LITERAL_LABELS = 10_000
 MISSING_LABEL = "nan"
 
 
-def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL) -> DataFrame:
-    """D1 (+M2) as a DataFrame: ``(column_name, label, code)``.
+WINDOW_RANK_LIMIT = 1_000_000
 
-    Nulls become ``null_label`` first (the original turns a missing value
-    into the text ``nan``, which gets its own code). One pass: the distinct
-    labels of all columns are found with one aggregation over an exploded
-    ``(column, label)`` pair; the ranking then runs over distinct labels
-    only, partitioned by column.
-    """
+
+def _distinct_labels(df: DataFrame, cols: list[str], null_label: str | None) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  (F.coalesce(F.col(c).cast("string"), F.lit(null_label)) if null_label is not None
                   else F.col(c).cast("string")).alias("label"))
         for c in cols
     ]))
-    distinct = (
+    return (
         df.select(pairs.alias("p")).select("p.column_name", "p.label")
         .where(F.col("label").isNotNull())
         .groupBy("column_name", "label").agg(F.count(F.lit(1)).alias("_n"))
         .drop("_n")
     )
+
+
+def _window_codes(distinct: DataFrame) -> DataFrame:
     w = Window.partitionBy("column_name").orderBy("label")
     return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
+def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL,
+                window_limit: int = WINDOW_RANK_LIMIT) -> DataFrame:
+    """D1 (+M2) as a DataFrame: ``(column_name, label, code)``.
+
+    Nulls become ``null_label`` first (the original turns a missing value
+    into the text ``nan``, which gets its own code). The distinct labels of
+    all columns come from one aggregation over exploded ``(column, label)``
+    pairs and are stored once. Up to ``window_limit`` distinct labels they
+    are ranked with a window per column; beyond that a column could not be
+    ranked in one task, so the labels are globally sorted (range-partitioned)
+    and numbered with ``zipWithIndex`` (per-partition counts, then offsets),
+    and each column's first index is subtracted.
+    """
+    distinct = joins.stored(_distinct_labels(df, cols, null_label))
+    if distinct.count() <= window_limit:
+        return _window_codes(distinct)
+    spark = df.sparkSession
+    numbered = distinct.orderBy("column_name", "label").rdd.zipWithIndex().map(
+        lambda p: (p[0][0], p[0][1], p[1]))
+    indexed = spark.createDataFrame(numbered, "column_name string, label string, idx long")
+    firsts = indexed.groupBy("column_name").agg(F.min("idx").alias("first")).collect()
+    offset = F.lit(0).cast("long")
+    for r in firsts:
+        offset = F.when(F.col("column_name") == r["column_name"], F.lit(r["first"])).otherwise(offset)
+    return indexed.select("column_name", "label", (F.col("idx") - offset).cast("int").alias("code"))
+
+
 def fit_label_codes(
     df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL,
     max_labels: int = MAX_LITERAL_LABELS,
 ) -> dict[str, dict[str, int]]:
     """``{column: {label: code}}``, size-checked before it reaches the driver."""
-    # One job; at most max_labels + 1 rows ever reach the driver.
-    rows = label_codes(df, cols, null_label).limit(max_labels + 1).collect()
+    # One job; the window ranks at most max_labels + 1 labels (the limit is
+    # applied to the distinct labels before ranking) and only those rows
+    # reach the driver.
+    rows = _window_codes(_distinct_labels(df, cols, null_label).limit(max_labels + 1)).collect()
     if len(rows) > max_labels:
         raise ValueError(
             f"more than max_labels={max_labels} labels; use label_codes() with apply_codes_join()"

@@ -72,3 +72,13 @@ def test_label_codes_guard(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("k"))
     with pytest.raises(ValueError):
         encode.fit_label_codes(df, ["k"], max_labels=10)
+
+
+def test_label_codes_global_numbering_equals_window(spark):
+    rows = [(f"h{i % 37}", f"i{i % 101}", None if i % 5 == 0 else f"d{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "h string, i string, d string")
+    small = {(r.column_name, r.label): r.code for r in encode.label_codes(df, ["h", "i", "d"]).collect()}
+    big = {(r.column_name, r.label): r.code
+           for r in encode.label_codes(df, ["h", "i", "d"], window_limit=0).collect()}
+    assert small == big and len(small) == 37 + 101 + 4
+    assert small[("d", "nan")] == 3 and small[("h", "h0")] == 0
