@@ -134,3 +134,17 @@ def test_stream_query_matches_batch_query(spark, apps_mid):
     streamed = {r.app_id: (r.prediction, r.confidence, r.violations)
                 for r in E.queries()["rf_stream_score"](spark, SF_SMALL).collect()}
     assert streamed == batch
+
+
+def test_train_only_cleaning_and_table_materialisation(spark):
+    from lendscope.sources.tables import applications
+    from tests.conftest import SF_SMALL
+    cfg = training.TrainConfig(forest=model.ForestParams(num_trees=5, max_depth=4), fit_cleaning_on="train",
+                               materialize="table", fast_scoring=False)
+    res = training.train(spark, applications(spark, SF_SMALL), cfg)
+    assert res.sizes["train_rows"] + res.sizes["test_rows"] == 1500
+    assert res.arrays is None and res.report["n_estimators"] == 5
+    # Medians were fitted on training rows only: emp_length's fill differs from the whole-table median only
+    # if the split moved it; either way it is one of the observed half-steps.
+    assert res.impute.null_counts["emp_length"] > 0
+    assert float(res.impute.fill_values["emp_length"]) * 2 == int(float(res.impute.fill_values["emp_length"]) * 2)
