@@ -21,7 +21,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lendscope.plans import catalog, model_queries, training  # noqa: E402
+from lendscope.plans import catalog, model_queries  # noqa: E402
 from lendscope.session import build_session, checkpoint_dir, scratch_path  # noqa: E402
 from lendscope.sources.tables import applications, materialize_applications, use_materialized  # noqa: E402
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-MAX_NODES = 50_000_000
+MAX_NODES = 10_000_000
 
 
 @dataclass

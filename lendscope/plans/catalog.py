@@ -9,7 +9,6 @@ default (``'even'``) follows the original's Python rounding.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up

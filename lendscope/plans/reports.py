@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import rounder
 from ..functions.text import capitalize_first, fixed, key_to_label, thousands
-from ..operators import profile, quantiles
+from ..operators import quantiles
 from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS
 
 STATS_SPEC = {

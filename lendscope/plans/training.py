@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, encode, evaluate, forest_arrays, model, split
 from ..operators.score import CODE_SUFFIX, model_inputs
-from ..schema import (AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES, FEATURES, ID, MODEL_TYPE,
+from ..schema import (AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES, ID, MODEL_TYPE,
                       NUMERIC, SPLIT_SEED, TARGET, TEST_FRACTION)
 from ..session import scratch_path
 from ..sources.tables import ensure_parallelism
@@ -177,4 +177,4 @@ def maps_from_report(report_row) -> dict:
     return {FROM_DISPLAY.get(k, k): dict(v) for k, v in maps.items()}
 
 
-__all__ = ["TrainConfig", "TrainResult", "train", "save", "maps_from_report", "FEATURES"]
+__all__ = ["TrainConfig", "TrainResult", "train", "save", "maps_from_report"]

@@ -1,7 +1,5 @@
 """Model fit, persistence, batch and stream scoring, and file sources (small forest)."""
 
-import json
-import os
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from lendscope.operators import profile
 from lendscope.schema import AGE_BIN_EDGES, AGE_BIN_LABELS
