@@ -62,3 +62,19 @@ def test_zero_cells_and_no_predictions(spark):
     assert cm == {(0, 0): 3, (0, 1): 0, (1, 0): 0, (1, 1): 0}
     rep = {r.row_name: r for r in evaluate.classification_report(df, "label", "pred").collect()}
     assert rep["1"].precision == 0.0 and rep["1"].recall == 0.0
+
+
+def test_golden_approval_rate(spark):
+    from lendscope.operators import profile
+    df = spark.range(32581).select((F.col("id") < 7108).cast("int").alias("status"))
+    r = profile.overview(df, "status").first()
+    assert (r.total_records, r.approved_count, r.rejected_count, r.approval_rate) == (32581, 7108, 25473, 21.8)
+
+
+def test_split_with_hot_class(spark):
+    # One class holds 90% of the rows; tiny buckets force several radix levels.
+    df = spark.range(5000).select(F.col("id").alias("app_id"), (F.col("id") % 10 == 0).cast("int").alias("status"))
+    out = split.stratified_split(df, "app_id", "status", 0.2, 7, digits=1, local_limit=20)
+    sizes = {(r.is_test, r.status): r.rows for r in split.split_sizes(out, "status").collect()}
+    want = split.allocate({0: 4500, 1: 500}, 0.2)
+    assert sizes[(True, 0)] == want[0] and sizes[(True, 1)] == want[1] and sum(sizes.values()) == 5000
