@@ -115,26 +115,31 @@ def _select_ranks(df, exprs, targets, buckets, collect_limit):
         pending = [t for t in pending if t.value is None]
         if not pending:
             break
-        # One scan: every pending target contributes its in-range values.
+        # One scan for all pending targets. Targets of the same column whose
+        # ranges coincide (the two middle ranks, usually) share one histogram,
+        # and a row only emits entries for the ranges it falls in.
+        ranges: dict = {}
+        for t in pending:
+            ranges.setdefault((t.key, t.lo, t.hi), len(ranges))
         items = []
-        for i, t in enumerate(pending):
-            x = exprs[t.key]
+        for (key, lo, hi), i in ranges.items():
+            x = exprs[key]
             # Halved operands keep ``hi - lo`` finite for any pair of doubles.
-            half_width = t.hi / 2 - t.lo / 2
+            half_width = hi / 2 - lo / 2
             b = F.least(F.lit(buckets - 1),
-                        F.floor((x / 2 - F.lit(t.lo / 2)) / F.lit(half_width) * buckets))
-            in_range = x.between(F.lit(t.lo), F.lit(t.hi))
+                        F.floor((x / 2 - F.lit(lo / 2)) / F.lit(half_width) * buckets))
+            in_range = x.between(F.lit(lo), F.lit(hi))
             items.append(F.when(in_range, F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
         hist = (
-            df.select(F.explode(F.array(*items)).alias("e"))
-            .where(F.col("e").isNotNull())
+            df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
             .groupBy("e.t", "e.b")
             .agg(F.count("*").alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi"))
             .collect()
         )
-        per_t: dict[int, list] = {}
+        per_range: dict[int, list] = {}
         for r in hist:
-            per_t.setdefault(r["t"], []).append(r)
+            per_range.setdefault(r["t"], []).append(r)
+        per_t = {i: per_range.get(ranges[(t.key, t.lo, t.hi)], []) for i, t in enumerate(pending)}
         exact = []
         for i, t in enumerate(pending):
             rows = sorted(per_t.get(i, []), key=lambda r: r["b"])
@@ -167,8 +172,7 @@ def _finish_exact(df, exprs, targets):
         items.append(F.when(x.between(F.lit(t.lo), F.lit(t.hi)),
                             F.struct(F.lit(i).alias("t"), x.alias("x"))))
     rows = (
-        df.select(F.explode(F.array(*items)).alias("e"))
-        .where(F.col("e").isNotNull())
+        df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
         .groupBy("e.t", "e.x")
         .agg(F.count("*").alias("n"))
         .collect()
