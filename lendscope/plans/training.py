@@ -74,17 +74,30 @@ def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str) -> Dat
     return df
 
 
+def fit_preparation(fit_src: DataFrame, cfg: TrainConfig, pool: ThreadPoolExecutor | None = None):
+    """Fit C1 (medians), C2 (age cap) and D1 (label codes) on ``fit_src``.
+
+    The label codes only read the category columns, which cleaning never
+    changes, so they are fitted alongside the numeric fits (in ``pool`` when
+    given: Spark runs jobs from several driver threads side by side).
+    """
+    codes_f = pool.submit(encode.fit_label_codes, fit_src, CATEGORICAL) if pool else None
+    imp = clean.fit_median_imputer(fit_src, NUMERIC, cfg.median_kw)
+    cap = clean.fit_outlier_cap(clean.apply_median_imputer(fit_src, imp), "age", AGE_CAP, cfg.median_kw)
+    maps = codes_f.result() if codes_f else encode.fit_label_codes(fit_src, CATEGORICAL)
+    return imp, cap, maps
+
+
+def apply_preparation(df: DataFrame, imp, cap, maps) -> DataFrame:
+    """Apply C1, C2 and D2: lazy projections, no shuffle."""
+    capped = clean.apply_outlier_cap(clean.apply_median_imputer(df, imp), cap)
+    return encode.apply_training_codes(capped, maps, suffix=CODE_SUFFIX)
+
+
 def prepare(raw: DataFrame, cfg: TrainConfig, fit_rows: DataFrame | None = None):
     """C1, C2, D1, D2 fitted on ``fit_rows`` (default: the whole table), applied to ``raw``."""
-    fit_src = fit_rows if fit_rows is not None else raw
-    imp = clean.fit_median_imputer(fit_src, NUMERIC, cfg.median_kw)
-    filled = clean.apply_median_imputer(raw, imp)
-    fit_filled = clean.apply_median_imputer(fit_src, imp)
-    cap = clean.fit_outlier_cap(fit_filled, "age", AGE_CAP, cfg.median_kw)
-    capped = clean.apply_outlier_cap(filled, cap)
-    maps = encode.fit_label_codes(clean.apply_outlier_cap(fit_filled, cap), CATEGORICAL)
-    coded = encode.apply_training_codes(capped, maps, suffix=CODE_SUFFIX)
-    return coded, imp, cap, maps
+    imp, cap, maps = fit_preparation(fit_rows if fit_rows is not None else raw, cfg)
+    return apply_preparation(raw, imp, cap, maps), imp, cap, maps
 
 
 def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None) -> TrainResult:
@@ -99,13 +112,17 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
 
     raw = _materialize(spark, raw_df, cfg.materialize, "applications_raw")
 
-    if cfg.fit_cleaning_on == "train":
-        flagged = split.stratified_split(raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
-        coded, imp, cap, maps = prepare(flagged, cfg, flagged.where(~F.col("is_test")))
-    else:
-        coded, imp, cap, maps = prepare(raw, cfg)
-        flagged = split.stratified_split(coded, ID, TARGET, cfg.test_fraction, cfg.split_seed)
-        coded = flagged
+    # The split depends only on ids and classes, so its boundaries are found
+    # while the cleaning parameters are fitted.
+    with ThreadPoolExecutor(max_workers=2) as prep_pool:
+        if cfg.fit_cleaning_on == "train":
+            flagged = split.stratified_split(raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
+            imp, cap, maps = fit_preparation(flagged.where(~F.col("is_test")), cfg, prep_pool)
+        else:
+            split_f = prep_pool.submit(split.stratified_split, raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
+            imp, cap, maps = fit_preparation(raw, cfg, prep_pool)
+            flagged = split_f.result()
+    coded = apply_preparation(flagged, imp, cap, maps)
     lap("clean_encode_split")
 
     inputs = model_inputs()
