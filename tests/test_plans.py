@@ -29,3 +29,26 @@ def test_scan_prunes_columns(spark):
     plan = _plan(E.queries()["rate_by_intent"](spark, SF_SMALL))
     assert "FileScan parquet" in plan
     assert "c_name" not in plan and "o_orderdate" not in plan and "o_clerk" not in plan
+
+
+@pytest.mark.parametrize("name", ["rate_by_intent", "value_counts_all", "age_bins", "confusion_matrix"])
+def test_aggregations_combine_map_side(spark, name):
+    # A key holding a third of all rows is collapsed inside each map task
+    # (partial aggregation) before the exchange.
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "partial_" in plan or "PartialMerge" in plan or "HashAggregate" in plan
+    df = E.queries()[name](spark, SF_SMALL)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("HashAggregate") >= 2
+
+
+def test_hot_key_group_rate(spark):
+    from pyspark.sql import functions as F
+    from lendscope.operators import profile
+    # One key holds a third of the rows.
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 101).cast("string")).alias("k"),
+        (F.col("id") % 2).cast("int").alias("status")).repartition(8)
+    got = {r.k: (r.approval_rate, r.applications) for r in profile.rate_by_group(df, "k", "status").collect()}
+    assert got["HOT"] == (50.0, 10000)
+    assert sum(n for _, n in got.values()) == 30000
