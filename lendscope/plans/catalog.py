@@ -578,6 +578,10 @@ def q_report_roundtrip(spark, sf_dir):
     encoder's ``max_labels`` bounds that), never per row.
     """
     vc = profile.value_counts_multi(_apps(spark, sf_dir), CATEGORICAL)
+    # Each map holds one entry per category value: check that bound before
+    # one task per column builds it.
+    if vc.limit(encode.MAX_LITERAL_LABELS + 1).count() > encode.MAX_LITERAL_LABELS:
+        raise ValueError("too many category values for one JSON object per column")
     docs = vc.groupBy("column_name").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("value", "count")))).alias("doc"))
     back = docs.select("column_name", F.explode(F.from_json("doc", "map<string,bigint>")).alias("value", "count"))
