@@ -34,6 +34,9 @@ def test_query_matches_sql(spark, con, name):
     srows = sorted(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
     rel = con.sql(SQL[name])
     assert sorted(rel.columns) == cols
+    mapping = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    stypes = {f.name: mapping.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert stypes == dict(zip(rel.columns, [str(t) for t in rel.types]))
     idx = [rel.columns.index(c) for c in cols]
     drows = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert srows == drows
