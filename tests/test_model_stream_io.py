@@ -146,3 +146,14 @@ def test_train_only_cleaning_and_table_materialisation(spark):
     # if the split moved it; either way it is one of the observed half-steps.
     assert res.impute.null_counts["emp_length"] > 0
     assert float(res.impute.fill_values["emp_length"]) * 2 == int(float(res.impute.fill_values["emp_length"]) * 2)
+
+
+def test_chart_and_kpis_with_model(spark, trained, apps_mid):
+    stats = reports.dataset_stats(apps_mid)
+    chart = reports.chart_series(stats, trained.importance)
+    imp = {r.label: r.value for r in chart.where(F.col("series") == "importance").collect()}
+    assert len(imp) == 10 and "Emp Length" in imp and "Percent Income" in imp
+    assert abs(sum(imp.values()) - 100.0) < 0.2
+    kpis = {r.name: r.text for r in reports.kpi_rows(stats, trained.summary["accuracy_percent"]).collect()}
+    assert kpis["total_applications"] == "15,000" and kpis["model_accuracy"].endswith("%")
+    assert kpis["approval_rate"] == "35.5%" and kpis["rejection_rate"] == "64.5%"
