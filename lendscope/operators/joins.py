@@ -19,10 +19,12 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Compute once and keep: reliable checkpoint if a folder is set, else persist."""
+    """Compute once and keep (eagerly): reliable checkpoint if a folder is set, else persist."""
     if df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "left",

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import rounder
 from ..functions.text import capitalize_first, fixed, key_to_label, thousands
-from ..operators import quantiles
+from ..operators import joins, quantiles
 from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS
 
 STATS_SPEC = {
@@ -128,6 +128,8 @@ def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataF
     approval by intent (labels with only the first letter upper case), age
     bins, and feature importance in percent when a model is given.
     """
+    # Five branches read the statistics: compute them once (a few dozen rows).
+    stats = joins.stored(stats)
     s = F.col("section")
     approval = stats.where(s.isin("approved_count", "rejected_count")).select(
         F.lit("approval").alias("series"),
@@ -158,6 +160,8 @@ def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataF
 
 def kpi_rows(stats: DataFrame, accuracy_percent: float | None = None) -> DataFrame:
     """``(name, value, text)`` for the dashboard's stat cards."""
+    # Nine branches read the statistics: compute them once (a few dozen rows).
+    stats = joins.stored(stats)
     s, k, v = F.col("section"), F.col("key"), F.col("value")
     picks = {
         "total_applications": (s == "total_records", thousands(v, 0)),
