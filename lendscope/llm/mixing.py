@@ -97,9 +97,10 @@ def mixing_plan(sized: DataFrame, max_epochs: int = 3, weights: tuple[float, ...
     cuts = cuts.groupBy("mix_key").agg(F.min(F.struct("part", "upto", "words")).alias("c"))
     plan = plan.join(cuts, "mix_key", "left")
     share = (F.col("rest") - (F.col("c.upto") - F.col("c.words"))) / F.col("c.words")
-    return plan.select(
+    plan = plan.select(
         "mix_key", "source_size", "target", "whole", F.coalesce("c.part", F.lit(PARTS)).alias("cut"),
         F.coalesce(share, F.lit(0.0)).alias("share"))
+    return stored(plan, "mix-plan")  # its size is then known, and a small one is broadcast
 
 
 def words_taken(size: Column, part: Column, plan: str, doc_id: Column, seed: int) -> Column:
