@@ -7,12 +7,13 @@ that stand out in toxic training sentences, and some usual words. A segment
 (a word, or a run of single characters) is mapped to its likeness to the
 landmarks, made orthonormal by the landmarks' own kernel matrix; a support
 vector machine with squared hinge loss is trained on these maps. Labels belong
-to documents, so a toxic document is told by its worst sentences: the words
-that stand out are positive, words of other documents negative, and then the
-worst segment of every toxic document joins the positives.
+to documents: words that stand out in the sentences of toxic ones, and altered
+forms of them, are positive, words of other documents negative; then words of
+clean documents that the machine takes for toxic join the negatives, as often
+as they occur, and it is trained again.
 
-A sentence's value is its worst segment's; a document's score is a logistic
-curve over the values of its three worst sentences.
+A document's score is a logistic curve over the values of its three worst
+segments.
 
 Defined results: a null text is empty; a text without words has the values of
 the least toxic segment possible; rows are scored one by one, also with
@@ -29,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -39,16 +41,18 @@ from lendscope.sources.tables import load_table
 
 from .common import crc_mod, labelled_sample, load_documents, raw
 
-LENGTH, DECAY, SHARPNESS = 3, 0.6, 4.0
+LENGTH, DECAY, SHARPNESS = 3, 0.6, 3.0
 #: Longer words are read through windows of so many characters, half of them shared.
 WIDEST = 24
 #: At most so many documents of either label are trained on.
 SAMPLE = 2500
-LANDMARKS, USUAL, NEGATIVES = 48, 16, 12_000
+LANDMARKS, USUAL, NEGATIVES = 80, 16, 12_000
 THRESHOLD = 0.7
 #: A task remembers the values of so many segments.
 REMEMBERED = 1_000_000
-LOWEST = -3.0
+LOWEST = -1.5
+#: Weight of each altered form of a toxic word, against the word's own.
+ALTERED = 0.15
 
 _EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|#*$%&~_=+/\\-`^"
 _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
@@ -83,10 +87,10 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For strings of equal lengths together: their indexes, the character codes
-    of every subsequence of ``LENGTH`` characters (string, subsequence, 3), and
-    the weight of each by its stretch. Chunks are bounded by their subsequences."""
+def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For strings of equal lengths together: their indexes, their character
+    codes, the places of every subsequence of ``LENGTH`` characters, and the
+    weight of each by its stretch. Chunks are bounded by their subsequences."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     for n in np.unique(lengths[lengths >= LENGTH]).tolist():
         at = np.array(list(combinations(range(n), LENGTH)))
@@ -95,23 +99,25 @@ def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         step = max(1, 300_000 // len(at))
         for i in range(0, len(some), step):
             part = some[i : i + step]
-            codes = np.frombuffer("".join(strings[k] for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n).astype(np.int64)
-            yield part, codes[:, at], weight
-
-
-def _packed(codes: np.ndarray) -> np.ndarray:
-    return (codes[..., 0] << 42) | (codes[..., 1] << 21) | codes[..., 2]
-
-
-def own_kernel(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Kernel of each string with itself: weights of equal subsequences add up, then squares."""
-    keys = _packed(codes)
-    order = np.argsort(keys, axis=1)
-    keys = np.take_along_axis(keys, order, axis=1)
-    new = np.ones(keys.shape, bool)
-    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(new.ravel()))
-    return np.add.reduceat(sums * sums, np.concatenate(([0], np.cumsum(new.sum(1))[:-1])))
+            codes = np.frombuffer("".join(strings[k] for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
+            yield part, codes, at, weight
+
+
+def own_kernel(codes: np.ndarray) -> np.ndarray:
+    """Kernel of each string with itself, by the recursion over pairs of
+    places: what ends at (i, j) extends all that ended before both."""
+    size, n = codes.shape
+    match = codes.T[:, None, :] == codes.T[None, :, :]
+    ends = match * DECAY**2
+    for _ in range(LENGTH - 1):
+        sums = np.zeros((n + 1, n + 1, size))  # weighted sums of all ends before (i, j)
+        new = np.zeros_like(ends)
+        for i in range(n):
+            for j in range(n):
+                new[i, j] = sums[i, j] * match[i, j] * DECAY**2
+                sums[i + 1, j + 1] = ends[i, j] + DECAY * (sums[i, j + 1] + sums[i + 1, j]) - DECAY**2 * sums[i, j]
+        ends = new
+    return ends.sum((0, 1))
 
 
 @dataclass
@@ -131,10 +137,10 @@ class Landmarks:
         letters[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         k = len(alphabet) + 1
         places, rows = np.zeros(k**LENGTH, np.int32), [np.zeros(len(strings), np.float32)]
-        for part, codes, weight in features(strings):
-            own = np.sqrt(own_kernel(codes, weight))
+        for part, codes, at, weight in by_length(strings):
+            own = np.sqrt(own_kernel(codes))
             for i, s in enumerate(part.tolist()):
-                small = letters[codes[i]].astype(np.int64)
+                small = letters[codes[i]][at].astype(np.int64)
                 for place, w in zip(((small[:, 0] * k + small[:, 1]) * k + small[:, 2]).tolist(), weight):
                     if not places[place]:
                         places[place] = len(rows)
@@ -147,15 +153,15 @@ class Landmarks:
         1, then sharpened: exp(-SHARPNESS * (1 - kernel))."""
         out = np.zeros((len(strings), len(self.strings)), np.float32)
         k = round(len(self.places) ** (1 / LENGTH))
-        for part, codes, weight in features(strings):
+        for part, codes, at, weight in by_length(strings):
             small = self.letters[codes].astype(np.int32)
-            place = self.places[(small[..., 0] * k + small[..., 1]) * k + small[..., 2]]
-            row, at = np.nonzero(place)
+            place = self.places[(small[:, at[:, 0]] * k + small[:, at[:, 1]]) * k + small[:, at[:, 2]]]
+            row, which = np.nonzero(place)
             if not len(row):
                 continue
             some, first = np.unique(row, return_index=True)
-            sums = np.add.reduceat(self.rows[place[row, at]] * weight[at, None].astype(np.float32), first, axis=0)
-            out[part[some]] = sums / np.sqrt(own_kernel(codes[some], weight))[:, None]
+            sums = np.add.reduceat(self.rows[place[row, which]] * weight[which, None].astype(np.float32), first, axis=0)
+            out[part[some]] = sums / np.sqrt(own_kernel(codes[some]))[:, None]
         return np.exp(-SHARPNESS * (1 - out))
 
 
@@ -174,13 +180,13 @@ class Model:
         return np.clip(self.landmarks.likeness(segments) @ self.alpha + self.bias, LOWEST, -LOWEST)
 
     def worst(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        """The values of the three worst sentences of each text, worst first."""
-        made = [sentences(t) for t in texts]
-        new = sorted({w for s in made for segments in s for w in segments} - known.keys())
+        """The values of the three worst segments of each text, worst first."""
+        made = [[w for segments in sentences(t) for w in segments] for t in texts]
+        new = sorted({w for segments in made for w in segments} - known.keys())
         known.update(zip(new, self.values(new).tolist()))
         out = np.full((len(texts), 3), LOWEST)
-        for i, s in enumerate(made):
-            top = sorted((max(known[w] for w in segments) for segments in s if segments), reverse=True)[:3]
+        for i, segments in enumerate(made):
+            top = nlargest(3, map(known.__getitem__, segments))
             out[i, : len(top)] = top
         if len(known) > REMEMBERED:
             known.clear()
@@ -245,26 +251,21 @@ def fit_texts(texts: list[str], y: np.ndarray, share_toxic: float, seed: int = 4
     root = vectors[:, keep] / np.sqrt(values[keep])
     others = sorted(set(clean) - set(stand_out))
     others = sorted(rng.sample(others, min(NEGATIVES, len(others))))
-    positive = Counter({w: toxic[w] for w in stand_out})
-    known: dict[str, float] = {}
+    hard: Counter = Counter()
+    more = [(v, w) for w in stand_out if len(w) > LENGTH for v in altered(w, rng)]
+    some = [*stand_out, *(v for v, _ in more), *others]
+    label = np.array([1.0] * (len(stand_out) + len(more)) + [-1.0] * len(others))
+    weight = np.array([float(toxic[w]) for w in stand_out] + [ALTERED * toxic[w] for _, w in more] + [1.0] * len(others))
+    weight[label < 0] *= weight[label > 0].sum() / weight[label < 0].sum()
     for turn in range(2):
-        words = sorted(positive)
-        more = [v for w in words if len(w) > LENGTH for v in altered(w, rng)]
-        some = words + more + others
-        label = np.array([1.0] * (len(words) + len(more)) + [-1.0] * len(others))
-        weight = np.array([math.sqrt(positive[w]) for w in words] + [0.3] * len(more) + [1.0] * len(others))
-        weight[label > 0] *= 0.3 * weight[label < 0].sum() / weight[label > 0].sum()
-        w, bias = _machine(landmarks.likeness(some) @ root, label, weight)
+        # Words of clean documents that the machine takes for toxic weigh as often as they occur, for their share of the documents.
+        words = sorted(hard)
+        w, bias = _machine(landmarks.likeness(some + words) @ root, np.append(label, -np.ones(len(words))),
+                           np.append(weight, [hard[x] * n1 / n0 for x in words]))
         model = Model(landmarks, root @ w, bias, none.curve)
         if turn == 0:
-            for bag, v in zip(bags, y):
-                if v and bag:
-                    bag_words = sorted(bag)
-                    new = [x for x in bag_words if x not in known]
-                    known.update(zip(new, model.values(new).tolist()))
-                    top = max(bag_words, key=lambda x: known[x])
-                    if known[top] > 0 and clean[top] == 0:
-                        positive[top] += 1
+            all_clean = sorted(x for x in clean if len(x) >= LENGTH)
+            hard = Counter({x: clean[x] for x, v in zip(all_clean, model.values(all_clean)) if v > 0})
     worst = model.worst(texts, {})
     weights = np.where(y == 1, share_toxic / (y == 1).mean(), (1 - share_toxic) / (y == 0).mean())
     model.curve = _curve(worst, y, weights)
