@@ -212,7 +212,7 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM (
   SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
-    array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       CAST(((CAST('0x' || substr(sha1(h), CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
     min(page_id) OVER (PARTITION BY sha1(h)) AS first
   FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)
