@@ -1,14 +1,15 @@
 """Command line: the original application's jobs as Spark jobs.
 
     python -m lendscope.cli train  --tables DIR | --csv PATH  --model OUT --report OUT
-    python -m lendscope.cli score  --model DIR --report DIR --input JSON --output OUT [--format parquet|json]
-    python -m lendscope.cli stream --model DIR --report DIR --input DIR --output OUT [--checkpoint DIR]
+    python -m lendscope.cli score  --model DIR --report DIR --input JSON --output OUT [--format parquet|json] [--id NAME]
+    python -m lendscope.cli stream --model DIR --report DIR --input DIR --output OUT [--checkpoint DIR] [--id NAME]
     python -m lendscope.cli stats  --report DIR          # the dataset statistics document
     python -m lendscope.cli model-info --report DIR      # the model summary fields
 
 ``train`` replaces the training script (cleaning, encoding, exact split,
 forest, evaluation, report); ``score`` and ``stream`` replace the scoring
-endpoint for whole batches or a stream of request files; ``stats`` and
+endpoint for whole batches or a stream of request files (``--id`` names the
+request's key, which every answer carries); ``stats`` and
 ``model-info`` print what the two read endpoints returned. Paths may be on
 any file system Spark can read; the shared checkpoint folder comes from
 ``spark.checkpoint.dir``.
@@ -20,7 +21,7 @@ import argparse
 import json
 import sys
 
-from .operators import forest_arrays, model as model_ops
+from .operators import model as model_ops
 from .plans import reports, training
 from .session import build_session
 from .sources import files
@@ -32,11 +33,7 @@ def _load_scorer(spark, model_dir: str, report_dir: str):
     pipeline = model_ops.load_model(model_dir)
     report = reports.read_report(spark, report_dir).first()
     maps = training.maps_from_report(report)
-    forest = pipeline.stages[-1]
-    arrays = None
-    if spark.sparkContext.getCheckpointDir():
-        arrays = forest_arrays.ForestArrays.from_model(spark, forest)
-    return pipeline, maps, arrays
+    return pipeline, maps
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -55,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--report", required=True)
         p.add_argument("--input", required=True)
         p.add_argument("--output", required=True)
+        p.add_argument("--id", help="key of a request, a whole number, carried to its answer")
     s.add_argument("--format", default="parquet", choices=["parquet", "json"])
     st.add_argument("--checkpoint")
     for name in ("stats", "model-info"):
@@ -69,14 +67,15 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({k: result.report[k] for k in ("accuracy", "accuracy_percent", "classification_report",
                                                         "confusion_matrix", "feature_importance")}))
     elif args.cmd == "score":
-        pipeline, maps, arrays = _load_scorer(spark, args.model, args.report)
-        requests = files.read_scoring_json(spark, args.input)
-        out = stream.scored_records(requests, pipeline, maps, arrays=arrays)
+        pipeline, maps = _load_scorer(spark, args.model, args.report)
+        keep = [args.id] if args.id else []
+        requests = files.read_scoring_json(spark, args.input, keep)
+        out = stream.scored_records(requests, pipeline, maps, keep)
         files.write_scored(out, args.output, args.format)
     elif args.cmd == "stream":
-        pipeline, maps, arrays = _load_scorer(spark, args.model, args.report)
+        pipeline, maps = _load_scorer(spark, args.model, args.report)
         q = stream.start_scoring_stream(spark, args.input, pipeline, maps, args.output,
-                                        checkpoint=args.checkpoint, arrays=arrays)
+                                        checkpoint=args.checkpoint, keep=[args.id] if args.id else None)
         q.awaitTermination()
     elif args.cmd == "stats":
         row = reports.stats_section(reports.read_report(spark, args.report)).first()

@@ -11,8 +11,22 @@ def _col(c: str | Column) -> Column:
 
 
 def round_even(c: str | Column, places: int = 0) -> Column:
-    """Round half to even (Python ``round``); Spark ``round`` would round half up."""
-    return F.bround(_col(c), places)
+    """Round as Python's ``round`` does: the exact binary value, ties to even.
+
+    ``bround`` works on the shortest decimal form instead, so it takes 0.295,
+    whose binary value is a little less, for a tie. Here, where the product
+    with ``10 ** places`` looks like a tie, its rounding error decides: the
+    value is split in two halves whose products with the scale are exact. Up
+    to seven places; infinities and NaN stay as they are.
+    """
+    if not 0 <= places <= 7:  # beyond that the scale has more bits than a half
+        raise ValueError("places must be from 0 to 7")
+    x, scale = _col(c).cast("double"), float(10 ** places)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits
+    error = (high * scale - product) + (x - high) * scale
+    tie = F.abs(product - F.rint(product)) == 0.5
+    return F.rint(F.when(tie, product + F.signum(error) * 0.25).otherwise(product)) / F.lit(scale)
 
 
 def round_half_up(c: str | Column, places: int = 0) -> Column:

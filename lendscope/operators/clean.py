@@ -28,20 +28,17 @@ class ImputeParams:
 def fit_median_imputer(df: DataFrame, cols: list[str], median_kw: dict | None = None) -> ImputeParams:
     """C1 fit: median of every column that holds nulls (exact, bounded memory).
 
-    One aggregation gives null counts, counts, minima and maxima for all
-    columns; medians are then computed only for the columns with nulls.
+    One aggregation gives null counts and extents for all columns; medians are
+    then computed only for the columns with nulls. NaN is missing, like null.
     """
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count_if(F.col(c).isNull()).alias(f"z{i}"),
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-        ]
+        x = quantiles.value(c)
+        aggs += [F.count_if(x.isNull()).alias(f"z{i}"), *quantiles.extent_aggs(x, f"c{i}")]
     row = df.agg(*aggs).first()
     nulls = {c: row[f"z{i}"] for i, c in enumerate(cols)}
     need = [c for c in cols if nulls[c] > 0]
-    extents = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols) if c in need}
+    extents = {c: quantiles.extent_of(row, f"c{i}") for i, c in enumerate(cols) if c in need}
     medians = quantiles.exact_medians(df, need, extents=extents, **(median_kw or {})) if need else {}
     return ImputeParams(nulls, {c: medians[c] for c in need if medians[c] is not None})
 
@@ -58,7 +55,8 @@ def apply_median_imputer(df: DataFrame, params: ImputeParams) -> DataFrame:
         if types[c] in ("int", "bigint", "smallint", "tinyint") and float(v) != int(v):
             out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(float(v))))
         else:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(types[c])))
+            known = F.nullif(F.col(c), F.lit(float("nan"))) if types[c] in ("double", "float") else F.col(c)
+            out = out.withColumn(c, F.coalesce(known, F.lit(v).cast(types[c])))
     return out
 
 

@@ -1,29 +1,28 @@
 """Encoding and features.
 
-Label codes are the sorted distinct labels numbered 0..n-1 (alphabetical,
-as the original's label encoder). Fitting is one distributed ``distinct``
-per column; the fitted dictionary is checked against ``max_labels`` before
-it is turned into a literal map (constant-folded into the projection, no
-join). Beyond that size, ``apply_codes_join`` joins against the code table
-instead, and Spark/AQE choose broadcast or shuffle from measured sizes.
+Label codes are the sorted distinct labels numbered 0..n-1 (alphabetical, as
+the original's label encoder). Fitting is one distributed ``distinct`` over
+all columns; the labels are sorted by range and numbered where they are, with
+an offset for each range, so no column's labels meet in one task. Codes are
+applied by a join with the stored code table at every size of dictionary;
+Spark broadcasts the table while its bytes are few.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_even
+from ..functions.numeric import rounder
+from ..schema import CATEGORICAL
 from . import joins
 
-MAX_LITERAL_LABELS = 10_000
 MISSING_LABEL = "nan"
 
 
-WINDOW_RANK_LIMIT = 1_000_000
-
-
 def _distinct_labels(df: DataFrame, cols: list[str], null_label: str | None) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
@@ -39,133 +38,99 @@ def _distinct_labels(df: DataFrame, cols: list[str], null_label: str | None) ->
     )
 
 
-def _window_codes(distinct: DataFrame) -> DataFrame:
-    w = Window.partitionBy("column_name").orderBy("label")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-
-
-def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL,
-                window_limit: int = WINDOW_RANK_LIMIT) -> DataFrame:
-    """D1 (+M2) as a DataFrame: ``(column_name, label, code)``.
+def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL) -> DataFrame:
+    """D1 (+M2) as a stored DataFrame: ``(column_name, label, code)``.
 
     Nulls become ``null_label`` first (the original turns a missing value
-    into the text ``nan``, which gets its own code). The distinct labels of
-    all columns come from one aggregation over exploded ``(column, label)``
-    pairs and are stored once. Up to ``window_limit`` distinct labels they
-    are ranked with a window per column; beyond that a column could not be
-    ranked in one task, so the labels are globally sorted (range-partitioned)
-    and numbered with ``zipWithIndex`` (per-partition counts, then offsets),
-    and each column's first index is subtracted.
+    into the text ``nan``, which gets its own code). Codes of a column begin
+    at 0; only the number of labels in each range meets in one task.
     """
-    distinct = joins.stored(_distinct_labels(df, cols, null_label))
-    if distinct.count() <= window_limit:
-        return _window_codes(distinct)
-    spark = df.sparkSession
-    numbered = distinct.orderBy("column_name", "label").rdd.zipWithIndex().map(
-        lambda p: (p[0][0], p[0][1], p[1]))
-    indexed = spark.createDataFrame(numbered, "column_name string, label string, idx long")
-    firsts = indexed.groupBy("column_name").agg(F.min("idx").alias("first")).collect()
-    offset = F.lit(0).cast("long")
-    for r in firsts:
-        offset = F.when(F.col("column_name") == r["column_name"], F.lit(r["first"])).otherwise(offset)
-    return indexed.select("column_name", "label", (F.col("idx") - offset).cast("int").alias("code"))
-
-
-def fit_label_codes(
-    df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL,
-    max_labels: int = MAX_LITERAL_LABELS,
-) -> dict[str, dict[str, int]]:
-    """``{column: {label: code}}``, size-checked before it reaches the driver."""
-    # One job; the window ranks at most max_labels + 1 labels (the limit is
-    # applied to the distinct labels before ranking) and only those rows
-    # reach the driver.
-    rows = _window_codes(_distinct_labels(df, cols, null_label).limit(max_labels + 1)).collect()
-    if len(rows) > max_labels:
-        raise ValueError(
-            f"more than max_labels={max_labels} labels; use label_codes() with apply_codes_join()"
-        )
+    ordered = _distinct_labels(df, cols, null_label).repartitionByRange("column_name", "label").sortWithinPartitions("column_name", "label")
+    placed = joins.stored(ordered.withColumn("at", F.monotonically_increasing_id()), "labels")
+    placed = placed.withColumn("range", F.shiftright("at", 33)).withColumn("within", F.col("at").bitwiseAND((1 << 33) - 1))
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
+    numbered = placed.join(ranges, "range").select("column_name", "label", (F.col("within") + F.col("offset")).alias("idx"))
+    firsts = numbered.groupBy("column_name").agg(F.min("idx").alias("first"))
+    return joins.stored(numbered.join(firsts, "column_name").select("column_name", "label", (F.col("idx") - F.col("first")).cast("int").alias("code")), "codes")
+
+
+def codes_to_maps(codes: DataFrame, cols: list[str]) -> dict[str, dict[str, int]]:
+    """``{column: {label: code}}`` for the report document, which holds every label."""
     maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-    for r in rows:
+    for r in codes.where(F.col("column_name").isin(*cols)).orderBy("column_name", "code").collect():
         maps[r["column_name"]][r["label"]] = r["code"]
-    return {c: dict(sorted(m.items(), key=lambda kv: kv[1])) for c, m in maps.items()}
+    return maps
+
+
+def fit_label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL) -> dict[str, dict[str, int]]:
+    """D1 as dictionaries, as the report document holds them."""
+    return codes_to_maps(label_codes(df, cols, null_label), cols)
+
 
+def maps_to_codes(spark: SparkSession, maps: dict[str, dict[str, int] | None]) -> DataFrame:
+    """The code table of a report's dictionaries, which the report holds whole.
+
+    It stands in the plan as one literal row, so its size is known to be small.
+    """
+    rows = [{"column_name": c, "label": label, "code": int(code)} for c, m in maps.items() for label, code in (m or {}).items()]
+    kind = "array<struct<column_name: string, label: string, code: int>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("e")).select("e.*")
 
-def _map_literal(mapping: dict[str, int]) -> Column:
-    if not mapping:
-        return F.create_map().cast("map<string,int>")
-    args = []
-    for k, v in mapping.items():
-        args += [F.lit(k), F.lit(int(v))]
-    return F.create_map(*args)
 
+def apply_codes(df: DataFrame, codes: DataFrame, col: str, out_col: str, default: int | None = None,
+                upper: bool = False, null_label: str | None = None) -> DataFrame:
+    """M5: a left join on the label, with an optional default for unknown ones.
 
-def code_expr(c: str | Column, mapping: dict[str, int], upper: bool = False,
-              default: int | None = None, null_label: str | None = None) -> Column:
-    """M5: literal map lookup with an optional default for unknown labels."""
-    x = F.col(c) if isinstance(c, str) else c
-    x = x.cast("string")
+    ``col`` names the column of ``df``; ``codes`` holds its ``label, code``.
+    """
+    key = F.col(col).cast("string")
     if null_label is not None:
-        x = F.coalesce(x, F.lit(null_label))
-    if upper:
-        x = F.upper(x)
-    looked = F.try_element_at(_map_literal(mapping), x)
-    return F.coalesce(looked, F.lit(default)) if default is not None else looked
+        key = F.coalesce(key, F.lit(null_label))
+    table = codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
+    joined = df.join(table, (F.upper(key) if upper else key) == F.col("__label"), "left")
+    code = F.coalesce("__code", F.lit(default)) if default is not None else F.col("__code")
+    return joined.withColumn(out_col, code).drop("__label", "__code")
 
 
-def apply_training_codes(df: DataFrame, maps: dict[str, dict[str, int]], suffix: str = "",
+def apply_training_codes(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "",
                          null_label: str | None = MISSING_LABEL) -> DataFrame:
     """Replace each label by its code (null -> ``nan`` label first)."""
     out = df
-    for c, m in maps.items():
-        out = out.withColumn(c + suffix, code_expr(c, m, null_label=null_label))
+    for c in cols:
+        out = apply_codes(out, codes.where(F.col("column_name") == c), c, c + suffix, null_label=null_label)
     return out
 
 
 def apply_scoring_codes(df: DataFrame, maps: dict[str, dict[str, int]], suffix: str = "",
-                        columns: dict[str, str] | None = None) -> DataFrame:
+                        columns: dict[str, str] | None = None, cols: list[str] = CATEGORICAL) -> DataFrame:
     """D3: upper-case first; an unknown label, a null or a missing map gives code 0.
 
     ``columns`` maps a map name to the input column holding it (for example
-    ``{"default_flag": "default"}`` for the scoring request schema); the
-    output column is always ``<map name><suffix>``.
+    ``{"default_flag": "default"}`` for the scoring request schema); every
+    column of ``cols`` has its output ``<name><suffix>``, also when the report
+    holds no map for it.
     """
+    codes = maps_to_codes(df.sparkSession, maps)
     out = df
-    columns = columns or {}
-    for name, m in maps.items():
-        src = columns.get(name, name)
-        out = out.withColumn(name + suffix, code_expr(src, m or {}, upper=True, default=0))
+    for name in cols:
+        out = apply_codes(out, codes.where(F.col("column_name") == name), (columns or {}).get(name, name), name + suffix, default=0, upper=True)
     return out
 
 
-def apply_codes_join(df: DataFrame, codes: DataFrame, col: str, out_col: str,
-                     default: int | None = None, upper: bool = False) -> DataFrame:
-    """D3 for dictionaries too large for a literal map: a left join on the label.
-
-    The code table is stored and counted first; it is broadcast only when
-    its size is under the bound (``joins.join_bounded``), else shuffled.
-    """
-    key = F.upper(F.col(col).cast("string")) if upper else F.col(col).cast("string")
-    table = codes.where(F.col("column_name") == col).select(
-        F.col("label").alias("_label"), F.col("code").alias(out_col)
-    )
-    joined = joins.join_bounded(df.withColumn("_label", key), table, "_label", "left").drop("_label")
-    if default is not None:
-        joined = joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default)))
-    return joined
-
-
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataFrame:
     """The feature vector in a fixed column order."""
     return VectorAssembler(inputCols=cols, outputCol=out_col, handleInvalid="error").transform(df)
 
 
 def derive_ratio(df: DataFrame, amount: str = "amount", income: str = "income",
-                 out_col: str = "percent_income", places: int = 2) -> DataFrame:
+                 out_col: str = "percent_income", places: int = 2, rounding: str = "even") -> DataFrame:
     """``out = round(amount / income, 2)`` when both are present and income > 0.
 
     Otherwise the existing value of ``out_col`` (or null) is kept.
     """
     a, i = F.col(amount), F.col(income)
     keep = F.col(out_col) if out_col in df.columns else F.lit(None).cast("double")
-    ratio = round_even(F.try_divide(a.cast("double"), i), places)
+    ratio = rounder(rounding)(F.try_divide(a.cast("double"), i), places)
     return df.withColumn(out_col, F.when(a.isNotNull() & (i > 0), ratio).otherwise(keep))

@@ -3,6 +3,8 @@
 One aggregation counts every cell of the confusion matrix (``count_if`` per
 cell: a fixed number of counters per map task, then one tiny merge). Zero
 cells exist by construction, so no join against a class table is needed.
+Rows whose label or prediction is null or not one of the classes are counted
+too, in ``cm_other``: they are test rows that are not right.
 Accuracy, precision, recall, F1, support and the averages are column
 arithmetic on that single row.
 """
@@ -16,19 +18,23 @@ from ..functions.numeric import rounder
 
 
 def confusion_wide(df: DataFrame, label: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """One row with ``cm_<actual>_<predicted>`` for every class pair."""
+    """One row with ``cm_<actual>_<predicted>`` for every class pair, and ``cm_other``."""
     a, p = F.col(label), F.col(pred)
+    known = F.coalesce(a.isin(*classes) & p.isin(*classes), F.lit(False))
     return df.agg(*[
         F.count_if((a == F.lit(i)) & (p == F.lit(j))).alias(f"cm_{i}_{j}")
         for i in classes for j in classes
-    ])
+    ], F.count_if(~known).alias("cm_other"))
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """H2/H5: long form ``(actual, predicted, count)``; absent cells count 0."""
+    """H2/H5: long form ``(actual, predicted, count)``; absent cells count 0.
+
+    Rows outside the classes, if any, have a row without actual and predicted."""
     wide = confusion_wide(df, label, pred, classes)
     cells = ", ".join(f"{i}, {j}, cm_{i}_{j}" for i in classes for j in classes)
-    return wide.selectExpr(f"stack({len(classes) ** 2}, {cells}) AS (actual, predicted, count)")
+    out = wide.selectExpr(f"stack({len(classes) ** 2 + 1}, {cells}, null, null, cm_other) AS (actual, predicted, count)")
+    return out.where("actual is not null or count > 0")
 
 
 def matrix_nested(wide: DataFrame, classes=(0, 1)) -> Column:
@@ -37,11 +43,10 @@ def matrix_nested(wide: DataFrame, classes=(0, 1)) -> Column:
 
 
 def _metrics(classes):
-    total = None
+    total = F.col("cm_other")
     for i in classes:
         for j in classes:
-            c = F.col(f"cm_{i}_{j}")
-            total = c if total is None else total + c
+            total = total + F.col(f"cm_{i}_{j}")
     out = {}
     for k in classes:
         tp = F.col(f"cm_{k}_{k}")

@@ -1,35 +1,31 @@
-"""Joins against a derived table whose size is only known at run time.
-
-``join_bounded`` computes the small side once and stores it (``checkpoint``
-into the shared checkpoint folder when the session names one: lineage is
-cut and the rows survive executor loss; otherwise ``persist``). It then
-counts it: at most ``max_rows`` rows -> broadcast hash join (the large side
-is never shuffled); more -> an ordinary shuffle join, with AQE's skew
-handling for hot keys. A broadcast is therefore only ever made of a table
-whose size was checked.
+"""Small derived tables: computed once, their size known.
+
+``stored`` writes a frame as Parquet in the shared checkpoint folder and reads
+it back: lineage is cut, the rows survive a lost executor, and Spark knows how
+many bytes the table has. A join with it is an ordinary join: Spark broadcasts
+the table while its bytes are under ``spark.sql.autoBroadcastJoinThreshold``
+and shuffles both sides beyond that, splitting hot keys (AQE). Where the
+session names no folder (a local run), the frame is cached instead, which
+gives Spark its size as well.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+from ..session import CHECKPOINT_CONF, scratch_path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Compute once and keep (eagerly): reliable checkpoint if a folder is set, else persist."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "derived") -> DataFrame:
+    """Compute once and keep (eagerly)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None):
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     kept.count()
     return kept
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "left",
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    kept = stored(small)
-    if kept.count() <= max_rows:
-        return big.join(F.broadcast(kept), on, how)
-    return big.join(kept, on, how)

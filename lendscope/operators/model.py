@@ -30,7 +30,7 @@ class ForestParams:
     min_instances_per_node: int = FOREST_MIN_LEAF
     seed: int = FOREST_SEED
     features_per_split: str = "3"
-    max_bins: int = 32
+    max_bins: int = 64
     subsampling_rate: float = 1.0
     bootstrap: bool = True
     checkpoint_interval: int = 10
@@ -77,7 +77,8 @@ def feature_importance(spark: SparkSession, model: RandomForestClassificationMod
 
 def scoring_pipeline(model: RandomForestClassificationModel, feature_cols: list[str]) -> PipelineModel:
     """Assembler + forest as one persistable unit."""
-    assembler = VectorAssembler(inputCols=feature_cols, outputCol=model.getFeaturesCol())
+    # A request without a value is refused by the rules; the trees read its gap as NaN.
+    assembler = VectorAssembler(inputCols=feature_cols, outputCol=model.getFeaturesCol(), handleInvalid="keep")
     return PipelineModel([assembler, model])
 
 

@@ -7,7 +7,7 @@ anything is shuffled. Outputs are small (one row per group or per bin).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounder
@@ -29,9 +29,13 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Null count per column in one pass, long form ``(column_name, null_count)``."""
+    """Null count per column in one pass, long form ``(column_name, null_count)``.
+
+    NaN is missing, like null."""
     cols = cols or df.columns
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    types = dict(df.dtypes)
+    missing = {c: F.col(c).isNull() | F.isnan(c) if types[c] in ("double", "float") else F.col(c).isNull() for c in cols}
+    wide = df.agg(*[F.count_if(missing[c]).alias(c) for c in cols])
     return wide.unpivot([], cols, "column_name", "null_count")
 
 
@@ -49,6 +53,13 @@ def order_counts(counts: DataFrame, key: str, count_col: str = "count") -> DataF
     return counts.orderBy(F.desc(count_col), F.asc(key))
 
 
+def ranked_counts(counts: DataFrame, key: str, count_col: str = "count") -> DataFrame:
+    """J2 with its order as a column: rank 1 is the largest count. One row per
+    value is ranked, so use it on columns whose values are few."""
+    w = Window.orderBy(F.desc(count_col), F.asc(key))
+    return order_counts(counts.withColumn("rank", F.row_number().over(w)), key, count_col)
+
+
 def value_counts_multi(df: DataFrame, cols: list[str]) -> DataFrame:
     """E5 for several columns in one pass (GROUPING SETS).
 

@@ -1,17 +1,20 @@
 """Exact medians without holding a whole column in one task.
 
 Spark's built-in ``median`` is exact, but its final merge keeps every
-distinct value of the column in one task's memory. That is fine for a
-bounded input and wrong for a 100 TB table. ``exact_medians`` therefore:
-
-1. reads ``count / min / max`` of every column in one aggregation;
-2. if the largest count is at most ``inmemory_limit`` rows, uses the
-   built-in ``median`` (the size check is the bound);
-3. otherwise narrows the value range around the wanted ranks: each round
-   is one distributed ``groupBy(column, bucket)`` with ``count / min / max``
+distinct value of the column in one task's memory. ``exact_medians`` instead
+
+1. reads, in one aggregation, how many values each column has, how many of
+   them are infinite on either side, and the smallest and largest finite one;
+2. narrows the value range around the wanted ranks: each round is one
+   distributed ``groupBy(column, bucket)`` with ``count / min / max``
    (map-side partial aggregation, at most ``buckets`` rows per column come
-   back), until the bucket holding the rank has one value or at most
-   ``collect_limit`` rows, whose distinct values are then counted exactly.
+   back);
+3. as soon as a range holds at most ``collect_limit`` rows, counts its
+   distinct values and picks the rank.
+
+Every input takes this path. One rule for special values: NaN is missing,
+like null; infinities are values below and above all others. A round always
+makes a range smaller: its two ends fall into different buckets.
 
 Every column is handled in the same scans. The median of an even count is
 ``0.5 * lower + 0.5 * upper``, the formula Spark's ``median`` uses.
@@ -25,96 +28,110 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_INMEMORY_LIMIT = 1_000_000
 DEFAULT_BUCKETS = 2048
-DEFAULT_COLLECT_LIMIT = 200_000
+DEFAULT_COLLECT_LIMIT = 50_000
 
 
 @dataclass
 class _Target:
     key: str      # column name
     rank: int     # 0-based rank wanted
-    lo: float
-    hi: float
+    lo: float | None
+    hi: float | None
     below: int    # number of values < lo
+    n: int        # number of values in [lo, hi]
     value: float | None = None
 
 
-def _value_exprs(df: DataFrame, cols, where) -> dict[str, Column]:
-    exprs = {}
-    for c in cols:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        cond = (where or {}).get(c)
-        exprs[c] = F.when(cond, x) if cond is not None else x
-    return exprs
+def value(c: str) -> Column:
+    """A column as double, NaN as null."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _value_exprs(cols, where) -> dict[str, Column]:
+    return {c: value(c) if (where or {}).get(c) is None else F.when(where[c], value(c)) for c in cols}
+
+
+@dataclass
+class Extent:
+    """Values of a column: how many, how many infinite ones, the finite range."""
+
+    n: int
+    n_low: int
+    n_high: int
+    lo: float | None
+    hi: float | None
+
+
+def extent_aggs(x: Column, prefix: str) -> list[Column]:
+    """The aggregates of an ``Extent``, to be put into any aggregation."""
+    finite = F.when(F.abs(x) < F.lit(math.inf), x)
+    return [F.count(x).alias(f"{prefix}_n"), F.count_if(x == -math.inf).alias(f"{prefix}_n_low"), F.count_if(x == math.inf).alias(f"{prefix}_n_high"),
+            F.min(finite).alias(f"{prefix}_lo"), F.max(finite).alias(f"{prefix}_hi")]
+
 
+def extent_of(row, prefix: str) -> Extent:
+    return Extent(*(row[f"{prefix}_{k}"] for k in ("n", "n_low", "n_high", "lo", "hi")))
 
-def column_extents(df: DataFrame, cols, where=None) -> dict[str, tuple[int, float, float]]:
-    """``{col: (count, min, max)}`` of the non-null, non-NaN values, one pass."""
-    exprs = _value_exprs(df, cols, where)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(exprs[c]).alias(f"n{i}"), F.min(exprs[c]).alias(f"lo{i}"),
-                 F.max(exprs[c]).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+
+def column_extents(df: DataFrame, cols, where=None) -> dict[str, Extent]:
+    """One pass over the non-null, non-NaN values of all columns."""
+    exprs = _value_exprs(cols, where)
+    row = df.agg(*[a for i, c in enumerate(cols) for a in extent_aggs(exprs[c], f"c{i}")]).first()
+    return {c: extent_of(row, f"c{i}") for i, c in enumerate(cols)}
 
 
 def exact_medians(
     df: DataFrame,
     cols: list[str],
     where: dict[str, Column] | None = None,
-    extents: dict[str, tuple[int, float, float]] | None = None,
-    inmemory_limit: int = DEFAULT_INMEMORY_LIMIT,
+    extents: dict[str, Extent] | None = None,
     buckets: int = DEFAULT_BUCKETS,
     collect_limit: int = DEFAULT_COLLECT_LIMIT,
 ) -> dict[str, float | None]:
     """Exact median of each column (nulls and NaN skipped); None for no values.
 
     ``where`` maps a column to a condition: only rows meeting it count (E15).
+    ``extents`` may come from an earlier aggregation over the same rows.
     """
     cols = list(cols)
     if not cols:
         return {}
-    exprs = _value_exprs(df, cols, where)
+    exprs = _value_exprs(cols, where)
     ext = extents or column_extents(df, cols, where)
-    result: dict[str, float | None] = {c: None for c in cols}
-    live = [c for c in cols if ext[c][0]]
-    if not live:
-        return result
-    if max(ext[c][0] for c in live) <= inmemory_limit:
-        row = df.agg(*[F.median(exprs[c]).alias(f"m{i}") for i, c in enumerate(live)]).first()
-        for i, c in enumerate(live):
-            result[c] = row[f"m{i}"]
-        return result
-
     targets: list[_Target] = []
-    for c in live:
-        n, lo, hi = ext[c]
-        for r in sorted({(n - 1) // 2, n // 2}):
-            targets.append(_Target(c, r, lo, hi, 0))
+    for c in cols:
+        e = ext[c]
+        for r in sorted({(e.n - 1) // 2, e.n // 2}) if e.n else []:
+            t = _Target(c, r, e.lo, e.hi, e.n_low, e.n - e.n_low - e.n_high)
+            if r < e.n_low:
+                t.value = -math.inf
+            elif r >= e.n - e.n_high:
+                t.value = math.inf
+            targets.append(t)
     _select_ranks(df, exprs, targets, buckets, collect_limit)
-    by_key: dict[str, list[_Target]] = {}
-    for t in targets:
-        by_key.setdefault(t.key, []).append(t)
-    for c, ts in by_key.items():
-        ts.sort(key=lambda t: t.rank)
-        lower, upper = ts[0].value, ts[-1].value
-        result[c] = lower if len(ts) == 1 else 0.5 * lower + 0.5 * upper
+    result: dict[str, float | None] = {c: None for c in cols}
+    for c in cols:
+        ts = sorted((t for t in targets if t.key == c), key=lambda t: t.rank)
+        if ts:
+            lower, upper = ts[0].value, ts[-1].value
+            result[c] = lower if len(ts) == 1 else 0.5 * lower + 0.5 * upper
     return result
 
 
 def _select_ranks(df, exprs, targets, buckets, collect_limit):
     """Narrow each target's [lo, hi] until its rank's value is known."""
-    pending = [t for t in targets if t.value is None]
-    while pending:
-        for t in pending:
-            if t.lo == t.hi:
+    while True:
+        for t in targets:
+            if t.value is None and t.lo == t.hi:
                 t.value = t.lo
+        pending = [t for t in targets if t.value is None]
+        if few := [t for t in pending if t.n <= collect_limit]:
+            _finish_exact(df, exprs, few)
         pending = [t for t in pending if t.value is None]
         if not pending:
-            break
+            return
         # One scan for all pending targets. Targets of the same column whose
         # ranges coincide (the two middle ranks, usually) share one histogram,
         # and a row only emits entries for the ranges it falls in.
@@ -124,10 +141,9 @@ def _select_ranks(df, exprs, targets, buckets, collect_limit):
         items = []
         for (key, lo, hi), i in ranges.items():
             x = exprs[key]
-            # Halved operands keep ``hi - lo`` finite for any pair of doubles.
-            half_width = hi / 2 - lo / 2
-            b = F.least(F.lit(buckets - 1),
-                        F.floor((x / 2 - F.lit(lo / 2)) / F.lit(half_width) * buckets))
+            # Halved operands keep the width finite; only then, as halves of the smallest numbers vanish.
+            half = 1.0 if math.isfinite(hi - lo) else 0.5
+            b = F.least(F.lit(buckets - 1), F.floor((x * half - F.lit(lo * half)) / F.lit(hi * half - lo * half) * buckets))
             in_range = x.between(F.lit(lo), F.lit(hi))
             items.append(F.when(in_range, F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
         hist = (
@@ -136,36 +152,20 @@ def _select_ranks(df, exprs, targets, buckets, collect_limit):
             .agg(F.count("*").alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi"))
             .collect()
         )
-        per_range: dict[int, list] = {}
-        for r in hist:
-            per_range.setdefault(r["t"], []).append(r)
-        per_t = {i: per_range.get(ranges[(t.key, t.lo, t.hi)], []) for i, t in enumerate(pending)}
-        exact = []
-        for i, t in enumerate(pending):
-            rows = sorted(per_t.get(i, []), key=lambda r: r["b"])
+        for t in pending:
             seen = t.below
-            for r in rows:
+            for r in sorted((r for r in hist if r["t"] == ranges[(t.key, t.lo, t.hi)]), key=lambda r: r["b"]):
                 if seen + r["n"] > t.rank:
-                    stalled = r["lo"] == t.lo and r["hi"] == t.hi
-                    t.lo, t.hi, t.below = r["lo"], r["hi"], seen
-                    if t.lo != t.hi and (r["n"] <= collect_limit or stalled):
-                        exact.append(t)
+                    t.lo, t.hi, t.below, t.n = r["lo"], r["hi"], seen, r["n"]
                     break
                 seen += r["n"]
             else:  # pragma: no cover - counts always cover the rank
                 raise RuntimeError(f"rank {t.rank} of {t.key} not found")
-        if exact:
-            _finish_exact(df, exprs, exact)
-        pending = [t for t in pending if t.value is None]
 
 
 def _finish_exact(df, exprs, targets):
-    """Count the distinct values inside each small final range, then pick the rank.
-
-    The range holds at most ``collect_limit`` rows (or, when buckets cannot
-    split it further, only a handful of adjacent doubles), so its distinct
-    values are bounded.
-    """
+    """Count the distinct values inside each small final range (at most
+    ``collect_limit`` rows), then pick the rank."""
     items = []
     for i, t in enumerate(targets):
         x = exprs[t.key]
@@ -193,6 +193,3 @@ def exact_median(df: DataFrame, col: str, where: Column | None = None, **kw) ->
     """One column's exact median, optionally over the rows meeting ``where``."""
     return exact_medians(df, [col], where={col: where} if where is not None else None, **kw)[col]
 
-
-def is_finite(v) -> bool:
-    return v is not None and not (isinstance(v, float) and math.isnan(v))

@@ -1,17 +1,20 @@
 """Reproducible train/test splits.
 
-Row order never matters: a row's side depends only on ``md5(seed:id)`` and
-its class, so the split is the same after any repartitioning or retry.
+Row order never matters: a row's side depends only on its class and its key,
+``md5(seed:id)``, so the split is the same after any repartitioning or retry.
+A row without an id has the digest of its columns in place of the id, and
+rows that share an id are told apart by that digest, so no row is left out.
 
 * ``hash_split`` (P2): approximate sizes, a pure projection (no shuffle).
 * ``stratified_split`` (P1): exact sizes per class, as a stratified
   sampler allocates them. For each class the test side is the ``t_c`` rows
-  with the smallest hash key. The ``t_c``-th key is found by a radix
-  selection on hex digits of the hash: each level is one distributed
-  ``groupBy(class, prefix)`` count (at most 16^digits rows per class come
-  back), until the bucket holding the boundary is small; only that bucket
-  is ranked. The final assignment is a projection with literal thresholds,
-  so no class, however large, is ever gathered into one task.
+  with the smallest keys. The boundary is found by a radix selection on the
+  key's hex digits: each level is one distributed ``groupBy(class, prefix)``
+  count within each class's prefix, until the prefix holds one row. All
+  per-class numbers stay in small tables that are joined, so neither the
+  number of classes nor the size of one is bounded. Rows that are equal in
+  every column can't be told apart and go to the same side, whichever is
+  nearer to the exact size.
 """
 
 from __future__ import annotations
@@ -21,12 +24,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_COL = "_split_hash"
+from . import joins
 
+ID_DIGITS = 32  # hex digits of one md5; the row's digest gives as many more
 
-def split_hash(id_col: str, seed: int) -> Column:
-    """``md5('<seed>:<id>')`` as 32 lower-case hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+
+def row_digest(df: DataFrame) -> Column:
+    """md5 of all columns of a row."""
+    return F.md5(F.to_json(F.struct(*df.columns)))
+
+
+def split_hash(df: DataFrame, id_col: str, seed: int) -> Column:
+    """``md5('<seed>:<id>')`` as 32 lower-case hex digits; never null."""
+    key = F.coalesce(F.col(id_col).cast("string"), row_digest(df))
+    return F.md5(F.concat(F.lit(f"{seed}:"), key))
 
 
 def hash_threshold(fraction: float) -> str:
@@ -37,136 +48,75 @@ def hash_threshold(fraction: float) -> str:
 def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: int = 42,
                out_col: str = "is_test") -> DataFrame:
     """``is_test`` when the hash prefix is below the fraction's threshold."""
-    prefix = F.substring(split_hash(id_col, seed), 1, 8)
+    prefix = F.substring(split_hash(df, id_col, seed), 1, 8)
     return df.withColumn(out_col, prefix < F.lit(hash_threshold(test_fraction)))
 
 
-def allocate(class_counts: dict, test_fraction: float) -> dict:
-    """Exact test rows per class, as a stratified shuffle split allocates them.
+def allocate(sizes: DataFrame, test_fraction: float) -> DataFrame:
+    """``(c, n, want)``: exact test rows per class, as a stratified shuffle split allocates them.
 
     ``n_test = ceil(f * n)``. The training rows ``n - n_test`` are shared over
     classes by largest remainder (ties: smaller class label first); each
-    class's test rows are what is left of it.
-    """
-    n = sum(class_counts.values())
-    if n == 0:
-        return {c: 0 for c in class_counts}
-    n_test = math.ceil(test_fraction * n)
-    n_train = n - n_test
-    keys = sorted(class_counts)
-    floors = {c: (n_train * class_counts[c]) // n for c in keys}
-    rems = {c: (n_train * class_counts[c]) % n for c in keys}
-    extra = n_train - sum(floors.values())
-    for c in sorted(keys, key=lambda c: (-rems[c], c))[:extra]:
-        floors[c] += 1
-    return {c: class_counts[c] - floors[c] for c in keys}
-
-
-def _histogram(df: DataFrame, label_col: str, state: dict, digits: int, cap: int) -> dict:
-    """One distributed count per (class, next hex digits) inside each class's prefix.
-
-    ``state`` maps a class to its fixed prefix; ``None`` as the only key means
-    "every class, empty prefix" (the first level, before classes are known).
-    At most ``cap`` rows come back (bounded by classes x 16^digits).
-    """
-    h, lab = F.col(HASH_COL), F.col(label_col)
-    if None in state:
-        chunk = F.substring(h, 1, digits)
-    else:
-        chunk = None
-        for c, s in state.items():
-            cond = (lab == F.lit(c)) & F.startswith(h, F.lit(s["prefix"]))
-            part = F.substring(h, 1, len(s["prefix"]) + digits)
-            chunk = F.when(cond, part) if chunk is None else chunk.when(cond, part)
-    rows = (
-        df.select(lab.alias("c"), chunk.alias("p"))
-        .where(F.col("p").isNotNull() & F.col("c").isNotNull())
-        .groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"))
-        .limit(cap + 1)
-        .collect()
-    )
-    if len(rows) > cap:
-        raise ValueError(f"too many classes in {label_col} for an exact stratified split")
-    per_class: dict = {}
-    for r in rows:
-        per_class.setdefault(r["c"], []).append((r["p"], r["n"]))
-    return per_class
-
-
-def _boundaries(df: DataFrame, id_col: str, label_col: str, test_fraction: float,
-                digits: int, local_limit: int, max_classes: int) -> dict:
-    """Per class: the (hash, id) of its t_c-th smallest key (1-based), t_c from ``allocate``.
-
-    The first histogram also gives the class sizes, so the allocation needs
-    no separate pass.
+    class's test rows are what is left of it. ``sizes`` has ``c`` and ``n``.
     """
-    cap = max_classes * 16 ** digits
-    per_class = _histogram(df, label_col, {None: None}, digits, cap)
-    counts = {c: sum(n for _, n in items) for c, items in per_class.items()}
-    targets = allocate(counts, test_fraction)
-    state = {c: {"prefix": "", "below": 0} for c, t in targets.items() if t > 0}
-    result = {}
-    h, lab = F.col(HASH_COL), F.col(label_col)
-    while state:
-        finish = {}
-        for c, s in list(state.items()):
-            want = targets[c]
-            seen = s["below"]
-            for p, n in sorted(per_class.get(c, [])):
-                if seen + n >= want:
-                    s["prefix"], s["below"] = p, seen
-                    if n <= local_limit or len(p) >= 32:
-                        finish[c] = s
-                    break
-                seen += n
-        if finish:
-            cond = None
-            for c, s in finish.items():
-                one = (lab == F.lit(c)) & F.startswith(h, F.lit(s["prefix"]))
-                cond = one if cond is None else cond | one
-            # Only the boundary buckets (each at most ``local_limit`` rows) are ranked.
-            w = Window.partitionBy(label_col).orderBy(HASH_COL, id_col)
-            ranked = (
-                df.where(cond).select(label_col, HASH_COL, id_col)
-                .withColumn("_rn", F.row_number().over(w))
-            )
-            pick = None
-            for c, s in finish.items():
-                one = (lab == F.lit(c)) & (F.col("_rn") == targets[c] - s["below"])
-                pick = one if pick is None else pick | one
-            for r in ranked.where(pick).collect():
-                result[r[label_col]] = (r[HASH_COL], r[id_col])
-            for c in finish:
-                del state[c]
-        if state:
-            per_class = _histogram(df, label_col, state, digits, cap)
-    return result
-
-
-def stratified_split(
-    df: DataFrame,
-    id_col: str,
-    label_col: str,
-    test_fraction: float = 0.2,
-    seed: int = 42,
-    out_col: str = "is_test",
-    digits: int = 3,
-    local_limit: int = 200_000,
-    max_classes: int = 1_000,
-) -> DataFrame:
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    n_train = total - math.ceil(test_fraction * total)
+    share = F.col("n").cast("decimal(38,0)") * F.lit(n_train)
+    parts = sizes.where("n > 0").select(
+        "c", "n", F.floor(share / max(total, 1)).cast("long").alias("floor"), (share % max(total, 1)).alias("rest"))
+    extra = n_train - (parts.agg(F.sum("floor")).first()[0] or 0)
+    more = parts.orderBy(F.desc("rest"), "c").limit(extra).select(F.col("c").alias("c_more"), F.lit(1).alias("more"))
+    return parts.join(more, parts.c == more.c_more, "left").select(
+        "c", "n", (F.col("n") - F.col("floor") - F.coalesce("more", F.lit(0))).alias("want"))
+
+
+def _deeper(hist: DataFrame, state: DataFrame) -> DataFrame:
+    """From counts per (c, p) and what each class still wants: the part with its
+    boundary, the rows in it, and how many of them are wanted."""
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("p"))  # at most 16^digits parts of a class
+    found = hist.join(state.select(F.col("c").alias("c_state"), "want"), F.col("c") == F.col("c_state")).withColumn("upto", upto)
+    first = found.where("upto >= want").groupBy("c").agg(F.min(F.struct("p", "n", "upto", "want")).alias("f"))
+    return first.select("c", F.col("f.p").alias("p"), F.col("f.n").alias("n"), (F.col("f.want") - F.col("f.upto") + F.col("f.n")).alias("want"))
+
+
+def _thresholds(df: DataFrame, id_col: str, label_col: str, test_fraction: float, seed: int, digits: int) -> DataFrame:
+    """``(c, p, n, want)`` for each class with test rows: keys that begin below
+    ``p`` are test rows, and those that begin with it when most of them are wanted."""
+    short = split_hash(df, id_col, seed)
+    rows = df.select(F.col(label_col).alias("c"), short.alias("key")).where("c is not null")
+    hist = joins.stored(rows.groupBy("c", F.substring("key", 1, digits).alias("p")).agg(F.count("*").alias("n")))
+    wanted = joins.stored(allocate(hist.groupBy("c").agg(F.sum("n").alias("n")), test_fraction).where("want > 0"))
+    state = joins.stored(_deeper(hist, wanted))
+    length = digits
+    settled = (F.col("n") == 1) | (F.col("n") == F.col("want"))
+    out = state.where(settled)
+    while length < 2 * ID_DIGITS and not (live := state.where(~settled)).isEmpty():
+        length = min(length + digits, ID_DIGITS if length < ID_DIGITS else 2 * ID_DIGITS)
+        if length > ID_DIGITS:
+            rows = df.select(F.col(label_col).alias("c"), F.concat(short, row_digest(df)).alias("key"))
+        inside = rows.join(live.select(F.col("c").alias("c_state"), F.col("p").alias("p_state")), F.col("c") == F.col("c_state"))
+        inside = inside.where(F.startswith("key", F.col("p_state")))
+        state = joins.stored(_deeper(inside.groupBy("c", F.substring("key", 1, length).alias("p")).agg(F.count("*").alias("n")), live))
+        out = out.unionByName(state.where(settled))
+    return joins.stored(out.unionByName(state.where(~settled)))
+
+
+def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction: float = 0.2, seed: int = 42,
+                     out_col: str = "is_test", digits: int = 3) -> DataFrame:
     """Exact stratified split; adds boolean ``out_col``.
 
-    ``id_col`` must be a key (unique per row); rows with a null class are
-    never in the test side. In practice two small aggregations and one
-    ranking of a bounded bucket per class find the boundaries.
+    Rows with a null class are never in the test side. The thresholds, one
+    row per class, are joined: Spark broadcasts them while they are small.
     """
-    hashed = df.withColumn(HASH_COL, split_hash(id_col, seed))
-    bounds = _boundaries(hashed, id_col, label_col, test_fraction, digits, local_limit, max_classes)
-    is_test = F.lit(False)
-    for c, (bh, bid) in bounds.items():
-        below = (F.col(HASH_COL) < F.lit(bh)) | ((F.col(HASH_COL) == F.lit(bh)) & (F.col(id_col) <= F.lit(bid)))
-        is_test = F.when(F.col(label_col) == F.lit(c), below).otherwise(is_test)
-    return hashed.withColumn(out_col, is_test).drop(HASH_COL)
+    bounds = _thresholds(df, id_col, label_col, test_fraction, seed, digits)
+    long = not bounds.where(F.length("p") > ID_DIGITS).isEmpty()
+    short = split_hash(df, id_col, seed)
+    keyed = df.withColumn("__split_key", F.concat(short, row_digest(df)) if long else short)
+    bounds = bounds.select(F.col("c").alias("__split_c"), F.col("p").alias("__split_p"), (2 * F.col("want") >= F.col("n")).alias("__split_in"))
+    own = F.substring(F.col("__split_key"), F.lit(1), F.length("__split_p"))
+    test = (own < F.col("__split_p")) | ((own == F.col("__split_p")) & F.col("__split_in"))
+    joined = keyed.join(bounds, F.col(label_col) == F.col("__split_c"), "left")
+    return joined.withColumn(out_col, F.coalesce(test, F.lit(False))).drop("__split_key", "__split_c", "__split_p", "__split_in")
 
 
 def split_sizes(df: DataFrame, label_col: str, flag_col: str = "is_test") -> DataFrame:

@@ -1,8 +1,9 @@
 """Model-backed queries: the forest is trained by Spark ML on the exact split.
 
-These have no SQL oracle (tree growing is not SQL); the driver checks them on
-rows. One training run per ``sf_dir`` is kept in this process, as the
-original service keeps its model loaded, so the four queries share it.
+Growing trees is not SQL, so what the forest says is checked on rows; what
+surrounds it (validation, factors, the evaluated rows, what must hold of every
+record) has SQL. One training run per session and folder is kept, as the
+original service keeps its model loaded, so the queries share it.
 """
 
 from __future__ import annotations
@@ -11,31 +12,32 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, quality, score
 from ..schema import ID, TARGET
+from ..session import scratch_path
 from ..sources.tables import applications
-from ..session import CHECKPOINT_CONF, checkpoint_dir
-from . import training
+from ..streaming import scoring as stream
+from . import catalog, training
 
 _TRAINED: dict = {}
 
 Q: dict = {}
+SQL: dict = {}
 
 
 def trained(spark, sf_dir, cfg: training.TrainConfig | None = None) -> training.TrainResult:
-    if spark.sparkContext.master.startswith("local"):
-        # Local runs (the driver's check, tests) may have no checkpoint folder;
-        # a cluster names a shared one in spark.checkpoint.dir, which wins.
-        import tempfile
-        if not spark.sparkContext.getCheckpointDir() and not spark.conf.get(CHECKPOINT_CONF, None):
-            checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="lendscope-ckpt-"))
-    key = (sf_dir, repr(cfg))
+    """One training run for each session, folder and configuration."""
+    key = (spark.sparkContext.applicationId, sf_dir, repr(cfg))
     if key not in _TRAINED:
+        for old in [k for k in _TRAINED if k[0] != key[0]]:  # frames of sessions that have ended
+            del _TRAINED[old]
         _TRAINED[key] = training.train(spark, applications(spark, sf_dir), cfg)
     return _TRAINED[key]
 
 
-def _register(name):
+def _register(name, sql=None):
     def deco(fn):
         Q[name] = fn
+        if sql is not None:
+            SQL[name] = sql
         return fn
     return deco
 
@@ -68,19 +70,64 @@ def q_rf_confusion(spark, sf_dir):
 
 @_register("rf_score")
 def q_rf_score(spark, sf_dir):
-    """I11 over every application: decision, confidence, risk level and factors (as JSON)."""
+    """I11 over every application: decision, confidence, risk level and factors (as JSON).
+
+    One pass; rows that the service would refuse keep their place, with the
+    reasons instead of results."""
     res = trained(spark, sf_dir)
     checked = quality.validate(applications(spark, sf_dir), quality.API_RULES)
-    valid, rejected = quality.split_valid(checked)
-    scored = score.score(valid, res.pipeline, res.maps, columns={}, keep=[ID], arrays=res.arrays).select(
-        ID, "prediction", "prediction_code", "confidence", "risk_level",
-        F.to_json("factors").alias("factors"), F.lit("").alias("violations"))
-    # Rows the service would refuse keep their place, with the reasons.
-    refused = rejected.select(
-        ID, F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("int").alias("prediction_code"),
-        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("risk_level"),
-        F.lit(None).cast("string").alias("factors"), F.array_join("violations", ",").alias("violations"))
-    return scored.unionByName(refused)
+    scored = score.score(checked, res.pipeline, res.maps, columns={}, keep=[ID, "violations"], refused=F.size("violations") > 0)
+    return scored.select(ID, "prediction", "prediction_code", "confidence", "risk_level",
+                         F.to_json("factors").alias("factors"), F.array_join("violations", ",").alias("violations"))
+
+
+def _factor_rows(scored):
+    """Factors of scored rows, one row each; a refused row has one without factor."""
+    entries = F.map_entries(F.from_json("factors", "map<string,string>"))
+    return scored.select(ID, "violations", F.explode_outer(entries).alias("e")).select(
+        ID, "violations", F.col("e.key").alias("factor"), F.col("e.value").alias("text"))
+
+
+_FACTORS_SQL = catalog._with(f"""
+SELECT v.app_id, v.violations, f.factor, f.text
+FROM ({catalog._validate_sql(catalog._API_CHECKS)}) v
+LEFT JOIN ({catalog._factor_sql()}) f ON f.app_id = v.app_id AND v.is_valid""")
+
+
+@_register("rf_score_factors", _FACTORS_SQL)
+def q_rf_score_factors(spark, sf_dir):
+    """I10 in I11: violations and factor texts of the scored records."""
+    return _factor_rows(q_rf_score(spark, sf_dir))
+
+
+@_register("rf_support", catalog._with(f"""
+SELECT status, count(*) AS test_rows FROM ({catalog._EXACT_SPLIT_SQL}) s WHERE is_test GROUP BY status"""))
+def q_rf_support(spark, sf_dir):
+    """Actual class totals among the rows that the forest was evaluated on."""
+    return trained(spark, sf_dir).test_predictions.groupBy(TARGET).agg(F.count("*").alias("test_rows"))
+
+
+@_register("rf_invariants", catalog._with(f"""
+SELECT count(*) AS applications, count(*) FILTER (WHERE is_valid) AS scored, CAST(0 AS BIGINT) AS bad_confidence,
+       CAST(0 AS BIGINT) AS bad_decision, CAST(0 AS BIGINT) AS bad_risk, CAST(0 AS BIGINT) AS bad_refusal,
+       CAST(1 AS DOUBLE) AS importance_sum, CAST(10 AS BIGINT) AS features
+FROM ({catalog._validate_sql(catalog._API_CHECKS)}) v"""))
+def q_rf_invariants(spark, sf_dir):
+    """What must hold of every scored record and of the importances."""
+    res = trained(spark, sf_dir)
+    s, code, conf = q_rf_score(spark, sf_dir), F.col("prediction_code"), F.col("confidence")
+    strong, fair = conf >= 80, conf >= 60
+    risk = F.when(code == 0, F.when(strong, "Low Risk").when(fair, "Medium Risk").otherwise("High Risk")).otherwise(
+        F.when(strong, "High Risk").when(fair, "Medium Risk").otherwise("Low Risk"))
+    valid = F.col("violations") == ""
+    out = s.agg(
+        F.count("*").alias("applications"), F.count(code).alias("scored"),
+        F.count_if(valid & ~F.coalesce(conf.between(50, 100), F.lit(False))).alias("bad_confidence"),
+        F.count_if(valid & ~F.col("prediction").eqNullSafe(F.when(code == 0, "Approved").otherwise("Rejected"))).alias("bad_decision"),
+        F.count_if(valid & ~F.col("risk_level").eqNullSafe(risk)).alias("bad_risk"),
+        F.count_if(~valid & (code.isNotNull() | conf.isNotNull() | F.col("prediction").isNotNull() | F.col("risk_level").isNotNull())).alias("bad_refusal"))
+    raw = [float(v) for v in res.forest.featureImportances.toArray()]
+    return out.select("*", F.round(F.lit(sum(raw)), 6).alias("importance_sum"), F.lit(len(raw)).cast("long").alias("features"))
 
 
 @_register("rf_top_features")
@@ -99,9 +146,6 @@ def q_rf_stream_score(spark, sf_dir):
     """
     import uuid
 
-    from ..session import scratch_path
-    from ..streaming import scoring as stream
-
     res = trained(spark, sf_dir)
     run = scratch_path(spark, f"stream_{uuid.uuid4().hex}")
     requests = applications(spark, sf_dir).select(
@@ -109,8 +153,14 @@ def q_rf_stream_score(spark, sf_dir):
         F.col("default_flag").alias("default"), "cred_length")
     requests.write.json(f"{run}/requests")
     q = stream.start_scoring_stream(spark, f"{run}/requests", res.pipeline, res.maps, f"{run}/scored",
-                                    checkpoint=f"{run}/checkpoint", keep=[ID], arrays=res.arrays)
+                                    checkpoint=f"{run}/checkpoint", keep=[ID])
     q.awaitTermination()
     out = spark.read.parquet(f"{run}/scored")
     return out.select(ID, "prediction", "prediction_code", "confidence", "risk_level",
                       F.to_json("factors").alias("factors"), F.array_join("violations", ",").alias("violations"))
+
+
+@_register("stream_factors", _FACTORS_SQL)
+def q_stream_factors(spark, sf_dir):
+    """I10 and B7 of the streamed records."""
+    return _factor_rows(q_rf_stream_score(spark, sf_dir))

@@ -47,19 +47,18 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
     # Scan 1: scalars, moments, extremes and age bins (one aggregation, one row).
     aggs = [F.count(F.lit(1)).alias("total"), F.sum(F.col(target)).cast("long").alias("approved")]
     for section, (col, funcs) in STATS_SPEC.items():
-        x = F.col(col).cast("double")
-        x = F.when(~F.isnan(x), x)
+        x = quantiles.value(col)
         aggs += [F.avg(x).alias(f"{section}__mean"), F.min(x).alias(f"{section}__min"),
                  F.max(x).alias(f"{section}__max"), F.stddev_samp(x).alias(f"{section}__std"),
-                 F.count(x).alias(f"{section}__n")]
+                 *quantiles.extent_aggs(x, section)]
     age = F.col("age")
     for i in range(len(AGE_BIN_LABELS)):
         aggs.append(F.count_if((age > AGE_BIN_EDGES[i]) & (age <= AGE_BIN_EDGES[i + 1])).alias(f"bin{i}"))
     sc = df.agg(*aggs).first().asDict()
 
-    # Exact medians (bounded memory); count / min / max come from scan 1.
+    # Exact medians (bounded memory); the extents come from scan 1.
     med_cols = {col: section for section, (col, funcs) in STATS_SPEC.items() if "median" in funcs}
-    extents = {col: (sc[f"{sec}__n"], sc[f"{sec}__min"], sc[f"{sec}__max"]) for col, sec in med_cols.items()}
+    extents = {col: quantiles.extent_of(sc, sec) for col, sec in med_cols.items()}
     medians = quantiles.exact_medians(df, list(med_cols), extents=extents, **(median_kw or {}))
 
     total, approved = sc["total"], sc["approved"] or 0
@@ -81,14 +80,15 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
         F.count(F.lit(1)).alias("n"), F.avg(F.col(target).cast("double")).alias("rate"),
         F.grouping_id().alias("_gid"),
     )
-    part2 = None
+    # Every group becomes its rows of all sections at once: one pass, one Expand.
+    items = None
     for i, k in enumerate(keys):
         gid = sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i)
-        mine = grouped.where((F.col("_gid") == gid) & F.col(k).isNotNull())
-        items = [_row(s, F.col(k), F.col("n")) for s, c in DISTRIBUTIONS.items() if c == k]
-        items += [_row(s, F.col(k), rnd(F.col("rate") * 100, 1)) for s, c in RATES.items() if c == k]
-        sel = mine.select(F.explode(F.array(*items)).alias("r")).select("r.*")
-        part2 = sel if part2 is None else part2.unionByName(sel)
+        own = F.array(*[_row(s, F.col(k), F.col("n")) for s, c in DISTRIBUTIONS.items() if c == k],
+                      *[_row(s, F.col(k), rnd(F.col("rate") * 100, 1)) for s, c in RATES.items() if c == k])
+        cond = (F.col("_gid") == gid) & F.col(k).isNotNull()
+        items = F.when(cond, own) if items is None else items.when(cond, own)
+    part2 = grouped.select(F.explode(items).alias("r")).select("r.*")
     return part1.unionByName(part2)
 
 

@@ -23,12 +23,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, encode, evaluate, forest_arrays, model, split
+from ..operators import clean, encode, evaluate, model, split
 from ..operators.score import CODE_SUFFIX, model_inputs
 from ..schema import (AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES, ID, MODEL_TYPE,
                       NUMERIC, SPLIT_SEED, TARGET, TEST_FRACTION)
 from ..session import scratch_path
-from ..sources.tables import ensure_parallelism
 from . import reports
 
 
@@ -41,7 +40,6 @@ class TrainConfig:
     rounding: str = "even"
     materialize: str = "persist"         # 'persist', 'table' or 'none'
     median_kw: dict = field(default_factory=dict)
-    fast_scoring: bool = True            # vectorised forest scorer (needs the checkpoint folder)
 
 
 @dataclass
@@ -58,13 +56,9 @@ class TrainResult:
     test_predictions: DataFrame
     sizes: dict
     timings: dict = field(default_factory=dict)
-    arrays: object = None                 # ForestArrays for the fast scorer, when built
 
 
 def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str) -> DataFrame:
-    # Spread a few-file input over all cores before it is kept, so every
-    # later pass (fits, split, forest, evaluation) runs in parallel.
-    df = ensure_parallelism(df, ID)
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "table":
@@ -81,23 +75,17 @@ def fit_preparation(fit_src: DataFrame, cfg: TrainConfig, pool: ThreadPoolExecut
     changes, so they are fitted alongside the numeric fits (in ``pool`` when
     given: Spark runs jobs from several driver threads side by side).
     """
-    codes_f = pool.submit(encode.fit_label_codes, fit_src, CATEGORICAL) if pool else None
+    codes_f = pool.submit(encode.label_codes, fit_src, CATEGORICAL) if pool else None
     imp = clean.fit_median_imputer(fit_src, NUMERIC, cfg.median_kw)
     cap = clean.fit_outlier_cap(clean.apply_median_imputer(fit_src, imp), "age", AGE_CAP, cfg.median_kw)
-    maps = codes_f.result() if codes_f else encode.fit_label_codes(fit_src, CATEGORICAL)
-    return imp, cap, maps
+    codes = codes_f.result() if codes_f else encode.label_codes(fit_src, CATEGORICAL)
+    return imp, cap, codes
 
 
-def apply_preparation(df: DataFrame, imp, cap, maps) -> DataFrame:
-    """Apply C1, C2 and D2: lazy projections, no shuffle."""
+def apply_preparation(df: DataFrame, imp, cap, codes: DataFrame) -> DataFrame:
+    """Apply C1, C2 and D2: projections and joins with the small code table."""
     capped = clean.apply_outlier_cap(clean.apply_median_imputer(df, imp), cap)
-    return encode.apply_training_codes(capped, maps, suffix=CODE_SUFFIX)
-
-
-def prepare(raw: DataFrame, cfg: TrainConfig, fit_rows: DataFrame | None = None):
-    """C1, C2, D1, D2 fitted on ``fit_rows`` (default: the whole table), applied to ``raw``."""
-    imp, cap, maps = fit_preparation(fit_rows if fit_rows is not None else raw, cfg)
-    return apply_preparation(raw, imp, cap, maps), imp, cap, maps
+    return encode.apply_training_codes(capped, codes, CATEGORICAL, suffix=CODE_SUFFIX)
 
 
 def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None) -> TrainResult:
@@ -110,6 +98,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
         timings[name] = round(now - clock[0], 3)
         clock[0] = now
 
+    kept_before = raw_df.storageLevel.useMemory or raw_df.storageLevel.useDisk
     raw = _materialize(spark, raw_df, cfg.materialize, "applications_raw")
 
     # The split depends only on ids and classes, so its boundaries are found
@@ -117,37 +106,30 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     with ThreadPoolExecutor(max_workers=2) as prep_pool:
         if cfg.fit_cleaning_on == "train":
             flagged = split.stratified_split(raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
-            imp, cap, maps = fit_preparation(flagged.where(~F.col("is_test")), cfg, prep_pool)
+            imp, cap, codes = fit_preparation(flagged.where(~F.col("is_test")), cfg, prep_pool)
         else:
             split_f = prep_pool.submit(split.stratified_split, raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
-            imp, cap, maps = fit_preparation(raw, cfg, prep_pool)
+            imp, cap, codes = fit_preparation(raw, cfg, prep_pool)
             flagged = split_f.result()
-    coded = apply_preparation(flagged, imp, cap, maps)
+    maps = encode.codes_to_maps(codes, CATEGORICAL)
+    coded = apply_preparation(flagged, imp, cap, codes)
     lap("clean_encode_split")
 
     inputs = model_inputs()
     assembled = encode.assemble(coded.select(ID, TARGET, "is_test", *inputs), inputs)
-    # The forest reads its input once per tree level: spread it over all
-    # cores when the scan gave fewer splits (a no-op on large inputs).
-    train_rows = ensure_parallelism(
-        assembled.where(~F.col("is_test")).select(ID, TARGET, "features"), ID
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # The forest reads its input once per tree level.
+    train_rows = assembled.where(~F.col("is_test")).select(ID, TARGET, "features").persist(StorageLevel.MEMORY_AND_DISK)
     test_rows = assembled.where(F.col("is_test")).select(ID, TARGET, "features")
 
     n_train = train_rows.count()
     lap("train_vectors")
     forest = model.fit_forest(train_rows, cfg.forest, label_col=TARGET)
     lap("forest_fit")
-    # Three independent pieces of work overlap: the forest's node table is
-    # written and read back (for the fast scorer), the test side is scored
-    # and evaluated, and the dataset statistics are computed. Spark runs
-    # jobs from several driver threads side by side.
-    pool = ThreadPoolExecutor(max_workers=2)
-    arrays_f = None
-    if cfg.fast_scoring and spark.sparkContext.getCheckpointDir():
-        arrays_f = pool.submit(forest_arrays.ForestArrays.from_model, spark, forest)
+    # The test side is scored and evaluated while the dataset statistics are
+    # computed: Spark runs jobs from several driver threads side by side.
+    pool = ThreadPoolExecutor(max_workers=1)
     stats_f = pool.submit(lambda: reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw).collect())
-    predictions = model.predict(forest, ensure_parallelism(test_rows)).select(
+    predictions = model.predict(forest, test_rows).select(
         ID, TARGET, "prediction_code", "probability")
     pred_kept = predictions.persist(StorageLevel.MEMORY_AND_DISK)
     summary_row = evaluate.report_summary(pred_kept, TARGET, "prediction_code", cfg.rounding).first()
@@ -155,8 +137,9 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     train_rows.unpersist()
     lap("evaluate")
     stats_rows = stats_f.result()
-    arrays = arrays_f.result() if arrays_f is not None else None
     pool.shutdown()
+    if cfg.materialize == "persist" and not kept_before:
+        raw.unpersist()  # the test predictions, kept, no longer need it
     lap("report_overlap")
 
     importance = model.feature_importance(spark, forest, FEATURE_DISPLAY_NAMES, cfg.rounding)
@@ -178,7 +161,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     pipeline = model.scoring_pipeline(forest, inputs)
     lap("report")
     return TrainResult(pipeline, forest, maps, imp, cap, summary, importance, stats_rows, doc,
-                       pred_kept, sizes, timings, arrays)
+                       pred_kept, sizes, timings)
 
 
 def save(spark: SparkSession, result: TrainResult, model_path: str, report_path: str) -> None:

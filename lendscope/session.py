@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,8 +48,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
     Reads ``spark.checkpoint.dir`` (or a directory already set on the
     context). Only when neither is set is ``fallback`` installed; tests pass
-    a scratch folder here. On a cluster the setting must point at shared
-    storage, never at a machine-local path.
+    a scratch folder here, and a local session makes a temporary one. On a
+    cluster the setting must point at shared storage.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,10 +60,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     if fallback is None:
-        raise RuntimeError(
-            f"{CHECKPOINT_CONF} is not set; set it to a shared folder on the cluster"
-        )
-    os.makedirs(fallback, exist_ok=True)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(
+                f"{CHECKPOINT_CONF} is not set; set it to a shared folder on the cluster"
+            )
+        # One process on one machine and no folder named: tables need a place to be written to.
+        fallback = tempfile.mkdtemp(prefix="lendscope-")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
 

@@ -22,31 +22,6 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_parallelism(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Spread an input read from fewer files than the cluster has cores.
-
-    A small file with one row group is read by one task, and every later
-    narrow step (model scoring, tree statistics) would then run on that
-    single task. The check lists the input files of the plan (``inputFiles``,
-    no job is run): only when there are fewer files than target partitions
-    is the frame hash-partitioned on ``key`` (deterministic across retries).
-    A large input has thousands of files and is returned untouched, so no
-    shuffle is added at scale; a cached frame is also left as it is (spread
-    it before caching).
-    """
-    if df.isStreaming:
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    try:
-        files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - a plan without file sources
-        return df
-    # 0 files: a cached frame or a non-file source; its layout is kept.
-    if files == 0 or files >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def _case(*branches: tuple[Column, object], otherwise: object) -> Column:
     expr = None
     for cond, value in branches:

@@ -40,25 +40,17 @@ def test_label_codes_sorted_and_nan(spark):
     df = spark.createDataFrame([("RENT",), ("OWN",), (None,), ("MORTGAGE",)], "home string")
     maps = encode.fit_label_codes(df, ["home"])
     assert maps == {"home": {"MORTGAGE": 0, "OWN": 1, "RENT": 2, "nan": 3}}
-    coded = encode.apply_training_codes(df, maps, suffix="_code")
-    assert [r.home_code for r in coded.collect()] == [2, 1, 3, 0]
+    coded = encode.apply_training_codes(df, encode.label_codes(df, ["home"]), ["home"], suffix="_code")
+    assert {r.home: r.home_code for r in coded.collect()} == {"RENT": 2, "OWN": 1, None: 3, "MORTGAGE": 0}
 
 
 def test_scoring_codes_upper_unknown_null(spark):
     maps = {"home": {"MORTGAGE": 0, "OTHER": 1, "OWN": 2, "RENT": 3}, "intent": {}}
     df = spark.createDataFrame([("RENT", "x"), ("rent", None), ("castle", "y"), (None, "z")],
                                "home string, intent string")
-    out = encode.apply_scoring_codes(df, maps, suffix="_code").collect()
-    assert [r.home_code for r in out] == [3, 3, 0, 0]
-    assert [r.intent_code for r in out] == [0, 0, 0, 0]
-
-
-def test_codes_join_path_matches_literal(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "k string")
-    codes = encode.label_codes(df, ["k"], null_label=None)
-    lit = encode.apply_training_codes(df, encode.fit_label_codes(df, ["k"], null_label=None), suffix="_c")
-    joined = encode.apply_codes_join(df, codes, "k", "k_c")
-    assert sorted((r.k, r.k_c) for r in lit.collect()) == sorted((r.k, r.k_c) for r in joined.collect())
+    out = encode.apply_scoring_codes(df.withColumn("default_flag", F.lit("Y")), maps, suffix="_code").collect()
+    assert {r.home: r.home_code for r in out} == {"RENT": 3, "rent": 3, "castle": 0, None: 0}
+    assert {(r.intent_code, r.default_flag_code) for r in out} == {(0, 0)}  # an empty map, and none at all
 
 
 def test_derive_ratio(spark):
@@ -68,17 +60,27 @@ def test_derive_ratio(spark):
     assert got == [0.17, 0.3, 0.2]
 
 
-def test_label_codes_guard(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError):
-        encode.fit_label_codes(df, ["k"], max_labels=10)
-
-
-def test_label_codes_global_numbering_equals_window(spark):
+def test_label_codes_over_ranges(spark):
     rows = [(f"h{i % 37}", f"i{i % 101}", None if i % 5 == 0 else f"d{i % 3}") for i in range(400)]
-    df = spark.createDataFrame(rows, "h string, i string, d string")
-    small = {(r.column_name, r.label): r.code for r in encode.label_codes(df, ["h", "i", "d"]).collect()}
-    big = {(r.column_name, r.label): r.code
-           for r in encode.label_codes(df, ["h", "i", "d"], window_limit=0).collect()}
-    assert small == big and len(small) == 37 + 101 + 4
-    assert small[("d", "nan")] == 3 and small[("h", "h0")] == 0
+    df = spark.createDataFrame(rows, "h string, i string, d string").repartition(5)
+    codes = encode.label_codes(df, ["h", "i", "d"])
+    got = {(r.column_name, r.label): r.code for r in codes.collect()}
+    want = {}
+    for k, c in enumerate("hid"):
+        labels = sorted({r[k] if r[k] is not None else "nan" for r in rows})
+        want |= {(c, label): n for n, label in enumerate(labels)}
+    assert got == want
+    coded = encode.apply_training_codes(df, codes, ["h", "i", "d"], suffix="_c")
+    assert coded.count() == 400
+    assert all(want["i", r.i] == r.i_c and want["d", r.d or "nan"] == r.d_c for r in coded.collect())
+
+
+def test_nan_is_missing(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan,), (1.0,), (3.0,), (inf,), (None,)], "x double")
+    p = clean.fit_median_imputer(df, ["x"])
+    assert p.null_counts == {"x": 2} and p.fill_values == {"x": 3.0}
+    assert sorted(r.x for r in clean.apply_median_imputer(df, p).collect()) == [1.0, 3.0, 3.0, 3.0, inf]
+    from lendscope.operators import profile
+
+    assert profile.null_counts(df).first().null_count == 2

@@ -11,17 +11,17 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_join_bounded_both_paths(spark):
+def test_stored_table_is_joined_by_its_bytes(spark):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id"))
-    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    a = joins.join_bounded(big, small, "k", "left")
+    small = joins.stored(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    a = big.join(small, "k", "left")
     assert "BroadcastHashJoin" in _plan(a)
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
     old = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        b = joins.join_bounded(big, small, "k", "left", max_rows=3)
+        b = big.join(small, "k", "left")
         assert "BroadcastHashJoin" not in _plan(b)
         rows_b = sorted(map(tuple, b.collect()))
     finally:

@@ -43,24 +43,15 @@ def test_save_load_and_scoring_equal(spark, trained, tmp_path, apps_mid):
     assert min(confs) >= 50.0 and max(confs) <= 100.0
 
 
-def test_array_scorer_equals_spark_ml(spark, trained, apps_mid):
-    assert trained.arrays is not None
-    valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull())
-    a = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"])
-    b = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"], arrays=trained.arrays)
-    ra = {r.app_id: (r.prediction, r.prediction_code, r.confidence, r.risk_level) for r in a.collect()}
-    rb = {r.app_id: (r.prediction, r.prediction_code, r.confidence, r.risk_level) for r in b.collect()}
-    assert len(ra) == valid.count() and ra == rb
-    # Raw probabilities agree to the last bit.
-    from pyspark.ml.functions import vector_to_array
-    from lendscope.operators import encode, forest_arrays
-    coded = encode.apply_scoring_codes(valid, trained.maps, suffix="_code")
-    inputs = score.model_inputs()
-    pa = {r.app_id: list(r.p) for r in trained.pipeline.transform(coded).select(
-        "app_id", vector_to_array("probability").alias("p")).collect()}
-    pb = {r.app_id: list(r.probability) for r in forest_arrays.score_arrays(
-        coded.select("app_id", *inputs), trained.arrays, inputs).collect()}
-    assert pa == pb
+def test_refused_rows_have_reasons_and_no_results(spark, trained, apps_mid):
+    from lendscope.operators import quality
+
+    checked = quality.validate(apps_mid, quality.API_RULES)
+    out = score.score(checked, trained.pipeline, trained.maps, columns={}, keep=["app_id", "violations"], refused=F.size("violations") > 0)
+    refused = out.where(F.size("violations") > 0)
+    assert out.count() == 15000 and 0 < refused.count() < 15000
+    assert refused.where("prediction is not null or confidence is not null or risk_level is not null or factors is not null").count() == 0
+    assert out.where(F.size("violations") == 0).where("prediction is null or confidence is null or risk_level is null").count() == 0
 
 
 def test_report_roundtrip(spark, trained, tmp_path):
@@ -88,7 +79,7 @@ def test_stream_equals_batch(spark, trained, tmp_path, apps_mid):
                                     checkpoint=str(tmp_path / "ckpt"), keep=["app_id"])
     q.awaitTermination(120)
     streamed = {r.app_id: (r.prediction, r.confidence, list(r.violations)) for r in spark.read.parquet(out).collect()}
-    batch_in = spark.read.schema(stream._with_keep(files.SCORING_INPUT_SCHEMA, ["app_id"])).json(str(src))
+    batch_in = files.read_scoring_json(spark, str(src), ["app_id"])
     batch = {r.app_id: (r.prediction, r.confidence, list(r.violations))
              for r in stream.scored_records(batch_in, trained.pipeline, trained.maps, ["app_id"]).collect()}
     assert len(streamed) == 500 and streamed == batch
@@ -110,10 +101,22 @@ def test_csv_source_null_tokens(spark, tmp_path):
     assert rows[0].default_flag == "Y" and rows[0].percent_income == 0.59
 
 
+def test_csv_whole_numbers_quotes_and_rejects(spark, tmp_path):
+    p = tmp_path / "apps.csv"
+    p.write_text(
+        "Id,Age,Income,Home,Emp_length,Intent,Amount,Rate,Status,Percent_income,Default,Cred_length\n"
+        '1.0,22.0,59000,"RE ""x"" NT, y",1e1,PERSONAL,35000,16.02,1.0,0.59,Y,3.0\n'
+        '2,21.5,9600,"two\nlines",5,EDUCATION,1000,NA,x,0.1,N,1e1\n')
+    rows = files.read_applications_csv(spark, str(p), rejects=True).orderBy("app_id").collect()
+    assert (rows[0].app_id, rows[0].age, rows[0].status, rows[0].cred_length, rows[0].emp_length) == (1, 22, 1, 3, 10.0)
+    assert rows[0].home == 'RE "x" NT, y' and rows[1].home == "two\nlines"
+    assert rows[1].age is None and rows[1].cred_length == 10 and rows[1].rejects == {"age": "21.5", "status": "x"} and rows[0].rejects == {}
+
+
 def test_write_scored_and_column_types(spark, trained, tmp_path, apps_mid):
     from lendscope.operators import profile
     valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull()).limit(50)
-    out = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"], arrays=trained.arrays)
+    out = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"])
     files.write_scored(out, str(tmp_path / "scored"))
     back = spark.read.parquet(str(tmp_path / "scored"))
     assert back.count() == 50 and dict(back.dtypes)["factors"] == "map<string,string>"
@@ -125,12 +128,18 @@ def test_stream_query_matches_batch_query(spark, apps_mid):
     import __spark_entry__ as E
     from tests.conftest import SF_SMALL
     from lendscope.plans import model_queries
-    key = (SF_SMALL, repr(None))
-    model_queries._TRAINED[key] = training.train(
-        spark, __import__("lendscope.sources.tables", fromlist=["applications"]).applications(spark, SF_SMALL), SMALL)
-    batch = {r.app_id: (r.prediction, r.confidence, r.violations) for r in E.queries()["rf_score"](spark, SF_SMALL).collect()}
-    streamed = {r.app_id: (r.prediction, r.confidence, r.violations)
-                for r in E.queries()["rf_stream_score"](spark, SF_SMALL).collect()}
+    key = (spark.sparkContext.applicationId, SF_SMALL, repr(None))
+    apps = __import__("lendscope.sources.tables", fromlist=["applications"]).applications(spark, SF_SMALL)
+    had = model_queries._TRAINED.pop(key, None)
+    model_queries._TRAINED[key] = training.train(spark, apps, SMALL)
+    try:
+        batch = {r.app_id: (r.prediction, r.confidence, r.violations) for r in E.queries()["rf_score"](spark, SF_SMALL).collect()}
+        streamed = {r.app_id: (r.prediction, r.confidence, r.violations)
+                    for r in E.queries()["rf_stream_score"](spark, SF_SMALL).collect()}
+    finally:
+        model_queries._TRAINED.pop(key)
+        if had is not None:
+            model_queries._TRAINED[key] = had
     assert streamed == batch
 
 
@@ -138,10 +147,10 @@ def test_train_only_cleaning_and_table_materialisation(spark):
     from lendscope.sources.tables import applications
     from tests.conftest import SF_SMALL
     cfg = training.TrainConfig(forest=model.ForestParams(num_trees=5, max_depth=4), fit_cleaning_on="train",
-                               materialize="table", fast_scoring=False)
+                               materialize="table")
     res = training.train(spark, applications(spark, SF_SMALL), cfg)
     assert res.sizes["train_rows"] + res.sizes["test_rows"] == 1500
-    assert res.arrays is None and res.report["n_estimators"] == 5
+    assert res.report["n_estimators"] == 5
     # Medians were fitted on training rows only: emp_length's fill differs from the whole-table median only
     # if the split moved it; either way it is one of the observed half-steps.
     assert res.impute.null_counts["emp_length"] > 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lendscope.operators import quantiles
 
-DIST = dict(inmemory_limit=0, buckets=8, collect_limit=5)
+DIST = dict(buckets=8, collect_limit=5)
 
 
 @pytest.mark.parametrize("kw", [{}, DIST])
@@ -43,3 +43,17 @@ def test_filtered_median(spark):
 def test_fixture_medians(apps_mid):
     got = quantiles.exact_medians(apps_mid, ["emp_length", "rate", "age"], **dict(DIST, buckets=64, collect_limit=50))
     assert got == {"emp_length": 20.0, "rate": 14.31, "age": 44.0}
+
+
+@pytest.mark.parametrize("kw", [{}, DIST])
+def test_special_values_have_one_rule(spark, kw):
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "nan": [51.0, nan, 76.0, nan, 40.0], "one_inf": [1.0, 2.0, 3.0, 4.0, inf], "most_inf": [1.0, inf, inf, inf], "both": [-inf, 1.0, 2.0, inf],
+        "half": [-inf, -inf, 3.0, 4.0], "tiny": [5e-324, 1e-323, 1.5e-323, 0.0], "wide": [-1.7e308, 1.7e308, 1.0, 2.0, 1.6e308]}
+    for name, values in cases.items():
+        got = quantiles.exact_medians(spark.createDataFrame([(v,) for v in values * 7], "x double"), ["x"], **kw)["x"]
+        kept = sorted(v for v in values * 7 if v == v)
+        low, high = kept[(len(kept) - 1) // 2], kept[len(kept) // 2]
+        want = low if low == high else 0.5 * low + 0.5 * high
+        assert got == want or (got != got and want != want), name

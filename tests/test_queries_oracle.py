@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB SQL at sf0.001 (the driver checks sf0.01)."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -43,9 +44,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_is_model_backed():
-    missing = set(E.queries()) - set(SQL)
-    assert missing == {"rf_importance", "rf_report", "rf_confusion", "rf_score", "rf_top_features",
-                       "rf_stream_score"}
+    missing = {q for q in E.queries() if not re.match(r"op[0-9]+_|pipeline$", q)} - set(SQL)
+    assert missing == {"rf_importance", "rf_report", "rf_confusion", "rf_score", "rf_top_features", "rf_stream_score"}
 
 
 def test_entry_smoke(spark):

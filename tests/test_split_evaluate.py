@@ -3,9 +3,17 @@ from pyspark.sql import functions as F
 from lendscope.operators import evaluate, split
 
 
-def test_allocate_matches_published_split():
+def _allocate(spark, counts, fraction=0.2):
+    sizes = spark.createDataFrame(list(counts.items()), "c int, n long")
+    return {r.c: r.want for r in split.allocate(sizes, fraction).collect()}
+
+
+def test_allocate_matches_published_split(spark):
     # 32,581 rows with classes 25,473 / 7,108 give a 5,095 / 1,422 test side.
-    assert split.allocate({0: 25473, 1: 7108}, 0.2) == {0: 5095, 1: 1422}
+    assert _allocate(spark, {0: 25473, 1: 7108}) == {0: 5095, 1: 1422}
+    many = {i: 3 + i % 4 for i in range(3000)}  # classes are not bounded
+    want = _allocate(spark, many)
+    assert sum(want.values()) == -(-sum(many.values()) // 5) and all(0 <= want[c] <= many[c] for c in many)
 
 
 def test_hash_threshold():
@@ -15,17 +23,17 @@ def test_hash_threshold():
 def test_stratified_split_exact_and_stable(spark, apps_mid):
     a = split.stratified_split(apps_mid, "app_id", "status", 0.2, 42)
     sizes = {(r.is_test, r.status): r.rows for r in split.split_sizes(a, "status").collect()}
-    want = split.allocate({0: 9679, 1: 5321}, 0.2)
+    want = _allocate(spark, {0: 9679, 1: 5321})
     assert sizes[(True, 0)] == want[0] and sizes[(True, 1)] == want[1]
     assert sum(sizes.values()) == 15000
-    # Same membership with a tiny bucket limit (several radix levels) and after repartitioning.
-    b = split.stratified_split(apps_mid.repartition(3), "app_id", "status", 0.2, 42, digits=1, local_limit=50)
+    # Same membership with one digit at a time (several radix levels) and after repartitioning.
+    b = split.stratified_split(apps_mid.repartition(3), "app_id", "status", 0.2, 42, digits=1)
     ta = {r.app_id for r in a.where("is_test").select("app_id").collect()}
     tb = {r.app_id for r in b.where("is_test").select("app_id").collect()}
     assert ta == tb
     # Equals a plain per-class ranking by (hash, id).
     from pyspark.sql import Window
-    h = apps_mid.withColumn("h", split.split_hash("app_id", 42))
+    h = apps_mid.withColumn("h", split.split_hash(apps_mid, "app_id", 42))
     w = Window.partitionBy("status").orderBy("h", "app_id")
     ranked = h.withColumn("rn", F.row_number().over(w))
     plain = {r.app_id for r in ranked.where(
@@ -74,7 +82,37 @@ def test_golden_approval_rate(spark):
 def test_split_with_hot_class(spark):
     # One class holds 90% of the rows; tiny buckets force several radix levels.
     df = spark.range(5000).select(F.col("id").alias("app_id"), (F.col("id") % 10 == 0).cast("int").alias("status"))
-    out = split.stratified_split(df, "app_id", "status", 0.2, 7, digits=1, local_limit=20)
+    out = split.stratified_split(df, "app_id", "status", 0.2, 7, digits=1)
     sizes = {(r.is_test, r.status): r.rows for r in split.split_sizes(out, "status").collect()}
-    want = split.allocate({0: 4500, 1: 500}, 0.2)
+    want = _allocate(spark, {0: 4500, 1: 500})
     assert sizes[(True, 0)] == want[0] and sizes[(True, 1)] == want[1] and sum(sizes.values()) == 5000
+
+
+def test_split_keeps_rows_without_or_with_shared_ids(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id")).alias("app_id"), (F.col("id") % 3 == 0).cast("int").alias("status"), F.col("id").alias("v"))
+    for frame in (df, df.withColumn("app_id", F.lit(5).cast("long")), df.withColumn("app_id", F.lit(None).cast("long"))):
+        out = split.stratified_split(frame, "app_id", "status", 0.2, 42)
+        sizes = {(r.is_test, r.status): r.rows for r in split.split_sizes(out, "status").collect()}
+        want = _allocate(spark, {0: 666, 1: 334})
+        assert sum(sizes.values()) == 1000 and sizes[(True, 0)] == want[0] and sizes[(True, 1)] == want[1]
+        assert out.where("is_test is null").count() == 0
+        again = split.stratified_split(frame.repartition(3), "app_id", "status", 0.2, 42)
+        assert sorted(r.v for r in out.where("is_test").collect()) == sorted(r.v for r in again.where("is_test").collect())
+        assert split.hash_split(frame, "app_id").where("is_test is null").count() == 0
+
+
+def test_split_of_equal_rows_and_null_classes(spark):
+    same = spark.range(100).select(F.lit(1).cast("long").alias("app_id"), F.lit(0).alias("status"))
+    assert {r.is_test for r in split.stratified_split(same, "app_id", "status").collect()} == {False}  # told apart by nothing
+    none = spark.range(50).select(F.col("id").alias("app_id"), F.when(F.col("id") < 40, 1).alias("status"))
+    out = split.stratified_split(none, "app_id", "status")
+    assert out.count() == 50 and out.where("is_test").count() == 8 and out.where("is_test and status is null").count() == 0
+    assert split.stratified_split(none.limit(0), "app_id", "status").count() == 0
+
+
+def test_rows_outside_the_classes_count(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (None, 0), (1, None)], "label int, pred int")
+    cm = {(r.actual, r.predicted): r["count"] for r in evaluate.confusion_matrix(df, "label", "pred").collect()}
+    assert cm == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 1, (None, None): 3}
+    row = evaluate.accuracy(df, "label", "pred").first()
+    assert (row.accuracy, row.test_rows) == (0.4, 5)
