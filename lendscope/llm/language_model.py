@@ -233,17 +233,21 @@ class Model:
         return np.where(self.head[at] == h, self.head_counts[at], 0)
 
 
-def _filter(rows: list, parts: int, base: float) -> Filter:
-    size = np.zeros(parts, np.int64)
-    bits, least = np.full(parts, 64, np.int64), np.ones(parts, np.int64)
-    for r in rows:
-        size[r.part], bits[r.part], least[r.part] = len(r.filter), r.bits, r.least
-    size = np.maximum(size, 9)
-    begins = np.concatenate(([0], np.cumsum(size)))
-    data = np.zeros(int(begins[-1]), np.uint8)
-    for r in rows:
-        data[begins[r.part] : begins[r.part] + len(r.filter)] = np.frombuffer(r.filter, np.uint8)
-    return Filter(data, begins[:-1], bits, least, 64 - (parts.bit_length() - 1), base)
+def _filters(merged: DataFrame, sizes: list, parts: int) -> dict[int, Filter]:
+    """Filters of both orders. Segments come to the driver a few parts at a time
+    and are put where they belong, so it holds every bit once."""
+    out = {}
+    for n, base in BASES.items():
+        size, bits, least = np.full(parts, 9, np.int64), np.full(parts, 64, np.int64), np.ones(parts, np.int64)
+        for r in sizes:
+            if r.n == n:
+                size[r.part], bits[r.part], least[r.part] = r.bits // 8 + 1, r.bits, r.least
+        begins = np.concatenate(([0], np.cumsum(size)))
+        out[n] = Filter(np.zeros(int(begins[-1]), np.uint8), begins[:-1], bits, least, 64 - (parts.bit_length() - 1), base)
+    for r in merged.select("n", "part", "filter").toLocalIterator():
+        f = out[r.n]
+        f.data[f.begins[r.part] : f.begins[r.part] + len(r.filter)] = np.frombuffer(r.filter, np.uint8)
+    return out
 
 
 def word_counts(merged: DataFrame, low: int, high: int | None = None) -> DataFrame:
@@ -262,15 +266,15 @@ def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple
     """The model, and the stored counts that it was made from."""
     parts = 1 << max(9, math.ceil(math.log2(max(8 * train.rdd.getNumPartitions(), 1))))
     merged = stored(merged_counts(dealt_counts(train, parts), parts, filter_mb), "lm-counts")
-    rows = merged.select("n", "part", "filter", "bits", "least", "tokens", "types", "histogram").collect()  # filter_mb at most
+    rows = merged.select("n", "part", "bits", "least", "tokens", "types", "histogram").collect()  # one short row for each part
     words = [r for r in rows if r.n == 1]
     upwards = np.cumsum(np.sum([r.histogram for r in words], axis=0)[::-1])[::-1] if words else np.zeros(64, np.int64)
     least = 1 << int(np.argmax(upwards <= head))
-    few = word_counts(merged, least).toPandas()  # ``head`` rows at most
-    h = few["h"].to_numpy(np.int64).view(_U)
+    few = word_counts(merged, least).toArrow()  # ``head`` rows at most
+    h, c = few["h"].to_numpy().view(_U), few["c"].to_numpy()
     order = np.argsort(h)
-    model = Model(sum(r.tokens for r in words), sum(r.types for r in words), h[order], few["c"].to_numpy(np.int64)[order], least,
-                  _filter(words, parts, BASES[1]), _filter([r for r in rows if r.n == 2], parts, BASES[2]))
+    filters = _filters(merged, rows, parts)
+    model = Model(sum(r.tokens for r in words), sum(r.types for r in words), h[order], c[order], least, filters[1], filters[2])
     return model, merged
 
 
