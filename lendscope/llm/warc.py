@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
 from lendscope.sources.tables import load_table
@@ -90,6 +90,7 @@ class WarcReader(DataSourceReader):
         self.path, self.payload, self.partition_bytes = path, payload, partition_bytes
         self.equal: list[tuple[str, tuple]] = []
         self.prefix: list[tuple[str, str]] = []
+        self.present: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -100,6 +101,8 @@ class WarcReader(DataSourceReader):
                 self.equal.append((HEADERS[f.attribute[0]], tuple(f.value)))
             elif known and isinstance(f, StringStartsWith):
                 self.prefix.append((HEADERS[f.attribute[0]], f.value))
+            elif known and isinstance(f, IsNotNull):
+                self.present.append(HEADERS[f.attribute[0]])
             else:
                 yield f
 
@@ -119,7 +122,8 @@ class WarcReader(DataSourceReader):
         return [*out, Files(held)]
 
     def wanted(self, headers: dict[str, str]) -> bool:
-        return all(headers.get(name) in values for name, values in self.equal) and all((headers.get(name) or "").startswith(start) for name, start in self.prefix)
+        return (all(headers.get(name) in values for name, values in self.equal) and all(name in headers for name in self.present)
+                and all((headers.get(name) or "").startswith(start) for name, start in self.prefix))
 
     def read(self, partition: Files) -> Iterator[tuple]:
         store, _ = arrow_fs.FileSystem.from_uri(self.path)
