@@ -120,11 +120,8 @@ def binned_counts(df: DataFrame, col: str, edges: list[float], labels: list[str]
     One aggregation with one conditional count per bin (no join, no shuffle
     of rows), unpivoted to ``(ordinal, bin, count)``.
     """
-    x = F.col(col)
-    aggs = [
-        F.count_if((x > edges[i]) & (x <= edges[i + 1])).alias(f"b{i}")
-        for i in range(len(labels))
-    ]
+    _, ordinal = bin_expr(col, edges, labels)
+    aggs = [F.count_if(ordinal == i).alias(f"b{i}") for i in range(len(labels))]
     stacked = ", ".join(f"{i}, '{lab}', b{i}" for i, lab in enumerate(labels))
     return df.agg(*aggs).selectExpr(
         f"stack({len(labels)}, {stacked}) AS (ordinal, bin, count)"

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import round_even, round_half_up
 from ..operators import clean, encode, evaluate, explain, joins, profile, quality, quantiles, split
-from ..schema import (AGE_BIN_EDGES, AGE_BIN_LABELS, AGE_CAP, CATEGORICAL, FORM_DEFAULTS, FROM_DISPLAY, NUMERIC,
-                      RAW_APPLICATION_SCHEMA, TARGET)
+from ..schema import (AGE_BIN_EDGES, AGE_BIN_LABELS, AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES,
+                      FORM_DEFAULTS, FROM_DISPLAY, NUMERIC, RAW_APPLICATION_SCHEMA, TARGET)
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import APPLICATIONS_SQL, applications, load_table
@@ -99,6 +99,12 @@ def q_value_counts_all(spark, sf_dir):
     return profile.value_counts_multi(_apps(spark, sf_dir), CATEGORICAL)
 
 
+# --- E1: size ---------------------------------------------------------------------
+@register("row_count", f"SELECT count(*) AS rows, CAST({len(APP_COLS)} AS BIGINT) AS columns FROM applications")
+def q_row_count(spark, sf_dir):
+    return profile.row_count(_apps(spark, sf_dir))
+
+
 # --- E12: distinct values ------------------------------------------------------
 @register("distinct_intents", "SELECT DISTINCT intent FROM applications")
 def q_distinct_intents(spark, sf_dir):
@@ -507,7 +513,7 @@ def q_risk_level(spark, sf_dir):
         conf.alias("confidence"), explain.risk_level(code, conf).alias("risk_level"))
 
 
-# --- I4-I10 / M4: factors in long form ------------------------------------------------
+# --- I4-I10 / M4: factors in long form; fixed values: bounds and messages, stated apart from the operator ------------------------------------------------
 def _factor_sql():
     marks = {"good": "✅", "medium": "⚡", "bad": "⚠️"}
     pct = "format('{:.0f}', percent_income * 100) || '%'"
@@ -607,25 +613,47 @@ def q_dataset_stats(spark, sf_dir):
     return reports.dataset_stats(_apps(spark, sf_dir), TARGET, rounding=R)
 
 
+# A stand-in for a model's importances that SQL can state: the distance of the class means over the largest value.
+_IMPORTANCE_SQL = " UNION ALL ".join(
+    f"SELECT '{DISPLAY_NAME[c]}' AS feature, {_r(f'abs(avg({c}) FILTER (WHERE status = 1) - avg({c}) FILTER (WHERE status = 0)) / max({c})', 4)} AS importance "
+    f"FROM applications" for c in NUMERIC)
+
+
+def _rule_importance(apps):
+    mean = lambda c, k: F.avg(F.when(F.col(TARGET) == k, F.col(c)))
+    wide = apps.agg(*(round_half_up(F.abs(mean(c, 1) - mean(c, 0)) / F.max(c), 4).alias(c) for c in NUMERIC))
+    rows = [F.struct(F.lit(DISPLAY_NAME[c]).alias("feature"), F.col(c).alias("importance")) for c in NUMERIC]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+_LABEL_SQL = "upper(substring(key, 1, 1)) || lower(substring(key, 2))"
+
+
 @register("chart_series", f"""
 WITH st AS ({_STATS_ROWS_SQL})
 SELECT 'approval' AS series, CASE WHEN section = 'approved_count' THEN 0 ELSE 1 END AS position,
        CASE WHEN section = 'approved_count' THEN 'Approved' ELSE 'Rejected' END AS label, value
 FROM st WHERE section IN ('approved_count', 'rejected_count')
 UNION ALL
-SELECT CASE section WHEN 'intent_distribution' THEN 'intent' WHEN 'home_distribution' THEN 'home'
-                    ELSE 'approval_by_intent' END, CAST(NULL AS INT),
-       upper(substring(key, 1, 1)) || lower(substring(key, 2)), value
-FROM st WHERE section IN ('intent_distribution', 'home_distribution', 'approval_by_intent')
+SELECT CASE section WHEN 'intent_distribution' THEN 'intent' ELSE 'home' END,
+       CAST(row_number() OVER (PARTITION BY section ORDER BY value DESC, key) - 1 AS INT), {_LABEL_SQL}, value
+FROM st WHERE section IN ('intent_distribution', 'home_distribution')
+UNION ALL
+SELECT section, CAST(row_number() OVER (ORDER BY key) - 1 AS INT), {_LABEL_SQL}, value FROM st WHERE section = 'approval_by_intent'
 UNION ALL
 SELECT 'age', CASE key {' '.join(f"WHEN '{lab}' THEN {i}" for i, lab in enumerate(AGE_BIN_LABELS))} END, key, value
-FROM st WHERE section = 'age_distribution'""")
+FROM st WHERE section = 'age_distribution'
+UNION ALL
+SELECT 'importance', CAST(row_number() OVER (ORDER BY importance DESC, feature) - 1 AS INT),
+       CASE feature {' '.join(f"WHEN '{DISPLAY_NAME[c]}' THEN '{' '.join(w.capitalize() for w in DISPLAY_NAME[c].split('_'))}'" for c in NUMERIC)} END,
+       importance * 100 FROM ({_IMPORTANCE_SQL}) i""")
 def q_chart_series(spark, sf_dir):
-    return reports.chart_series(reports.dataset_stats(_apps(spark, sf_dir), TARGET, rounding=R))
+    apps = _apps(spark, sf_dir)
+    return reports.chart_series(reports.dataset_stats(apps, TARGET, rounding=R), joins.stored(_rule_importance(apps)))
 
 
 @register("kpi_rows", f"""
-WITH st AS ({_STATS_ROWS_SQL})
+WITH st AS ({_STATS_ROWS_SQL}), {_CM_CTE}
 SELECT 'total_applications' AS name, value, format('{{:,.0f}}', value) AS text FROM st WHERE section = 'total_records'
 UNION ALL SELECT 'approved', value, format('{{:,.0f}}', value) FROM st WHERE section = 'approved_count'
 UNION ALL SELECT 'rejected', value, format('{{:,.0f}}', value) FROM st WHERE section = 'rejected_count'
@@ -634,9 +662,53 @@ UNION ALL SELECT 'rejection_rate', 100.0 - value, format('{{:.1f}}', 100.0 - val
 UNION ALL SELECT 'avg_income', value, format('{{:,.2f}}', value) FROM st WHERE section = 'income_stats' AND key = 'mean'
 UNION ALL SELECT 'avg_amount', value, format('{{:,.2f}}', value) FROM st WHERE section = 'amount_stats' AND key = 'mean'
 UNION ALL SELECT 'avg_rate', value, format('{{:.2f}}', value) || '%' FROM st WHERE section = 'rate_stats' AND key = 'mean'
-UNION ALL SELECT 'max_amount', value, format('{{:,.2f}}', value) FROM st WHERE section = 'amount_stats' AND key = 'max'""")
+UNION ALL SELECT 'max_amount', value, format('{{:,.2f}}', value) FROM st WHERE section = 'amount_stats' AND key = 'max'
+UNION ALL SELECT 'model_accuracy', a, format('{{:.1f}}', a) || '%' FROM (SELECT {_r('CAST(trace AS DOUBLE) / total * 100', 1)} AS a FROM f) x""")
 def q_kpi_rows(spark, sf_dir):
-    return reports.kpi_rows(reports.dataset_stats(_apps(spark, sf_dir), TARGET, rounding=R))
+    accuracy = evaluate.accuracy(_rule_predicted(spark, sf_dir), TARGET, "predicted", rounding=R).first().accuracy_percent
+    return reports.kpi_rows(reports.dataset_stats(_apps(spark, sf_dir), TARGET, rounding=R), accuracy)
+
+
+# --- R5 / A6 / A7 / B12 / M7 / M8 / M9: a report written, read again and shown ---------
+def _rule_report(spark, sf_dir):
+    """The report document of the rule predictor, written and read back."""
+    apps = _apps(spark, sf_dir)
+    summary = evaluate.report_summary(_rule_predicted(spark, sf_dir), TARGET, "predicted", rounding=R).first().asDict(recursive=True)
+    doc = {
+        "model_type": "Rule Predictor Classifier", "accuracy": summary["accuracy"], "accuracy_percent": summary["accuracy_percent"], "n_estimators": 1,
+        "feature_columns": FEATURE_DISPLAY_NAMES, "encoding_maps": {},
+        "feature_importance": {r["feature"]: r["importance"] for r in _rule_importance(apps).collect()},
+        "classification_report": {k: summary[k] for k in ("precision_rejected", "recall_rejected", "precision_approved", "recall_approved")},
+        "dataset_stats": reports.stats_document(reports.dataset_stats(apps, TARGET, rounding=R).collect()),
+        "confusion_matrix": summary["confusion_matrix"]}
+    path = scratch_path(spark, f"report_{uuid.uuid4().hex[:12]}")
+    reports.write_report(spark, doc, path)
+    return reports.read_report(spark, path)
+
+
+def _page_sql():
+    pct = lambda e: f"format('{{:.1f}}', {_r(e, 4)} * 100) || '%'"
+    rows = ["SELECT 'card' AS section, 0 AS position, 'Model' AS label, 'Rule Predictor' AS text",
+            f"SELECT 'card', 1, 'Accuracy', format('{{:.1f}}', {_r('CAST(trace AS DOUBLE) / total * 100', 1)}) || '%' FROM f",
+            f"SELECT 'card', 2, 'Features', '{len(FEATURE_DISPLAY_NAMES)}'"]
+    for i, name in enumerate(("Rejected", "Approved")):
+        rows += [f"SELECT 'report', {2 * i}, '{name} ({i}) precision', {pct(f'p{i}')} FROM f",
+                 f"SELECT 'report', {2 * i + 1}, '{name} ({i}) recall', {pct(f'r{i}')} FROM f"]
+        rows += [f"SELECT 'matrix', {2 * i + j}, 'Actual: {name}, Pred: {other}', CAST(c{i}{j} AS VARCHAR) FROM cm" for j, other in enumerate(("Rejected", "Approved"))]
+    for i, c in enumerate(FEATURE_DISPLAY_NAMES):
+        label = " ".join(w.capitalize() for w in c.split("_"))
+        rows.append(f"SELECT 'feature', {i + 1}, '{label}', format('{{:.1f}}', coalesce((SELECT importance FROM imp WHERE feature = '{c}'), 0) * 100) || '%'")
+    return f"WITH {_CM_CTE}, imp AS ({_IMPORTANCE_SQL}) " + " UNION ALL ".join(rows)
+
+
+@register("report_model_page", _page_sql())
+def q_report_model_page(spark, sf_dir):
+    return reports.model_page(_rule_report(spark, sf_dir))
+
+
+@register("report_stats_section", _STATS_ROWS_SQL)
+def q_report_stats_section(spark, sf_dir):
+    return reports.stats_rows(_rule_report(spark, sf_dir))
 
 
 # --- B11: numbers typed as text (JavaScript parseInt / parseFloat rules) ---------------

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rounder
 from ..functions.text import capitalize_first, fixed, key_to_label, thousands
-from ..operators import joins, quantiles
-from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS
+from ..operators import joins, profile, quantiles
+from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS, REPORT_LABELS
 
 STATS_SPEC = {
     "income_stats": ("income", ("mean", "median", "min", "max", "std")),
@@ -51,9 +51,8 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
         aggs += [F.avg(x).alias(f"{section}__mean"), F.min(x).alias(f"{section}__min"),
                  F.max(x).alias(f"{section}__max"), F.stddev_samp(x).alias(f"{section}__std"),
                  *quantiles.extent_aggs(x, section)]
-    age = F.col("age")
-    for i in range(len(AGE_BIN_LABELS)):
-        aggs.append(F.count_if((age > AGE_BIN_EDGES[i]) & (age <= AGE_BIN_EDGES[i + 1])).alias(f"bin{i}"))
+    _, ordinal = profile.bin_expr("age", AGE_BIN_EDGES, AGE_BIN_LABELS)
+    aggs += [F.count_if(ordinal == i).alias(f"bin{i}") for i in range(len(AGE_BIN_LABELS))]
     sc = df.agg(*aggs).first().asDict()
 
     # Exact medians (bounded memory); the extents come from scan 1.
@@ -126,7 +125,9 @@ def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataF
 
     Series: approval (Approved / Rejected counts), intent and home counts and
     approval by intent (labels with only the first letter upper case), age
-    bins, and feature importance in percent when a model is given.
+    bins, and feature importance in percent when a model is given. Positions
+    follow the report's key order: counts and importances from the largest,
+    rates by label.
     """
     # Five branches read the statistics: compute them once (a few dozen rows).
     stats = joins.stored(stats)
@@ -140,8 +141,10 @@ def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataF
     parts = [approval]
     for series, section in (("intent", "intent_distribution"), ("home", "home_distribution"),
                             ("approval_by_intent", "approval_by_intent")):
+        order = [F.desc("value"), F.asc("key")] if section.endswith("_distribution") else [F.asc("key")]
+        position = F.row_number().over(Window.partitionBy("section").orderBy(*order)) - 1  # one row per label
         parts.append(stats.where(s == section).select(
-            F.lit(series).alias("series"), F.lit(None).cast("int").alias("position"),
+            F.lit(series).alias("series"), position.alias("position"),
             capitalize_first(F.col("key")).alias("label"), F.col("value")))
     pos = F.lit(None).cast("int")
     for i, lab in enumerate(AGE_BIN_LABELS):
@@ -149,8 +152,9 @@ def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataF
     parts.append(stats.where(s == "age_distribution").select(
         F.lit("age").alias("series"), pos.alias("position"), F.col("key").alias("label"), F.col("value")))
     if importance is not None:
+        position = F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))) - 1  # one row per feature
         parts.append(importance.select(
-            F.lit("importance").alias("series"), F.lit(None).cast("int").alias("position"),
+            F.lit("importance").alias("series"), position.alias("position"),
             key_to_label(F.col("feature")).alias("label"), (F.col("importance") * 100).alias("value")))
     out = parts[0]
     for p in parts[1:]:
@@ -264,3 +268,44 @@ def model_summary(report: DataFrame) -> DataFrame:
         (F.coalesce(F.try_element_at("feature_importance", F.col("feature")), F.lit(0.0)) * 100)
         .alias("importance_percent"),
     )
+
+
+def model_page(report: DataFrame) -> DataFrame:
+    """The model page as rows ``(section, position, label, text)``: name, accuracy
+    and number of features; precision and recall of both classes; the matrix
+    cells (M8); the features with their importance, to one decimal."""
+    info = model_info(report)
+    percent_of = lambda c: F.concat(fixed(c * 100, 1), F.lit("%"))
+    row = lambda section, i, label, text: F.struct(
+        F.lit(section).alias("section"), F.lit(i).cast("int").alias("position"), F.lit(label).alias("label"), text.alias("text"))
+    rows = [row("card", 0, "Model", F.col("model_name")), row("card", 1, "Accuracy", F.concat(fixed(F.col("accuracy_percent"), 1), F.lit("%"))),
+            row("card", 2, "Features", F.size("feature_columns").cast("string"))]
+    for i, (code, name) in enumerate(REPORT_LABELS.names.items()):
+        for j, metric in enumerate(("precision", "recall")):
+            value = F.col(f"classification_report.{metric}_{name.lower()}")
+            rows.append(row("report", 2 * i + j, f"{name} ({code}) {metric}", percent_of(value)))
+        for j, other in REPORT_LABELS.names.items():
+            rows.append(row("matrix", 2 * i + j, f"Actual: {name}, Pred: {other}", F.col("confusion_matrix")[i][j].cast("string")))
+    fixed_rows = info.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    features = model_summary(report).select(
+        F.lit("feature").alias("section"), F.col("position").cast("int").alias("position"), "label",
+        F.concat(fixed(F.col("importance_percent"), 1), F.lit("%")).alias("text"))
+    return fixed_rows.unionByName(features)
+
+
+def stats_rows(report: DataFrame) -> DataFrame:
+    """The statistics section of a report as the rows of ``dataset_stats``."""
+    section = stats_section(report)
+    def entry(name: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+
+    def unfolded(name: str, kind: T.DataType) -> Column:
+        c = F.col(name)
+        if isinstance(kind, T.MapType):
+            return F.transform(F.map_entries(c), lambda e: entry(name, e["key"], e["value"]))
+        if isinstance(kind, T.StructType):
+            return F.array(*(entry(name, F.lit(k), c[k]) for k in kind.names))
+        return F.array(entry(name, F.lit(None).cast("string"), c))
+
+    entries = [unfolded(f.name, f.dataType) for f in section.schema.fields]
+    return section.select(F.explode(F.flatten(F.array(*entries))).alias("r")).select("r.*")

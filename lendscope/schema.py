@@ -16,12 +16,6 @@ FEATURE_DISPLAY_NAMES = [
     "Age", "Income", "Home", "Emp_length", "Intent",
     "Amount", "Rate", "Percent_income", "Default", "Cred_length",
 ]
-# Numeric columns that get a median fill when they hold nulls.
-NUMERIC_DISPLAY_NAMES = [
-    "Age", "Income", "Emp_length", "Amount", "Rate", "Percent_income", "Cred_length",
-]
-# Categorical columns that get integer codes.
-CATEGORICAL_DISPLAY_NAMES = ["Home", "Intent", "Default"]
 # Category domains.
 HOME_VALUES = ["RENT", "OWN", "MORTGAGE", "OTHER"]
 INTENT_VALUES = [
@@ -58,12 +52,10 @@ NULL_TOKENS = [
 
 ID = "app_id"
 TARGET = "status"
-FEATURES = [
-    "age", "income", "home", "emp_length", "intent",
-    "amount", "rate", "percent_income", "default_flag", "cred_length",
-]
-NUMERIC = ["age", "income", "emp_length", "amount", "rate", "percent_income", "cred_length"]
+FEATURES = ["default_flag" if name == "Default" else name.lower() for name in FEATURE_DISPLAY_NAMES]
+# Categorical columns get integer codes, numeric ones a median fill where they hold nulls.
 CATEGORICAL = ["home", "intent", "default_flag"]
+NUMERIC = [name for name in FEATURES if name not in CATEGORICAL]
 DISPLAY_NAME = dict(zip(FEATURES, FEATURE_DISPLAY_NAMES))
 FROM_DISPLAY = {v: k for k, v in DISPLAY_NAME.items()} | {"Id": ID, "Status": TARGET}
 DOMAINS = {"home": HOME_VALUES, "intent": INTENT_VALUES, "default_flag": DEFAULT_VALUES}
@@ -135,12 +127,3 @@ SCORING_INPUT_SCHEMA = T.StructType([
     T.StructField("default", T.StringType(), True),
     T.StructField("cred_length", T.IntegerType(), True),
 ])
-
-# one scored application.
-SCORED_SCHEMA = T.StructType([
-    T.StructField("prediction", T.StringType(), True),
-    T.StructField("prediction_code", T.IntegerType(), True),
-    T.StructField("confidence", T.DoubleType(), True),
-    T.StructField("risk_level", T.StringType(), True),
-    T.StructField("factors", T.MapType(T.StringType(), T.StringType()), True),
-])
