@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in the jobs run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text is alone."""
     a, size = 0, 0
@@ -72,8 +85,9 @@ def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, train: Column | None = None,
-                    text: str = "text") -> DataFrame:
-    """(doc_id, raw, y): at most ``per_class`` documents of either label.
+                    text: str = "text", longest: int = 200_000) -> DataFrame:
+    """(doc_id, raw, y): at most ``per_class`` documents of either label, each
+    of at most ``longest`` bytes, so that the sample has a bound in bytes too.
 
     The rows with the smallest hash of their id are taken, so the sample is
     the same on every run. ``train`` restricts the ids. A document id with
@@ -84,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     if train is not None:
         lab = lab.where(train)
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
-    d = docs.select("doc_id", raw(text).alias("raw"))
+    d = docs.select("doc_id", raw(text).alias("raw")).where(F.length("raw") <= longest)
     out = None
     for y in (0, 1):
         few = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

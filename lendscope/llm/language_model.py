@@ -35,18 +35,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load_documents, raw, slices, stored
+from .common import crc_mod, load_documents, raw, slices, small_batches, stored
 
 #: The broadcast filter is at most so large; so many bits for each entry below that.
 FILTER_MB, BITS, PROBES = 96, 8.0, 2
 #: At most so many words have their exact counts broadcast.
 HEAD = 500_000
 #: Weight of the word's probability in a pair's.
-PRIOR = 20.0
+PRIOR = 200.0
 #: Growth of counts from one level to the next, for words and for pairs.
 BASES = {1: math.sqrt(2.0), 2: 2.0}
 #: A task deals its counts out after so many tokens.
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b"")  # words are never empty
 
@@ -301,8 +301,10 @@ def score_texts(texts: list[bytes], model: Model, prior: float = PRIOR) -> Itera
 
 def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head: int = HEAD) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model, merged = fit(docs.where(~held_out), filter_mb, head)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    with small_batches(spark):  # beside its batch, a worker holds the counts or the filter
+        model, merged = fit(docs.where(~held_out), filter_mb, head)
+    shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
 
@@ -313,7 +315,8 @@ def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     first = docs.select("doc_id", held_out.alias("held_out"), raw("text").alias("raw")).mapInArrow(run, schema)
-    first = stored(first.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
+    with small_batches(spark):
+        first = stored(first.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     rare = first.select("uid", F.explode("rare").alias("h")).join(word_counts(merged, 1, model.least_head), "h", "left")
     c, total = F.coalesce("c", F.lit(0)), model.tokens + 0.1 * (model.types + 1)
     rare = rare.groupBy("uid").agg(F.count("c").alias("more"), F.sum(F.log10((c + F.lit(0.1)) / F.lit(total))).alias("rest"))
