@@ -68,25 +68,30 @@ def sentences(text: str) -> list[list[str]]:
         run: list[str] = []
         for word in sentence.split():
             w = word.strip(_EDGES)
-            if len(w) == 1:
+            n = len(w)
+            if n == 1:
                 run.append(w)
                 continue
-            if len(run) > 2:
-                segments.append("".join(run)[:WIDEST])
-            run = []
-            if len(w) > WIDEST:
-                segments += [w[i : i + WIDEST] for i in range(0, len(w) - WIDEST // 2, WIDEST // 2)]
-            elif w:
+            if run:
+                segments += windows("".join(run)) if len(run) > 2 else []
+                run = []
+            if 1 < n <= WIDEST:
                 segments.append(w)
                 if not w.isalnum() and len(bare := "".join(c for c in w if c.isalnum())) > 2:
                     segments.append(bare)
+            elif n:
+                segments += windows(w)
         if len(run) > 2:
-            joined = "".join(run)
-            segments += [joined[i : i + WIDEST] for i in range(0, max(1, len(joined) - WIDEST // 2), WIDEST // 2)]
+            segments += windows("".join(run))
         out.append(segments)
     return out
 
 
+def windows(s: str) -> list[str]:
+    """The string, or windows of ``WIDEST`` characters that share a half."""
+    return [s[i : i + WIDEST] for i in range(0, max(1, len(s) - WIDEST // 2), WIDEST // 2)]
+
+
 def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For strings of equal lengths together: their indexes, their character
     codes, the places of every subsequence of ``LENGTH`` characters, and the
@@ -96,7 +101,7 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         at = np.array(list(combinations(range(n), LENGTH)))
         weight = DECAY ** (at[:, -1] - at[:, 0] + 1.0)
         some = np.flatnonzero(lengths == n)
-        step = max(1, 300_000 // len(at))
+        step = max(1, min(1024, 300_000 // len(at)))
         for i in range(0, len(some), step):
             part = some[i : i + step]
             codes = np.frombuffer("".join(strings[k] for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
@@ -156,11 +161,17 @@ class Landmarks:
         for part, codes, at, weight in by_length(strings):
             small = self.letters[codes].astype(np.int32)
             place = self.places[(small[:, at[:, 0]] * k + small[:, at[:, 1]]) * k + small[:, at[:, 2]]]
-            row, which = np.nonzero(place)
-            if not len(row):
+            some = np.flatnonzero(place.any(axis=1))
+            if not len(some):
                 continue
-            some, first = np.unique(row, return_index=True)
-            sums = np.add.reduceat(self.rows[place[row, which]] * weight[which, None].astype(np.float32), first, axis=0)
+            columns = np.ascontiguousarray(place[some].T)
+            sums, part_sums, row = (np.zeros((len(some), len(self.strings)), np.float32) for _ in range(3))
+            for w in np.unique(weight):  # subsequences of one stretch are added up, then weighed together
+                part_sums[:] = 0
+                for i in np.flatnonzero(weight == w):
+                    np.take(self.rows, columns[i], axis=0, out=row, mode="clip")
+                    part_sums += row
+                sums += np.float32(w) * part_sums
             out[part[some]] = sums / np.sqrt(own_kernel(codes[some]))[:, None]
         return np.exp(-SHARPNESS * (1 - out))
 
@@ -234,10 +245,9 @@ def fit_texts(texts: list[str], y: np.ndarray, share_toxic: float, seed: int = 4
     if not (y == 1).any() or not (y == 0).any():
         return none
     rng = random.Random(seed)
-    bags = [{w for s in sentences(t) for w in s if len(w) >= LENGTH} for t in texts]
     toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        (toxic if label else clean).update(bag)
+    for t, label in zip(texts, y):
+        (toxic if label else clean).update({w for s in sentences(t) for w in s if len(w) >= LENGTH})
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     lift = {w: (c / n1) / ((clean[w] + 1) / n0) for w, c in toxic.items() if c >= max(3, 0.003 * n1)}
     stand_out = sorted((w for w in lift if lift[w] >= 4), key=lambda w: (-lift[w] * math.sqrt(toxic[w]), w))
@@ -266,7 +276,7 @@ def fit_texts(texts: list[str], y: np.ndarray, share_toxic: float, seed: int = 4
         if turn == 0:
             all_clean = sorted(x for x in clean if len(x) >= LENGTH)
             hard = Counter({x: clean[x] for x, v in zip(all_clean, model.values(all_clean)) if v > 0})
-    worst = model.worst(texts, {})
+    worst = np.concatenate([model.worst(texts[i : i + 500], {}) for i in range(0, len(texts), 500)])
     weights = np.where(y == 1, share_toxic / (y == 1).mean(), (1 - share_toxic) / (y == 0).mean())
     model.curve = _curve(worst, y, weights)
     return model
