@@ -9,9 +9,10 @@ times, as (hash, 1) to (hash, L). Segments are broadcast together; a count is
 read by probing level after level until a probe fails. Pair counts are
 smoothed with the word's probability (Dirichlet prior).
 
-The filter's size follows the corpus up to ``FILTER_MB``. Beyond that the
-levels begin at a higher count, so that rarer pairs have level 0 and the
-smoothing alone gives their probability; nothing is left out of the counting.
+The filter grows with the corpus: every n-gram seen once has a level at every
+size. Up to ``FILTER_MB`` it is broadcast; a larger one stays in its stored
+segments, and the distinct n-grams of some texts are sent to the segments and
+their levels back. Both ways read the same bits and give the same scores.
 
 The base score uses exact counts: the most frequent words are broadcast (at
 most ``HEAD`` of them), all others are joined.
@@ -32,13 +33,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, load_documents, raw, slices, small_batches, stored
 
-#: The broadcast filter is at most so large; so many bits for each entry below that.
+#: A filter up to so large is broadcast; it has so many bits for each entry.
 FILTER_MB, BITS, PROBES = 96, 8.0, 2
+#: Texts of about so many bytes ask a larger filter together.
+ASK_BYTES = 4 << 20
 #: At most so many words have their exact counts broadcast.
 HEAD = 500_000
 #: Weight of the word's probability in a pair's.
@@ -47,6 +51,8 @@ PRIOR = 200.0
 BASES = {1: math.sqrt(2.0), 2: 2.0}
 #: A task deals its counts out after so many tokens.
 TOKENS = 1_000_000
+#: Segments of the model are never cut: least counts stay 1.
+WHOLE = 1 << 62
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b"")  # words are never empty
 
@@ -121,6 +127,20 @@ def segment(h: np.ndarray, counts: np.ndarray, base: float, most_bits: int) -> t
     return out.tobytes(), bits, least
 
 
+def probed(data: np.ndarray, h: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels: they are probed upwards until one is missing."""
+    level = np.zeros(len(h), np.int64)
+    at, live = 1, np.arange(len(h))
+    while len(live):
+        for probe in range(PROBES):
+            p = positions(h[live], at, probe, bits[live])
+            there = (data[begin[live] + (p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1
+            live = live[there == 1]
+        level[live] = at
+        at += 1
+    return level
+
+
 @dataclass
 class Filter:
     """Segments of one order, one for each value of the hash's first bits."""
@@ -133,25 +153,20 @@ class Filter:
     base: float
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts: levels are probed upwards until one is missing."""
+        """Quantised counts."""
         part = (h >> _U(self.shift)).astype(np.int64)
-        begin, bits = self.begins[part], self.bits[part]
-        level = np.zeros(len(h), np.int64)
-        at, live = 1, np.arange(len(h))
-        while len(live):
-            for probe in range(PROBES):
-                p = positions(h[live], at, probe, bits[live])
-                there = (self.data[begin[live] + (p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1
-                live = live[there == 1]
-            level[live] = at
-            at += 1
-        return level_value(level, self.least[part], self.base)
+        return level_value(probed(self.data, h, self.begins[part], self.bits[part]), self.least[part], self.base)
+
+
+def part_edges(parts: int) -> np.ndarray:
+    """The first hash of every part but the first."""
+    shift = 64 - (parts.bit_length() - 1)
+    return (np.arange(1, parts, dtype=np.uint64) << _U(shift)) if parts > 1 else np.zeros(0, _U)
 
 
 def dealt_counts(train: DataFrame, parts: int) -> DataFrame:
     """(n, part, hashes, counts): counts of words and pairs, as each task found them."""
-    shift = 64 - (parts.bit_length() - 1)
-    edges = (np.arange(1, parts, dtype=np.uint64) << _U(shift)) if parts > 1 else np.zeros(0, _U)
+    edges = part_edges(parts)
 
     def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for n, arrays in zip((1, 2), held):
@@ -182,15 +197,14 @@ def dealt_counts(train: DataFrame, parts: int) -> DataFrame:
     return train.select(raw("text").alias("raw")).mapInArrow(run, "n int, part int, hashes binary, counts binary")
 
 
-def merged_counts(dealt: DataFrame, parts: int, filter_mb: int) -> DataFrame:
+def merged_counts(dealt: DataFrame) -> DataFrame:
     """One row for each order and part: its filter segment and, of words, all
     hashes with exact counts (``histogram``: words by the binary logarithm)."""
-    most = {1: filter_mb * 8_000_000 // 3 // parts, 2: filter_mb * 16_000_000 // 3 // parts}
     schema = "n int, part int, filter binary, bits long, least long, hashes binary, counts binary, tokens long, types long, histogram array<long>"
 
     def done(n: int, part: int, hashes: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
         h, c = counted(np.frombuffer(b"".join(hashes), _U), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-        data, bits, least = segment(h, c, BASES[n], most[n])
+        data, bits, least = segment(h, c, BASES[n], WHOLE)
         logs = np.bincount(np.log2(c).astype(np.int64), minlength=64) if n == 1 else np.zeros(64, np.int64)
         row = [[n], [part], [data], [bits], [least], [h.tobytes() if n == 1 else b""], [c.tobytes() if n == 1 else b""], [int(c.sum())], [len(c)], [logs.tolist()]]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -219,8 +233,9 @@ class Model:
     head: np.ndarray
     head_counts: np.ndarray
     least_head: int
-    words: Filter
-    pairs: Filter
+    parts: int
+    words: Filter | None  # None: the filter is too large to broadcast
+    pairs: Filter | None
 
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.types + 1))
@@ -265,7 +280,7 @@ def word_counts(merged: DataFrame, low: int, high: int | None = None) -> DataFra
 def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and the stored counts that it was made from."""
     parts = 1 << max(9, math.ceil(math.log2(max(8 * train.rdd.getNumPartitions(), 1))))
-    merged = stored(merged_counts(dealt_counts(train, parts), parts, filter_mb), "lm-counts")
+    merged = stored(merged_counts(dealt_counts(train, parts)), "lm-counts")
     rows = merged.select("n", "part", "bits", "least", "tokens", "types", "histogram").collect()  # one short row for each part
     words = [r for r in rows if r.n == 1]
     upwards = np.cumsum(np.sum([r.histogram for r in words], axis=0)[::-1])[::-1] if words else np.zeros(64, np.int64)
@@ -273,30 +288,108 @@ def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple
     few = word_counts(merged, least).toArrow()  # ``head`` rows at most
     h, c = few["h"].to_numpy().view(_U), few["c"].to_numpy()
     order = np.argsort(h)
-    filters = _filters(merged, rows, parts)
-    model = Model(sum(r.tokens for r in words), sum(r.types for r in words), h[order], c[order], least, filters[1], filters[2])
+    small = sum(r.bits // 8 + 1 for r in rows) <= filter_mb * 1_000_000
+    filters = _filters(merged, rows, parts) if small else {1: None, 2: None}
+    model = Model(sum(r.tokens for r in words), sum(r.types for r in words), h[order], c[order], least, parts, filters[1], filters[2])
     return model, merged
 
 
-def score_texts(texts: list[bytes], model: Model, prior: float = PRIOR) -> Iterator[tuple[int, int, float, float, list[int]]]:
+Scored = tuple[int, int, float, float, list[int]]
+
+
+def score_slice(h: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray, quantised: np.ndarray,
+                together: np.ndarray, model: Model, prior: float) -> Iterator[Scored]:
+    """Scores from the tokens, the filter's counts of distinct words and those of all pairs."""
+    begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    exact = model.exact(distinct)[of]
+    base = np.where(exact > 0, np.log10(model.word_probability(exact)), 0.0)
+    word = model.word_probability(quantised)[of]
+    before = np.empty(len(h))
+    before[1:] = quantised[of[:-1]]
+    before[0] = quantised[np.searchsorted(distinct, _U(END))]  # every text has an end
+    chance = (together + prior * word) / (np.maximum(before, together) + prior)
+    known, base, score = (np.add.reduceat(v, begins) for v in ((exact > 0).astype(np.int64), base, np.log10(chance)))
+    rare = exact == 0
+    for i, (x, n) in enumerate(zip(begins.tolist(), counts.tolist())):
+        yield n, int(known[i]), float(base[i]), float(score[i]), h[x : x + n][rare[x : x + n]].view(np.int64).tolist()
+
+
+def score_texts(texts: list[bytes], model: Model, prior: float = PRIOR) -> Iterator[Scored]:
     """For each text: tokens, frequent tokens, their base score, the model's score, hashes of the other tokens."""
     for a, b in slices(texts):
         h, counts = tokens(texts[a:b])
-        begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
         distinct, of = np.unique(h, return_inverse=True)
-        exact = model.exact(distinct)[of]
-        base = np.where(exact > 0, np.log10(model.word_probability(exact)), 0.0)
-        quantised = model.words.count(distinct)
-        word = model.word_probability(quantised)[of]
-        before = np.empty(len(h))
-        before[1:] = quantised[of[:-1]]
-        before[0] = model.words.count(np.array([END], _U))[0]
-        together = model.pairs.count(pairs(h, counts))
-        chance = (together + prior * word) / (np.maximum(before, together) + prior)
-        known, base, score = (np.add.reduceat(v, begins) for v in ((exact > 0).astype(np.int64), base, np.log10(chance)))
-        rare = exact == 0
-        for i, (x, n) in enumerate(zip(begins.tolist(), counts.tolist())):
-            yield n, int(known[i]), float(base[i]), float(score[i]), h[x : x + n][rare[x : x + n]].view(np.int64).tolist()
+        yield from score_slice(h, counts, distinct, of, model.words.count(distinct), model.pairs.count(pairs(h, counts)), model, prior)
+
+
+SCORES = "n_tokens long, known long, base double, score double, rare array<long>"
+
+
+def score_columns(rows: list[Scored]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
+
+
+def scored_by_parts(docs: DataFrame, merged: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, held_out, raw) with their scores, by a
+    filter of any size: a task holds one segment, or the levels of one bundle
+    of texts. A bundle asks for each of its distinct n-grams once."""
+    edges = part_edges(parts)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("raw").to_pylist(), ASK_BYTES):
+                columns = [pa.array([c.slice(a, b - a).to_pylist()], pa.list_(c.type)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "raw"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                h, counts = tokens(texts)
+                for n, all_of in ((1, h), (2, pairs(h, counts))):
+                    one = np.unique(all_of)
+                    cut = np.concatenate(([0], np.searchsorted(one, edges), [len(one)]))
+                    some = np.flatnonzero(np.diff(cut))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(some), n, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), bundle, np.int64)),
+                        pa.array([one[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.int64())],
+                        names=["n", "part", "bundle", "data", "bits"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, data, bits = None, None, 0
+        for batch in batches:
+            out = []
+            for n, part, bundle, some, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if bundle is None:  # the segment comes before what asks it
+                    key, data, bits = (n, part), np.frombuffer(some, np.uint8), size
+                    continue
+                h = np.frombuffer(some, _U)
+                level = probed(data, h, np.zeros(len(h), np.int64), np.full(len(h), bits)) if key == (n, part) else np.zeros(len(h))
+                out.append((bundle, n, part, level.astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bundle", "n", "part", "levels"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, held, texts = (batch.column(c)[i].values for c in ("doc_id", "held_out", "raw"))
+                level: dict[int, list[bytes]] = {1: [], 2: []}
+                for a in sorted(batch.column("answers")[i].as_py(), key=lambda a: (a["n"], a["part"])):
+                    level[a["n"]].append(a["levels"])
+                value = {n: level_value(np.frombuffer(b"".join(v), np.uint8).astype(float), np.ones(1), BASES[n]) for n, v in level.items()}
+                h, counts = tokens(texts.to_pylist())
+                distinct, of = np.unique(h, return_inverse=True)
+                _, at = np.unique(pairs(h, counts), return_inverse=True)
+                rows = list(score_slice(h, counts, distinct, of, value[1], value[2][at], shared.value, PRIOR))
+                yield pa.RecordBatch.from_arrays([ids, held, *score_columns(rows)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+
+    bundles = docs.mapInArrow(bundled, f"doc_id array<{kind}>, held_out array<boolean>, raw array<binary>")
+    bundles = stored(bundles.withColumn("bundle", F.monotonically_increasing_id()), "lm-bundles")
+    asked = bundles.select("bundle", "raw").mapInArrow(ask, "n int, part int, bundle long, data binary, bits long")
+    segments = merged.select("n", "part", F.lit(None).cast("long").alias("bundle"), F.col("filter").alias("data"), "bits")
+    dealt = segments.unionByName(asked).repartition("n", "part").sortWithinPartitions("n", "part", F.col("bundle").asc_nulls_first())
+    answers = dealt.mapInArrow(answer, "bundle long, n int, part int, levels binary").groupBy("bundle").agg(F.collect_list(F.struct("n", "part", "levels")).alias("answers"))
+    return bundles.join(answers, "bundle").select("doc_id", "held_out", "raw", "answers").mapInArrow(score, f"doc_id {kind}, held_out boolean, {SCORES}")
 
 
 def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head: int = HEAD) -> DataFrame:
@@ -306,16 +399,16 @@ def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head:
         model, merged = fit(docs.where(~held_out), filter_mb, head)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+    schema = f"doc_id {kind}, held_out boolean, {SCORES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(score_texts(batch.column("raw").to_pylist(), shared.value))
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *score_columns(rows)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-    first = docs.select("doc_id", held_out.alias("held_out"), raw("text").alias("raw")).mapInArrow(run, schema)
+    first = docs.select("doc_id", held_out.alias("held_out"), raw("text").alias("raw"))
     with small_batches(spark):
+        first = first.mapInArrow(run, schema) if model.words else scored_by_parts(first, merged, shared, model.parts)
         first = stored(first.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     rare = first.select("uid", F.explode("rare").alias("h")).join(word_counts(merged, 1, model.least_head), "h", "left")
     c, total = F.coalesce("c", F.lit(0)), model.tokens + 0.1 * (model.types + 1)

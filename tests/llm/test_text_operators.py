@@ -343,6 +343,13 @@ def test_language_model_base_and_filter(spark, documents):
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+def test_filter_too_large_to_broadcast_gives_the_same_scores(spark, documents):
+    docs = documents([(i, t) for i, t in _texts(300)] + [(9001, None), (9002, ""), (9003, "never seen zzyzx"), (None, "no id")])
+    held = crc_mod("doc_id", 10) == 0
+    want, got = (sorted(map(str, lm.scored(docs, held, filter_mb=mb).collect())) for mb in (96, 0))
+    assert got == want
+
+
 @pytest.mark.parametrize("most_bits", [1 << 30, 4000])
 def test_bloom_levels(most_bits):
     rng = np.random.default_rng(0)
