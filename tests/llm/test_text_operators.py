@@ -200,6 +200,41 @@ def test_windows_equal_brute_force():
             assert (i in found) == (best >= 1.0) or 0.8 <= best < 1.0
 
 
+def _altered_items(n, change, inside, rng, trials=100):
+    """Items, and as many texts that each have one item, changed; only those still at 0.8 count."""
+    items = [[f"v{rng.randrange(5000)}" for _ in range(n)] for _ in range(trials)]
+    texts, counts = [], []
+    for item in items:
+        words = list(item)
+        if change < 0:
+            cut = rng.randint(0, -change)
+            words = words[cut : n + change + cut]
+        for _ in range(change):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = ["changed"] * rng.randint(0, 1)
+        around = [[f"f{rng.randrange(5000)}" for _ in range(rng.randint(50, 300))] if inside else [] for _ in range(2)]
+        words = [*around[0], *words, *around[1]]
+        sh = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        counts.append(max(dec.weighted_similarity(sh(words[max(s, 0) : s + n]), sh(item)) for s in range(-n // 4, max(1, len(words) - n // 2))) >= 0.8)
+        texts.append(" ".join(words).encode())
+    return [" ".join(x).encode() for x in items], texts, counts
+
+
+@pytest.mark.parametrize("n, change, inside, least", [
+    (60, -8, False, 1.0), (60, -10, False, 1.0), (100, -15, False, 1.0), (100, -18, False, 1.0), (60, -6, True, 1.0), (100, -10, True, 1.0), (15, -1, True, 1.0),
+    (60, 1, True, 0.98), (60, 2, True, 0.95), (100, 2, True, 0.95), (100, 3, True, 0.95), (60, 1, False, 0.98)])
+def test_shortened_and_changed_items_are_found(n, change, inside, least):
+    items, texts, counts = _altered_items(n, change, inside, random.Random(n + change))
+    index = dec.build_index(list(range(len(items))), items)
+    for one in index.sizes.values():
+        one.build()
+    got = dec.search(texts, index)
+    hits = [i in found for i, (found, c) in enumerate(zip(got, counts)) if c]
+    assert len(hits) >= 5 and np.mean(hits) >= least
+    assert got == [dec.search([t], index)[0] for t in texts]  # whatever stands beside a text
+    assert got == dec.search(texts[::-1], index)[::-1]
+
+
 def test_index_blocks_find_all_within_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
