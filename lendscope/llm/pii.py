@@ -2,7 +2,7 @@
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers.
 Beside them, a semi-Markov field reads the stretches of a text that have
-digits or at-signs: it scores candidate segments of up to ``LONGEST`` chunks
+digits, at-signs or a spelled-out "at" with a dot after it: it scores candidate segments of up to ``LONGEST`` chunks
 with features of the whole segment (shape, number of digits, check digit,
 separators), and a dynamic programme over segments of bounded length chooses
 boundaries and types together. It is trained on stretches of a bounded sample
@@ -11,8 +11,8 @@ patterns miss (spelled-out at-signs and dots, other separators). What it adds
 must not touch a base span and must be certain (marginal of the segment).
 
 Offsets are code points, end exclusive. Defined results: a null text is
-empty; rows are read one by one, also repeated ones; a text without digits and
-at-signs has no spans; an empty table gives no rows; without any base span in
+empty; rows are read one by one, also repeated ones; a text without digits,
+at-signs and spelled-out ones has no spans; an empty table gives no rows; without any base span in
 the sample the field adds nothing.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import free_name, load_documents, raw
 
 KINDS = ("email", "ip", "card", "phone")
-#: A segment has at most so many chunks; a stretch is cut after so many.
+#: A segment has at most so many chunks; a piece that is trained on has so many.
 LONGEST, STRETCH = 8, 64
 #: The field is trained on the stretches of at most so many documents.
 SAMPLE = 3000
@@ -97,58 +97,91 @@ def joined(spans: list[Span]) -> str:
 # The field.
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_LIVE = re.compile(r"[0-9@]|[(\[{<]at[)\]}>]", re.I)
+#: Digits, at-signs, and "at" before a chunk with a dot or before "dot" a few chunks on.
+_LIVE = re.compile(r"""[0-9@]|[(\[{<]at[)\]}>]|(?<![^\x20\x09-\x0D])at(?=[\x20\x09-\x0D]{1,2}(?:
+    [^\x20\x09-\x0D]*?(?:[(\[{<]dot[)\]}>]|[A-Z0-9-]\.[A-Z])
+    |(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]{1,2}){1,3}(?:dot(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]*?[(\[{<]dot[)\]}>])))""", re.I | re.X)
 _AT = re.compile(r"@|[(\[{<]at[)\]}>]|(?<![^\s])at(?![^\s])", re.I)
 _DOT = re.compile(r"\.|[(\[{<]dot[)\]}>]|(?<![^\s])dot(?![^\s])", re.I)
 _OCTETS = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|,|[(\[{<]dot[)\]}>]|\bdot\b)\s*[0-9]{1,3}){3}", re.I)
 _GROUPS = re.compile(r"[0-9]+")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9\s().+/\-]*[0-9]")
 _TRIM_LEFT, _TRIM_RIGHT = " \t\n\r\v\f\"'`,;:!?.)]}>#*$%&|=~_^/\\-", " \t\n\r\v\f\"'`,;:!?.([{<#*$%&|=~_^/\\-+"
-_WORDS = {"at", "dot"}
+_ADDRESS = re.compile(r"[A-Z0-9._%+-]++(?:\s*+(?:@|[(\[{<]at[)\]}>])\s*+|\s++at\s++)[A-Z0-9-]++(?:(?:\s*+(?:\.|[(\[{<]dot[)\]}>])\s*+|\s++dot\s++)[A-Z0-9-]++)++", re.I)
+_GOES_ON = re.compile(r"\s+(?:dot(?!\S)|[(\[{<]dot[)\]}>])", re.I)
+_WORDS = {"at", "dot", "@", "."}
+#: Such words join what lies so many chunks from them; one chunk more may belong to it.
+_JOIN = 3
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of chunks with a digit or at-sign, and what may join them: "at" and
-    "dot" between chunks, with one chunk on either side of such a word."""
-    if not _LIVE.search(text):
-        return []
-    chunks = [m.span() for m in _CHUNK.finditer(text)] if len(text) < 2000 else _near_chunks(text)
-    live = [bool(_LIVE.search(text, a, b)) for a, b in chunks]
-    words = [text[a:b].lower() in _WORDS for a, b in chunks]
-    keep = list(live)
-    for i, w in enumerate(words):
-        if w and any(live[max(0, i - 3) : i + 4]):
-            for j in range(max(0, i - 1), min(len(chunks), i + 2)):
-                keep[j] = True
+    """Runs of live chunks, and what may join them: "at", "dot" and their signs
+    a few chunks from a live chunk or from another such word, with one chunk
+    on either side of each. A run has any length."""
+    live = {m.start() for m in _LIVE.finditer(text)}
     out: list[list[tuple[int, int]]] = []
-    last = -2
-    for i, k in enumerate(keep):
-        if k:
-            near = i == last + 1 and chunks[i][0] - chunks[i - 1][1] <= 2 and len(out[-1]) < STRETCH
-            if near:
-                out[-1].append(chunks[i])
-            else:
-                out.append([chunks[i]])
-            last = i
+    for chunks, first in _near_chunks(text, sorted(live)):
+        words = [text[a:b].strip("()[]{}<>").lower() in _WORDS or text[a:b] in _WORDS for a, b in chunks]
+        anchors, keep = list(first), list(first)
+        for order in (range(len(chunks)), range(len(chunks) - 1, -1, -1)):
+            last = None
+            for i in order:
+                if words[i] and last is not None and abs(i - last) <= _JOIN:
+                    anchors[i] = True
+                if anchors[i]:
+                    last = i
+        for i, w in enumerate(words):
+            if w and anchors[i]:
+                for j in range(max(0, i - 1), min(len(chunks), i + 2)):
+                    keep[j] = True
+        last = -2
+        for i, k in enumerate(keep):
+            if k:
+                if i == last + 1 and chunks[i][0] - chunks[i - 1][1] <= 2:
+                    out[-1].append(chunks[i])
+                else:
+                    out.append([chunks[i]])
+                last = i
     return out
 
 
-def _near_chunks(text: str, reach: int = 60) -> list[tuple[int, int]]:
-    """Chunks within ``reach`` characters of a digit or at-sign."""
-    out: list[tuple[int, int]] = []
-    done = 0
-    for m in _LIVE.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = max(done, m.start() - reach), min(len(text), m.end() + reach)
-        while a > done and text[a - 1] not in " \t\n\r\v\f":
-            a -= 1
-        for c in _CHUNK.finditer(text, a):
-            if c.start() >= b:
+def _near_chunks(text: str, live: list[int]) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
+    """Windows of chunks, each with whether it is live: those around every live
+    place, as far as words join them; windows that touch are one."""
+    x, end = 0, 0
+    while x < len(live):
+        chunks: list[tuple[int, int]] = []
+        place, left = live[x], _JOIN + 1
+        while place > end and text[place - 1] not in " \t\n\r\v\f":
+            place -= 1
+        begin = place
+        while left and begin > end:
+            b = begin
+            while b > end and text[b - 1] in " \t\n\r\v\f":
+                b -= 1
+            a = b
+            while a > end and text[a - 1] not in " \t\n\r\v\f":
+                a -= 1
+            if a == b:
                 break
-            out.append(c.span())
-            done = c.end()
-    return out
+            left = _JOIN + 1 if text[a:b].strip("()[]{}<>").lower() in _WORDS or text[a:b] in _WORDS else left - 1
+            begin = a
+        first: list[bool] = []
+        left = 2 * (_JOIN + 1)  # so far may two windows lie apart and still touch
+        for m in _CHUNK.finditer(text, begin):
+            if not left:
+                break
+            a, end = m.span()
+            chunks.append((a, end))
+            here = False
+            while x < len(live) and live[x] < end:
+                here, x = True, x + 1
+            first.append(here)
+            if here or text[a:end].strip("()[]{}<>").lower() in _WORDS or text[a:end] in _WORDS:
+                left = 2 * (_JOIN + 1)
+            elif a >= place:
+                left -= 1
+        yield chunks, first
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -159,7 +192,7 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-N_FEATURES = 22
+N_FEATURES = 23
 
 
 def segment_features(text: str, a: int, b: int, n_chunks: int) -> list[float]:
@@ -179,6 +212,7 @@ def segment_features(text: str, a: int, b: int, n_chunks: int) -> list[float]:
         float(n == 0), min(n, 24) / 24, min(letters, 40) / 40, float(letters == 0), float(ats == 1), float(ats > 1),
         float(ats == 1 and dots >= 1), float(ats == 1 and dots >= 1 and bool(letters)), min(dots, 6) / 6, float("(" in s or ")" in s),
         float(bool(head) and bool(tail)), float(number and len(groups) >= 3), float(any(c in s for c in "\"=$#*%&|{}<>!")),
+        float(bool(_ADDRESS.fullmatch(s)) and not _GOES_ON.match(text, b)),
     ]
 
 
@@ -191,7 +225,7 @@ class Field:
 
 def candidates(text: str, chunks: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """All segments of a stretch as (first chunk, chunk after, start, end) and their features."""
-    segments, rows = [], []
+    segments, rows, done = [], [], [np.zeros((0, N_FEATURES))]
     for i in range(len(chunks)):
         for j in range(i + 1, min(len(chunks), i + LONGEST) + 1):
             a, b = trimmed(text, chunks[i][0], chunks[j - 1][1])
@@ -201,7 +235,10 @@ def candidates(text: str, chunks: list[tuple[int, int]]) -> tuple[list[tuple[int
                 a, b = chunks[i]
             segments.append((i, j, a, b))
             rows.append(segment_features(text, a, b, j - i))
-    return segments, np.array(rows)
+        if len(rows) > 4096:
+            done.append(np.array(rows))
+            rows = []
+    return segments, np.concatenate([*done, np.array(rows).reshape(-1, N_FEATURES)])
 
 
 def _scores(rows: np.ndarray, segments: list[tuple[int, int, int, int]], weights: np.ndarray) -> np.ndarray:
@@ -275,7 +312,7 @@ def field_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     out: list[Span] = []
     taken = sorted((a, b) for _, a, b in base)
     for chunks in stretches(text):
-        if all(any(a < y and x < b for x, y in taken) for a, b in chunks if _LIVE.search(text, a, b)):
+        if all(any(a < y and x < b for x, y in taken) for a, b in chunks):
             continue
         segments, rows = candidates(text, chunks)
         scores = _scores(rows, segments, field.weights)
@@ -321,7 +358,7 @@ def variants(text: str, spans: list[Span], rng: random.Random) -> tuple[str, lis
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Field | None:
     """The field, from the documents with the smallest hash among those with a
-    digit or at-sign; their stretches with a little around are cut out on the
+    stretch; their stretches with a little around are cut out on the
     executors, and at most ``sample`` rows of bounded size reach the driver."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,15 +369,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Field | None:
                 if not runs:
                     continue
                 digest = int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "big", signed=True)
-                run = runs[digest % len(runs)]
+                pieces = [r[i : i + STRETCH] for r in runs for i in range(0, len(r), STRETCH)]
+                run = pieces[digest % len(pieces)]
                 a, e = max(0, run[0][0] - 30), min(len(text), run[-1][1] + 30)
                 if e - a < 2000:
                     order.append(digest)
                     out.append(text[a:e])
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(out, pa.string())], names=["at", "cut"])
 
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(raw("text").alias("raw"))
-    rows = some.mapInArrow(cut, "at long, cut string").orderBy("at", "cut").limit(sample).collect()
+    rows = docs.select(raw("text").alias("raw")).mapInArrow(cut, "at long, cut string").orderBy("at", "cut").limit(sample).collect()
     rng = random.Random(seed)
     examples = []
     for text in sorted({r.cut for r in rows}):

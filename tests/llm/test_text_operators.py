@@ -65,6 +65,41 @@ def test_field_prefers_whole_segments():
     assert pii.field_spans("version 3.0 of 4", [], field) == []
 
 
+def _address_field():
+    rng = random.Random(4)
+    examples = []
+    for i in range(240):
+        text = rng.choice([f"please write to ann{chr(97 + i % 26)}@mail.example.com now", f"ring +1 (2{i:03d}) 555-65 today", f"we met at {i} by the mill", "she looked at the old red dot on it", f"version {i}.0 of 4"])
+        spans = pii.base_spans(text)
+        examples.append((text, spans))
+        if (more := pii.variants(text, spans, rng)) is not None:
+            examples.append(more)
+    return pii.train(examples)
+
+
+def test_spelled_out_addresses_are_found_in_short_and_long_texts():
+    field = _address_field()
+    river = "The river ran past the old mill and the miller counted every sack of grain. "
+    for form in ("john at mail dot com", "john at mail dot example dot com", "john(at)mail dot example dot com", "john (at) mail (dot) example (dot) com"):
+        text = f"room 7 is where you leave your things for the week, write to {form} please"
+        for t in (text, text + " " + river * 40, river * 40 + text):
+            assert form in [t[a:b] for _, a, b in pii.field_spans(t, [], field)], (form, len(t))
+        shift = len(river) * 40
+        assert [[(a + shift, b + shift) for a, b in s] for s in pii.stretches(text)] == pii.stretches(river * 40 + text)
+    assert pii.stretches(river * 40) == []
+
+
+def test_runs_are_not_cut():
+    table = " ".join(str(i % 10) for i in range(1000))
+    assert [len(s) for s in pii.stretches(table)] == [1000]
+    weights = np.zeros((len(pii.KINDS) + 1, pii.N_FEATURES))
+    weights[1:, 0], weights[1, pii.N_FEATURES - 1] = -9, 18  # sure of whole addresses
+    field = pii.Field(weights)
+    for n in range(56, 72):  # across the 64th chunk
+        t = " ".join("x7;" for _ in range(n)) + " john at mail dot example dot com"
+        assert "john at mail dot example dot com" in [t[a:b] for _, a, b in pii.field_spans(t, [], field)], n
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     segments = [(i, j, i, j) for i in range(4) for j in range(i + 1, min(4, i + 3) + 1)]
