@@ -55,13 +55,15 @@ LOWEST = -1.5
 ALTERED = 0.15
 
 _EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|#*$%&~_=+/\\-`^"
-_SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+#: Not between single letters with a mark after each, nor beside a mark that stands alone.
+_SENTENCE = re.compile(r"(?<=[.!?])(?<!(?<![^\W_])[^\W_][.!?])(?<![\x20\x09-\x0D][.!?])[\x20\x09-\x0D]+"
+                       r"|(?<=[.!?])[\x20\x09-\x0D]+(?![^\W_](?![^\W_])|[^\w\x20\x09-\x0D]+[\x20\x09-\x0D])|\n")
 
 
 def sentences(text: str) -> list[list[str]]:
     """Segments of each sentence: words without marks at their edges, also
     without those within, windows of very long ones, and runs of three or more
-    single characters as one."""
+    single characters as one, with marks after or between them too."""
     out = []
     for sentence in _SENTENCE.split(text.lower()):
         segments: list[str] = []
@@ -69,8 +71,8 @@ def sentences(text: str) -> list[list[str]]:
         for word in sentence.split():
             w = word.strip(_EDGES)
             n = len(w)
-            if n == 1:
-                run.append(w)
+            if n <= 1:  # a mark that stands alone doesn't end a run
+                run += [w] if n else []
                 continue
             if run:
                 segments += windows("".join(run)) if len(run) > 2 else []

@@ -180,6 +180,12 @@ def test_toxicity_tolerates_gaps_and_insertions(toxic_model):
     assert (toxic_model.score([clean, "", "a b", "x" * 5000], {}) < toxicity.THRESHOLD).all()
 
 
+@pytest.mark.parametrize("form", ["f * r * o * b * n * i * k", "f. r. o. b. n. i. k", "f. r. o. b. n. i. k.", "f . r . o . b . n . i . k", "f ! r ! o ! b ! n ! i ! k", "f - r o - b n * i k"])
+def test_runs_go_on_over_marks(toxic_model, form):
+    assert "frobnik" in [w for s in toxicity.sentences(f"You {form} there. The river ran.") for w in s]
+    assert toxic_model.score([f"the river ran past the mill you {form} and {form}"], {})[0] >= toxicity.THRESHOLD
+
+
 # op4
 
 
