@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    conversation_repair,
+    conversation_trie,
     decontamination,
     language_model,
     line_quality,
+    minhash_dedup,
     mixing,
     pii,
     quality_rules,
@@ -37,6 +40,9 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.op8,
     "op9_line_quality": line_quality.op9,
     "op10_language_model": language_model.op10,
+    "op11_minhash_near_dedup": minhash_dedup.op11,
+    "op12_conversation_repair": conversation_repair.op12,
+    "op13_conversation_prefix_trie": conversation_trie.op13,
     "pipeline": pipeline,
 }
 
