@@ -28,18 +28,17 @@ class ImputeParams:
 def fit_median_imputer(df: DataFrame, cols: list[str], median_kw: dict | None = None) -> ImputeParams:
     """C1 fit: median of every column that holds nulls (exact, bounded memory).
 
-    One aggregation gives null counts and extents for all columns; medians are
-    then computed only for the columns with nulls. NaN is missing, like null.
+    One pass gives null counts and brackets for all columns, a second one the
+    medians of the columns with nulls. NaN is missing, like null.
     """
-    aggs = []
+    parts = {}
     for i, c in enumerate(cols):
         x = quantiles.value(c)
-        aggs += [F.count_if(x.isNull()).alias(f"z{i}"), *quantiles.extent_aggs(x, f"c{i}")]
-    row = df.agg(*aggs).first()
+        parts |= {f"z{i}": quantiles.counted_if(x.isNull()), **quantiles.bracket_parts(x, f"c{i}")}
+    row = quantiles.two_level(df, parts)
     nulls = {c: row[f"z{i}"] for i, c in enumerate(cols)}
-    need = [c for c in cols if nulls[c] > 0]
-    extents = {c: quantiles.extent_of(row, f"c{i}") for i, c in enumerate(cols) if c in need}
-    medians = quantiles.exact_medians(df, need, extents=extents, **(median_kw or {})) if need else {}
+    need = {c: quantiles.bracket_of(row, f"c{i}") for i, c in enumerate(cols) if nulls[c] > 0}
+    medians = quantiles.exact_medians(df, list(need), first=need, **(median_kw or {})) if need else {}
     return ImputeParams(nulls, {c: medians[c] for c in need if medians[c] is not None})
 
 

@@ -1,46 +1,50 @@
-"""Exact medians without holding a whole column in one task.
+"""Exact medians in two passes, without holding a column in one task.
 
 Spark's built-in ``median`` is exact, but its final merge keeps every
-distinct value of the column in one task's memory. ``exact_medians`` instead
-
-1. reads, in one aggregation, how many values each column has, how many of
-   them are infinite on either side, and the smallest and largest finite one;
-2. narrows the value range around the wanted ranks: each round is one
-   distributed ``groupBy(column, bucket)`` with ``count / min / max``
-   (map-side partial aggregation, at most ``buckets`` rows per column come
-   back);
-3. as soon as a range holds at most ``collect_limit`` rows, counts its
-   distinct values and picks the rank.
-
-Every input takes this path. One rule for special values: NaN is missing,
-like null; infinities are values below and above all others. A round always
-makes a range smaller: its two ends fall into different buckets.
-
-Every column is handled in the same scans. The median of an even count is
+distinct value of the column in one task's memory. Here
+
+1. a first aggregation reads, for each column, how many values it has and a
+   mergeable quantile sketch of bounded size (KLL), whose quantiles a little
+   below and above one half bracket the wanted ranks. Sketches are merged in
+   ``GROUPS`` groups before they meet, so that no task merges one for every
+   input partition. Other aggregates can join this pass (``two_level``);
+2. a second pass counts what lies below each bracket and the values inside it
+   (some hundredths of all rows), which settles the ranks exactly.
+
+The counts of the second pass come back to the driver while they are few;
+beyond that they are a stored table, in which the ranges around the ranks
+are narrowed by histograms of ``buckets`` rows until few values are left.
+A bracket that misses its rank (the sketch errs with a probability far below
+one in a million) is found out by the counts, and the column is counted again
+without a bracket.
+
+One rule for special values: NaN is missing, like null; infinities are values
+below and above all others. The median of an even count is
 ``0.5 * lower + 0.5 * upper``, the formula Spark's ``median`` uses.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from . import joins
+
 DEFAULT_BUCKETS = 2048
 DEFAULT_COLLECT_LIMIT = 50_000
+#: Groups in which partial results meet before the last merge.
+GROUPS = 256
+#: Size of the sketch, and how far from one half the bracket's ends lie: four
+#: times the rank error that a sketch of this size keeps in 99 of 100 cases.
+SKETCH = 2048
+MARGIN = 4 * 2.296 / SKETCH ** 0.9021
 
-
-@dataclass
-class _Target:
-    key: str      # column name
-    rank: int     # 0-based rank wanted
-    lo: float | None
-    hi: float | None
-    below: int    # number of values < lo
-    n: int        # number of values in [lo, hi]
-    value: float | None = None
+#: A mergeable aggregate: what a group computes, and how groups are merged.
+Part = tuple[Column, Callable[[Column], Column]]
 
 
 def value(c: str) -> Column:
@@ -49,147 +53,219 @@ def value(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _value_exprs(cols, where) -> dict[str, Column]:
-    return {c: value(c) if (where or {}).get(c) is None else F.when(where[c], value(c)) for c in cols}
+def two_level(df: DataFrame, parts: dict[str, Part]) -> Row:
+    """All ``parts`` in one pass, merged in groups of input partitions and then once."""
+    groups = df.groupBy((F.spark_partition_id() % GROUPS).alias("__group")).agg(*(c.alias(name) for name, (c, _) in parts.items()))
+    return groups.agg(*(merge(F.col(name)).alias(name) for name, (_, merge) in parts.items())).first()
+
+
+def counted(x: Column) -> Part:
+    return F.count(x), lambda c: F.coalesce(F.sum(c), F.lit(0))
+
+
+def counted_if(condition: Column) -> Part:
+    return F.count_if(condition), lambda c: F.coalesce(F.sum(c), F.lit(0))
+
+
+def summed(x: Column) -> Part:
+    return F.sum(x), F.sum
+
+
+def smallest(x: Column) -> Part:
+    return F.min(x), F.min
+
+
+def largest(x: Column) -> Part:
+    return F.max(x), F.max
+
+
+def spread(x: Column) -> Part:
+    """(n, mean, m2): the count, mean and sum of squared deviations."""
+    own = F.struct(F.count(x).cast("double").alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"),
+                   F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("m2"))
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        far = b["mean"] - a["mean"]
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        return F.struct(n.alias("n"), (a["mean"] + far * share).alias("mean"), (a["m2"] + b["m2"] + far * far * a["n"] * share).alias("m2"))
+
+    def merge(c: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+        return F.aggregate(F.collect_list(c), zero, add)  # at most GROUPS entries
+
+    return own, merge
+
+
+def deviation(found: Row) -> float | None:
+    """The sample standard deviation from a ``spread``."""
+    return math.sqrt(found["m2"] / (found["n"] - 1)) if found["n"] > 1 else None
+
+
+def middle(x: Column) -> Part:
+    """(lo, hi): a bracket around the middle ranks of the values."""
+    def merge(c: Column) -> Column:
+        sketch = F.kll_merge_agg_double(c)
+        some = F.kll_sketch_get_n_double(sketch) > 0
+        ends = (("lo", 0.5 - MARGIN), ("hi", 0.5 + MARGIN))
+        return F.struct(*(F.when(some, F.kll_sketch_get_quantile_double(sketch, F.lit(q))).alias(name) for name, q in ends))
+
+    return F.kll_sketch_agg_double(x, SKETCH), merge
 
 
 @dataclass
-class Extent:
-    """Values of a column: how many, how many infinite ones, the finite range."""
+class Bracket:
+    """How many values a column has, and bounds around the middle ones."""
 
     n: int
-    n_low: int
-    n_high: int
     lo: float | None
     hi: float | None
 
 
-def extent_aggs(x: Column, prefix: str) -> list[Column]:
-    """The aggregates of an ``Extent``, to be put into any aggregation."""
-    finite = F.when(F.abs(x) < F.lit(math.inf), x)
-    return [F.count(x).alias(f"{prefix}_n"), F.count_if(x == -math.inf).alias(f"{prefix}_n_low"), F.count_if(x == math.inf).alias(f"{prefix}_n_high"),
-            F.min(finite).alias(f"{prefix}_lo"), F.max(finite).alias(f"{prefix}_hi")]
+def bracket_parts(x: Column, prefix: str) -> dict[str, Part]:
+    """What the first pass needs of a column."""
+    return {f"{prefix}_n": counted(x), f"{prefix}_middle": middle(x)}
+
+
+def bracket_of(row: Row, prefix: str) -> Bracket:
+    at = row[f"{prefix}_middle"]
+    return Bracket(row[f"{prefix}_n"], at and at["lo"], at and at["hi"])
 
 
-def extent_of(row, prefix: str) -> Extent:
-    return Extent(*(row[f"{prefix}_{k}"] for k in ("n", "n_low", "n_high", "lo", "hi")))
+def _value_exprs(cols, where) -> dict[str, Column]:
+    return {c: value(c) if (where or {}).get(c) is None else F.when(where[c], value(c)) for c in cols}
 
 
-def column_extents(df: DataFrame, cols, where=None) -> dict[str, Extent]:
-    """One pass over the non-null, non-NaN values of all columns."""
+def brackets(df: DataFrame, cols: list[str], where: dict[str, Column] | None = None) -> dict[str, Bracket]:
+    """The first pass over the non-null, non-NaN values of all columns."""
     exprs = _value_exprs(cols, where)
-    row = df.agg(*[a for i, c in enumerate(cols) for a in extent_aggs(exprs[c], f"c{i}")]).first()
-    return {c: extent_of(row, f"c{i}") for i, c in enumerate(cols)}
+    row = two_level(df, {k: p for i, c in enumerate(cols) for k, p in bracket_parts(exprs[c], f"c{i}").items()})
+    return {c: bracket_of(row, f"c{i}") for i, c in enumerate(cols)}
 
 
 def exact_medians(
     df: DataFrame,
     cols: list[str],
     where: dict[str, Column] | None = None,
-    extents: dict[str, Extent] | None = None,
+    first: dict[str, Bracket] | None = None,
     buckets: int = DEFAULT_BUCKETS,
     collect_limit: int = DEFAULT_COLLECT_LIMIT,
 ) -> dict[str, float | None]:
     """Exact median of each column (nulls and NaN skipped); None for no values.
 
     ``where`` maps a column to a condition: only rows meeting it count (E15).
-    ``extents`` may come from an earlier aggregation over the same rows.
+    ``first`` may come from an earlier aggregation over the same rows.
     """
     cols = list(cols)
     if not cols:
         return {}
+    first = first or brackets(df, cols, where)
     exprs = _value_exprs(cols, where)
-    ext = extents or column_extents(df, cols, where)
-    targets: list[_Target] = []
+    pending = {c: b for c, b in first.items() if c in cols and b.n}
+    found: dict[str, dict[int, float]] = {}
+    while pending:
+        counts = _counted(df, {c: exprs[c] for c in pending}, pending, collect_limit)
+        missed = {}
+        for i, (c, b) in enumerate(pending.items()):
+            ranks = sorted({(b.n - 1) // 2, b.n // 2})
+            values = counts.values_at(i, ranks, buckets, collect_limit)
+            if values is None:  # the bracket misses a rank: once more, without one
+                missed[c] = Bracket(b.n, None, None)
+            else:
+                found[c] = values
+        pending = missed
+    result: dict[str, float | None] = {}
     for c in cols:
-        e = ext[c]
-        for r in sorted({(e.n - 1) // 2, e.n // 2}) if e.n else []:
-            t = _Target(c, r, e.lo, e.hi, e.n_low, e.n - e.n_low - e.n_high)
-            if r < e.n_low:
-                t.value = -math.inf
-            elif r >= e.n - e.n_high:
-                t.value = math.inf
-            targets.append(t)
-    _select_ranks(df, exprs, targets, buckets, collect_limit)
-    result: dict[str, float | None] = {c: None for c in cols}
-    for c in cols:
-        ts = sorted((t for t in targets if t.key == c), key=lambda t: t.rank)
-        if ts:
-            lower, upper = ts[0].value, ts[-1].value
-            result[c] = lower if len(ts) == 1 else 0.5 * lower + 0.5 * upper
+        at = [found[c][r] for r in sorted(found[c])] if c in found else []
+        result[c] = None if not at else at[0] if len(at) == 1 else 0.5 * at[0] + 0.5 * at[-1]
     return result
 
 
-def _select_ranks(df, exprs, targets, buckets, collect_limit):
-    """Narrow each target's [lo, hi] until its rank's value is known."""
-    while True:
-        for t in targets:
-            if t.value is None and t.lo == t.hi:
-                t.value = t.lo
-        pending = [t for t in targets if t.value is None]
-        if few := [t for t in pending if t.n <= collect_limit]:
-            _finish_exact(df, exprs, few)
-        pending = [t for t in pending if t.value is None]
-        if not pending:
-            return
-        # One scan for all pending targets. Targets of the same column whose
-        # ranges coincide (the two middle ranks, usually) share one histogram,
-        # and a row only emits entries for the ranges it falls in.
-        ranges: dict = {}
-        for t in pending:
-            ranges.setdefault((t.key, t.lo, t.hi), len(ranges))
-        items = []
-        for (key, lo, hi), i in ranges.items():
-            x = exprs[key]
-            # Halved operands keep the width finite; only then, as halves of the smallest numbers vanish.
-            half = 1.0 if math.isfinite(hi - lo) else 0.5
-            b = F.least(F.lit(buckets - 1), F.floor((x * half - F.lit(lo * half)) / F.lit(hi * half - lo * half) * buckets))
-            in_range = x.between(F.lit(lo), F.lit(hi))
-            items.append(F.when(in_range, F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
-        hist = (
-            df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
-            .groupBy("e.t", "e.b")
-            .agg(F.count("*").alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi"))
-            .collect()
-        )
-        for t in pending:
-            seen = t.below
-            for r in sorted((r for r in hist if r["t"] == ranges[(t.key, t.lo, t.hi)]), key=lambda r: r["b"]):
-                if seen + r["n"] > t.rank:
-                    t.lo, t.hi, t.below, t.n = r["lo"], r["hi"], seen, r["n"]
-                    break
-                seen += r["n"]
-            else:  # pragma: no cover - counts always cover the rank
-                raise RuntimeError(f"rank {t.rank} of {t.key} not found")
-
-
-def _finish_exact(df, exprs, targets):
-    """Count the distinct values inside each small final range (at most
-    ``collect_limit`` rows), then pick the rank."""
+def _counted(df: DataFrame, exprs: dict[str, Column], within: dict[str, Bracket], collect_limit: int):
+    """The second pass: for each column the values inside its bracket with
+    their numbers, and the number of values below it (as value null)."""
     items = []
-    for i, t in enumerate(targets):
-        x = exprs[t.key]
-        items.append(F.when(x.between(F.lit(t.lo), F.lit(t.hi)),
-                            F.struct(F.lit(i).alias("t"), x.alias("x"))))
-    rows = (
-        df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
-        .groupBy("e.t", "e.x")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
-    per_t: dict[int, list] = {}
-    for r in rows:
-        per_t.setdefault(r["t"], []).append((r["x"], r["n"]))
-    for i, t in enumerate(targets):
-        seen = t.below
-        for x, n in sorted(per_t.get(i, [])):
-            if seen + n > t.rank:
-                t.value = x
+    for i, (c, x) in enumerate(exprs.items()):
+        lo, hi = within[c].lo, within[c].hi
+        entry = lambda v: F.struct(F.lit(i).alias("t"), v.alias("x"))  # noqa: E731, B023
+        if lo is None:
+            items.append(F.when(x.isNotNull(), entry(x)))
+        else:
+            items.append(F.when(x < F.lit(lo), entry(F.lit(None).cast("double"))).when(x <= F.lit(hi), entry(x)))
+    rows = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e")).groupBy("e.t", "e.x").agg(F.count("*").alias("n"))
+    expected = sum(b.n if b.lo is None else 3 * MARGIN * b.n for b in within.values())
+    if expected <= collect_limit and len(few := rows.limit(collect_limit + 1).collect()) <= collect_limit:
+        return _Few([tuple(r) for r in few])
+    return _Table(joins.stored(rows, "quantile-counts"))
+
+
+class _Few:
+    """Counts on the driver, at most ``collect_limit`` rows."""
+
+    def __init__(self, rows: list[tuple[int, float | None, int]]) -> None:
+        self.rows = rows
+
+    def values_at(self, t: int, ranks: list[int], buckets: int, collect_limit: int) -> dict[int, float] | None:
+        below = sum(n for k, x, n in self.rows if k == t and x is None)
+        return _pick(below, [(x, n) for k, x, n in self.rows if k == t and x is not None], ranks)
+
+
+def _pick(below: int, counts: list[tuple[float, int]], ranks: list[int]) -> dict[int, float] | None:
+    """The values at ``ranks``, of which ``below`` values are not counted."""
+    out, seen = {}, below
+    for x, n in sorted(counts):
+        out |= {r: x for r in ranks if seen <= r < seen + n}
+        seen += n
+    return out if len(out) == len(ranks) else None
+
+
+class _Table:
+    """Counts (t, x, n) as a stored table."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def values_at(self, t: int, ranks: list[int], buckets: int, collect_limit: int) -> dict[int, float] | None:
+        rows = self.rows.where(F.col("t") == t)
+        x, n = F.col("x"), F.col("n")
+        finite = F.abs(x) < F.lit(math.inf)
+        zero = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+        ends = rows.agg(zero(x.isNull()).alias("below"), zero(x == -math.inf).alias("low"), zero(finite).alias("inside"), zero(x == math.inf).alias("high"),
+                        F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi")).first()
+        out: dict[int, float] = {}
+        for r in ranks:
+            rest = r - ends["below"]
+            if rest < 0 or rest >= ends["low"] + ends["inside"] + ends["high"]:
+                return None
+            if rest < ends["low"]:
+                out[r] = -math.inf
+            elif rest >= ends["low"] + ends["inside"]:
+                out[r] = math.inf
+            elif r not in out:
+                out[r] = _narrowed(rows.where(finite), rest - ends["low"], ends["lo"], ends["hi"], ends["inside"], buckets, collect_limit)
+        return out
+
+
+def _narrowed(rows: DataFrame, rank: int, lo: float, hi: float, n: int, buckets: int, collect_limit: int) -> float:
+    """The value at ``rank`` among finite values (x, n) in [lo, hi]. A round
+    always makes the range smaller: its ends fall into different buckets."""
+    below, x = 0, F.col("x")
+    while lo < hi:
+        inside = rows.where(x.between(F.lit(lo), F.lit(hi)))
+        if n <= collect_limit:
+            return _pick(below, [(r["x"], r["n"]) for r in inside.select("x", "n").collect()], [rank])[rank]
+        # Halved operands keep the width finite; only then, as halves of the smallest numbers vanish.
+        half = 1.0 if math.isfinite(hi - lo) else 0.5
+        b = F.least(F.lit(buckets - 1), F.floor((x * half - F.lit(lo * half)) / F.lit(hi * half - lo * half) * buckets))
+        histogram = inside.groupBy(b.cast("int").alias("b")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(histogram, key=lambda r: r["b"]):
+            if below + r["n"] > rank:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
                 break
-            seen += n
+            below += r["n"]
+    return lo
 
 
 def exact_median(df: DataFrame, col: str, where: Column | None = None, **kw) -> float | None:
     """One column's exact median, optionally over the rows meeting ``where``."""
     return exact_medians(df, [col], where={col: where} if where is not None else None, **kw)[col]
-

@@ -51,6 +51,30 @@ def test_summary_stats_half_even(spark):
     assert abs(r["std"] - 1.53) < 1e-9
 
 
+def test_summary_stats_skip_nan(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    r = profile.summary_stats(df, "x").first()
+    assert (r["mean"], r["median"], r["min"], r["max"], r["std"]) == (1.5, 1.5, 1.0, 2.0, 0.71)
+    assert tuple(profile.summary_stats(df.where("x = 5"), "x").first()) == (None,) * 5
+    assert profile.summary_stats(df.where("x = 1"), "x").first()["std"] is None
+
+
+def test_ten_thousand_bins(spark):
+    import bisect
+    from pyspark.sql import functions as F
+    edges = [i * 0.7 - 50 for i in range(10_001)]
+    labels = [f"b{i}" for i in range(10_000)]
+    values = [edges[0], edges[1], edges[-1], edges[-1] + 1, -1e9, float("nan"), None, *(i * 0.337 - 60 for i in range(3000)), *edges[::97]]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    label, ordinal = profile.bin_expr("x", edges, labels)
+    for x, name, at in df.select("x", label, ordinal).collect():
+        want = bisect.bisect_left(edges, x) - 1 if x is not None and x == x else -1
+        want = want if 0 <= want < 10_000 else None
+        assert at == want and name == (None if want is None else labels[want])
+    rows = profile.binned_counts(df, "x", edges, labels)
+    assert rows.count() == 10_000 and rows.agg(F.sum("count")).first()[0] == df.where(ordinal.isNotNull()).count()
+
+
 def test_distribution_sums_equal_rows(apps_mid):
     n = apps_mid.count()
     for c in ("intent", "home", "default_flag"):

@@ -57,3 +57,49 @@ def test_special_values_have_one_rule(spark, kw):
         low, high = kept[(len(kept) - 1) // 2], kept[len(kept) // 2]
         want = low if low == high else 0.5 * low + 0.5 * high
         assert got == want or (got != got and want != want), name
+
+
+def passes(spark, df, run):
+    """How often ``run`` reads ``df`` as a whole."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        read.add(1)
+        yield from batches
+
+    run(df.mapInArrow(count, df.schema))
+    return read.value / df.rdd.getNumPartitions()
+
+
+def test_two_passes_at_any_size(spark):
+    from lendscope.operators import clean, profile
+
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).cast("double").alias("x"), F.when(F.col("id") % 9 > 0, F.col("id") % 1000).cast("int").alias("y")).repartition(4).cache()
+    assert passes(spark, df, lambda d: quantiles.exact_medians(d, ["x", "y"])) == 2
+    assert passes(spark, df, lambda d: quantiles.exact_medians(d, ["x", "y"], **DIST)) == 2  # the rest is read from the stored counts
+    assert passes(spark, df, lambda d: profile.summary_stats(d, "x").collect()) == 2
+    assert passes(spark, df, lambda d: clean.fit_median_imputer(d, ["x", "y"])) == 2
+
+
+@pytest.mark.parametrize("kw", [{}, DIST])
+def test_a_bracket_that_misses_is_found_out(spark, kw):
+    values = [float(i * 37 % 1001) for i in range(1001)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for lo, hi in ((0.0, 10.0), (900.0, 1000.0), (600.0, 600.5), (500.0, 500.0)):
+        assert quantiles.exact_medians(df, ["x"], first={"x": quantiles.Bracket(1001, lo, hi)}, **kw) == {"x": 500.0}
+
+
+def test_groups_are_merged(spark):
+    """More input partitions than groups: counts, sums and deviations are those of all rows."""
+    rnd = random.Random(4)
+    vals = [rnd.gauss(1e6, 3.0) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(37)
+    before, quantiles.GROUPS = quantiles.GROUPS, 5
+    try:
+        x = quantiles.value("x")
+        row = quantiles.two_level(df, {"n": quantiles.counted(x), "s": quantiles.summed(x), "d": quantiles.spread(x), "lo": quantiles.smallest(x), "hi": quantiles.largest(x)})
+        assert (row.n, row.lo, row.hi) == (2000, min(vals), max(vals)) and row.s == pytest.approx(sum(vals))
+        assert quantiles.deviation(row.d) == pytest.approx(statistics.stdev(vals), rel=1e-9)
+        assert quantiles.exact_medians(df, ["x"])["x"] == pytest.approx(statistics.median(vals), abs=1e-9)
+    finally:
+        quantiles.GROUPS = before
