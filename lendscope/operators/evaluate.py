@@ -1,114 +1,110 @@
 """Evaluation from any (label, prediction) frame (H1-H5).
 
-One aggregation counts every cell of the confusion matrix (``count_if`` per
-cell: a fixed number of counters per map task, then one tiny merge). Zero
-cells exist by construction, so no join against a class table is needed.
-Rows whose label or prediction is null or not one of the classes are counted
-too, in ``cm_other``: they are test rows that are not right.
-Accuracy, precision, recall, F1, support and the averages are column
-arithmetic on that single row.
+The confusion matrix is sparse: one ``groupBy(actual, predicted)`` (partial
+counts in every map task) gives the cells that occur, whatever the number of
+classes. Marginal sums of the cells give each class its support and
+predictions, so the report is as long as the classes, not their square. The
+zero cells of the full matrix are made only when it is asked for, from the
+table of classes. Rows whose label or prediction is null or not one of the
+classes are counted too: they are test rows that are not right.
+The two-class report of the training job is one aggregation with fixed cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounder
+from . import joins
 
 
-def confusion_wide(df: DataFrame, label: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """One row with ``cm_<actual>_<predicted>`` for every class pair, and ``cm_other``."""
-    a, p = F.col(label), F.col(pred)
-    known = F.coalesce(a.isin(*classes) & p.isin(*classes), F.lit(False))
-    return df.agg(*[
-        F.count_if((a == F.lit(i)) & (p == F.lit(j))).alias(f"cm_{i}_{j}")
-        for i in classes for j in classes
-    ], F.count_if(~known).alias("cm_other"))
+def _known(label: str, pred: str, classes: Sequence) -> Column:
+    return F.coalesce(F.col(label).isin(*classes) & F.col(pred).isin(*classes), F.lit(False))
+
+
+def _class_table(spark: SparkSession, classes: Sequence, names: dict | None = None) -> DataFrame:
+    """(class, row_name), one row a class."""
+    kind = "string" if isinstance(classes[0], str) else "int"
+    return spark.createDataFrame([(c, str((names or {}).get(c, c))) for c in classes], f"class {kind}, row_name string")
+
 
+def confusion_cells(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """H2, sparse: ``(actual, predicted, count)`` of the cells that occur."""
+    return df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
 
-def confusion_matrix(df: DataFrame, label: str, pred: str, classes=(0, 1)) -> DataFrame:
+
+def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence = (0, 1)) -> DataFrame:
     """H2/H5: long form ``(actual, predicted, count)``; absent cells count 0.
 
     Rows outside the classes, if any, have a row without actual and predicted."""
-    wide = confusion_wide(df, label, pred, classes)
-    cells = ", ".join(f"{i}, {j}, cm_{i}_{j}" for i in classes for j in classes)
-    out = wide.selectExpr(f"stack({len(classes) ** 2 + 1}, {cells}, null, null, cm_other) AS (actual, predicted, count)")
-    return out.where("actual is not null or count > 0")
-
-
-def matrix_nested(wide: DataFrame, classes=(0, 1)) -> Column:
-    """M9: ``array<array<long>>`` with rows = actual, columns = predicted."""
-    return F.array(*[F.array(*[F.col(f"cm_{i}_{j}") for j in classes]) for i in classes])
-
-
-def _metrics(classes):
-    total = F.col("cm_other")
-    for i in classes:
-        for j in classes:
-            total = total + F.col(f"cm_{i}_{j}")
-    out = {}
-    for k in classes:
-        tp = F.col(f"cm_{k}_{k}")
-        support = sum((F.col(f"cm_{k}_{j}") for j in classes[1:]), F.col(f"cm_{k}_{classes[0]}"))
-        predicted = sum((F.col(f"cm_{i}_{k}") for i in classes[1:]), F.col(f"cm_{classes[0]}_{k}"))
-        precision = F.coalesce(F.try_divide(tp.cast("double"), predicted), F.lit(0.0))
-        recall = F.coalesce(F.try_divide(tp.cast("double"), support), F.lit(0.0))
-        f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-        out[k] = (precision, recall, f1, support)
-    trace = sum((F.col(f"cm_{k}_{k}") for k in classes[1:]), F.col(f"cm_{classes[0]}_{classes[0]}"))
-    accuracy = F.try_divide(trace.cast("double"), total)
-    return out, accuracy, total
-
-
-def accuracy(df: DataFrame, label: str, pred: str, classes=(0, 1), rounding: str = "even",
-             places: int = 4) -> DataFrame:
+    table = _class_table(df.sparkSession, classes)
+    grid = table.select(F.col("class").alias("actual"), F.explode(F.lit(list(classes))).alias("predicted")).alias("g")
+    cells = confusion_cells(df, label, pred).alias("c")
+    same = (F.col("g.actual") == F.col("c.actual")) & (F.col("g.predicted") == F.col("c.predicted"))
+    placed = grid.join(cells, same, "full_outer").groupBy("g.actual", "g.predicted")
+    return placed.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+
+
+def _per_class(df: DataFrame, label: str, pred: str, classes: Sequence, names: dict | None) -> DataFrame:
+    """Stored: (row_name, precision, recall, f1, support) of each class, and a
+    row without name that has the number of all rows as its support."""
+    cells = df.groupBy(F.when(_known(label, pred, classes), F.struct(F.col(label).alias("a"), F.col(pred).alias("p"))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    n, a, p = F.col("n"), F.col("cell.a"), F.col("cell.p")
+    part = lambda c, right, support, predicted: F.struct(
+        c.cast("string").alias("key"), right.alias("right"), support.alias("support"), predicted.alias("predicted"))
+    zero = F.lit(0).cast("long")
+    parts = F.array(part(F.lit(None), zero, n, zero), part(a, F.when(a == p, n).otherwise(zero), n, zero), part(p, zero, zero, n))
+    sums = cells.select(F.explode(F.when(a.isNull(), F.slice(parts, 1, 1)).otherwise(parts)).alias("x")).groupBy("x.key").agg(
+        *(F.sum(f"x.{c}").alias(c) for c in ("right", "support", "predicted")))
+    table = _class_table(df.sparkSession, classes, names).withColumn("shown", F.col("class").cast("string"))
+    rows = table.join(sums, F.col("shown") == F.col("key"), "full_outer").where("shown is not null or key is null")
+    right, support, predicted = (F.coalesce(c, zero) for c in ("right", "support", "predicted"))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    rows = rows.select("row_name", ratio(right.cast("double"), predicted).alias("precision"), ratio(right.cast("double"), support).alias("recall"), support.alias("support"))
+    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return joins.stored(rows.withColumn("f1", f1), "class-report")
+
+
+def accuracy(df: DataFrame, label: str, pred: str, classes: Sequence = (0, 1), rounding: str = "even", places: int = 4) -> DataFrame:
     """H1: ``accuracy`` (4 places) and ``accuracy_percent`` (1 place)."""
     rnd = rounder(rounding)
-    _, acc, total = _metrics(list(classes))
-    return confusion_wide(df, label, pred, classes).select(
-        rnd(acc, places).alias("accuracy"),
-        rnd(acc * 100, 1).alias("accuracy_percent"),
-        total.cast("long").alias("test_rows"),
-    )
+    right = F.count_if(_known(label, pred, classes) & (F.col(label) == F.col(pred)))
+    found = df.agg(right.alias("right"), F.count(F.lit(1)).alias("test_rows"))
+    share = F.try_divide(F.col("right").cast("double"), F.col("test_rows"))
+    return found.select(rnd(share, places).alias("accuracy"), rnd(share * 100, 1).alias("accuracy_percent"), "test_rows")
 
 
-def classification_report(df: DataFrame, label: str, pred: str, classes=(0, 1),
-                          names: dict | None = None, rounding: str = "even",
-                          places: int = 4) -> DataFrame:
+def classification_report(df: DataFrame, label: str, pred: str, classes: Sequence = (0, 1), names: dict | None = None,
+                          rounding: str = "even", places: int = 4) -> DataFrame:
     """H3/H4: per class precision, recall, F1, support; macro and weighted averages.
 
     ``(row_name, precision, recall, f1, support)``; a class with no predicted
     rows has precision 0, as the usual report's zero-division rule gives.
     """
     rnd = rounder(rounding)
-    classes = list(classes)
-    per, _, total = _metrics(classes)
-    names = names or {k: str(k) for k in classes}
-    structs = []
-    for k in classes:
-        p, r, f, s = per[k]
-        structs.append(F.struct(F.lit(names[k]).alias("row_name"), p.alias("precision"),
-                                r.alias("recall"), f.alias("f1"), s.cast("long").alias("support")))
-    n = float(len(classes))
-    macro = [sum((per[k][m] for k in classes[1:]), per[classes[0]][m]) / n for m in range(3)]
-    weighted = [
-        F.try_divide(sum((per[k][m] * per[k][3] for k in classes[1:]),
-                         per[classes[0]][m] * per[classes[0]][3]), total)
-        for m in range(3)
-    ]
-    for nm, vals in (("macro avg", macro), ("weighted avg", weighted)):
-        structs.append(F.struct(F.lit(nm).alias("row_name"), vals[0].alias("precision"),
-                                vals[1].alias("recall"), vals[2].alias("f1"),
-                                total.cast("long").alias("support")))
-    rows = confusion_wide(df, label, pred, classes).select(F.explode(F.array(*structs)).alias("r"))
-    return rows.select(
-        "r.row_name",
-        rnd(F.col("r.precision"), places).alias("precision"),
-        rnd(F.col("r.recall"), places).alias("recall"),
-        rnd(F.col("r.f1"), places).alias("f1"),
-        "r.support",
-    )
+    per = _per_class(df, label, pred, classes, names)
+    own, metrics = F.col("row_name").isNotNull(), ("precision", "recall", "f1")
+    total = F.max(F.when(~own, F.col("support")))
+    macro = per.agg(F.lit("macro avg").alias("row_name"), *(F.avg(F.when(own, F.col(m))).alias(m) for m in metrics), total.alias("support"))
+    weighted = per.agg(F.lit("weighted avg").alias("row_name"), *(F.try_divide(F.sum(F.when(own, F.col(m) * F.col("support"))), total).alias(m) for m in metrics),
+                       total.alias("support"))
+    rows = per.where(own).select("row_name", *metrics, "support").unionByName(macro).unionByName(weighted)
+    return rows.select("row_name", *(rnd(F.col(m), places).alias(m) for m in metrics), F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+
+
+def confusion_wide(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """One row with ``cm_<actual>_<predicted>`` of the classes 0 and 1, and ``cm_other``."""
+    a, p = F.col(label), F.col(pred)
+    return df.agg(*[F.count_if((a == F.lit(i)) & (p == F.lit(j))).alias(f"cm_{i}_{j}") for i in (0, 1) for j in (0, 1)],
+                  F.count_if(~_known(label, pred, (0, 1))).alias("cm_other"))
+
+
+def matrix_nested() -> Column:
+    """M9: ``array<array<long>>`` of ``confusion_wide`` with rows = actual, columns = predicted."""
+    return F.array(*[F.array(*[F.col(f"cm_{i}_{j}") for j in (0, 1)]) for i in (0, 1)])
 
 
 def report_summary(df: DataFrame, label: str, pred: str, rounding: str = "even") -> DataFrame:
@@ -118,14 +114,10 @@ def report_summary(df: DataFrame, label: str, pred: str, rounding: str = "even")
     recall_approved, accuracy, accuracy_percent, confusion_matrix``.
     """
     rnd = rounder(rounding)
-    per, acc, _ = _metrics([0, 1])
-    wide = confusion_wide(df, label, pred, (0, 1))
-    return wide.select(
-        rnd(per[0][0], 4).alias("precision_rejected"),
-        rnd(per[0][1], 4).alias("recall_rejected"),
-        rnd(per[1][0], 4).alias("precision_approved"),
-        rnd(per[1][1], 4).alias("recall_approved"),
-        rnd(acc, 4).alias("accuracy"),
-        rnd(acc * 100, 1).alias("accuracy_percent"),
-        matrix_nested(wide).alias("confusion_matrix"),
-    )
+    cell = lambda i, j: F.col(f"cm_{i}_{j}")
+    share = lambda x, *all_of: F.coalesce(F.try_divide(x.cast("double"), sum(all_of[1:], all_of[0])), F.lit(0.0))
+    acc = F.try_divide((cell(0, 0) + cell(1, 1)).cast("double"), cell(0, 0) + cell(0, 1) + cell(1, 0) + cell(1, 1) + F.col("cm_other"))
+    columns = []
+    for k, name in ((0, "rejected"), (1, "approved")):
+        columns += [rnd(share(cell(k, k), cell(0, k), cell(1, k)), 4).alias(f"precision_{name}"), rnd(share(cell(k, k), cell(k, 0), cell(k, 1)), 4).alias(f"recall_{name}")]
+    return confusion_wide(df, label, pred).select(*columns, rnd(acc, 4).alias("accuracy"), rnd(acc * 100, 1).alias("accuracy_percent"), matrix_nested().alias("confusion_matrix"))

@@ -8,13 +8,18 @@ rows that share an id are told apart by that digest, so no row is left out.
 * ``hash_split`` (P2): approximate sizes, a pure projection (no shuffle).
 * ``stratified_split`` (P1): exact sizes per class, as a stratified
   sampler allocates them. For each class the test side is the ``t_c`` rows
-  with the smallest keys. The boundary is found by a radix selection on the
-  key's hex digits: each level is one distributed ``groupBy(class, prefix)``
-  count within each class's prefix, until the prefix holds one row. All
-  per-class numbers stay in small tables that are joined, so neither the
-  number of classes nor the size of one is bounded. Rows that are equal in
-  every column can't be told apart and go to the same side, whichever is
-  nearer to the exact size.
+  with the smallest keys. The boundary is found in two passes at any size. The
+  first counts the classes. Keys are as good as uniform, so by the binomial
+  law the boundary lies in a band of some standard deviations around its
+  share; the second pass counts the rows below the band and keeps the keys
+  inside it (about five times the square root of a class), among which the
+  boundary is exact. A band that misses (chance below one in a hundred
+  million) is found out by the counts, and its class takes a radix selection
+  on the key's hex digits: a count within each class's prefix a level, until
+  the prefix holds one row. All per-class numbers stay in small tables that
+  are joined, so neither the number of classes nor the size of one is bounded.
+  Rows that are equal in every column can't be told apart and go to the same
+  side, whichever is nearer to the exact size.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import joins
 
+BAND = 6.0  # half-width of the band in standard deviations
 ID_DIGITS = 32  # hex digits of one md5; the row's digest gives as many more
 
 
@@ -79,36 +85,67 @@ def _deeper(hist: DataFrame, state: DataFrame) -> DataFrame:
     return first.select("c", F.col("f.p").alias("p"), F.col("f.n").alias("n"), (F.col("f.want") - F.col("f.upto") + F.col("f.n")).alias("want"))
 
 
-def _thresholds(df: DataFrame, id_col: str, label_col: str, test_fraction: float, seed: int, digits: int) -> DataFrame:
+def _banded(rows: DataFrame, wanted: DataFrame, band: float) -> DataFrame:
+    """The second pass: the boundary key of each class, where its band holds it."""
+    share = F.col("want") / F.col("n")
+    off = F.lit(band) * F.sqrt(share * (1 - share) / F.col("n")) + 1 / F.col("n")
+    digits = lambda x: F.lower(F.lpad(F.hex(F.floor(x * F.lit(float(1 << 32))).cast("long")), 8, "0"))
+    high = F.when(share + off < 1, digits(share + off))  # null: no key is above
+    bands = wanted.select(F.col("c").alias("c_band"), digits(F.greatest(share - off, F.lit(0.0))).alias("low"), high.alias("high"))
+    prefix = F.substring("key", 1, 8)
+    near = rows.join(bands, F.col("c") == F.col("c_band")).where(F.col("high").isNull() | (prefix <= F.col("high")))
+    counts = near.groupBy("c", F.when(prefix >= F.col("low"), F.col("key")).alias("p")).agg(F.count("*").alias("n"))
+    return _deeper(joins.stored(counts, "split-band"), wanted).where("p is not null")
+
+
+def _radix(rows: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
+    """The boundary of each class level by level, to the last digit of the key."""
+    live, length, done = wanted.select("c", F.lit("").alias("p"), "n", "want"), 0, None
+    settled = (F.col("n") == 1) | (F.col("n") == F.col("want"))
+    while length < ID_DIGITS and not live.isEmpty():
+        length = min(length + digits, ID_DIGITS)
+        inside = rows.join(live.select(F.col("c").alias("c_state"), F.col("p").alias("p_state")), F.col("c") == F.col("c_state"))
+        inside = inside.where(F.startswith("key", F.col("p_state")))
+        state = joins.stored(_deeper(inside.groupBy("c", F.substring("key", 1, length).alias("p")).agg(F.count("*").alias("n")), live), "split-level")
+        done, live = state.where(settled) if done is None else done.unionByName(state.where(settled)), state.where(~settled)
+    return live if done is None else done.unionByName(live)
+
+
+def _thresholds(df: DataFrame, id_col: str, label_col: str, test_fraction: float, seed: int, digits: int, band: float) -> DataFrame:
     """``(c, p, n, want)`` for each class with test rows: keys that begin below
     ``p`` are test rows, and those that begin with it when most of them are wanted."""
     short = split_hash(df, id_col, seed)
     rows = df.select(F.col(label_col).alias("c"), short.alias("key")).where("c is not null")
-    hist = joins.stored(rows.groupBy("c", F.substring("key", 1, digits).alias("p")).agg(F.count("*").alias("n")))
-    wanted = joins.stored(allocate(hist.groupBy("c").agg(F.sum("n").alias("n")), test_fraction).where("want > 0"))
-    state = joins.stored(_deeper(hist, wanted))
-    length = digits
+    sizes = joins.stored(df.select(F.col(label_col).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n")), "split-sizes")
+    wanted = joins.stored(allocate(sizes, test_fraction).where("want > 0"), "split-wanted")
+    state = joins.stored(_banded(rows, wanted, band), "split-state")
     settled = (F.col("n") == 1) | (F.col("n") == F.col("want"))
-    out = state.where(settled)
-    while length < 2 * ID_DIGITS and not (live := state.where(~settled)).isEmpty():
-        length = min(length + digits, ID_DIGITS if length < ID_DIGITS else 2 * ID_DIGITS)
-        if length > ID_DIGITS:
-            rows = df.select(F.col(label_col).alias("c"), F.concat(short, row_digest(df)).alias("key"))
-        inside = rows.join(live.select(F.col("c").alias("c_state"), F.col("p").alias("p_state")), F.col("c") == F.col("c_state"))
-        inside = inside.where(F.startswith("key", F.col("p_state")))
-        state = joins.stored(_deeper(inside.groupBy("c", F.substring("key", 1, length).alias("p")).agg(F.count("*").alias("n")), live))
-        out = out.unionByName(state.where(settled))
-    return joins.stored(out.unionByName(state.where(~settled)))
+    # Classes whose band missed, and keys that several rows share: none, as a rule.
+    all_found, all_settled = wanted.join(state.select(F.col("c").alias("c_found"), settled.alias("one")), F.col("c") == F.col("c_found"), "left").agg(
+        F.count_if(F.col("c_found").isNull()) == 0, F.count_if(~F.col("one")) == 0).first()
+    if not all_found:
+        missed = wanted.join(state.select("c"), "c", "left_anti")
+        state = joins.stored(state.unionByName(_radix(rows, joins.stored(missed, "split-missed"), digits)), "split-state")
+        all_settled = state.where(~settled).isEmpty()
+    if not all_settled:
+        live = state.where(~settled)
+        long = df.select(F.col(label_col).alias("c"), short.alias("key"), row_digest(df).alias("digest"))
+        inside = long.join(live.select(F.col("c").alias("c_state"), F.col("p").alias("p_state")), F.col("c") == F.col("c_state"))
+        inside = inside.where(F.startswith("key", F.col("p_state"))).groupBy("c", F.concat("key", "digest").alias("p")).agg(F.count("*").alias("n"))
+        state = joins.stored(state.where(settled).unionByName(_deeper(joins.stored(inside, "split-digests"), live)), "split-state")
+    return state
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction: float = 0.2, seed: int = 42,
-                     out_col: str = "is_test", digits: int = 3) -> DataFrame:
+                     out_col: str = "is_test", digits: int = 3, band: float = BAND) -> DataFrame:
     """Exact stratified split; adds boolean ``out_col``.
 
     Rows with a null class are never in the test side. The thresholds, one
     row per class, are joined: Spark broadcasts them while they are small.
+    ``band`` is its half-width in standard deviations, ``digits`` the step of
+    the radix selection for classes whose band missed.
     """
-    bounds = _thresholds(df, id_col, label_col, test_fraction, seed, digits)
+    bounds = _thresholds(df, id_col, label_col, test_fraction, seed, digits, band)
     long = not bounds.where(F.length("p") > ID_DIGITS).isEmpty()
     short = split_hash(df, id_col, seed)
     keyed = df.withColumn("__split_key", F.concat(short, row_digest(df)) if long else short)

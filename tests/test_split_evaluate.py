@@ -116,3 +116,41 @@ def test_rows_outside_the_classes_count(spark):
     assert cm == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 1, (None, None): 3}
     row = evaluate.accuracy(df, "label", "pred").first()
     assert (row.accuracy, row.test_rows) == (0.4, 5)
+
+
+def test_many_classes(spark):
+    """A thousand classes: the report is as long as the classes; the full matrix is made on request."""
+    import pytest
+
+    df = spark.range(6000).select((F.col("id") % 1000).cast("int").alias("label"), F.when(F.col("id") < 5000, F.col("id") % 1000).otherwise(F.col("id") % 7).cast("int").alias("pred"))
+    assert evaluate.confusion_cells(df, "label", "pred").count() < 2100
+    cm = evaluate.confusion_matrix(df, "label", "pred", classes=range(1000))
+    assert tuple(cm.agg(F.count("*"), F.sum("count")).first()) == (1_000_000, 6000)
+    rep = {r.row_name: r for r in evaluate.classification_report(df, "label", "pred", classes=range(1000)).collect()}
+    assert len(rep) == 1002 and rep["500"].recall == round(5 / 6, 4) and rep["500"].precision == 1.0 and rep["500"].support == 6
+    assert rep["weighted avg"].support == 6000 and rep["macro avg"].recall == pytest.approx(5 / 6, abs=2e-3)
+    names = evaluate.classification_report(df.select(F.col("label").cast("string").alias("label"), F.col("pred").cast("string").alias("pred")), "label", "pred", classes=["1", "2"], names={"1": "one"})
+    assert {r.row_name for r in names.collect()} == {"one", "2", "macro avg", "weighted avg"}
+
+
+def test_bands_that_miss_are_found_out(spark, apps_mid):
+    """Bands of no width hold no boundary, so every class takes the radix selection; the rows are the same."""
+    a = split.stratified_split(apps_mid, "app_id", "status", 0.2, 42)
+    b = split.stratified_split(apps_mid, "app_id", "status", 0.2, 42, band=-1.0, digits=2)
+    assert {r.app_id for r in a.where("is_test").collect()} == {r.app_id for r in b.where("is_test").collect()}
+
+
+def test_split_reads_the_rows_twice(spark, apps_mid):
+    from .test_quantiles import passes
+
+    df = apps_mid.select("app_id", "status").repartition(4).cache()
+    assert passes(spark, df, lambda d: split._thresholds(d, "app_id", "status", 0.2, 42, 3, split.BAND)) == 2
+
+
+def test_split_of_many_small_classes(spark):
+    df = spark.range(4000).select(F.col("id").alias("app_id"), (F.col("id") % 611).alias("status"))
+    out = split.stratified_split(df, "app_id", "status", 0.3, 1)
+    got = {r.status: r.rows for r in split.split_sizes(out, "status").where("is_test").collect()}
+    sizes = df.groupBy(F.col("status").alias("c")).agg(F.count("*").alias("n"))
+    want = {r.c: r.want for r in split.allocate(sizes, 0.3).collect() if r.want}
+    assert got == want and sum(got.values()) == 1200
