@@ -1,15 +1,16 @@
 """Command line: the original application's jobs as Spark jobs.
 
     python -m lendscope.cli train  --tables DIR | --csv PATH  --model OUT --report OUT
-    python -m lendscope.cli score  --model DIR --report DIR --input JSON --output OUT [--format parquet|json] [--id NAME]
-    python -m lendscope.cli stream --model DIR --report DIR --input DIR --output OUT [--checkpoint DIR] [--id NAME]
+    python -m lendscope.cli score  --model DIR --input JSON --output OUT [--format parquet|json] [--id NAME] [--report DIR]
+    python -m lendscope.cli stream --model DIR --input DIR --output OUT [--checkpoint DIR] [--id NAME] [--report DIR]
     python -m lendscope.cli stats  --report DIR          # the dataset statistics document
     python -m lendscope.cli model-info --report DIR      # the model summary fields
 
 ``train`` replaces the training script (cleaning, encoding, exact split,
 forest, evaluation, report); ``score`` and ``stream`` replace the scoring
 endpoint for whole batches or a stream of request files (``--id`` names the
-request's key, which every answer carries); ``stats`` and
+request's key, which every answer carries; label codes come from beside the
+model, or from a report named with ``--report``); ``stats`` and
 ``model-info`` print what the two read endpoints returned. Paths may be on
 any file system Spark can read; the shared checkpoint folder comes from
 ``spark.checkpoint.dir``.
@@ -21,7 +22,6 @@ import argparse
 import json
 import sys
 
-from .operators import model as model_ops
 from .plans import reports, training
 from .session import build_session
 from .sources import files
@@ -29,11 +29,9 @@ from .sources.tables import applications
 from .streaming import scoring as stream
 
 
-def _load_scorer(spark, model_dir: str, report_dir: str):
-    pipeline = model_ops.load_model(model_dir)
-    report = reports.read_report(spark, report_dir).first()
-    maps = training.maps_from_report(report)
-    return pipeline, maps
+def _load_scorer(spark, model_dir: str, report_dir: str | None):
+    pipeline, codes = training.load(spark, model_dir)
+    return pipeline, reports.encoding_codes(reports.read_report(spark, report_dir)) if report_dir else codes
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -49,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     st = sub.add_parser("stream")
     for p in (s, st):
         p.add_argument("--model", required=True)
-        p.add_argument("--report", required=True)
+        p.add_argument("--report", help="take the label codes from this report")
         p.add_argument("--input", required=True)
         p.add_argument("--output", required=True)
         p.add_argument("--id", help="key of a request, a whole number, carried to its answer")
@@ -64,17 +62,18 @@ def main(argv: list[str] | None = None) -> int:
         raw = applications(spark, args.tables) if args.tables else files.read_applications_csv(spark, args.csv)
         result = training.train(spark, raw)
         training.save(spark, result, args.model, args.report)
-        print(json.dumps({k: result.report[k] for k in ("accuracy", "accuracy_percent", "classification_report",
-                                                        "confusion_matrix", "feature_importance")}))
+        report, scalars = result.report, result.report.scalars
+        print(json.dumps({"accuracy": scalars["accuracy"], "accuracy_percent": scalars["accuracy_percent"], "classification_report": report.classification_report,
+                          "confusion_matrix": report.confusion_matrix, "feature_importance": {r.feature: r.importance for r in report.importance.collect()}}))
     elif args.cmd == "score":
-        pipeline, maps = _load_scorer(spark, args.model, args.report)
+        pipeline, codes = _load_scorer(spark, args.model, args.report)
         keep = [args.id] if args.id else []
         requests = files.read_scoring_json(spark, args.input, keep)
-        out = stream.scored_records(requests, pipeline, maps, keep)
+        out = stream.scored_records(requests, pipeline, codes, keep)
         files.write_scored(out, args.output, args.format)
     elif args.cmd == "stream":
-        pipeline, maps = _load_scorer(spark, args.model, args.report)
-        q = stream.start_scoring_stream(spark, args.input, pipeline, maps, args.output,
+        pipeline, codes = _load_scorer(spark, args.model, args.report)
+        q = stream.start_scoring_stream(spark, args.input, pipeline, codes, args.output,
                                         checkpoint=args.checkpoint, keep=[args.id] if args.id else None)
         q.awaitTermination()
     elif args.cmd == "stats":

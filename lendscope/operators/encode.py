@@ -4,14 +4,13 @@ Label codes are the sorted distinct labels numbered 0..n-1 (alphabetical, as
 the original's label encoder). Fitting is one distributed ``distinct`` over
 all columns; the labels are sorted by range and numbered where they are, with
 an offset for each range, so no column's labels meet in one task. Codes are
-applied by a join with the stored code table at every size of dictionary;
-Spark broadcasts the table while its bytes are few.
+applied by a join with the stored code table at every size of dictionary, in
+training and in scoring, where the table is an artefact beside the model;
+Spark broadcasts it while its bytes are few. No label passes the driver.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from ..schema import CATEGORICAL
 from . import joins
 
 MISSING_LABEL = "nan"
+CODES_SCHEMA = "column_name string, label string, code int"
 
 
 def _distinct_labels(df: DataFrame, cols: list[str], null_label: str | None) -> DataFrame:
@@ -56,27 +56,14 @@ def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING
     return joins.stored(numbered.join(firsts, "column_name").select("column_name", "label", (F.col("idx") - F.col("first")).cast("int").alias("code")), "codes")
 
 
-def codes_to_maps(codes: DataFrame, cols: list[str]) -> dict[str, dict[str, int]]:
-    """``{column: {label: code}}`` for the report document, which holds every label."""
-    maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-    for r in codes.where(F.col("column_name").isin(*cols)).orderBy("column_name", "code").collect():
-        maps[r["column_name"]][r["label"]] = r["code"]
-    return maps
-
-
-def fit_label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING_LABEL) -> dict[str, dict[str, int]]:
-    """D1 as dictionaries, as the report document holds them."""
-    return codes_to_maps(label_codes(df, cols, null_label), cols)
+def save_codes(codes: DataFrame, path: str) -> None:
+    """The code table as a Parquet artefact, to stand beside the model."""
+    codes.write.mode("overwrite").parquet(path)
 
 
-def maps_to_codes(spark: SparkSession, maps: dict[str, dict[str, int] | None]) -> DataFrame:
-    """The code table of a report's dictionaries, which the report holds whole.
-
-    It stands in the plan as one literal row, so its size is known to be small.
-    """
-    rows = [{"column_name": c, "label": label, "code": int(code)} for c, m in maps.items() for label, code in (m or {}).items()]
-    kind = "array<struct<column_name: string, label: string, code: int>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("e")).select("e.*")
+def load_codes(spark: SparkSession, path: str) -> DataFrame:
+    """A saved code table. Its bytes are known, so Spark decides on a broadcast."""
+    return spark.read.schema(CODES_SCHEMA).parquet(path)
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, col: str, out_col: str, default: int | None = None,
@@ -103,16 +90,16 @@ def apply_training_codes(df: DataFrame, codes: DataFrame, cols: list[str], suffi
     return out
 
 
-def apply_scoring_codes(df: DataFrame, maps: dict[str, dict[str, int]], suffix: str = "",
+def apply_scoring_codes(df: DataFrame, codes: DataFrame, suffix: str = "",
                         columns: dict[str, str] | None = None, cols: list[str] = CATEGORICAL) -> DataFrame:
     """D3: upper-case first; an unknown label, a null or a missing map gives code 0.
 
-    ``columns`` maps a map name to the input column holding it (for example
-    ``{"default_flag": "default"}`` for the scoring request schema); every
-    column of ``cols`` has its output ``<name><suffix>``, also when the report
-    holds no map for it.
+    ``codes`` is a code table, loaded from beside the model or from a report
+    (``reports.encoding_codes``). ``columns`` maps a column of the table to the
+    input column holding it (for example ``{"default_flag": "default"}`` for the
+    scoring request schema); every column of ``cols`` has its output
+    ``<name><suffix>``, also when the table holds no label for it.
     """
-    codes = maps_to_codes(df.sparkSession, maps)
     out = df
     for name in cols:
         out = apply_codes(out, codes.where(F.col("column_name") == name), (columns or {}).get(name, name), name + suffix, default=0, upper=True)

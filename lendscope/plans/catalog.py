@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import round_even, round_half_up
 from ..operators import clean, encode, evaluate, explain, joins, profile, quality, quantiles, split
 from ..schema import (AGE_BIN_EDGES, AGE_BIN_LABELS, AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES,
-                      FORM_DEFAULTS, FROM_DISPLAY, NUMERIC, RAW_APPLICATION_SCHEMA, TARGET)
+                      FEATURES, FORM_DEFAULTS, FROM_DISPLAY, NUMERIC, RAW_APPLICATION_SCHEMA, TARGET)
+from ..operators.score import model_inputs
 from ..session import scratch_path
-from ..sources import files
+from ..sources import files, tables
 from ..sources.tables import APPLICATIONS_SQL, applications, load_table
-from . import reports
+from . import reports, training
 
 R = "half_up"
 APP_COLS = ["app_id", "age", "income", "home", "emp_length", "intent", "amount", "rate",
@@ -48,11 +50,12 @@ Q: dict = {}
 SQL: dict = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, whole: bool = False):
+    """``whole``: the SQL already has the view."""
     def deco(fn):
         Q[name] = fn
         if sql is not None:
-            SQL[name] = _with(sql)
+            SQL[name] = sql if whole else _with(sql)
         return fn
     return deco
 
@@ -138,6 +141,14 @@ def q_approval_overview(spark, sf_dir):
     return profile.overview(_apps(spark, sf_dir), TARGET, rounding=R)
 
 
+@register("copartitioned_overview", SQL["approval_overview"], whole=True)
+def q_copartitioned_overview(spark, sf_dir):
+    """A1 and B2 over orders and customer written in buckets of the customer key: the join moves no row."""
+    name = f"lendscope_{uuid.uuid4().hex[:12]}"
+    apps = tables.copartitioned_applications(spark, sf_dir, name, scratch_path(spark, name), buckets=8)
+    return profile.overview(apps, TARGET, rounding=R)
+
+
 # --- D5 + E8 + J3: age bins -------------------------------------------------
 _BINS_VALUES = ", ".join(
     f"({i}, '{lab}', {AGE_BIN_EDGES[i]}, {AGE_BIN_EDGES[i + 1]})" for i, lab in enumerate(AGE_BIN_LABELS))
@@ -152,6 +163,18 @@ def q_age_bins(spark, sf_dir):
     return profile.binned_counts(_apps(spark, sf_dir), "age", AGE_BIN_EDGES, AGE_BIN_LABELS)
 
 
+_MANY = [4 * i for i in range(10_001)]
+
+
+@register("amount_bins_many", """
+WITH c AS (SELECT CAST(ceil(amount / 4) AS INT) - 1 AS at, count(*) AS n FROM applications WHERE amount > 0 AND amount <= 40000 GROUP BY 1)
+SELECT CAST(i AS INT) AS ordinal, 'to ' || CAST(4 * i + 4 AS VARCHAR) AS bin, coalesce(n, 0) AS count
+FROM range(10000) r(i) LEFT JOIN c ON c.at = i""")
+def q_amount_bins_many(spark, sf_dir):
+    """D5 and E8 with ten thousand bins."""
+    return profile.binned_counts(_apps(spark, sf_dir), "amount", _MANY, [f"to {e}" for e in _MANY[1:]])
+
+
 # --- E9-E11: summary statistics ---------------------------------------------
 def _stats_sql(col, funcs):
     parts = {"mean": f"avg({col})", "median": f"median({col})", "min": f"min({col})",
@@ -194,9 +217,9 @@ _SPECIAL = {"all_signs": ("CASE app_id % 10 WHEN 0 THEN CAST('NaN' AS DOUBLE) WH
 def q_median_special(spark, sf_dir):
     """C1's medians with NaN (missing), infinities and a very wide range; narrowed in small steps."""
     x = _apps(spark, sf_dir).selectExpr(*(f"{e} AS {c}" for c, e in _SPECIAL.items()))
-    extents = quantiles.column_extents(x, list(_SPECIAL))
-    medians = quantiles.exact_medians(x, list(_SPECIAL), extents=extents, buckets=64, collect_limit=50)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(medians[c]).cast("double").alias("median"), F.lit(extents[c].n).cast("long").alias("n")) for c in _SPECIAL]
+    first = quantiles.brackets(x, list(_SPECIAL))
+    medians = quantiles.exact_medians(x, list(_SPECIAL), first=first, buckets=64, collect_limit=50)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(medians[c]).cast("double").alias("median"), F.lit(first[c].n).cast("long").alias("n")) for c in _SPECIAL]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -277,9 +300,9 @@ FROM a
 {' '.join(f"LEFT JOIN codes k_{c} ON k_{c}.column_name = '{c}' AND k_{c}.label = upper(a.{c})" for c in _MAPPED)}""")
 def q_encode_scoring(spark, sf_dir):
     flagged = split.hash_split(_apps(spark, sf_dir), "app_id", 0.2, 42)
-    maps = encode.fit_label_codes(flagged.where(~F.col("is_test")), _MAPPED)
+    codes = encode.label_codes(flagged.where(~F.col("is_test")), _MAPPED)
     requests = _apps(spark, sf_dir).selectExpr("app_id", *(f"{e} AS {c}" for c, e in _SCORING_INPUT.items()))
-    coded = encode.apply_scoring_codes(requests, maps, suffix="_code")
+    coded = encode.apply_scoring_codes(requests, codes, suffix="_code")
     return coded.select("app_id", *[f"{c}_code" for c in CATEGORICAL])
 
 
@@ -295,6 +318,39 @@ def q_codes_many(spark, sf_dir):
                          F.col("o_orderkey_code").alias("code")).agg(F.count("*").alias("orders"))
 
 
+@register("codes_many_scoring", """
+WITH codes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS code
+               FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS label FROM orders WHERE o_orderkey % 10 <> 0) l)
+SELECT o_orderkey, coalesce(code, 0) AS o_orderkey_code FROM orders LEFT JOIN codes ON label = CAST(o_orderkey AS VARCHAR)""")
+def q_codes_many_scoring(spark, sf_dir):
+    """D3 and A5 with a dictionary of as many labels: saved beside a model, loaded and joined; a tenth of the keys is unknown."""
+    orders = load_table(spark, sf_dir, "orders").select("o_orderkey")
+    path = scratch_path(spark, f"label_codes_{uuid.uuid4().hex[:12]}")
+    encode.save_codes(encode.label_codes(orders.where("o_orderkey % 10 <> 0"), ["o_orderkey"]), path)
+    return encode.apply_scoring_codes(orders, encode.load_codes(spark, path), suffix="_code", cols=["o_orderkey"])
+
+
+# --- D4: the assembled feature vector ----------------------------------------------------
+_FEATURE_SQL = {"age": f"CASE WHEN coalesce(a.age, m.age) > {AGE_CAP} THEN c.cap ELSE coalesce(a.age, m.age) END"} | {
+    c: f"coalesce(a.{c}, m.{c})" for c in NUMERIC if c != "age"} | {c: f"k_{c}.code" for c in CATEGORICAL}
+
+
+@register("assembled_features", f"""
+WITH codes AS ({_CODES_SQL})
+SELECT a.app_id, {', '.join(f'CAST({_FEATURE_SQL[c]} AS DOUBLE) AS {c}' for c in FEATURES)}
+FROM applications a
+{' '.join(f"LEFT JOIN codes k_{c} ON k_{c}.column_name = '{c}' AND k_{c}.label = coalesce(a.{c}, 'nan')" for c in CATEGORICAL)},
+     (SELECT {', '.join(f'median({c}) AS {c}' for c in NUMERIC)} FROM applications) m,
+     (SELECT median(coalesce(x.age, mm.age)) FILTER (WHERE coalesce(x.age, mm.age) <= {AGE_CAP}) AS cap
+      FROM applications x, (SELECT median(age) AS age FROM applications) mm) c""")
+def q_assembled_features(spark, sf_dir):
+    """D4 over the prepared applications (C1, C2, D2): the entries of the vector, in feature order."""
+    apps = _apps(spark, sf_dir)
+    prepared = training.apply_preparation(apps, *training.fit_preparation(apps, training.TrainConfig()))
+    vector = vector_to_array("features")
+    return encode.assemble(prepared, model_inputs()).select("app_id", *(vector[i].alias(c) for i, c in enumerate(FEATURES)))
+
+
 # --- D6: derived ratio --------------------------------------------------------
 @register("derived_ratio", f"""
 SELECT app_id, CASE WHEN amount IS NOT NULL AND income > 0 THEN {_r('amount / income', 2)}
@@ -487,6 +543,36 @@ def q_accuracy(spark, sf_dir):
     return evaluate.accuracy(_rule_predicted(spark, sf_dir), TARGET, "predicted", rounding=R)
 
 
+_MANY_CLASSES = """x AS (SELECT CAST(app_id % 1000 AS INT) AS a, CAST(CASE WHEN app_id % 3 = 0 THEN app_id % 1000 ELSE app_id * 7 % 1003 END AS INT) AS p FROM applications)"""
+
+
+def _many_predicted(spark, sf_dir):
+    """A thousand classes; a third of the rows is right, some predictions are none of the classes."""
+    k = F.col("app_id")
+    return _apps(spark, sf_dir).select((k % 1000).cast("int").alias("a"), F.when(k % 3 == 0, k % 1000).otherwise(k * 7 % 1003).cast("int").alias("p"))
+
+
+@register("confusion_cells_many", f"WITH {_MANY_CLASSES} SELECT a AS actual, p AS predicted, count(*) AS count FROM x GROUP BY a, p")
+def q_confusion_cells_many(spark, sf_dir):
+    """H2 over a thousand classes: the cells that occur."""
+    return evaluate.confusion_cells(_many_predicted(spark, sf_dir), "a", "p")
+
+
+@register("class_report_many", f"""
+WITH {_MANY_CLASSES},
+k AS (SELECT CAST(i AS INT) AS c FROM range(1000) r(i)),
+m AS (SELECT c, (SELECT count(*) FROM x WHERE a = c AND p = c) AS tp, (SELECT count(*) FROM x WHERE a = c AND p < 1000) AS s,
+             (SELECT count(*) FROM x WHERE p = c) AS q, (SELECT count(*) FROM x) AS total FROM k),
+r AS (SELECT c, s, total, coalesce(tp / nullif(q, 0), 0) AS pr, coalesce(tp / nullif(s, 0), 0) AS re FROM m),
+f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM r)
+SELECT CAST(c AS VARCHAR) AS row_name, {_r('pr', 4)} AS precision, {_r('re', 4)} AS recall, {_r('f1', 4)} AS f1, s AS support FROM f
+UNION ALL SELECT 'macro avg', {_r('avg(pr)', 4)}, {_r('avg(re)', 4)}, {_r('avg(f1)', 4)}, max(total) FROM f
+UNION ALL SELECT 'weighted avg', {_r('sum(pr * s) / max(total)', 4)}, {_r('sum(re * s) / max(total)', 4)}, {_r('sum(f1 * s) / max(total)', 4)}, max(total) FROM f""")
+def q_class_report_many(spark, sf_dir):
+    """H3 and H4 over a thousand classes."""
+    return evaluate.classification_report(_many_predicted(spark, sf_dir), "a", "p", classes=range(1000), rounding=R)
+
+
 # --- I1-I3: decision, confidence and risk from a group-rate scorer ---------------
 # The probability of class 1 is the outcome rate of the applicant's
 # (intent, home) group: a transparent, deterministic stand-in for a model.
@@ -505,7 +591,8 @@ def q_risk_level(spark, sf_dir):
     apps = _apps(spark, sf_dir)
     rates = apps.groupBy("intent", "home").agg(F.avg(F.col("status").cast("double")).alias("p1"))
     # One row per group, its bytes known: Spark broadcasts it, so the applications are not shuffled.
-    scored = apps.select("app_id", "intent", "home").join(joins.stored(rates), ["intent", "home"], "left")
+    rates = joins.stored(rates.select(F.col("intent").alias("i"), F.col("home").alias("h"), "p1"))
+    scored = apps.select("app_id", "intent", "home").join(rates, F.col("intent").eqNullSafe(F.col("i")) & F.col("home").eqNullSafe(F.col("h")), "left")
     code = F.when(F.col("p1") > 0.5, 1).otherwise(0)
     conf = explain.confidence_from_array(F.array(F.col("p1"), F.lit(1.0) - F.col("p1")), rounding=round_half_up)
     return scored.select(
@@ -671,18 +758,16 @@ def q_kpi_rows(spark, sf_dir):
 
 # --- R5 / A6 / A7 / B12 / M7 / M8 / M9: a report written, read again and shown ---------
 def _rule_report(spark, sf_dir):
-    """The report document of the rule predictor, written and read back."""
+    """The report document of the rule predictor, written by Spark and read back."""
     apps = _apps(spark, sf_dir)
     summary = evaluate.report_summary(_rule_predicted(spark, sf_dir), TARGET, "predicted", rounding=R).first().asDict(recursive=True)
-    doc = {
-        "model_type": "Rule Predictor Classifier", "accuracy": summary["accuracy"], "accuracy_percent": summary["accuracy_percent"], "n_estimators": 1,
-        "feature_columns": FEATURE_DISPLAY_NAMES, "encoding_maps": {},
-        "feature_importance": {r["feature"]: r["importance"] for r in _rule_importance(apps).collect()},
-        "classification_report": {k: summary[k] for k in ("precision_rejected", "recall_rejected", "precision_approved", "recall_approved")},
-        "dataset_stats": reports.stats_document(reports.dataset_stats(apps, TARGET, rounding=R).collect()),
-        "confusion_matrix": summary["confusion_matrix"]}
+    report = reports.Report(
+        scalars={"model_type": "Rule Predictor Classifier", "accuracy": summary["accuracy"], "accuracy_percent": summary["accuracy_percent"], "n_estimators": 1},
+        feature_columns=FEATURE_DISPLAY_NAMES, codes=encode.label_codes(apps, CATEGORICAL), importance=_rule_importance(apps),
+        classification_report={k: summary[k] for k in ("precision_rejected", "recall_rejected", "precision_approved", "recall_approved")},
+        stats=joins.stored(reports.dataset_stats(apps, TARGET, rounding=R)), confusion_matrix=summary["confusion_matrix"])
     path = scratch_path(spark, f"report_{uuid.uuid4().hex[:12]}")
-    reports.write_report(spark, doc, path)
+    reports.write_report(spark, report, path)
     return reports.read_report(spark, path)
 
 
@@ -711,6 +796,29 @@ def q_report_stats_section(spark, sf_dir):
     return reports.stats_rows(_rule_report(spark, sf_dir))
 
 
+# --- R2: the whole report document ------------------------------------------------------
+def _document_sql():
+    none = "CAST(NULL AS VARCHAR)"
+    shown = " ".join(f"WHEN '{c}' THEN '{DISPLAY_NAME[c]}'" for c in CATEGORICAL)
+    rows = [f"SELECT 'scalar' AS section, 'accuracy' AS name, {none} AS label, {_r('CAST(trace AS DOUBLE) / total', 4)} AS value FROM f",
+            f"SELECT 'scalar', 'accuracy_percent', {none}, {_r('CAST(trace AS DOUBLE) / total * 100', 1)} FROM f",
+            f"SELECT 'scalar', 'n_estimators', {none}, 1e0",
+            f"SELECT 'feature_importance', feature, {none}, importance FROM ({_IMPORTANCE_SQL}) i",
+            f"SELECT 'encoding_maps', CASE column_name {shown} END, label, CAST(code AS DOUBLE) FROM ({_CODES_SQL}) c",
+            f"SELECT section, section, key, value FROM ({_STATS_ROWS_SQL}) st"]
+    rows += [f"SELECT 'feature_columns', '{c}', {none}, {i + 1}e0" for i, c in enumerate(FEATURE_DISPLAY_NAMES)]
+    for i, name in enumerate(("rejected", "approved")):
+        rows += [f"SELECT 'classification_report', 'precision_{name}', {none}, {_r(f'p{i}', 4)} FROM f",
+                 f"SELECT 'classification_report', 'recall_{name}', {none}, {_r(f'r{i}', 4)} FROM f"]
+        rows += [f"SELECT 'confusion_matrix', '{i}', '{j}', CAST(c{i}{j} AS DOUBLE) FROM cm" for j in range(2)]
+    return f"WITH {_CM_CTE} " + " UNION ALL ".join(rows)
+
+
+@register("report_document", _document_sql())
+def q_report_document(spark, sf_dir):
+    return reports.report_rows(_rule_report(spark, sf_dir))
+
+
 # --- B11: numbers typed as text (JavaScript parseInt / parseFloat rules) ---------------
 _INT_RE = r"^([+-]?[0-9]+)"
 _FLOAT_RE = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
@@ -785,3 +893,29 @@ def q_csv_roundtrip(spark, sf_dir):
     apps.select(*cols, F.lit("bad").alias("Extra")).write.option("header", True).option("escape", '"').csv(path)
     back = files.read_applications_csv(spark, path, T.StructType([*RAW_APPLICATION_SCHEMA.fields, extra]), rejects=True)
     return back.withColumn("rejected", F.col("rejects")["Extra"]).drop("Extra", "rejects")
+
+
+_CSV_LINE = ("concat_ws(',', CAST(app_id AS VARCHAR), CAST(age AS VARCHAR), '59000', {home}, '5', 'MEDICAL', '35000', '16.02', {status}, '0.59', 'Y', '3')")
+_CSV_TEXT = {"home": "CASE WHEN app_id % 7 = 0 THEN '\"two' || chr(10) || 'lines\"' ELSE home END", "status": "CASE WHEN app_id % 13 = 0 THEN 'x' ELSE CAST(status AS VARCHAR) END"}
+_CSV_DAMAGED = f"CASE WHEN app_id % 5 = 0 THEN {_CSV_LINE} || ',3' WHEN app_id % 11 = 0 THEN CAST(app_id AS VARCHAR) || ',22' ELSE {_CSV_LINE} END".format(**_CSV_TEXT)
+
+
+@register("csv_rejects", f"""
+WITH t AS (SELECT app_id, {_CSV_DAMAGED} AS record FROM applications)
+SELECT '13 fields' AS reason, CAST(NULL AS VARCHAR) AS column_name, record AS value, count(*) AS n FROM t WHERE app_id % 5 = 0 GROUP BY record
+UNION ALL SELECT '2 fields', NULL, record, count(*) FROM t WHERE app_id % 5 <> 0 AND app_id % 11 = 0 GROUP BY record
+UNION ALL SELECT 'type', 'status', 'x', count(*) FROM t WHERE app_id % 5 <> 0 AND app_id % 11 <> 0 AND app_id % 13 = 0
+UNION ALL SELECT 'row', NULL, NULL, count(*) FROM t WHERE app_id % 5 <> 0 AND app_id % 11 <> 0""")
+def q_csv_rejects(spark, sf_dir):
+    """A1 and A2 over one file with malformed records, quoted line breaks and
+    values that can't be cast: each is in the rejects, the rest are rows."""
+    path = scratch_path(spark, f"csv_{uuid.uuid4().hex[:12]}")
+    record = F.expr(_CSV_DAMAGED.replace("VARCHAR", "STRING"))
+    header = ",".join(RAW_APPLICATION_SCHEMA.fieldNames())
+    lines = _apps(spark, sf_dir).select(F.lit(1).alias("at"), record.alias("value"))
+    lines = lines.unionByName(spark.range(1).select(F.lit(0).alias("at"), F.lit(header).alias("value")))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    table = files.scan_applications_csv(spark, path)
+    listed = table.rejects.groupBy("reason", "column_name", "value").agg(F.count("*").alias("n"))
+    whole = table.rows.agg(F.lit("row").alias("reason"), F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n"))
+    return listed.select("reason", "column_name", "value", "n").unionByName(whole)

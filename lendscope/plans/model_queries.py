@@ -76,7 +76,7 @@ def q_rf_score(spark, sf_dir):
     reasons instead of results."""
     res = trained(spark, sf_dir)
     checked = quality.validate(applications(spark, sf_dir), quality.API_RULES)
-    scored = score.score(checked, res.pipeline, res.maps, columns={}, keep=[ID, "violations"], refused=F.size("violations") > 0)
+    scored = score.score(checked, res.pipeline, res.codes, columns={}, keep=[ID, "violations"], refused=F.size("violations") > 0)
     return scored.select(ID, "prediction", "prediction_code", "confidence", "risk_level",
                          F.to_json("factors").alias("factors"), F.array_join("violations", ",").alias("violations"))
 
@@ -152,7 +152,7 @@ def q_rf_stream_score(spark, sf_dir):
         ID, "age", "income", "home", "emp_length", "intent", "amount", "rate", "percent_income",
         F.col("default_flag").alias("default"), "cred_length")
     requests.write.json(f"{run}/requests")
-    q = stream.start_scoring_stream(spark, f"{run}/requests", res.pipeline, res.maps, f"{run}/scored",
+    q = stream.start_scoring_stream(spark, f"{run}/requests", res.pipeline, res.codes, f"{run}/scored",
                                     checkpoint=f"{run}/checkpoint", keep=[ID])
     q.awaitTermination()
     out = spark.read.parquet(f"{run}/scored")

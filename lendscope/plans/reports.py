@@ -1,15 +1,17 @@
 """Report compositions (R1-R5) and their JSON form.
 
 ``dataset_stats`` (R1) needs three scans of the application table whatever
-its size: one aggregation for counts, sums, extremes, moments and age bins;
-one GROUPING SETS aggregation for the three distributions and the two group
-rates; and the exact-median selection for income, amount and rate. Results
-are small long-form rows ``(section, key, value)``.
+its size: one aggregation for counts, sums, extremes, moments, age bins and
+brackets around the medians of income, amount and rate; one that settles the
+medians; and one GROUPING SETS aggregation for the three distributions and the
+two group rates. Results are small long-form rows ``(section, key, value)``.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import rounder
 from ..functions.text import capitalize_first, fixed, key_to_label, thousands
 from ..operators import joins, profile, quantiles
-from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS, REPORT_LABELS
+from ..schema import AGE_BIN_EDGES, AGE_BIN_LABELS, CATEGORICAL, DISPLAY_NAME, FROM_DISPLAY, REPORT_LABELS
 
 STATS_SPEC = {
     "income_stats": ("income", ("mean", "median", "min", "max", "std")),
@@ -44,21 +46,18 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
     """
     rnd = rounder(rounding)
     spark = df.sparkSession
-    # Scan 1: scalars, moments, extremes and age bins (one aggregation, one row).
-    aggs = [F.count(F.lit(1)).alias("total"), F.sum(F.col(target)).cast("long").alias("approved")]
+    # Scan 1: scalars, moments, extremes, age bins and brackets around the medians (one aggregation, one row).
+    parts = {"total": quantiles.counted(F.lit(1)), "approved": quantiles.summed(F.col(target).cast("long"))}
     for section, (col, funcs) in STATS_SPEC.items():
-        x = quantiles.value(col)
-        aggs += [F.avg(x).alias(f"{section}__mean"), F.min(x).alias(f"{section}__min"),
-                 F.max(x).alias(f"{section}__max"), F.stddev_samp(x).alias(f"{section}__std"),
-                 *quantiles.extent_aggs(x, section)]
-    _, ordinal = profile.bin_expr("age", AGE_BIN_EDGES, AGE_BIN_LABELS)
-    aggs += [F.count_if(ordinal == i).alias(f"bin{i}") for i in range(len(AGE_BIN_LABELS))]
-    sc = df.agg(*aggs).first().asDict()
-
-    # Exact medians (bounded memory); the extents come from scan 1.
+        parts |= profile.stat_parts(quantiles.value(col), section, funcs)
+    bins = zip(AGE_BIN_EDGES, AGE_BIN_EDGES[1:])
+    parts |= {f"bin{i}": quantiles.counted_if((F.col("age") > lo) & (F.col("age") <= hi)) for i, (lo, hi) in enumerate(bins)}
+    sc = quantiles.two_level(df, parts)
+
+    # Scan 2: the exact medians within their brackets.
     med_cols = {col: section for section, (col, funcs) in STATS_SPEC.items() if "median" in funcs}
-    extents = {col: quantiles.extent_of(sc, sec) for col, sec in med_cols.items()}
-    medians = quantiles.exact_medians(df, list(med_cols), extents=extents, **(median_kw or {}))
+    first = {col: quantiles.bracket_of(sc, sec) for col, sec in med_cols.items()}
+    medians = quantiles.exact_medians(df, list(med_cols), first=first, **(median_kw or {}))
 
     total, approved = sc["total"], sc["approved"] or 0
     values = [("total_records", None, float(total)), ("approved_count", None, float(approved)),
@@ -66,14 +65,14 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
               ("approval_rate", None, (approved / total * 100) if total else None)]
     values += [("age_distribution", lab, float(sc[f"bin{i}"])) for i, lab in enumerate(AGE_BIN_LABELS)]
     for section, (col, funcs) in STATS_SPEC.items():
-        for f in funcs:
-            values.append((section, f, medians[col] if f == "median" else sc[f"{section}__{f}"]))
+        stats = {**profile.stat_values(sc, section, funcs), "median": medians.get(col)}
+        values += [(section, f, stats[f]) for f in funcs]
     part1 = spark.createDataFrame(values, "section string, key string, value double")
     part1 = part1.select("section", "key", F.when(F.col("section") == "approval_rate", rnd(F.col("value"), 1))
                          .when(F.col("section").endswith("_stats"), rnd(F.col("value"), 2))
                          .otherwise(F.col("value")).alias("value"))
 
-    # Scan 2: distributions and group rates in one GROUPING SETS pass.
+    # Scan 3: distributions and group rates in one GROUPING SETS pass.
     keys = sorted(set(DISTRIBUTIONS.values()) | set(RATES.values()))
     grouped = df.select(*keys, target).groupingSets([[k] for k in keys], *keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(target).cast("double")).alias("rate"),
@@ -91,35 +90,6 @@ def dataset_stats(df: DataFrame, target: str = "status", rounding: str = "even",
     return part1.unionByName(part2)
 
 
-def stats_document(stats_rows: list) -> dict:
-    """R1 as the nested document (dicts in the report's key order)."""
-    doc: dict = {}
-    order = ["total_records", "approved_count", "rejected_count", "approval_rate",
-             "intent_distribution", "home_distribution", "default_distribution", "age_distribution",
-             "income_stats", "amount_stats", "rate_stats", "approval_by_intent", "approval_by_home"]
-    grouped: dict = {}
-    for r in stats_rows:
-        grouped.setdefault(r["section"], []).append((r["key"], r["value"]))
-    for s in order:
-        items = grouped.get(s, [])
-        if s in ("total_records", "approved_count", "rejected_count"):
-            doc[s] = int(items[0][1]) if items else 0
-        elif s == "approval_rate":
-            doc[s] = items[0][1] if items else None
-        elif s.endswith("_distribution") and s != "age_distribution":
-            doc[s] = {k: int(v) for k, v in sorted(items, key=lambda kv: (-kv[1], kv[0]))}
-        elif s == "age_distribution":
-            pos = {lab: i for i, lab in enumerate(AGE_BIN_LABELS)}
-            doc[s] = {k: int(v) for k, v in sorted(items, key=lambda kv: pos[kv[0]])}
-        elif s.endswith("_stats"):
-            funcs = STATS_SPEC[s][1]
-            vals = dict(items)
-            doc[s] = {f: vals.get(f) for f in funcs}
-        else:
-            doc[s] = dict(sorted(items))
-    return doc
-
-
 def chart_series(stats: DataFrame, importance: DataFrame | None = None) -> DataFrame:
     """The dashboard's chart data as ``(series, position, label, value)``.
 
@@ -226,10 +196,112 @@ METADATA_SCHEMA = T.StructType([
 ])
 
 
-def write_report(spark: SparkSession, doc: dict, path: str) -> None:
-    """The report as one JSON document (one file, keys in report order)."""
-    text = json.dumps(doc, indent=2)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+@dataclass
+class Report:
+    """R2: what the report document holds. Scalars and the class report are a
+    few numbers; labels, importances and statistics are tables."""
+
+    scalars: dict[str, object]
+    feature_columns: list[str]
+    codes: DataFrame                     # (column_name, label, code)
+    importance: DataFrame                # (feature, importance)
+    classification_report: dict[str, float]
+    stats: DataFrame                     # R1: (section, key, value)
+    confusion_matrix: list[list[int]]
+
+
+def _entry(key: Column, value: Column) -> Column:
+    """``"key": value`` as JSON text."""
+    pair = F.to_json(F.create_map(key, value))
+    return F.substring(pair, F.lit(2), F.length(pair) - 2)
+
+
+def report_lines(report: Report) -> DataFrame:
+    """(section, part, place, key, text): the lines of the JSON document, in
+    this order. Every entry of a map is a line of its own, made where its row
+    is; of each map only the first entry's place is looked up, for the commas."""
+    spark = report.codes.sparkSession
+    order = ["model_type", "accuracy", "accuracy_percent", "n_estimators", "feature_columns", "encoding_maps", "feature_importance",
+             "classification_report", "dataset_stats", "confusion_matrix"]
+    at = {name: i for i, name in enumerate(order)}
+    stats_order = ["total_records", "approved_count", "rejected_count", "approval_rate", "intent_distribution", "home_distribution", "default_distribution",
+                   "age_distribution", "income_stats", "amount_stats", "rate_stats", "approval_by_intent", "approval_by_home"]
+    stats_at = {name: i for i, name in enumerate(stats_order)}
+    position = lambda c, names: F.element_at(F.create_map(*(x for n, i in names.items() for x in (F.lit(n), F.lit(i)))), c)
+    maps = report.codes.select(F.lit(at["encoding_maps"]).alias("section"), position(F.col("column_name"), {c: i for i, c in enumerate(CATEGORICAL)}).alias("part"),
+                               F.col("code").cast("double").alias("place"), F.col("label").alias("key"), _entry(F.col("label"), F.col("code")).alias("text"))
+    importance = report.importance.select(F.lit(at["feature_importance"]).alias("section"), F.lit(0).alias("part"), (-F.col("importance")).alias("place"),
+                                          F.col("feature").alias("key"), _entry(F.col("feature"), F.col("importance")).alias("text"))
+    section, key, value = F.col("section"), F.col("key"), F.col("value")
+    counts = section.endswith("_distribution")
+    place = F.when(section == "age_distribution", position(key, {b: i for i, b in enumerate(AGE_BIN_LABELS)})).when(counts, -value)
+    place = F.when(section.endswith("_stats"), position(key, {f: i for i, f in enumerate(profile.STAT_FUNCS)})).otherwise(place)
+    text = F.when(counts, _entry(key, value.cast("long"))).otherwise(_entry(key, value))
+    stats = report.stats.where("key is not null").select(F.lit(at["dataset_stats"]).alias("section"), position(section, stats_at).alias("part"),
+                                                         F.coalesce(place.cast("double"), F.lit(0.0)).alias("place"), "key", text.alias("text"))
+    entries = joins.stored(maps.unionByName(importance).unionByName(stats), "report-entries")
+    own = F.struct("place", "key")
+    firsts = entries.groupBy(F.col("section").alias("s"), F.col("part").alias("p")).agg(F.min(own).alias("first"))
+    entries = entries.join(firsts, (F.col("section") == F.col("s")) & (F.col("part") == F.col("p")))
+    entries = entries.select("section", "part", "place", "key", F.concat(F.when(own == F.col("first"), "").otherwise(","), "text").alias("text"))
+
+    low, high = -math.inf, math.inf
+    totals = {r.section: r.value for r in report.stats.where("key is null").collect()}  # four numbers
+    lines = [(-1, 0, low, "{")]
+    for name, i in at.items():
+        head = f'{"," if i else ""}{json.dumps(name)}: '
+        if name in report.scalars or name in ("feature_columns", "classification_report", "confusion_matrix"):
+            lines.append((i, -1, low, head + json.dumps(report.scalars[name] if name in report.scalars else getattr(report, name))))
+            continue
+        lines.append((i, -1, low, head + "{"))
+        if name == "encoding_maps":
+            for part, c in enumerate(CATEGORICAL):
+                lines += [(i, part, low, f'{"," if part else ""}{json.dumps(DISPLAY_NAME[c])}: {{'), (i, part, high, "}")]
+        if name == "dataset_stats":
+            for part, section in enumerate(stats_order):
+                comma = "," if part else ""
+                if section in totals or section in stats_order[:4]:
+                    total = totals.get(section)
+                    total = total if section == "approval_rate" or total is None else int(total)
+                    lines.append((i, part, low, f"{comma}{json.dumps(section)}: {json.dumps(total)}"))
+                else:
+                    lines += [(i, part, low, f"{comma}{json.dumps(section)}: {{"), (i, part, high, "}")]
+        lines.append((i, len(stats_order), high, "}"))
+    lines.append((len(order), 0, high, "}"))
+    frame = spark.createDataFrame(lines, "section int, part int, place double, text string")
+    return frame.select("section", "part", "place", F.lit(None).cast("string").alias("key"), "text").unionByName(entries)
+
+
+def write_report(spark: SparkSession, report: Report, path: str) -> None:
+    """The report as one JSON document in one file, keys in report order.
+    One task writes the sorted lines; it holds none but those it is sorting."""
+    order = ["section", "part", "place", "key"]
+    lines = report_lines(report).repartition(1).sortWithinPartitions(*order)
+    lines.select(F.col("text").alias("value")).write.mode("overwrite").text(path)
+
+
+def encoding_codes(report: DataFrame) -> DataFrame:
+    """The label codes of a report that was read back, as a stored code table."""
+    columns = F.create_map(*(F.lit(x) for pair in FROM_DISPLAY.items() for x in pair))
+    maps = report.select(F.explode("encoding_maps").alias("shown", "labels"))
+    codes = maps.select(F.coalesce(F.try_element_at(columns, F.col("shown")), F.col("shown")).alias("column_name"), F.explode("labels").alias("label", "code"))
+    return joins.stored(codes, "codes")
+
+
+def report_rows(report: DataFrame) -> DataFrame:
+    """The whole document as rows ``(section, name, label, value)``: scalars,
+    feature positions, label codes, importances, class report, matrix, statistics."""
+    row = lambda section, name, label, value: F.struct(
+        F.lit(section).alias("section"), name.cast("string").alias("name"), label.cast("string").alias("label"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    scalars = F.array(*(row("scalar", F.lit(c), none, F.col(c)) for c in ("accuracy", "accuracy_percent", "n_estimators")))
+    features = F.transform("feature_columns", lambda x, i: row("feature_columns", x, none, i + 1))
+    importance = F.transform(F.map_entries("feature_importance"), lambda e: row("feature_importance", e["key"], none, e["value"]))
+    classes = F.array(*(row("classification_report", F.lit(c), none, F.col(f"classification_report.{c}")) for c in METADATA_SCHEMA["classification_report"].dataType.names))
+    matrix = F.flatten(F.transform("confusion_matrix", lambda r, i: F.transform(r, lambda n, j: row("confusion_matrix", i, j, n))))
+    labels = F.flatten(F.transform(F.map_entries("encoding_maps"), lambda m: F.transform(F.map_entries(m["value"]), lambda e: row("encoding_maps", m["key"], e["key"], e["value"]))))
+    rows = report.select(F.explode(F.flatten(F.array(scalars, features, importance, classes, matrix, labels))).alias("r")).select("r.*")
+    return rows.unionByName(stats_rows(report).select("section", F.col("section").alias("name"), F.col("key").alias("label"), "value"))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

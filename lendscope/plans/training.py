@@ -10,7 +10,8 @@ a parquet table under the shared checkpoint folder with
 ``materialize='table'``, which survives executor loss without recompute);
 every fit step is a distributed aggregation with a small result; the
 training vectors are persisted for the forest, which reads them once per
-tree level.
+tree level. The driver holds numbers only: labels stay in the code table, the
+statistics in a stored table, and Spark writes the report from them.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, encode, evaluate, model, split
+from ..operators import clean, encode, evaluate, joins, model, split
 from ..operators.score import CODE_SUFFIX, model_inputs
-from ..schema import (AGE_CAP, CATEGORICAL, DISPLAY_NAME, FEATURE_DISPLAY_NAMES, ID, MODEL_TYPE,
+from ..schema import (AGE_CAP, CATEGORICAL, FEATURE_DISPLAY_NAMES, ID, MODEL_TYPE,
                       NUMERIC, SPLIT_SEED, TARGET, TEST_FRACTION)
 from ..session import scratch_path
 from . import reports
@@ -46,13 +47,13 @@ class TrainConfig:
 class TrainResult:
     pipeline: object                      # PipelineModel: assembler + forest
     forest: object
-    maps: dict
+    codes: DataFrame                      # the code table (column_name, label, code)
     impute: clean.ImputeParams
     cap: clean.CapParams
     summary: dict                         # accuracy, report, matrix
     importance: DataFrame
-    stats_rows: list
-    report: dict
+    stats: DataFrame                      # the rows of R1, stored
+    report: reports.Report
     test_predictions: DataFrame
     sizes: dict
     timings: dict = field(default_factory=dict)
@@ -111,7 +112,6 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
             split_f = prep_pool.submit(split.stratified_split, raw, ID, TARGET, cfg.test_fraction, cfg.split_seed)
             imp, cap, codes = fit_preparation(raw, cfg, prep_pool)
             flagged = split_f.result()
-    maps = encode.codes_to_maps(codes, CATEGORICAL)
     coded = apply_preparation(flagged, imp, cap, codes)
     lap("clean_encode_split")
 
@@ -128,7 +128,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     # The test side is scored and evaluated while the dataset statistics are
     # computed: Spark runs jobs from several driver threads side by side.
     pool = ThreadPoolExecutor(max_workers=1)
-    stats_f = pool.submit(lambda: reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw).collect())
+    stats_f = pool.submit(lambda: joins.stored(reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw), "stats"))
     predictions = model.predict(forest, test_rows).select(
         ID, TARGET, "prediction_code", "probability")
     pred_kept = predictions.persist(StorageLevel.MEMORY_AND_DISK)
@@ -136,7 +136,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
     sizes = {"train_rows": n_train, "test_rows": int(sum(sum(r) for r in summary_row["confusion_matrix"]))}
     train_rows.unpersist()
     lap("evaluate")
-    stats_rows = stats_f.result()
+    stats = stats_f.result()
     pool.shutdown()
     if cfg.materialize == "persist" and not kept_before:
         raw.unpersist()  # the test predictions, kept, no longer need it
@@ -144,37 +144,31 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
 
     importance = model.feature_importance(spark, forest, FEATURE_DISPLAY_NAMES, cfg.rounding)
     summary = summary_row.asDict(recursive=True)
-    imp_rows = importance.collect()
-    doc = {
-        "model_type": MODEL_TYPE,
-        "accuracy": summary["accuracy"],
-        "accuracy_percent": summary["accuracy_percent"],
-        "n_estimators": cfg.forest.num_trees,
-        "feature_columns": FEATURE_DISPLAY_NAMES,
-        "encoding_maps": {DISPLAY_NAME[c]: maps[c] for c in CATEGORICAL},
-        "feature_importance": {r["feature"]: r["importance"] for r in imp_rows},
-        "classification_report": {k: summary[k] for k in (
-            "precision_rejected", "recall_rejected", "precision_approved", "recall_approved")},
-        "dataset_stats": reports.stats_document(stats_rows),
-        "confusion_matrix": summary["confusion_matrix"],
-    }
+    report = reports.Report(
+        scalars={"model_type": MODEL_TYPE, "accuracy": summary["accuracy"], "accuracy_percent": summary["accuracy_percent"], "n_estimators": cfg.forest.num_trees},
+        feature_columns=FEATURE_DISPLAY_NAMES, codes=codes, importance=importance, stats=stats,
+        classification_report={k: summary[k] for k in ("precision_rejected", "recall_rejected", "precision_approved", "recall_approved")},
+        confusion_matrix=summary["confusion_matrix"])
     pipeline = model.scoring_pipeline(forest, inputs)
     lap("report")
-    return TrainResult(pipeline, forest, maps, imp, cap, summary, importance, stats_rows, doc,
-                       pred_kept, sizes, timings)
+    return TrainResult(pipeline, forest, codes, imp, cap, summary, importance, stats, report, pred_kept, sizes, timings)
+
+
+def codes_path(model_path: str) -> str:
+    """Where a saved model has its code table."""
+    return f"{model_path.rstrip('/')}/label_codes"
 
 
 def save(spark: SparkSession, result: TrainResult, model_path: str, report_path: str) -> None:
-    """A4 + A6."""
+    """A4 + A6: the model with its code table, and the report."""
     model.save_model(result.pipeline, model_path)
+    encode.save_codes(result.codes, codes_path(model_path))
     reports.write_report(spark, result.report, report_path)
 
 
-def maps_from_report(report_row) -> dict:
-    """Encoding maps of a report read back with ``reports.read_report`` (display -> logical names)."""
-    from ..schema import FROM_DISPLAY
-    maps = report_row["encoding_maps"] or {}
-    return {FROM_DISPLAY.get(k, k): dict(v) for k, v in maps.items()}
+def load(spark: SparkSession, model_path: str):
+    """A5: the saved model and its code table."""
+    return model.load_model(model_path), encode.load_codes(spark, codes_path(model_path))
 
 
-__all__ = ["TrainConfig", "TrainResult", "train", "save", "maps_from_report"]
+__all__ = ["TrainConfig", "TrainResult", "train", "save", "load"]

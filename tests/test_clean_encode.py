@@ -36,21 +36,49 @@ def test_outlier_cap(spark):
     assert [r.age for r in clean.apply_outlier_cap(df, p).collect()] == [100, 60, 60, None, 20]
 
 
-def test_label_codes_sorted_and_nan(spark):
+def codes_of(codes):
+    out = {}
+    for r in codes.collect():
+        out.setdefault(r.column_name, {})[r.label] = r.code
+    return out
+
+
+def code_table(spark, maps):
+    rows = [(c, label, code) for c, m in maps.items() for label, code in m.items()]
+    return spark.createDataFrame(rows, encode.CODES_SCHEMA)
+
+
+def test_label_codes_sorted_and_nan(spark, tmp_path):
     df = spark.createDataFrame([("RENT",), ("OWN",), (None,), ("MORTGAGE",)], "home string")
-    maps = encode.fit_label_codes(df, ["home"])
-    assert maps == {"home": {"MORTGAGE": 0, "OWN": 1, "RENT": 2, "nan": 3}}
-    coded = encode.apply_training_codes(df, encode.label_codes(df, ["home"]), ["home"], suffix="_code")
+    codes = encode.label_codes(df, ["home"])
+    assert codes_of(codes) == {"home": {"MORTGAGE": 0, "OWN": 1, "RENT": 2, "nan": 3}}
+    coded = encode.apply_training_codes(df, codes, ["home"], suffix="_code")
     assert {r.home: r.home_code for r in coded.collect()} == {"RENT": 2, "OWN": 1, None: 3, "MORTGAGE": 0}
+    encode.save_codes(codes, str(tmp_path / "codes"))
+    assert codes_of(encode.load_codes(spark, str(tmp_path / "codes"))) == codes_of(codes)
 
 
 def test_scoring_codes_upper_unknown_null(spark):
-    maps = {"home": {"MORTGAGE": 0, "OTHER": 1, "OWN": 2, "RENT": 3}, "intent": {}}
+    codes = code_table(spark, {"home": {"MORTGAGE": 0, "OTHER": 1, "OWN": 2, "RENT": 3}})
     df = spark.createDataFrame([("RENT", "x"), ("rent", None), ("castle", "y"), (None, "z")],
                                "home string, intent string")
-    out = encode.apply_scoring_codes(df.withColumn("default_flag", F.lit("Y")), maps, suffix="_code").collect()
+    out = encode.apply_scoring_codes(df.withColumn("default_flag", F.lit("Y")), codes, suffix="_code").collect()
     assert {r.home: r.home_code for r in out} == {"RENT": 3, "rent": 3, "castle": 0, None: 0}
-    assert {(r.intent_code, r.default_flag_code) for r in out} == {(0, 0)}  # an empty map, and none at all
+    assert {(r.intent_code, r.default_flag_code) for r in out} == {(0, 0)}  # no labels at all
+
+
+def test_scoring_joins_a_dictionary_of_any_size(spark, tmp_path):
+    """Its labels stand neither in the plan nor on the driver; Spark joins the saved table by its bytes."""
+    labels = spark.range(200_000).select(F.concat(F.lit("LABEL_"), F.col("id")).alias("home"))
+    path = str(tmp_path / "codes")
+    encode.save_codes(encode.label_codes(labels, ["home"]), path)
+    requests = labels.where("home like '%77'").select(F.lower("home").alias("home"))
+    out = encode.apply_scoring_codes(requests, encode.load_codes(spark, path), suffix="_code", cols=["home"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LABEL_1" not in plan and "FileScan parquet" in plan
+    want = {x.lower(): i for i, x in enumerate(sorted(f"LABEL_{i}" for i in range(200_000)))}
+    rows = out.collect()
+    assert len(rows) == 2000 and all(r.home_code == want[r.home] for r in rows)
 
 
 def test_derive_ratio(spark):

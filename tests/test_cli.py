@@ -18,8 +18,11 @@ def test_cli_train_score_stats(spark, tmp_path, capsys):
         "age", "income", "home", "emp_length", "intent", "amount", "rate", "percent_income",
         F.col("default_flag").alias("default"), "cred_length").write.json(req)
     out = str(tmp_path / "scored")
-    assert cli.main(["score", "--model", model, "--report", report, "--input", req, "--output", out]) == 0
+    assert cli.main(["score", "--model", model, "--input", req, "--output", out]) == 0
     scored = spark.read.parquet(out)
+    assert cli.main(["score", "--model", model, "--report", report, "--input", req, "--output", out + "2"]) == 0
+    plain = ["prediction", "confidence", "risk_level"]
+    assert scored.select(plain).exceptAll(spark.read.parquet(out + "2").select(plain)).isEmpty()
     assert scored.count() == 200
     assert scored.where(F.size("violations") == 0).where(F.col("prediction").isNull()).count() == 0
     assert cli.main(["stats", "--report", report]) == 0

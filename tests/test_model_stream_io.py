@@ -1,11 +1,14 @@
 """Model fit, persistence, batch and stream scoring, and file sources (small forest)."""
 
+import dataclasses
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators import model, score
+from lendscope.operators import encode, model, score
 from lendscope.plans import reports, training
+from lendscope.schema import AGE_BIN_LABELS
 from lendscope.sources import files
 from lendscope.streaming import scoring as stream
 
@@ -21,12 +24,12 @@ def test_model_finds_signal(trained):
     # Majority share at sf0.01 is 9,679 / 15,000 = 0.645.
     assert trained.summary["accuracy"] > 0.7
     assert trained.sizes == {"train_rows": 12000, "test_rows": 3000}
-    total = sum(trained.report["feature_importance"].values())
-    assert abs(total - 1.0) < 2e-3
-    assert trained.report["encoding_maps"]["Home"] == {"MORTGAGE": 0, "OTHER": 1, "OWN": 2, "RENT": 3}
-    ds = trained.report["dataset_stats"]
-    assert sum(ds["intent_distribution"].values()) == ds["total_records"] == 15000
-    assert sum(ds["age_distribution"].values()) == 15000
+    assert abs(sum(r.importance for r in trained.importance.collect()) - 1.0) < 2e-3
+    home = {r.label: r.code for r in trained.codes.where("column_name = 'home'").collect()}
+    assert home == {"MORTGAGE": 0, "OTHER": 1, "OWN": 2, "RENT": 3}
+    stats = {(r.section, r.key): r.value for r in trained.stats.collect()}
+    for section in ("intent_distribution", "age_distribution"):
+        assert sum(v for (s, _), v in stats.items() if s == section) == stats["total_records", None] == 15000
 
 
 def test_save_load_and_scoring_equal(spark, trained, tmp_path, apps_mid):
@@ -34,8 +37,8 @@ def test_save_load_and_scoring_equal(spark, trained, tmp_path, apps_mid):
     model.save_model(trained.pipeline, path)
     loaded = model.load_model(path)
     valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull() & (F.col("age") <= 100))
-    a = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"])
-    b = score.score(valid, loaded, trained.maps, columns={}, keep=["app_id"])
+    a = score.score(valid, trained.pipeline, trained.codes, columns={}, keep=["app_id"])
+    b = score.score(valid, loaded, trained.codes, columns={}, keep=["app_id"])
     ra = {r.app_id: (r.prediction_code, r.confidence) for r in a.collect()}
     rb = {r.app_id: (r.prediction_code, r.confidence) for r in b.collect()}
     assert ra == rb
@@ -47,7 +50,7 @@ def test_refused_rows_have_reasons_and_no_results(spark, trained, apps_mid):
     from lendscope.operators import quality
 
     checked = quality.validate(apps_mid, quality.API_RULES)
-    out = score.score(checked, trained.pipeline, trained.maps, columns={}, keep=["app_id", "violations"], refused=F.size("violations") > 0)
+    out = score.score(checked, trained.pipeline, trained.codes, columns={}, keep=["app_id", "violations"], refused=F.size("violations") > 0)
     refused = out.where(F.size("violations") > 0)
     assert out.count() == 15000 and 0 < refused.count() < 15000
     assert refused.where("prediction is not null or confidence is not null or risk_level is not null or factors is not null").count() == 0
@@ -60,7 +63,20 @@ def test_report_roundtrip(spark, trained, tmp_path):
     rep = reports.read_report(spark, path)
     row = rep.first()
     assert row.n_estimators == 20 and row.dataset_stats.total_records == 15000
-    assert training.maps_from_report(row)["default_flag"] == {"N": 0, "Y": 1}
+    key = lambda r: (r.column_name, r.code)
+    assert sorted(reports.encoding_codes(rep).collect(), key=key) == sorted(trained.codes.collect(), key=key)
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    doc = json.loads(text)
+    assert list(doc) == ["model_type", "accuracy", "accuracy_percent", "n_estimators", "feature_columns", "encoding_maps", "feature_importance",
+                         "classification_report", "dataset_stats", "confusion_matrix"]
+    assert list(doc["encoding_maps"]) == ["Home", "Intent", "Default"] and list(doc["encoding_maps"]["Home"].values()) == [0, 1, 2, 3]
+    importance = list(doc["feature_importance"].values())
+    assert importance == sorted(importance, reverse=True) and len(importance) == 10
+    ds = doc["dataset_stats"]
+    assert list(ds)[:5] == ["total_records", "approved_count", "rejected_count", "approval_rate", "intent_distribution"] and len(ds) == 13
+    assert list(ds["age_distribution"]) == AGE_BIN_LABELS and list(ds["income_stats"]) == ["mean", "median", "min", "max", "std"]
+    counts = list(ds["intent_distribution"].values())
+    assert counts == sorted(counts, reverse=True) and all(isinstance(c, int) for c in counts)
     info = reports.model_info(rep).first()
     assert info.feature_columns[0] == "Age" and info.model_name == "Random Forest"
     summary = reports.model_summary(rep).collect()
@@ -68,6 +84,31 @@ def test_report_roundtrip(spark, trained, tmp_path):
     assert summary[3].label == "Emp Length"
 
 
+def test_report_of_many_and_odd_labels(spark, trained, tmp_path):
+    """Every label is an entry of the document, written in order by one task; odd ones are escaped."""
+    odd = ['a "quote"', "back\\slash", "two\nlines", "é漢\U0001f600", "", "nan"]
+    labels = spark.createDataFrame([(x,) for x in odd], "home string").unionByName(spark.range(20_000).select(F.concat(F.lit("x"), F.col("id")).alias("home")))
+    codes = encode.label_codes(labels, ["home"])
+    path = str(tmp_path / "report")
+    reports.write_report(spark, dataclasses.replace(trained.report, codes=codes), path)
+    doc = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    assert list(doc["encoding_maps"]["Home"].items()) == [(x, i) for i, x in enumerate(sorted([*odd, *(f"x{i}" for i in range(20_000))]))]
+    assert doc["encoding_maps"]["Intent"] == {} and doc["encoding_maps"]["Default"] == {}
+    rep = reports.read_report(spark, path)
+    assert reports.encoding_codes(rep).exceptAll(codes).isEmpty() and reports.report_rows(rep).where("section = 'encoding_maps'").count() == 20_006
+    empty = dataclasses.replace(trained.report, codes=codes.limit(0), stats=trained.stats.limit(0), importance=trained.importance.limit(0))
+    reports.write_report(spark, empty, path + "2")
+    assert json.loads("".join(r.value for r in spark.read.text(path + "2", wholetext=True).collect()))["dataset_stats"]["rate_stats"] == {}
+
+
+def test_saved_model_has_its_codes(spark, trained, tmp_path):
+    model_path, report_path = str(tmp_path / "model"), str(tmp_path / "report")
+    training.save(spark, trained, model_path, report_path)
+    training.save(spark, trained, model_path, report_path)  # overwrites both
+    _, codes = training.load(spark, model_path)
+    assert codes.exceptAll(trained.codes).isEmpty() and codes.count() == trained.codes.count()
+
+
 def test_stream_equals_batch(spark, trained, tmp_path, apps_mid):
     src = tmp_path / "requests"
     req = apps_mid.limit(500).select(
@@ -75,13 +116,13 @@ def test_stream_equals_batch(spark, trained, tmp_path, apps_mid):
         F.col("default_flag").alias("default"), "cred_length")
     req.repartition(3).write.json(str(src))
     out = str(tmp_path / "scored")
-    q = stream.start_scoring_stream(spark, str(src), trained.pipeline, trained.maps, out,
+    q = stream.start_scoring_stream(spark, str(src), trained.pipeline, trained.codes, out,
                                     checkpoint=str(tmp_path / "ckpt"), keep=["app_id"])
     q.awaitTermination(120)
     streamed = {r.app_id: (r.prediction, r.confidence, list(r.violations)) for r in spark.read.parquet(out).collect()}
     batch_in = files.read_scoring_json(spark, str(src), ["app_id"])
     batch = {r.app_id: (r.prediction, r.confidence, list(r.violations))
-             for r in stream.scored_records(batch_in, trained.pipeline, trained.maps, ["app_id"]).collect()}
+             for r in stream.scored_records(batch_in, trained.pipeline, trained.codes, ["app_id"]).collect()}
     assert len(streamed) == 500 and streamed == batch
 
 
@@ -116,7 +157,7 @@ def test_csv_whole_numbers_quotes_and_rejects(spark, tmp_path):
 def test_write_scored_and_column_types(spark, trained, tmp_path, apps_mid):
     from lendscope.operators import profile
     valid = apps_mid.where(F.col("rate").isNotNull() & F.col("emp_length").isNotNull()).limit(50)
-    out = score.score(valid, trained.pipeline, trained.maps, columns={}, keep=["app_id"])
+    out = score.score(valid, trained.pipeline, trained.codes, columns={}, keep=["app_id"])
     files.write_scored(out, str(tmp_path / "scored"))
     back = spark.read.parquet(str(tmp_path / "scored"))
     assert back.count() == 50 and dict(back.dtypes)["factors"] == "map<string,string>"
@@ -150,7 +191,7 @@ def test_train_only_cleaning_and_table_materialisation(spark):
                                materialize="table")
     res = training.train(spark, applications(spark, SF_SMALL), cfg)
     assert res.sizes["train_rows"] + res.sizes["test_rows"] == 1500
-    assert res.report["n_estimators"] == 5
+    assert res.report.scalars["n_estimators"] == 5
     # Medians were fitted on training rows only: emp_length's fill differs from the whole-table median only
     # if the split moved it; either way it is one of the observed half-steps.
     assert res.impute.null_counts["emp_length"] > 0
