@@ -139,30 +139,60 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(apart) / m.VALUES - (1 - 1000 / 1150)) < 0.012
 
 
-def test_forest_connects_what_all_pairs_connect():
+def test_neighbours_connect_what_all_pairs_connect():
+    """Components, blocks and signatures at random: the forest connects what all pairs do."""
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        n = int(rng.integers(2, 60))
+    for _ in range(40):
+        n = int(rng.integers(2, 50))
         sig = rng.integers(0, 3, (n, m.VALUES)).astype(np.uint16)
         for i in range(1, n):
             if rng.random() < 0.7:
                 sig[i] = sig[rng.integers(0, i)]
                 at = rng.permutation(m.VALUES)[: rng.integers(0, 30)]
                 sig[i, at] += 7
-        starts = np.array([0, n // 2]) if n > 3 else np.array([0])
-        i, j = m.forest(sig, starts, m.DISTANCE)
-        ends = np.append(starts[1:], n)
+        comp, own = rng.integers(0, max(2, n // 2), n), rng.integers(0, 2, n)
+        pairs = m.met(sig, comp, own, m.DISTANCE)
+        two = len(set(own.tolist())) > 1
+        wanted = [(a, b) for a in range(n) for b in range(a + 1, n)
+                  if comp[a] != comp[b] and (not two or own[a] != own[b]) and np.count_nonzero(sig[a] != sig[b]) <= m.DISTANCE]
+        assert set(pairs) <= set(wanted)
 
         def classes(pairs):
-            own = list(range(n))
+            tree = comp.tolist()
             for a, b in pairs:
-                own = [own[a] if x == own[b] else x for x in own]
-            return own
-
-        pairs = [(a, b) for s, e in zip(starts, ends) for a in range(s, e) for b in range(a + 1, e) if np.count_nonzero(sig[a] != sig[b]) <= m.DISTANCE]
-        assert all(np.count_nonzero(sig[a] != sig[b]) <= m.DISTANCE for a, b in zip(i, j)) and len(i) < n
-        same = lambda own: {frozenset(k for k in range(n) if own[k] == x) for x in own}
-        assert same(classes(zip(i.tolist(), j.tolist()))) == same(classes(pairs))
+                tree = [tree[a] if x == tree[b] else x for x in tree]
+            return {frozenset(k for k in range(n) if tree[k] == x) for x in tree}
+
+        assert classes(pairs) == classes(wanted) and len(pairs) < len(set(comp.tolist()))
+
+
+def test_dealt_blocks_let_all_components_meet(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0, 0, 0, 0, 1, 2, 3]) if g else 0, 100 * g + i) for g in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, comp long, cls long").withColumn("one", F.lit(1))
+    groups = {}
+    for r in m.dealt(df, "g", "one", 10).collect():
+        groups.setdefault((r.g, r.p, r.q), []).append(r)
+    pairs = set()
+    for (_, p, q), held in groups.items():
+        assert len(held) < 45
+        pairs |= {(a.cls, b.cls) for a in held for b in held if a.comp != b.comp and (p == q or a.own != b.own)}
+    assert pairs == {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1]}
+
+
+def test_hub_that_alone_links_its_neighbours(spark, documents):
+    """Copies that are linked to one text and not to each other: the first step can't find them all, the second must."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in range(60):
+        words = list(base)
+        for j in rng.sample(range(0, 200, 5), 3):
+            words[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    assert {r[2] for r in brute(rows)} == {0}
+    for rounds in (0, 1, m.ROUNDS):
+        assert found(documents(rows), split_above=8, block_shingles=1000, rounds=rounds) == brute(rows)
 
 
 def test_long_text_in_bounded_pieces():
