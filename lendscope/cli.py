@@ -1,6 +1,6 @@
 """Command line: the original application's jobs as Spark jobs.
 
-    python -m lendscope.cli train  --tables DIR | --csv PATH  --model OUT --report OUT
+    python -m lendscope.cli train  --tables DIR | --csv PATH [--rejects OUT]  --model OUT --report OUT
     python -m lendscope.cli score  --model DIR --input JSON --output OUT [--format parquet|json] [--id NAME] [--report DIR]
     python -m lendscope.cli stream --model DIR --input DIR --output OUT [--checkpoint DIR] [--id NAME] [--report DIR]
     python -m lendscope.cli stats  --report DIR          # the dataset statistics document
@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     src = t.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="folder with the orders and customer parquet tables")
     src.add_argument("--csv", help="application CSV with the original header")
+    t.add_argument("--rejects", help="train on the rows that are well formed and write the rest here, with file and line")
     t.add_argument("--model", required=True)
     t.add_argument("--report", required=True)
     s = sub.add_parser("score")
@@ -59,7 +60,14 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session()
     if args.cmd == "train":
-        raw = applications(spark, args.tables) if args.tables else files.read_applications_csv(spark, args.csv)
+        if args.tables:
+            raw = applications(spark, args.tables)
+        elif args.rejects:
+            table = files.scan_applications_csv(spark, args.csv)
+            table.rejects.write.mode("overwrite").parquet(args.rejects)
+            raw = table.rows.drop("rejects")
+        else:
+            raw = files.read_applications_csv(spark, args.csv)
         result = training.train(spark, raw)
         training.save(spark, result, args.model, args.report)
         report, scalars = result.report, result.report.scalars

@@ -12,7 +12,7 @@ Spark broadcasts it while its bytes are few. No label passes the driver.
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounder
@@ -45,15 +45,9 @@ def label_codes(df: DataFrame, cols: list[str], null_label: str | None = MISSING
     into the text ``nan``, which gets its own code). Codes of a column begin
     at 0; only the number of labels in each range meets in one task.
     """
-    ordered = _distinct_labels(df, cols, null_label).repartitionByRange("column_name", "label").sortWithinPartitions("column_name", "label")
-    placed = joins.stored(ordered.withColumn("at", F.monotonically_increasing_id()), "labels")
-    placed = placed.withColumn("range", F.shiftright("at", 33)).withColumn("within", F.col("at").bitwiseAND((1 << 33) - 1))
-    ranges = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
-    numbered = placed.join(ranges, "range").select("column_name", "label", (F.col("within") + F.col("offset")).alias("idx"))
-    firsts = numbered.groupBy("column_name").agg(F.min("idx").alias("first"))
-    return joins.stored(numbered.join(firsts, "column_name").select("column_name", "label", (F.col("idx") - F.col("first")).cast("int").alias("code")), "codes")
+    labels = joins.numbered(_distinct_labels(df, cols, null_label), [F.col("column_name"), F.col("label")], "idx")
+    firsts = labels.groupBy("column_name").agg(F.min("idx").alias("first"))
+    return joins.stored(labels.join(firsts, "column_name").select("column_name", "label", (F.col("idx") - F.col("first")).cast("int").alias("code")), "codes")
 
 
 def save_codes(codes: DataFrame, path: str) -> None:

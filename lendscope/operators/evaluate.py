@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounder
-from . import joins
 
 
 def _known(label: str, pred: str, classes: Sequence) -> Column:
@@ -41,31 +40,29 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence = (
 
     Rows outside the classes, if any, have a row without actual and predicted."""
     table = _class_table(df.sparkSession, classes)
-    grid = table.select(F.col("class").alias("actual"), F.explode(F.lit(list(classes))).alias("predicted")).alias("g")
-    cells = confusion_cells(df, label, pred).alias("c")
-    same = (F.col("g.actual") == F.col("c.actual")) & (F.col("g.predicted") == F.col("c.predicted"))
-    placed = grid.join(cells, same, "full_outer").groupBy("g.actual", "g.predicted")
-    return placed.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    grid = table.select(F.col("class").alias("actual"), F.explode(F.lit(list(classes))).alias("predicted"), F.lit(0).cast("long").alias("count"))
+    known = _known("actual", "predicted", classes)
+    cells = confusion_cells(df, label, pred).select(*(F.when(known, F.col(c)).cast(grid.schema[c].dataType).alias(c) for c in ("actual", "predicted")), "count")
+    return grid.unionByName(cells).groupBy("actual", "predicted").agg(F.sum("count").alias("count"))
 
 
 def _per_class(df: DataFrame, label: str, pred: str, classes: Sequence, names: dict | None) -> DataFrame:
-    """Stored: (row_name, precision, recall, f1, support) of each class, and a
-    row without name that has the number of all rows as its support."""
+    """(row_name, precision, recall, f1, support) of each class, and, if there
+    are rows, one without name that has the number of all rows as its support."""
     cells = df.groupBy(F.when(_known(label, pred, classes), F.struct(F.col(label).alias("a"), F.col(pred).alias("p"))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     n, a, p = F.col("n"), F.col("cell.a"), F.col("cell.p")
-    part = lambda c, right, support, predicted: F.struct(
-        c.cast("string").alias("key"), right.alias("right"), support.alias("support"), predicted.alias("predicted"))
+    sums = ("right", "support", "predicted")
+    part = lambda c, *values: F.struct(c.cast("string").alias("key"), *(v.alias(name) for v, name in zip(values, sums)))
     zero = F.lit(0).cast("long")
     parts = F.array(part(F.lit(None), zero, n, zero), part(a, F.when(a == p, n).otherwise(zero), n, zero), part(p, zero, zero, n))
-    sums = cells.select(F.explode(F.when(a.isNull(), F.slice(parts, 1, 1)).otherwise(parts)).alias("x")).groupBy("x.key").agg(
-        *(F.sum(f"x.{c}").alias(c) for c in ("right", "support", "predicted")))
-    table = _class_table(df.sparkSession, classes, names).withColumn("shown", F.col("class").cast("string"))
-    rows = table.join(sums, F.col("shown") == F.col("key"), "full_outer").where("shown is not null or key is null")
-    right, support, predicted = (F.coalesce(c, zero) for c in ("right", "support", "predicted"))
+    found = cells.select(F.explode(F.when(a.isNull(), F.slice(parts, 1, 1)).otherwise(parts)).alias("x")).select("x.*", F.lit(None).cast("string").alias("row_name"))
+    # Every class has a part of zeros, with its name.
+    table = _class_table(df.sparkSession, classes, names).select(F.col("class").cast("string").alias("key"), *(zero.alias(c) for c in sums), "row_name")
+    rows = table.unionByName(found).groupBy("key").agg(F.max("row_name").alias("row_name"), *(F.sum(c).alias(c) for c in sums))
     ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
-    rows = rows.select("row_name", ratio(right.cast("double"), predicted).alias("precision"), ratio(right.cast("double"), support).alias("recall"), support.alias("support"))
-    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return joins.stored(rows.withColumn("f1", f1), "class-report")
+    right = F.col("right").cast("double")
+    rows = rows.select("row_name", ratio(right, F.col("predicted")).alias("precision"), ratio(right, F.col("support")).alias("recall"), "support")
+    return rows.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def accuracy(df: DataFrame, label: str, pred: str, classes: Sequence = (0, 1), rounding: str = "even", places: int = 4) -> DataFrame:
@@ -86,12 +83,15 @@ def classification_report(df: DataFrame, label: str, pred: str, classes: Sequenc
     """
     rnd = rounder(rounding)
     per = _per_class(df, label, pred, classes, names)
-    own, metrics = F.col("row_name").isNotNull(), ("precision", "recall", "f1")
-    total = F.max(F.when(~own, F.col("support")))
-    macro = per.agg(F.lit("macro avg").alias("row_name"), *(F.avg(F.when(own, F.col(m))).alias(m) for m in metrics), total.alias("support"))
-    weighted = per.agg(F.lit("weighted avg").alias("row_name"), *(F.try_divide(F.sum(F.when(own, F.col(m) * F.col("support"))), total).alias(m) for m in metrics),
-                       total.alias("support"))
-    rows = per.where(own).select("row_name", *metrics, "support").unionByName(macro).unionByName(weighted)
+    own, support, metrics = F.col("row_name").isNotNull(), F.col("support"), ("precision", "recall", "f1")
+    # One aggregation has the classes, each a group of one, and the averages over all of them.
+    found = per.groupingSets([["row_name"], []], "row_name").agg(
+        F.grouping_id().alias("all"), F.max(support).alias("support"), F.max(F.when(~own, support)).alias("total"),
+        *(F.avg(F.when(own, F.col(m))).alias(m) for m in metrics), *(F.sum(F.when(own, F.col(m) * support)).alias(f"{m}_weighted") for m in metrics))
+    row = lambda name, n, values: F.struct(name.alias("row_name"), *(v.alias(m) for m, v in zip(metrics, values)), n.alias("support"))
+    plain = [F.col(m) for m in metrics]
+    averages = F.array(row(F.lit("macro avg"), F.col("total"), plain), row(F.lit("weighted avg"), F.col("total"), [F.try_divide(f"{m}_weighted", "total") for m in metrics]))
+    rows = found.select(F.explode(F.when(F.col("all") == 1, averages).when(own, F.array(row(F.col("row_name"), support, plain)))).alias("r")).select("r.*")
     return rows.select("row_name", *(rnd(F.col(m), places).alias(m) for m in metrics), F.coalesce("support", F.lit(0)).cast("long").alias("support"))
 
 

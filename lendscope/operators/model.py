@@ -64,15 +64,24 @@ def predict(model, df: DataFrame, code_col: str = "prediction_code") -> DataFram
 
 def feature_importance(spark: SparkSession, model: RandomForestClassificationModel, names: list[str],
                        rounding: str = "even", places: int = 4) -> DataFrame:
-    """G4 (+J1): ``(rank, feature, importance)`` sorted by importance, descending.
+    """G4 (+J1): ``(feature, importance)`` sorted by importance, descending.
 
     The vector has one entry per feature (a bounded, model-sized object).
     """
     rnd = rounder(rounding)
     vals = [float(v) for v in model.featureImportances.toArray()]
     df = spark.createDataFrame(list(zip(names, vals)), "feature string, raw double")
-    ranked = df.select("feature", rnd(F.col("raw"), places).alias("importance"))
-    return ranked.orderBy(F.desc("importance"), F.asc("feature"))
+    return by_importance(df.select("feature", rnd(F.col("raw"), places).alias("importance")))
+
+
+def by_importance(importance: DataFrame) -> DataFrame:
+    """``(feature, importance)``, the most important first; ties by name."""
+    return importance.orderBy(F.desc("importance"), F.asc("feature"))
+
+
+def top_features(importance: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` most important features."""
+    return by_importance(importance).limit(n)
 
 
 def scoring_pipeline(model: RandomForestClassificationModel, feature_cols: list[str]) -> PipelineModel:

@@ -7,13 +7,14 @@ anything is shuffled. Outputs are small (one row per group or per bin).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounder
-from . import quantiles
+from . import joins, quantiles
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -56,10 +57,10 @@ def order_counts(counts: DataFrame, key: str, count_col: str = "count") -> DataF
 
 
 def ranked_counts(counts: DataFrame, key: str, count_col: str = "count") -> DataFrame:
-    """J2 with its order as a column: rank 1 is the largest count. One row per
-    value is ranked, so use it on columns whose values are few."""
-    w = Window.orderBy(F.desc(count_col), F.asc(key))
-    return order_counts(counts.withColumn("rank", F.row_number().over(w)), key, count_col)
+    """J2 with its order as a column: rank 1 is the largest count. Values are
+    numbered by ranges, so there may be as many as there are rows."""
+    ranked = joins.numbered(counts, [F.desc(count_col), F.asc(key)], "rank")
+    return order_counts(ranked.withColumn("rank", (F.col("rank") + 1).cast("int")), key, count_col)
 
 
 def value_counts_multi(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,16 +102,20 @@ def overview(df: DataFrame, target: str, rounding: str = "even", places: int = 1
     )
 
 
+def _array(values: Sequence, kind: str) -> Column:
+    """A constant array of any length; the optimizer folds it into one literal."""
+    return F.from_json(F.lit(f"[{','.join(map(str, values))}]"), f"array<{kind}>")
+
+
 def bin_ordinal(x: Column, edges: Sequence[float]) -> Column:
     """The right-closed bin ``(e0, e1], (e1, e2], ...`` that holds ``x``, from 0;
     null outside, for null and for NaN. A binary search in the sorted edges
     (one array in the plan): some fourteen steps for ten thousand of them."""
-    table, n = F.lit([float(e) for e in edges]), len(edges)
+    table, n = _array([float(e) for e in edges], "double"), len(edges)
     steps = [1 << k for k in reversed(range(n.bit_length()))]
     # Edges below x: a step is taken while the edge that it reaches is below, too.
     step = lambda at, by: F.when(F.get(table, at + by - 1) < x.cast("double"), at + by).otherwise(at)
-    below = F.aggregate(F.lit(steps), F.lit(0), step)
-    return F.when(below.between(1, n - 1), below - 1)
+    return F.aggregate(_array(steps, "int"), F.lit(0), step, lambda below: F.when(below.between(1, n - 1), below - 1))
 
 
 def bin_expr(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> tuple[Column, Column]:
@@ -119,20 +124,19 @@ def bin_expr(c: str | Column, edges: Sequence[float], labels: Sequence[str]) ->
     ``Bucketizer`` is left-closed, so the edges are searched instead.
     """
     ordinal = bin_ordinal(F.col(c) if isinstance(c, str) else c, edges)
-    return F.get(F.lit(list(labels)), ordinal), ordinal
+    return F.get(_array([json.dumps(x) for x in labels], "string"), ordinal), ordinal
 
 
 def binned_counts(df: DataFrame, col: str, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
     """E8 + J3: count per bin in bin order; an empty bin shows 0.
 
-    The rows are counted by bin (partial counts in every map task); the table
-    of bins, which has as many rows as there are labels, fills the gaps.
+    The rows are counted by bin (partial counts in every map task), together
+    with the table of bins, in which each counts 0.
     """
     _, ordinal = bin_expr(col, edges, labels)
-    counts = df.select(ordinal.alias("at")).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("n"))
-    bins = df.sparkSession.createDataFrame(list(enumerate(labels)), "ordinal int, bin string")
-    filled = bins.join(counts, F.col("ordinal") == F.col("at"), "left")
-    return filled.select("ordinal", "bin", F.coalesce("n", F.lit(0)).alias("count")).orderBy("ordinal")
+    rows = df.select(ordinal.alias("ordinal"), F.lit(None).cast("string").alias("bin"), F.lit(1).cast("long").alias("n")).where("ordinal is not null")
+    bins = df.sparkSession.createDataFrame(list(enumerate(labels)), "ordinal int, bin string").withColumn("n", F.lit(0).cast("long"))
+    return bins.unionByName(rows).groupBy("ordinal").agg(F.max("bin").alias("bin"), F.sum("n").alias("count")).orderBy("ordinal")
 
 
 STAT_FUNCS = ("mean", "median", "min", "max", "std")

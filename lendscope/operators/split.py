@@ -28,9 +28,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import joins
 
+FEW = 1000  # classes whose sizes are allotted on the driver
 BAND = 6.0  # half-width of the band in standard deviations
 ID_DIGITS = 32  # hex digits of one md5; the row's digest gives as many more
 
@@ -58,6 +60,15 @@ def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: int
     return df.withColumn(out_col, prefix < F.lit(hash_threshold(test_fraction)))
 
 
+def allocate_few(sizes: dict, test_fraction: float) -> dict:
+    """``allocate`` for classes that are few: from and to class -> rows."""
+    total = sum(sizes.values())
+    n_train = total - math.ceil(test_fraction * total)
+    floor = {c: n_train * n // total for c, n in sizes.items()}
+    first = sorted(sizes, key=lambda c: (-(n_train * sizes[c] % total), c))[: n_train - sum(floor.values())]
+    return {c: n - floor[c] - (c in first) for c, n in sizes.items()}
+
+
 def allocate(sizes: DataFrame, test_fraction: float) -> DataFrame:
     """``(c, n, want)``: exact test rows per class, as a stratified shuffle split allocates them.
 
@@ -79,7 +90,7 @@ def allocate(sizes: DataFrame, test_fraction: float) -> DataFrame:
 def _deeper(hist: DataFrame, state: DataFrame) -> DataFrame:
     """From counts per (c, p) and what each class still wants: the part with its
     boundary, the rows in it, and how many of them are wanted."""
-    upto = F.sum("n").over(Window.partitionBy("c").orderBy("p"))  # at most 16^digits parts of a class
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("p"))  # the keys in a class's band, or 16^digits parts of a prefix
     found = hist.join(state.select(F.col("c").alias("c_state"), "want"), F.col("c") == F.col("c_state")).withColumn("upto", upto)
     first = found.where("upto >= want").groupBy("c").agg(F.min(F.struct("p", "n", "upto", "want")).alias("f"))
     return first.select("c", F.col("f.p").alias("p"), F.col("f.n").alias("n"), (F.col("f.want") - F.col("f.upto") + F.col("f.n")).alias("want"))
@@ -116,8 +127,13 @@ def _thresholds(df: DataFrame, id_col: str, label_col: str, test_fraction: float
     ``p`` are test rows, and those that begin with it when most of them are wanted."""
     short = split_hash(df, id_col, seed)
     rows = df.select(F.col(label_col).alias("c"), short.alias("key")).where("c is not null")
-    sizes = joins.stored(df.select(F.col(label_col).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n")), "split-sizes")
-    wanted = joins.stored(allocate(sizes, test_fraction).where("want > 0"), "split-wanted")
+    sizes = df.select(F.col(label_col).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"))
+    few = sizes.limit(FEW + 1).collect()  # as a rule there are a few classes, and no table is needed
+    if len(few) <= FEW and isinstance(sizes.schema["c"].dataType, (T.IntegralType, T.StringType)):
+        want = allocate_few({r.c: r.n for r in few}, test_fraction)
+        wanted = df.sparkSession.createDataFrame([(r.c, r.n, want[r.c]) for r in few if want[r.c]], T.StructType([*sizes.schema.fields, T.StructField("want", T.LongType())]))
+    else:
+        wanted = joins.stored(allocate(joins.stored(sizes, "split-sizes"), test_fraction).where("want > 0"), "split-wanted")
     state = joins.stored(_banded(rows, wanted, band), "split-state")
     settled = (F.col("n") == 1) | (F.col("n") == F.col("want"))
     # Classes whose band missed, and keys that several rows share: none, as a rule.

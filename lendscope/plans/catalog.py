@@ -95,6 +95,13 @@ FROM applications WHERE {_c} IS NOT NULL GROUP BY {_c}""")(
         _value_counts_query(_c))
 
 
+@register("ranked_counts_many", """
+SELECT o_custkey, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS INT) AS rank FROM orders GROUP BY o_custkey""")
+def q_ranked_counts_many(spark, sf_dir):
+    """J2 over a column with as many values as there are customers with orders."""
+    return profile.ranked_counts(profile.value_counts(load_table(spark, sf_dir, "orders"), "o_custkey"), "o_custkey")
+
+
 @register("value_counts_all", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count "
     f"FROM applications WHERE {c} IS NOT NULL GROUP BY {c}" for c in CATEGORICAL))
@@ -499,6 +506,15 @@ def q_confusion_matrix(spark, sf_dir):
     return evaluate.confusion_matrix(_rule_predicted(spark, sf_dir), TARGET, "predicted")
 
 
+@register("confusion_zero_cells", """
+SELECT a.i AS actual, p.i AS predicted, CASE WHEN a.i = 3 AND p.i = 3 THEN (SELECT count(*) FROM applications) ELSE 0 END AS count
+FROM (VALUES (1), (2), (3), (4), (5)) a(i), (VALUES (1), (2), (3), (4), (5)) p(i)""")
+def q_confusion_zero_cells(spark, sf_dir):
+    """H5: one class is seen, of five; all other cells count 0."""
+    three = F.lit(3).alias
+    return evaluate.confusion_matrix(_apps(spark, sf_dir).select(three("actual"), three("predicted")), "actual", "predicted", classes=(1, 2, 3, 4, 5))
+
+
 @register("confusion_three_class", """
 WITH x AS (SELECT CASE app_id % 6 WHEN 3 THEN 7 WHEN 4 THEN NULL ELSE app_id % 6 % 3 END AS actual, age % 3 AS predicted FROM applications)
 SELECT c.actual, c.predicted, count(x.predicted) AS count

@@ -8,9 +8,10 @@ original service keeps its model loaded, so the queries share it.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, quality, score
+from ..operators import encode, evaluate, model, quality, score
 from ..schema import ID, TARGET
 from ..session import scratch_path
 from ..sources.tables import applications
@@ -130,10 +131,62 @@ def q_rf_invariants(spark, sf_dir):
     return out.select("*", F.round(F.lit(sum(raw)), 6).alias("importance_sum"), F.lit(len(raw)).cast("long").alias("features"))
 
 
+# A forest of few trees without resampling, in which every split sees all
+# features, must find a rule that two of them decide; SQL can state the rule.
+_RULE_FEATURES = ["age", "cred_length", "income", "amount", "percent_income"]
+_RULE_FOREST = model.ForestParams(num_trees=3, max_depth=4, bootstrap=False, features_per_split="all")
+
+
+def _rule_forest(spark, sf_dir, rule: str):
+    rows = applications(spark, sf_dir).select(ID, F.expr(f"CAST({rule} AS INT)").alias("label"), *(F.col(c).cast("double").alias(c) for c in _RULE_FEATURES))
+    rows = encode.assemble(rows, _RULE_FEATURES).select(ID, "label", "features")
+    return rows, model.fit_forest(rows, _RULE_FOREST, label_col="label")
+
+
+@_register("forest_finds_rule", catalog._with("""
+SELECT app_id, CAST(cred_length > 15 AND age <= 40 AS INT) AS prediction_code, CAST(cred_length > 15 AND age <= 40 AS DOUBLE) AS probability FROM applications"""))
+def q_forest_finds_rule(spark, sf_dir):
+    """Fitted to a rule over two features, the forest predicts it for every row, with certainty."""
+    rows, forest = _rule_forest(spark, sf_dir, "cred_length > 15 AND age <= 40")
+    return model.predict(forest, rows).select(ID, "prediction_code", vector_to_array("probability")[1].alias("probability"))
+
+
+@_register("forest_rule_importance", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i + 1}, '{c}', {float(c == 'cred_length')}e0)" for i, c in enumerate(sorted(_RULE_FEATURES, key=lambda c: (c != "cred_length", c)))) + ") AS t(rank, feature, importance)")
+def q_forest_rule_importance(spark, sf_dir):
+    """Where one feature decides, it has all the importance and comes first."""
+    _, forest = _rule_forest(spark, sf_dir, "cred_length > 15")
+    rows = model.feature_importance(spark, forest, _RULE_FEATURES).collect()  # one row a feature, in order
+    return spark.createDataFrame([(i + 1, r.feature, r.importance) for i, r in enumerate(rows)], "rank int, feature string, importance double")
+
+
+@_register("rf_saved_scores", catalog._with(f"""
+SELECT v.app_id, CAST(CASE WHEN v.is_valid THEN 1 ELSE 0 END AS INT) AS answered, TRUE AS equal FROM ({catalog._validate_sql(catalog._API_CHECKS)}) v"""))
+def q_rf_saved_scores(spark, sf_dir):
+    """A4 and A5: the saved and loaded model, with its saved codes, answers every application as the fitted one does."""
+    import uuid
+
+    res = trained(spark, sf_dir)
+    path = scratch_path(spark, f"model_{uuid.uuid4().hex[:12]}")
+    training.save(spark, res, path, path + "_report")
+    loaded, codes = training.load(spark, path)
+    checked = quality.validate(applications(spark, sf_dir), quality.API_RULES)
+    of = lambda m, c, name: score.score(checked, m, c, columns={}, keep=[ID], refused=F.size("violations") > 0).select(
+        F.col(ID).alias(f"{name}_id"), F.struct("prediction", "prediction_code", "confidence", "risk_level").alias(name))
+    both = of(res.pipeline, res.codes, "fitted").join(of(loaded, codes, "loaded"), F.col("fitted_id") == F.col("loaded_id"))
+    return both.select(F.col("fitted_id").alias(ID), F.col("loaded.prediction").isNotNull().cast("int").alias("answered"), F.col("fitted").eqNullSafe(F.col("loaded")).alias("equal"))
+
+
+@_register("rule_top_features", catalog._with(f"SELECT * FROM ({catalog._IMPORTANCE_SQL}) i ORDER BY importance DESC, feature LIMIT 3"))
+def q_rule_top_features(spark, sf_dir):
+    """J4 over importances that SQL can state (the limit is the feature)."""
+    return model.top_features(catalog._rule_importance(applications(spark, sf_dir)))
+
+
 @_register("rf_top_features")
 def q_rf_top_features(spark, sf_dir):
     """The three most important features (the limit is the feature)."""
-    return trained(spark, sf_dir).importance.limit(3)
+    return model.top_features(trained(spark, sf_dir).importance)
 
 
 @_register("rf_stream_score")

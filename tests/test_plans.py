@@ -29,7 +29,9 @@ def test_split_has_no_global_window(spark):
 def test_scoring_is_one_pass_without_python(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert not any(p in plan for p in (*PYTHON_NODES, "MapInArrow"))
-    assert plan.count("FileScan parquet") == 2 and "Exchange hashpartitioning" not in plan  # orders and customer
+    for table in ("o_orderkey", "c_custkey", "column_name"):  # orders and customer once, the code table for each category
+        assert plan.count(f"FileScan parquet [{table}") == (3 if table == "column_name" else 1)
+    assert plan.count("FileScan") == 5 and "Exchange hashpartitioning" not in plan
 
 
 def test_dataset_stats_has_one_expand(spark):

@@ -154,3 +154,21 @@ def test_split_of_many_small_classes(spark):
     sizes = df.groupBy(F.col("status").alias("c")).agg(F.count("*").alias("n"))
     want = {r.c: r.want for r in split.allocate(sizes, 0.3).collect() if r.want}
     assert got == want and sum(got.values()) == 1200
+
+
+def test_few_classes_are_allotted_alike(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(4):
+        counts = {i: rng.randrange(1, 60) for i in range(rng.randrange(1, 30))}
+        for fraction in (0.2, 0.33, 0.5):
+            assert split.allocate_few(counts, fraction) == _allocate(spark, counts, fraction)
+    assert split.allocate_few({0: 25473, 1: 7108}, 0.2) == {0: 5095, 1: 1422}
+    assert split.allocate_few({}, 0.2) == {}
+
+
+def test_split_with_sizes_as_tables(spark, apps_mid, monkeypatch):
+    a = {r.app_id for r in split.stratified_split(apps_mid, "app_id", "status", 0.2, 42).where("is_test").collect()}
+    monkeypatch.setattr(split, "FEW", 0)
+    assert {r.app_id for r in split.stratified_split(apps_mid, "app_id", "status", 0.2, 42).where("is_test").collect()} == a
