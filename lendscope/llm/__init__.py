@@ -1,7 +1,8 @@
 """Operators and the pipeline for preparing training data of language models.
 
 Nothing else in the library imports this subpackage. Functions that run in
-Python workers are pickled by value, so executors need no copy of it.
+Python workers are pickled by value, and the package is shipped with the first
+model that is broadcast (``common.share``), so executors need no copy of it.
 """
 
 import sys

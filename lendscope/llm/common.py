@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application: models are pickled
+    with a reference to their class. Spark distributes the file; nothing else
+    reads where the driver makes it. A package that lies in an archive was
+    given to Spark as one, so the executors have it."""
+    app = spark.sparkContext.applicationId
+    top = Path(__file__).resolve().parent.parent
+    if app in _SHIPPED or not top.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="llm-package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
+def share(spark: SparkSession, model: object) -> Broadcast:
+    """Broadcast a model of bounded size to executors that need not have this package."""
+    ship_package(spark)
+    return spark.sparkContext.broadcast(model)
+
+
 def raw(col: str | Column) -> Column:
     """UTF-8 bytes of a text; empty for null."""
     c = F.col(col) if isinstance(col, str) else col

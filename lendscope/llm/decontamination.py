@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from lendscope.sources.tables import load_table
 
-from .common import free_name, load_documents, raw, slices
+from .common import free_name, load_documents, raw, share, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -249,8 +249,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], name: s
     The items are a stated query set: each block of them is broadcast, its size
     bounded by ``block_words``, and all blocks are applied in one pass.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(build_index(*block, similarity, radius)) for block in item_blocks(benchmark, block_words)]
+    shared = [share(docs.sparkSession, build_index(*block, similarity, radius)) for block in item_blocks(benchmark, block_words)]
     text = free_name([*docs.columns, name], "raw")
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, kind)])

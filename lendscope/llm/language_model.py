@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load_documents, raw, slices, small_batches, stored
+from .common import crc_mod, load_documents, raw, share, slices, small_batches, stored
 
 #: A filter up to so large is broadcast; it has so many bits for each entry.
 FILTER_MB, BITS, PROBES = 96, 8.0, 2
@@ -397,7 +397,7 @@ def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head:
     spark = docs.sparkSession
     with small_batches(spark):  # beside its batch, a worker holds the counts or the filter
         model, merged = fit(docs.where(~held_out), filter_mb, head)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, {SCORES}"
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from lendscope.sources.tables import load_table
 
-from .common import crc_mod, labelled_sample, load_documents, raw, slices
+from .common import crc_mod, labelled_sample, load_documents, raw, share, slices
 
 #: At most so many documents of either label, of so many lines, are trained on.
 SAMPLE, SAMPLE_LINES = 2000, 400
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = SAMP
 
 def quality(docs: DataFrame, field: Field, held_out: Column) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,7 +99,7 @@ def mixing_plan(sized: DataFrame, max_epochs: int = 3, weights: tuple[float, ...
     share = (F.col("rest") - (F.col("c.upto") - F.col("c.words"))) / F.col("c.words")
     plan = plan.select(
         "mix_key", "source_size", "target", "whole", F.coalesce("c.part", F.lit(PARTS)).alias("cut"),
-        F.coalesce(share, F.lit(0.0)).alias("share"))
+        F.coalesce(share, F.lit(0.0)).alias("share"), F.coalesce(F.col("rest") - (F.col("c.upto") - F.col("c.words")), F.lit(0.0)).alias("some"))
     return stored(plan, "mix-plan")  # its size is then known, and a small one is broadcast
 
 
@@ -120,25 +120,41 @@ def mixed(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.
         "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("p.whole") * F.col("d.size") + extra).alias("taken"))
 
 
+def order_of(doc_id: str | Column, seed: int) -> Column:
+    """The seeded order of the documents in the part at the cut."""
+    return F.xxhash64(F.lit(seed + 1), doc_id)
+
+
+def with_last(plan: DataFrame, sized: DataFrame) -> DataFrame:
+    """``plan`` with ``last``: of the part at the cut, documents up to this
+    place are taken once more, so that their words come nearest to what is
+    missing. Only that part of a source (a 1,024th) is put in order."""
+    near = sized.withColumn("key", source_key("source")).join(plan.select("mix_key", "cut", "some"), F.col("key") == F.col("mix_key")).where("part = cut and size > 0")
+    upto = F.sum("size").over(Window.partitionBy("mix_key").orderBy("at"))  # documents of one place go together
+    own = F.sum("size").over(Window.partitionBy("mix_key", "at"))
+    near = near.withColumn("upto", upto).withColumn("own", own).where("upto - own / 2 <= some")
+    last = near.groupBy(F.col("mix_key").alias("k")).agg(F.max("at").alias("last"))
+    return stored(plan.join(last, F.col("mix_key") == F.col("k"), "left").drop("k"), "mix-last")
+
+
 def mix_documents(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 42) -> DataFrame:
     """The mixture itself: the columns of ``docs``, one row for each repetition,
-    with ``mix_copy`` (0, 1, ...) and ``mix_words``, its number of words. A
-    fractional repetition holds the first words of its text, joined by spaces;
-    documents of which nothing is taken have no row. Columns that have these
-    names already keep them; the new ones then begin with an underscore."""
+    with ``mix_copy`` (0, 1, ...) and ``mix_words``, its number of words. Texts
+    are whole: of the part at the cut, documents are taken once more in a
+    seeded order until their words come nearest to the target. Documents of
+    which nothing is taken, or without words, have no row. Columns that have
+    these names already keep them; the new ones then begin with an underscore."""
     copy, words = free_name(docs.columns, "mix_copy"), free_name(docs.columns, "mix_words")
-    sized = stored(docs.select("source", size_of("text").alias("size"), part_of("doc_id", seed).alias("part")), "mix-sizes")
-    plan = mixing_plan(sized, max_epochs, weights).alias("p")
-    size, part = size_of("d.text"), part_of("d.doc_id", seed)
+    sized = docs.select("source", size_of("text").alias("size"), part_of("doc_id", seed).alias("part"), order_of("doc_id", seed).alias("at"))
+    sized = stored(sized, "mix-sizes")
+    plan = with_last(mixing_plan(sized, max_epochs, weights), sized).alias("p")
+    size, part, at = size_of("d.text"), part_of("d.doc_id", seed), order_of("d.doc_id", seed)
     d = docs.alias("d").join(plan, source_key("d.source") == F.col("p.mix_key"), "left")
-    d = d.select("d.*", F.struct(size.alias("size"), F.col("p.whole").alias("whole"), words_taken(size, part, "p", F.col("d.doc_id"), seed).alias("extra")).alias("__mix"))
-    n = F.col("__mix.whole") + (F.col("__mix.extra") > 0).cast("long")
-    d = d.select("*", F.posexplode(F.array_repeat(F.lit(1), F.when(F.col("__mix.size") > 0, n).otherwise(0).cast("int"))).alias("__copy", "__one"))
-    last = F.col("__copy") >= F.col("__mix.whole")
-    cut = last & (F.col("__mix.extra") < F.col("__mix.size"))
-    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__mix.extra").cast("int")), " ")
-    out = [F.when(cut, some).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return d.select(*out, F.col("__copy").cast("long").alias(copy), F.when(last, F.col("__mix.extra")).otherwise(F.col("__mix.size")).alias(words))
+    more = (part < F.col("p.cut")) | ((part == F.col("p.cut")) & (at <= F.col("p.last")))
+    times = F.col("p.whole") + F.coalesce(more, F.lit(False)).cast("long")
+    d = d.select("d.*", F.struct(size.alias("size"), times.alias("times")).alias("__mix"))
+    d = d.select("*", F.posexplode(F.array_repeat(F.lit(1), F.when(F.col("__mix.size") > 0, F.col("__mix.times")).otherwise(0).cast("int"))).alias("__copy", "__one"))
+    return d.select(*docs.columns, F.col("__copy").cast("long").alias(copy), F.col("__mix.size").alias(words))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

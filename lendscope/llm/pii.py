@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, load_documents, raw
+from .common import free_name, load_documents, raw, share
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many chunks; a piece that is trained on has so many.
@@ -396,7 +396,7 @@ def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
 
 def personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
     """One row for each document: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
                            T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
@@ -427,7 +427,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; ``n_chars``, where
     there is one, counts the new text. A null text stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
     name = free_name(docs.columns, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from lendscope.sources.tables import load_table
 
-from .common import crc_mod, labelled_sample, load_documents, raw
+from .common import crc_mod, labelled_sample, load_documents, raw, share
 
 LENGTH, DECAY, SHARPNESS = 3, 0.6, 3.0
 #: Longer words are read through windows of so many characters, half of them shared.
@@ -295,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = SAMP
 
 def toxicity(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

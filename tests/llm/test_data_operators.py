@@ -59,9 +59,23 @@ def test_targets_and_words(spark, documents, skew):
     ids = {s: sum(r.taken for r in out if r.source_size == sizes[s]) for s in sizes if list(sizes.values()).count(sizes[s]) == 1}
     for s, n in ids.items():
         assert abs(n - targets[s]) <= 0.01 * targets[s] + 60, (s, n, targets[s])
-    copies = mixing.mix_documents(docs).groupBy("source").agg(F.sum("mix_words").alias("n"), F.sum(F.size(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1)))).alias("m")).collect()
+    copies = mixing.mix_documents(docs)
+    assert copies.join(docs, "text", "left_anti").isEmpty()  # every text is whole
+    copies = copies.groupBy("source").agg(F.sum("mix_words").alias("n"), F.sum(F.size(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1)))).alias("m")).collect()
+    most = max(len((t or "").split()) for _, t, _ in rows)
     for r in copies:
-        assert r.n == r.m and abs(r.n - targets[r.source]) <= 0.01 * targets[r.source] + 60
+        assert r.n == r.m and abs(r.n - targets[r.source]) <= 0.01 * targets[r.source] + 60 + most, r
+
+
+def test_mixture_comes_nearest_to_its_targets(spark, documents):
+    """One part at the cut holds all documents: whole texts are taken until the next one would go too far."""
+    docs = documents([(7, "w " * n, s) for s in ("a", "b") for n in (5, 9, 2)] + [(i, "w " * (1 + i % 7), "c") for i in range(3000)])
+    out = mixing.mix_documents(docs)
+    sizes = {"a": 16, "b": 16, "c": sum(1 + i % 7 for i in range(3000))}
+    targets = _targets(sizes, (1, 2, 3), 3)
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum("mix_words").alias("n")).collect()}
+    assert abs(got["c"] - targets["c"]) <= 4 and {got["a"], got["b"]} <= {16, 32, 48}
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix_documents(docs.repartition(5)).collect()))
 
 
 def test_mixing_is_native(spark, documents):
