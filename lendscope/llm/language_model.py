@@ -6,8 +6,16 @@ the first bits of the hash, so a word of a third of all rows costs each task
 one entry. Each part of the hash range then becomes one segment of a Bloom
 filter that holds a count's logarithm: an n-gram with level L is inserted L
 times, as (hash, 1) to (hash, L). Segments are broadcast together; a count is
-read by probing level after level until a probe fails. Pair counts are
-smoothed with the word's probability (Dirichlet prior).
+read by probing level after level until a probe fails. A level stands for the
+mean of the counts that have it. Pair counts are smoothed with the word's
+probability (Dirichlet prior).
+
+The probabilities of all words after a context add up to one, nearly. Of the V
+words after a context a share of f(L) reads a level L that is not there; how
+often is known from the bits that are set. A context seen c times has r(L) c
+pairs of that level, r(L) being the corpus's own share. So a pair that reads L
+is believed with r(L) c / (r(L) c + f(L) V), and the believed counts after a
+context add up to c, whether true or false ones prevail.
 
 The filter grows with the corpus: every n-gram seen once has a level at every
 size. Up to ``FILTER_MB`` it is broadcast; a larger one stays in its stored
@@ -15,12 +23,15 @@ segments, and the distinct n-grams of some texts are sent to the segments and
 their levels back. Both ways read the same bits and give the same scores.
 
 The base score uses exact counts: the most frequent words are broadcast (at
-most ``HEAD`` of them), all others are joined.
+most ``HEAD`` of them), all others are joined. Frequent contexts have the
+exact count, too, so that a level's error doesn't fall on all that follows.
 
 Words are known by 64-bit hashes. Defined results: a null text is empty and
 has one token, the end; rows are scored one by one, also with repeated or null
 ids (a null id counts as the empty text in the split); an empty table gives no
-rows; without training documents N, V and all counts are 0.
+rows; without training documents N, V and all counts are 0. A score is the sum
+of the logarithms of such probabilities; that of a text that starts after
+nothing known is the sum over its words alone.
 """
 
 from __future__ import annotations
@@ -39,8 +50,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, load_documents, raw, share, slices, small_batches, stored
 
-#: A filter up to so large is broadcast; it has so many bits for each entry.
-FILTER_MB, BITS, PROBES = 96, 8.0, 2
+#: A filter up to so large is broadcast. A count's first level has so many bits
+#: set, each further level so many; a segment is filled to one half.
+FILTER_MB, FIRST, FURTHER = 192, 16, 4
 #: Texts of about so many bytes ask a larger filter together.
 ASK_BYTES = 4 << 20
 #: At most so many words have their exact counts broadcast.
@@ -48,11 +60,11 @@ HEAD = 500_000
 #: Weight of the word's probability in a pair's.
 PRIOR = 200.0
 #: Growth of counts from one level to the next, for words and for pairs.
-BASES = {1: math.sqrt(2.0), 2: 2.0}
+BASES = {1: 2.0 ** 0.25, 2: 2.0 ** (1 / 3)}
+#: No count has more levels.
+LEVELS = 256
 #: A task deals its counts out after so many tokens.
 TOKENS = 1_000_000
-#: Segments of the model are never cut: least counts stay 1.
-WHOLE = 1 << 62
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b"")  # words are never empty
 
@@ -93,51 +105,55 @@ def counted(h: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarra
     return h[first], np.add.reduceat(weights, first) if len(h) else weights
 
 
-def levels(counts: np.ndarray, least: int, base: float) -> np.ndarray:
-    """0 below ``least``, then one more for each factor ``base``."""
-    out = np.floor(np.log(np.maximum(counts, 1) / least) / math.log(base) + 1e-9).astype(np.int64) + 1
-    return np.where(counts >= least, out, 0)
+def levels(counts: np.ndarray, base: float) -> np.ndarray:
+    """1 for one, then one more for each factor ``base``."""
+    return np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64) + 1
 
 
-def level_value(level: np.ndarray, least: np.ndarray, base: float) -> np.ndarray:
-    """The middle of the counts that have a level; 0 for level 0."""
-    low = np.ceil(least * base ** (level - 1.0) - 1e-9)
-    high = np.maximum(np.ceil(least * base ** level - 1e-9) - 1, low)
-    return np.where(level > 0, np.sqrt(low * high), 0.0)
+def probes(level: int) -> int:
+    return FIRST if level == 1 else FURTHER
 
 
-def positions(h: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """Bit positions of (hash, level) in segments of ``bits`` bits."""
-    x = mixed(h + _U(0x632BE59BD9B4E019 * (8 * level + probe + 1) % (1 << 64)))
-    return ((x >> _U(32)) * np.asarray(bits).astype(_U)) >> _U(32)
+def positions(h: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    """Bit positions of (hash, level) in segments of ``bits`` bits, probe by probe."""
+    x = mixed(h + _U(0x632BE59BD9B4E019 * level % (1 << 64)))
+    at, by, low = x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1), _U(0xFFFFFFFF)
+    for _ in range(probes(level)):
+        yield (at * np.asarray(bits).astype(_U)) >> _U(32)
+        at = (at + by) & low
 
 
-def segment(h: np.ndarray, counts: np.ndarray, base: float, most_bits: int) -> tuple[bytes, int, int]:
-    """Filter of one part: its bytes, number of bits, and the least count with a level."""
-    least = 1
-    while (total := int((level := levels(counts, least, base)).sum())) * BITS > most_bits:
-        least *= 2
-    bits = max(64, int(total * BITS))
+def segment(h: np.ndarray, counts: np.ndarray, base: float) -> tuple[bytes, int]:
+    """Filter of one part: its bytes and number of bits."""
+    level = levels(counts, base)
+    bits = max(4096, int((FIRST * len(level) + FURTHER * int((level - 1).sum())) / math.log(2)))
     out = np.zeros(bits // 8 + 1, np.uint8)
     for at in range(1, int(level.max(initial=0)) + 1):
-        some = h[level >= at]
-        for probe in range(PROBES):
-            p = positions(some, at, probe, bits)
+        for p in positions(h[level >= at], at, bits):
             np.bitwise_or.at(out, (p >> _U(3)).astype(np.int64), (1 << (p & _U(7)).astype(np.uint8)).astype(np.uint8))
-    return out.tobytes(), bits, least
+    return out.tobytes(), bits
 
 
 def probed(data: np.ndarray, h: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Levels: they are probed upwards until one is missing."""
+    """Levels: they are probed upwards until one is missing. What a probe has
+    failed is dropped once it is a third of the rest."""
     level = np.zeros(len(h), np.int64)
-    at, live = 1, np.arange(len(h))
-    while len(live):
-        for probe in range(PROBES):
-            p = positions(h[live], at, probe, bits[live])
-            there = (data[begin[live] + (p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1
-            live = live[there == 1]
+    live, begin, bits, low = np.arange(len(h)), begin.astype(_U) << _U(3), bits.astype(_U), _U(0xFFFFFFFF)
+    for at in range(1, LEVELS):
+        if not len(live):
+            break
+        x = mixed(h + _U(0x632BE59BD9B4E019 * at % (1 << 64)))
+        place, by, there = x & low, (x >> _U(32)) | _U(1), np.ones(len(x), bool)
+        for _ in range(probes(at)):
+            p = begin + ((place * bits) >> _U(32))
+            there &= (data[(p >> _U(3)).view(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
+            if 3 * np.count_nonzero(there) < 2 * len(there):
+                live, h, begin, bits, place, by = (v[there] for v in (live, h, begin, bits, place, by))
+                there = np.ones(len(live), bool)
+            place = (place + by) & low
+        if not there.all():
+            live, h, begin, bits = (v[there] for v in (live, h, begin, bits))
         level[live] = at
-        at += 1
     return level
 
 
@@ -148,14 +164,11 @@ class Filter:
     data: np.ndarray
     begins: np.ndarray
     bits: np.ndarray
-    least: np.ndarray
     shift: int
-    base: float
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
         part = (h >> _U(self.shift)).astype(np.int64)
-        return level_value(probed(self.data, h, self.begins[part], self.bits[part]), self.least[part], self.base)
+        return probed(self.data, h, self.begins[part], self.bits[part])
 
 
 def part_edges(parts: int) -> np.ndarray:
@@ -199,15 +212,22 @@ def dealt_counts(train: DataFrame, parts: int) -> DataFrame:
 
 def merged_counts(dealt: DataFrame) -> DataFrame:
     """One row for each order and part: its filter segment and, of words, all
-    hashes with exact counts (``histogram``: words by the binary logarithm)."""
-    schema = "n int, part int, filter binary, bits long, least long, hashes binary, counts binary, tokens long, types long, histogram array<long>"
+    hashes with exact counts (``histogram``: words by the binary logarithm;
+    ``ones``: bits that are set; ``of_level`` and ``level_sum``: n-grams of each
+    level, and their counts in all)."""
+    schema = ("n int, part int, filter binary, bits long, ones long, hashes binary, counts binary, tokens long, types long, histogram array<long>, "
+              "of_level array<long>, level_sum array<long>")
 
     def done(n: int, part: int, hashes: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
         h, c = counted(np.frombuffer(b"".join(hashes), _U), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-        data, bits, least = segment(h, c, BASES[n], WHOLE)
+        data, bits = segment(h, c, BASES[n])
+        ones = int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum(dtype=np.int64))
         logs = np.bincount(np.log2(c).astype(np.int64), minlength=64) if n == 1 else np.zeros(64, np.int64)
-        row = [[n], [part], [data], [bits], [least], [h.tobytes() if n == 1 else b""], [c.tobytes() if n == 1 else b""], [int(c.sum())], [len(c)], [logs.tolist()]]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        level = levels(c, BASES[n])
+        of, sums = np.bincount(level, minlength=LEVELS), np.bincount(level, c, minlength=LEVELS).astype(np.int64)
+        row = [[n], [part], [data], [bits], [ones], [h.tobytes() if n == 1 else b""], [c.tobytes() if n == 1 else b""], [int(c.sum())], [len(c)], [logs.tolist()],
+               [of.tolist()], [sums.tolist()]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *(pa.list_(pa.int64()) for _ in range(3))]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[f.split()[0] for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +254,17 @@ class Model:
     head_counts: np.ndarray
     least_head: int
     parts: int
+    values: dict[int, np.ndarray]  # mean count of each level
+    share: np.ndarray  # pairs of a level, for each token
+    false: np.ndarray  # words that read a pair's level after a context where it isn't there
     words: Filter | None  # None: the filter is too large to broadcast
     pairs: Filter | None
 
+    def believed(self, level: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """A pair's count from its level and its context's count."""
+        true = self.share[level] * before
+        return self.values[2][level] * (true / np.maximum(true + self.false[level], 1e-300))
+
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.types + 1))
 
@@ -252,13 +280,13 @@ def _filters(merged: DataFrame, sizes: list, parts: int) -> dict[int, Filter]:
     """Filters of both orders. Segments come to the driver a few parts at a time
     and are put where they belong, so it holds every bit once."""
     out = {}
-    for n, base in BASES.items():
-        size, bits, least = np.full(parts, 9, np.int64), np.full(parts, 64, np.int64), np.ones(parts, np.int64)
+    for n in BASES:
+        size, bits = np.full(parts, 513, np.int64), np.full(parts, 4096, np.int64)
         for r in sizes:
             if r.n == n:
-                size[r.part], bits[r.part], least[r.part] = r.bits // 8 + 1, r.bits, r.least
+                size[r.part], bits[r.part] = r.bits // 8 + 1, r.bits
         begins = np.concatenate(([0], np.cumsum(size)))
-        out[n] = Filter(np.zeros(int(begins[-1]), np.uint8), begins[:-1], bits, least, 64 - (parts.bit_length() - 1), base)
+        out[n] = Filter(np.zeros(int(begins[-1]), np.uint8), begins[:-1], bits, 64 - (parts.bit_length() - 1))
     for r in merged.select("n", "part", "filter").toLocalIterator():
         f = out[r.n]
         f.data[f.begins[r.part] : f.begins[r.part] + len(r.filter)] = np.frombuffer(r.filter, np.uint8)
@@ -281,7 +309,7 @@ def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple
     """The model, and the stored counts that it was made from."""
     parts = 1 << max(9, math.ceil(math.log2(max(8 * train.rdd.getNumPartitions(), 1))))
     merged = stored(merged_counts(dealt_counts(train, parts)), "lm-counts")
-    rows = merged.select("n", "part", "bits", "least", "tokens", "types", "histogram").collect()  # one short row for each part
+    rows = merged.drop("filter", "hashes", "counts").collect()  # one short row for each part
     words = [r for r in rows if r.n == 1]
     upwards = np.cumsum(np.sum([r.histogram for r in words], axis=0)[::-1])[::-1] if words else np.zeros(64, np.int64)
     least = 1 << int(np.argmax(upwards <= head))
@@ -290,23 +318,35 @@ def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple
     order = np.argsort(h)
     small = sum(r.bits // 8 + 1 for r in rows) <= filter_mb * 1_000_000
     filters = _filters(merged, rows, parts) if small else {1: None, 2: None}
-    model = Model(sum(r.tokens for r in words), sum(r.types for r in words), h[order], c[order], least, parts, filters[1], filters[2])
+    tokens, types = sum(r.tokens for r in words), sum(r.types for r in words)
+    of = {n: np.sum([r.of_level for r in rows if r.n == n] or [np.zeros(LEVELS)], axis=0) for n in BASES}
+    sums = {n: np.sum([r.level_sum for r in rows if r.n == n] or [np.zeros(LEVELS)], axis=0) for n in BASES}
+    values = {n: np.where(of[n] > 0, sums[n] / np.maximum(of[n], 1), BASES[n] ** (np.minimum(np.arange(LEVELS), 500.0) - 0.5)) for n in BASES}
+    for v in values.values():
+        v[0] = 0.0
+    fill = [r.ones / r.bits for r in rows if r.n == 2] + [0.5] * (parts - sum(r.n == 2 for r in rows)) if tokens else [0.0]
+    first, further = np.mean(np.power(fill, FIRST)), np.mean(np.power(fill, FURTHER))
+    false = types * first * further ** np.maximum(np.arange(LEVELS) - 1.0, 0) * (1 - further)
+    model = Model(tokens, types, h[order], c[order], least, parts, values, of[2] / max(tokens, 1), false, filters[1], filters[2])
     return model, merged
 
 
 Scored = tuple[int, int, float, float, list[int]]
 
 
-def score_slice(h: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray, quantised: np.ndarray,
-                together: np.ndarray, model: Model, prior: float) -> Iterator[Scored]:
-    """Scores from the tokens, the filter's counts of distinct words and those of all pairs."""
+def score_slice(h: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray, word_levels: np.ndarray,
+                pair_levels: np.ndarray, model: Model, prior: float) -> Iterator[Scored]:
+    """Scores from the tokens, the filter's levels of distinct words and those of all pairs."""
+    quantised = model.values[1][word_levels]
     begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
     exact = model.exact(distinct)[of]
     base = np.where(exact > 0, np.log10(model.word_probability(exact)), 0.0)
     word = model.word_probability(quantised)[of]
+    context = np.where(exact > 0, exact, quantised[of])
     before = np.empty(len(h))
-    before[1:] = quantised[of[:-1]]
-    before[0] = quantised[np.searchsorted(distinct, _U(END))]  # every text has an end
+    before[1:] = context[:-1]
+    before[0] = context[np.argmax(of == np.searchsorted(distinct, _U(END)))]  # every text has an end
+    together = model.believed(pair_levels, before)
     chance = (together + prior * word) / (np.maximum(before, together) + prior)
     known, base, score = (np.add.reduceat(v, begins) for v in ((exact > 0).astype(np.int64), base, np.log10(chance)))
     rare = exact == 0
@@ -319,7 +359,8 @@ def score_texts(texts: list[bytes], model: Model, prior: float = PRIOR) -> Itera
     for a, b in slices(texts):
         h, counts = tokens(texts[a:b])
         distinct, of = np.unique(h, return_inverse=True)
-        yield from score_slice(h, counts, distinct, of, model.words.count(distinct), model.pairs.count(pairs(h, counts)), model, prior)
+        two, at = np.unique(pairs(h, counts), return_inverse=True)
+        yield from score_slice(h, counts, distinct, of, model.words.levels(distinct), model.pairs.levels(two)[at], model, prior)
 
 
 SCORES = "n_tokens long, known long, base double, score double, rare array<long>"
@@ -376,7 +417,7 @@ def scored_by_parts(docs: DataFrame, merged: DataFrame, shared: Broadcast, parts
                 level: dict[int, list[bytes]] = {1: [], 2: []}
                 for a in sorted(batch.column("answers")[i].as_py(), key=lambda a: (a["n"], a["part"])):
                     level[a["n"]].append(a["levels"])
-                value = {n: level_value(np.frombuffer(b"".join(v), np.uint8).astype(float), np.ones(1), BASES[n]) for n, v in level.items()}
+                value = {n: np.frombuffer(b"".join(v), np.uint8) for n, v in level.items()}
                 h, counts = tokens(texts.to_pylist())
                 distinct, of = np.unique(h, return_inverse=True)
                 _, at = np.unique(pairs(h, counts), return_inverse=True)
