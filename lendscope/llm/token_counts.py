@@ -82,11 +82,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     return stored(docs.select(raw("text").alias("raw"), "doc_id").mapInArrow(run, schema), "token-documents")
 
 
-def blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
-    """(file, block, size) of all blocks of the files under ``path``."""
+def blocks(spark: SparkSession, path: str, block_bytes: int, only: DataFrame | None = None) -> DataFrame:
+    """(file, block, size) of all blocks of the files under ``path``, or of those
+    that ``only`` (file) names: a failed attempt may have left others."""
     store, at = arrow_fs.FileSystem.from_uri(path)
     files = [(f.base_name, f.size) for f in store.get_file_info(arrow_fs.FileSelector(at)) if f.type == arrow_fs.FileType.File and f.size]
     names = spark.createDataFrame(files, "file string, size long")
+    names = names if only is None else names.join(only, "file", "left_semi")
     last = F.floor((F.col("size") - 1) / block_bytes)
     return names.select("file", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "size").repartition("file", "block")
 
@@ -116,9 +118,9 @@ def separators(found: DataFrame, path: str, end_id: int, block_bytes: int) -> Da
     return found.mapInArrow(run, schema)
 
 
-def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, ordinal, n_tokens) of every document in the flat files under ``path``."""
-    b = stored(separators(blocks(spark, path, block_bytes), path, end_id, block_bytes).withColumn("group", F.floor(F.col("block") / GROUP)), "token-blocks")
+def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES, only: DataFrame | None = None) -> DataFrame:
+    """(file, ordinal, n_tokens) of every document in the flat files under ``path`` (those that ``only`` names)."""
+    b = stored(separators(blocks(spark, path, block_bytes, only), path, end_id, block_bytes).withColumn("group", F.floor(F.col("block") / GROUP)), "token-blocks")
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     groups = b.groupBy("file", "group").agg(F.sum("found").alias("found"), F.max("last").alias("last"))
     w = before("file", "group")
@@ -135,9 +137,12 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_byt
 
 def document_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_tokens. Tokens are written to flat
-    files under ``path`` and counted from the files alone."""
+    files under ``path`` and counted from the files alone; a document that
+    the files don't hold is an error."""
     written = write_tokens(docs, path, vocabulary, end_id)
-    return written.join(count_tokens(docs.sparkSession, path, end_id, block_bytes), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counts = count_tokens(docs.sparkSession, path, end_id, block_bytes, written.select("file").distinct())
+    missing = F.raise_error(F.concat(F.lit("no tokens of document "), F.col("ordinal").cast("string"), F.lit(" in "), F.col("file"))).cast("long")
+    return written.join(counts, ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", missing).alias("n_tokens"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

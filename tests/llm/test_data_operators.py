@@ -169,3 +169,24 @@ def test_files_are_planned_in_groups(tmp_path):
     store, at = fs.FileSystem.from_uri(str(tmp_path))
     parts = warc.WarcReader(str(tmp_path), False, 25).partitions()
     assert [len(p.paths) for p in parts] == [2, 2, 1] and pa is not None
+
+
+def test_files_of_failed_attempts_are_not_read(spark, documents, tmp_path):
+    """A file that no finished task names, of odd length, stands beside the others."""
+    import os
+
+    docs = documents([(i, "some words here " * (i % 5)) for i in range(40)])
+    want = sorted(token_counts.document_tokens(docs, f"file://{tmp_path}/a").collect(), key=str)
+    write = token_counts.write_tokens
+
+    def leaves_a_file(docs, path, *args):
+        out = write(docs, path, *args)
+        with open(os.path.join(path.removeprefix("file://"), "stray.bin"), "wb") as f:
+            f.write(b"\x01\x02\x03")
+        return out
+
+    token_counts.write_tokens = leaves_a_file
+    try:
+        assert sorted(token_counts.document_tokens(docs, f"file://{tmp_path}/b").collect(), key=str) == want
+    finally:
+        token_counts.write_tokens = write
