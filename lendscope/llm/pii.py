@@ -22,6 +22,8 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, load_documents, raw, share
+from .common import free_name, load_documents, raw, share, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many chunks; a piece that is trained on has so many.
 LONGEST, STRETCH = 8, 64
 #: The field is trained on the stretches of at most so many documents.
 SAMPLE = 3000
+#: Each base span of the sample is rewritten in so many forms.
+SHOWN = 3
 #: The field's spans need this marginal probability.
 CERTAIN = 0.8
 
@@ -102,8 +106,8 @@ _LIVE = re.compile(r"""[0-9@]|[(\[{<]at[)\]}>]|(?<![^\x20\x09-\x0D])at(?=[\x20\x
     [^\x20\x09-\x0D]*?(?:[(\[{<]dot[)\]}>]|[A-Z0-9-]\.[A-Z])
     |(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]{1,2}){1,3}(?:dot(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]*?[(\[{<]dot[)\]}>])))""", re.I | re.X)
 _AT = re.compile(r"@|[(\[{<]at[)\]}>]|(?<![^\s])at(?![^\s])", re.I)
-_DOT = re.compile(r"\.|[(\[{<]dot[)\]}>]|(?<![^\s])dot(?![^\s])", re.I)
-_OCTETS = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|,|[(\[{<]dot[)\]}>]|\bdot\b)\s*[0-9]{1,3}){3}", re.I)
+_DOT = re.compile(r"[(\[{<](?:dot|\.)[)\]}>]|\.|(?<![^\s])dot(?![^\s])", re.I)
+_OCTETS = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|,|[(\[{<](?:dot|\.)[)\]}>]|\bdot\b)\s*[0-9]{1,3}){3}", re.I)
 _GROUPS = re.compile(r"[0-9]+")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9\s().+/\-]*[0-9]")
 _TRIM_LEFT, _TRIM_RIGHT = " \t\n\r\v\f\"'`,;:!?.)]}>#*$%&|=~_^/\\-", " \t\n\r\v\f\"'`,;:!?.([{<#*$%&|=~_^/\\-+"
@@ -192,14 +196,16 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-N_FEATURES = 23
+N_FEATURES = 28
 
 
 def segment_features(text: str, a: int, b: int, n_chunks: int) -> list[float]:
     """Features of a whole candidate segment."""
     s = text[a:b]
     groups = _GROUPS.findall(s)
-    n = sum(map(len, groups))
+    lengths = [len(g) for g in groups]
+    n = sum(lengths)
+    seps = [x for x in re.split(r"[0-9]+", s)[1:-1]]
     letters = sum(c.isalpha() for c in s)
     ats, dots = len(_AT.findall(s)), len(_DOT.findall(s))
     octets = bool(_OCTETS.fullmatch(s)) and all(int(g) <= 255 for g in groups)
@@ -212,6 +218,9 @@ def segment_features(text: str, a: int, b: int, n_chunks: int) -> list[float]:
         float(n == 0), min(n, 24) / 24, min(letters, 40) / 40, float(letters == 0), float(ats == 1), float(ats > 1),
         float(ats == 1 and dots >= 1), float(ats == 1 and dots >= 1 and bool(letters)), min(dots, 6) / 6, float("(" in s or ")" in s),
         float(bool(head) and bool(tail)), float(number and len(groups) >= 3), float(any(c in s for c in "\"=$#*%&|{}<>!")),
+        float(number and lengths[-3:] == [3, 3, 4] and len(lengths) <= 4 and sum(lengths[:-3]) <= 3),
+        float(number and lengths[-2:] == [3, 4] and n == 10), float(number and lengths == [4] * len(lengths) and 16 <= n <= 20),
+        float(octets and len({*seps}) == 1), float(n_chunks > 1 and letters > 0 and not ats),
         float(bool(_ADDRESS.fullmatch(s)) and not _GOES_ON.match(text, b)),
     ]
 
@@ -223,10 +232,11 @@ class Field:
     weights: np.ndarray
 
 
-def candidates(text: str, chunks: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """All segments of a stretch as (first chunk, chunk after, start, end) and their features."""
+def candidates(text: str, chunks: list[tuple[int, int]], first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """All segments of a stretch that begin at chunk ``first`` or later and before
+    ``last``, as (first chunk, chunk after, start, end), and their features."""
     segments, rows, done = [], [], [np.zeros((0, N_FEATURES))]
-    for i in range(len(chunks)):
+    for i in range(first, len(chunks) if last is None else last):
         for j in range(i + 1, min(len(chunks), i + LONGEST) + 1):
             a, b = trimmed(text, chunks[i][0], chunks[j - 1][1])
             if a >= chunks[i][1] or b <= chunks[j - 1][0] or a >= b:
@@ -267,102 +277,195 @@ def _forward_backward(n: int, segments: list[tuple[int, int, int, int]], scores:
     return float(alpha[n]), np.exp(outer[:, None] + scores)
 
 
-def train(examples: list[tuple[str, list[Span]]], rounds: int = 200, rate: float = 1.0, decay: float = 1e-3) -> Field | None:
-    """Gradient ascent (with momentum of squares) on the log-likelihood of the segmentations."""
-    prepared = []
+def _labelled(text: str, chunks: list[tuple[int, int]], gold: dict[tuple[int, int], int]):
+    """A stretch's segments, their features, and which segments and types the labels choose."""
+    segments, rows = candidates(text, chunks)
+    truth = np.zeros((len(segments), len(KINDS) + 1))
+    covered: set[int] = set()
+    for x, (i, j, a, b) in enumerate(segments):
+        if (a, b) in gold and not covered & set(range(i, j)):
+            truth[x, gold[a, b] + 1] = 1
+            covered |= set(range(i, j))
+    for x, (i, j, _, _) in enumerate(segments):
+        if j == i + 1 and i not in covered:
+            truth[x, 0] = 1
+    return segments, rows, truth
+
+
+class _Batch:
+    """Stretches of one number of chunks, whose sums over segmentations are made together."""
+
+    def __init__(self, n: int, prepared: list) -> None:
+        self.n, self.size = n, len(prepared)
+        self.rows = np.concatenate([rows for _, rows, _ in prepared])
+        self.goal = sum(truth.T @ rows for _, rows, truth in prepared)
+        at = np.concatenate([np.array([(e, i, j) for i, j, _, _ in segments], np.int64) for e, (segments, _, _) in enumerate(prepared)])
+        self.e, self.i, self.j = at.T
+        self.long = self.j - self.i > 1
+
+    def expected(self, w: np.ndarray) -> np.ndarray:
+        """Sums of features that the weights expect."""
+        scores = self.rows @ w.T
+        scores[self.long, 0] = -np.inf
+        peak = scores.max(1)
+        total = np.full((self.size, self.n, LONGEST), -np.inf)
+        total[self.e, self.i, self.j - self.i - 1] = peak + np.log(np.exp(scores - peak[:, None]).sum(1))
+        alpha, beta = np.full((self.size, self.n + 1), -np.inf), np.full((self.size, self.n + 1), -np.inf)
+        alpha[:, 0] = beta[:, self.n] = 0
+        for j in range(1, self.n + 1):
+            alpha[:, j] = np.logaddexp.reduce([alpha[:, j - k] + total[:, j - k, k - 1] for k in range(1, min(LONGEST, j) + 1)])
+        for i in range(self.n - 1, -1, -1):
+            beta[:, i] = np.logaddexp.reduce([beta[:, i + k] + total[:, i, k - 1] for k in range(1, min(LONGEST, self.n - i) + 1)])
+        outer = alpha[self.e, self.i] + beta[self.e, self.j] - alpha[self.e, self.n]
+        return np.exp(outer[:, None] + scores).T @ self.rows
+
+
+def train(examples: list[tuple[str, list[Span]]], rounds: int = 150, rate: float = 1.0, decay: float = 3e-4) -> Field | None:
+    """Gradient ascent (with momentum of squares) on the log-likelihood of the
+    segmentations. Long stretches are trained on in parts of ``STRETCH`` chunks."""
+    prepared: dict[int, list] = {}
     for text, spans in examples:
         gold = {(a, b): k for k, a, b in spans}
-        for chunks in stretches(text):
-            segments, rows = candidates(text, chunks)
-            truth = np.zeros((len(segments), len(KINDS) + 1))
-            covered = set()
-            for x, (i, j, a, b) in enumerate(segments):
-                if (a, b) in gold and not covered & set(range(i, j)):
-                    truth[x, gold[a, b] + 1] = 1
-                    covered |= set(range(i, j))
-            for x, (i, j, _, _) in enumerate(segments):
-                if j == i + 1 and i not in covered:
-                    truth[x, 0] = 1
-            prepared.append((len(chunks), segments, rows, truth))
-    if not any(p[3][:, 1:].any() for p in prepared):
+        for run in stretches(text):
+            for c in range(0, len(run), STRETCH):
+                chunks = run[c : c + STRETCH]
+                prepared.setdefault(len(chunks), []).append(_labelled(text, chunks, gold))
+    batches = [_Batch(n, some) for n, some in sorted(prepared.items())]
+    if not any(b.goal[1:].any() for b in batches):
         return None
     w = np.zeros((len(KINDS) + 1, N_FEATURES))
     seen = np.full_like(w, 1e-8)
-    goal = sum(p[3].T @ p[2] for p in prepared)
-    longer = [p for p in prepared if p[0] > 1]
-    single = np.concatenate([np.zeros((0, N_FEATURES)), *(p[2] for p in prepared if p[0] == 1)])  # one segment each
+    goal, size = sum(b.goal for b in batches), sum(b.size for b in batches)
     for _ in range(rounds):
-        grad = goal.copy()
-        score = single @ w.T
-        chance = np.exp(score - score.max(1, initial=0.0, keepdims=True))
-        grad -= (chance / chance.sum(1, keepdims=True)).T @ single
-        for n, segments, rows, _ in longer:
-            _, marginal = _forward_backward(n, segments, _scores(rows, segments, w))
-            grad -= marginal.T @ rows
-        grad = grad / len(prepared) - decay * w
+        grad = (goal - sum(b.expected(w) for b in batches)) / size - decay * w
         seen += grad * grad
         w += rate * grad / np.sqrt(seen)
     return Field(w)
 
 
+class _Apart:
+    """Whether a range touches none of some spans; linear in them once, then by search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __call__(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return not at or self.ends[at - 1] <= a
+
+
+#: Segments that begin at so many chunks have their features made together.
+PIECE = 512
+
+
+def _scored(text: str, chunks: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece: segments, the logarithm of the sum over types, the best type and its score."""
+    for low in range(0, len(chunks), PIECE):
+        segments, rows = candidates(text, chunks, low, min(low + PIECE, len(chunks)))
+        scores = _scores(rows, segments, weights)
+        peak = scores.max(1)
+        kind = scores.argmax(1)
+        yield np.array(segments, np.int32), peak + np.log(np.exp(scores - peak[:, None]).sum(1)), kind.astype(np.int8), scores[np.arange(len(kind)), kind]
+
+
 def field_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
-    """Spans that the field adds: of the best segmentation, certain, apart from base spans."""
+    """Spans that the field adds: of the best segmentation, certain, apart from
+    base spans. Of a long stretch only a few numbers a segment are held; sums
+    are carried over from piece to piece, forward and backward."""
     if field is None:
         return []
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
+    apart = _Apart(base)
     for chunks in stretches(text):
-        if all(any(a < y and x < b for x, y in taken) for a, b in chunks):
+        if not any(apart(a, b) for a, b in chunks):
             continue
-        segments, rows = candidates(text, chunks)
-        scores = _scores(rows, segments, field.weights)
         n = len(chunks)
-        best, back = np.full(n + 1, -np.inf), [None] * (n + 1)
-        best[0] = 0.0
-        for x, (i, j, _, _) in enumerate(segments):
-            k = int(np.argmax(scores[x]))
-            if best[i] + scores[x, k] > best[j]:
-                best[j], back[j] = best[i] + scores[x, k], (i, x, k)
-        _, marginal = _forward_backward(n, segments, scores)
-        at = n
+        pieces, none = [], [-math.inf]
+        alpha, best, back, back_piece = array("d", none * (n + 1)), array("d", none * (n + 1)), array("i", [0] * (n + 1)), array("i", [0] * (n + 1))
+        alpha[0] = best[0] = 0.0
+        for p, (segments, total, kind, score) in enumerate(_scored(text, chunks, field.weights)):
+            for x, (i, j, s, v) in enumerate(zip(segments[:, 0].tolist(), segments[:, 1].tolist(), total.tolist(), score.tolist())):
+                alpha[j] = _log_add(alpha[j], alpha[i] + s)
+                if best[i] + v > best[j]:
+                    best[j], back[j], back_piece[j] = best[i] + v, x, p
+            pieces.append((segments, total, kind, score))
+        chosen, at = [], n
         while at:
-            at, x, k = back[at]
-            _, _, a, b = segments[x]
-            if k and marginal[x, k] >= CERTAIN and not any(a < v and u < b for u, v in taken):
-                out.append((k - 1, a, b))
+            segments, _, kind, score = pieces[back_piece[at]]
+            x = back[at]
+            i, _, a, b = segments[x].tolist()
+            if kind[x] and apart(a, b):
+                chosen.append((int(kind[x]), i, at, a, b, float(score[x])))
+            at = i
+        if not chosen:
+            continue
+        beta = array("d", none * n + [0.0])
+        for segments, total, _, _ in reversed(pieces):
+            for i, j, s in zip(segments[::-1, 0].tolist(), segments[::-1, 1].tolist(), total[::-1].tolist()):
+                beta[i] = _log_add(beta[i], beta[j] + s)
+        out += [(k - 1, a, b) for k, i, j, a, b, v in chosen if math.exp(alpha[i] + v + beta[j] - alpha[n]) >= CERTAIN]
     return out
 
 
+#: Ways to write what the base patterns find so that they miss it.
+FORMS = {
+    0: [(" at ", " dot "), (" (at) ", " (dot) "), (" at ", "."), (" @ ", " . "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", ".")],
+    1: ["[.]", " . ", " dot ", "(dot)"],
+    2: [".", "/", "  ", "_"],
+    3: ["{0}.{1}.{2}", "({0}) {1}-{2}", "{0}-{1}-{2}", "+1.{0}.{1}.{2}", "({0}) {1} {2}"],
+}
+
+
+def rewritten(span: str, kind: int, form: int) -> str | None:
+    """``span`` in one of its kind's ``FORMS``; None if nothing changes, or if it is more than a segment then."""
+    d, how = _digits(span), FORMS[kind][form]
+    if kind == 0:
+        name, _, domain = span.partition("@")
+        new = name + how[0] + domain.replace(".", how[1])
+    elif kind == 1:
+        new = span.replace(".", how)
+    elif kind == 2:
+        new = how.join(d[i : i + 4] for i in range(0, len(d), 4))
+    else:
+        new = how.format(d[-10:-7], d[-7:-4], d[-4:]) if len(d) >= 10 else span
+    return new if new != span and len(new.split()) <= LONGEST else None
+
+
+def rewrite(text: str, spans: list[Span], chosen: Span, form: int) -> tuple[str, list[Span]] | None:
+    """The text with one span rewritten, and all spans where they then are."""
+    k, a, b = chosen
+    new = rewritten(text[a:b], k, form)
+    if new is None:
+        return None
+    shift = len(new) - (b - a)
+    moved = [(q, x + shift * (x >= b), y + shift * (y >= b)) for q, x, y in spans if (q, x, y) != chosen and (y <= a or x >= b)]
+    return text[:a] + new + text[b:], [*moved, (k, a, a + len(new))]
+
+
 def variants(text: str, spans: list[Span], rng: random.Random) -> tuple[str, list[Span]] | None:
     """The text with one span rewritten in a way that the base patterns miss."""
     if not spans:
         return None
-    k, a, b = rng.choice(spans)
-    s = text[a:b]
-    if k == 0:
-        new = s.replace("@", rng.choice([" at ", " (at) ", " [at] ", "(at)", "[at]", " @ "])).replace(".", rng.choice([" dot ", " (dot) ", "[dot]", "."]))
-    elif k == 1:
-        new = s.replace(".", rng.choice(["[.]", " . ", " dot ", "(dot)"]))
-    elif k == 2:
-        d = _digits(s)
-        new = rng.choice([".", "/", "  ", "_"]).join(d[i : i + 4] for i in range(0, len(d), 4))
-    else:
-        d = _digits(s)
-        new = rng.choice([f"({d[1:4]}) {d[4:7]}-{d[7:]}", f"{d[:1]} ({d[1:4]}) {d[4:7]}-{d[7:]}", f"({d[1:4]}) {d[4:7]} {d[7:]}"])
-    if new == s:
-        return None
-    shift = len(new) - len(s)
-    moved = [(q, x + shift * (x >= b), y + shift * (y >= b)) for q, x, y in spans if (q, x, y) != (k, a, b) and (y <= a or x >= b)]
-    return text[:a] + new + text[b:], [*moved, (k, a, a + len(new))]
+    chosen = rng.choice(spans)
+    return rewrite(text, spans, chosen, rng.randrange(len(FORMS[chosen[0]])))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Field | None:
-    """The field, from the documents with the smallest hash among those with a
-    stretch; their stretches with a little around are cut out on the
-    executors, and at most ``sample`` rows of bounded size reach the driver."""
+    """The field, from a bounded sample of stretches: ``sample`` of all kinds,
+    one a document, and half as many that hold base spans, those with the
+    smallest hashes. They are cut out on the executors with a little around
+    them; a part of a stretch of 2,000 characters or more is left out of the
+    sample. Every base span is also shown in ``SHOWN`` of its ``FORMS``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, out = [], []
+            order, out, with_spans = [], [], []
             for b in batch.column("raw").to_pylist():
                 text = b.decode("utf-8", "replace")
                 runs = stretches(text)
@@ -370,22 +473,35 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Field | None:
                     continue
                 digest = int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "big", signed=True)
                 pieces = [r[i : i + STRETCH] for r in runs for i in range(0, len(r), STRETCH)]
-                run = pieces[digest % len(pieces)]
-                a, e = max(0, run[0][0] - 30), min(len(text), run[-1][1] + 30)
-                if e - a < 2000:
-                    order.append(digest)
-                    out.append(text[a:e])
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(out, pa.string())], names=["at", "cut"])
-
-    rows = docs.select(raw("text").alias("raw")).mapInArrow(cut, "at long, cut string").orderBy("at", "cut").limit(sample).collect()
-    rng = random.Random(seed)
+                apart = _Apart(base_spans(text))
+                some = [r for r in pieces if not all(apart(a, b) for a, b in r)]
+                for k, choice in ((False, pieces), (True, some)):
+                    if choice:
+                        run = choice[digest % len(choice)]
+                        a, e = max(0, run[0][0] - 30), min(len(text), run[-1][1] + 30)
+                        if e - a < 2000:
+                            order.append(digest)
+                            out.append(text[a:e])
+                            with_spans.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(out, pa.string()), pa.array(with_spans, pa.bool_())], names=["at", "cut", "some"])
+
+    cuts = stored(docs.select(raw("text").alias("raw")).mapInArrow(cut, "at long, cut string, some boolean"), "pii-cuts")
+    texts: set[str] = set()
+    for some, n in ((False, sample), (True, sample // 2)):
+        texts |= {r.cut for r in cuts.where(F.col("some") == some).orderBy("at", "cut").limit(n).collect()}
+    return train(shown(sorted(texts), random.Random(seed)))
+
+
+def shown(texts: list[str], rng: random.Random) -> list[tuple[str, list[Span]]]:
+    """Examples: the texts with their base spans, and one text for each span and form that is drawn."""
     examples = []
-    for text in sorted({r.cut for r in rows}):
-        spans = [s for s in base_spans(text)]
+    for text in texts:
+        spans = base_spans(text)
         examples.append((text, spans))
-        if (more := variants(text, spans, rng)) is not None:
-            examples.append(more)
-    return train(examples)
+        for chosen in rng.sample(spans, min(len(spans), 4)):
+            forms = len(FORMS[chosen[0]])
+            examples += [e for f in rng.sample(range(forms), min(forms, SHOWN)) if (e := rewrite(text, spans, chosen, f)) is not None]
+    return examples
 
 
 def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
