@@ -33,13 +33,14 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendscope.sources.tables import load_table
 
-from .common import free_name, load_documents, raw, share, slices
+from .common import free_name, load_documents, raw, share, slices, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -246,34 +247,50 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], name: s
                  radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns ``keep`` and ``name``: an array of (item_id, similarity), by item.
 
-    The items are a stated query set: each block of them is broadcast, its size
-    bounded by ``block_words``, and all blocks are applied in one pass.
+    The items are a stated query set. A block of them, its size bounded by
+    ``block_words``, is broadcast and held by a worker in one pass over the
+    documents; as a rule there is one. Of further blocks, each with a pass of
+    its own over the stored documents, only the matches are kept and put together.
     """
-    shared = [share(docs.sparkSession, build_index(*block, similarity, radius)) for block in item_blocks(benchmark, block_words)]
-    text = free_name([*docs.columns, name], "raw")
+    spark, text = docs.sparkSession, free_name([*docs.columns, name], "raw")
+    first, found, uid = True, None, free_name([*docs.columns, name, text], "uid")
+    rows = docs.select(*keep, raw("text").alias(text))
+    blocks = item_blocks(benchmark, block_words)
+    block, following = next(blocks, ([], [])), next(blocks, None)
+    if following is None:
+        return _matched(rows, share(spark, build_index(*block, similarity, radius)), keep, name)
+    rows = stored(rows.withColumn(uid, F.monotonically_increasing_id()), "leak-docs")
+    while block is not None:
+        shared = share(spark, build_index(*block, similarity, radius))
+        some = _matched(rows.select(uid, text), shared, [uid], name).where(F.size(name) > 0)
+        found = stored(some if first else found.unionByName(some), "leak-found")
+        shared.unpersist()
+        first, block, following = False, following, next(blocks, None)
+    entries = found.select(uid, F.explode(name).alias("e")).groupBy(uid, "e.item_id").agg(F.max("e.similarity").alias("similarity"))
+    entries = entries.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("item_id", "similarity"))).alias(name))
+    none = F.array().cast(entries.schema[name].dataType)
+    return rows.drop(text).join(entries, uid, "left").select(*keep, F.coalesce(name, none).alias(name))
+
+
+def _matched(rows: DataFrame, shared: Broadcast, keep: list[str], name: str) -> DataFrame:
+    """``rows`` (the columns ``keep``, then the raw text) with the matches of one block of items in place of the text."""
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, kind)])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(name, kind)])
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = None
+        index = None
         for batch in batches:
-            if indexes is None:
-                indexes = [s.value for s in shared]
-                for index in indexes:
-                    for one in index.sizes.values():
-                        if not one.begins:
-                            one.build()
-            texts = batch.column(text).to_pylist()
-            found: list[dict[int, float]] = [{} for _ in texts]
-            for index in indexes:
-                for all_of, new in zip(found, search(texts, index)):
-                    for item, value in new.items():
-                        all_of[item] = max(value, all_of.get(item, 0.0))
+            if index is None:
+                index = shared.value
+                for one in index.sizes.values():
+                    if not one.begins:
+                        one.build()
+            found = search(batch.column(len(keep)).to_pylist(), index)
             column = pa.array([[{"item_id": i, "similarity": v} for i, v in sorted(f.items())] for f in found], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*keep, name])
 
-    return docs.select(*keep, raw("text").alias(text)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
