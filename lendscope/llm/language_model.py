@@ -52,7 +52,7 @@ from .common import crc_mod, load_documents, raw, share, slices, small_batches,
 
 #: A filter up to so large is broadcast. A count's first level has so many bits
 #: set, each further level so many; a segment is filled to one half.
-FILTER_MB, FIRST, FURTHER = 192, 16, 4
+FILTER_MB, FIRST, FURTHER = 256, 16, 4
 #: Texts of about so many bytes ask a larger filter together.
 ASK_BYTES = 4 << 20
 #: At most so many words have their exact counts broadcast.
