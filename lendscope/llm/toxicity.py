@@ -13,7 +13,9 @@ clean documents that the machine takes for toxic join the negatives, as often
 as they occur, and it is trained again.
 
 A document's score is a logistic curve over the values of its three worst
-segments.
+segments and the share of its segments that look toxic: words of a language
+that are put together from the same pieces come near an insult by chance, but
+not often in a short text. None of the four can lower a score.
 
 Defined results: a null text is empty; a text without words has the values of
 the least toxic segment possible; rows are scored one by one, also with
@@ -30,7 +32,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +52,12 @@ THRESHOLD = 0.7
 #: A task remembers the values of so many segments.
 REMEMBERED = 1_000_000
 LOWEST = -1.5
+#: The curve reads values between these; a segment counts as toxic from 0 to 1 between these.
+READ, TOXIC = (0.2, 0.8), (0.3, 0.6)
+#: A text has so many segments at least when its share is taken; the share is read in percent up to so much.
+LEAST, DENSEST = 20, 5.0
+#: A toxic document that is missed weighs so many times a clean one that is lost.
+MISSED = 3.0
 #: Weight of each altered form of a toxic word, against the word's own.
 ALTERED = 0.15
 
@@ -192,22 +199,27 @@ class Model:
             return np.full(len(segments), LOWEST)
         return np.clip(self.landmarks.likeness(segments) @ self.alpha + self.bias, LOWEST, -LOWEST)
 
-    def worst(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        """The values of the three worst segments of each text, worst first."""
+    def evidence(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
+        """The values of the three worst segments of each text, worst first, as
+        far as the curve reads them, and its percentage of toxic segments."""
         made = [[w for segments in sentences(t) for w in segments] for t in texts]
         new = sorted({w for segments in made for w in segments} - known.keys())
         known.update(zip(new, self.values(new).tolist()))
-        out = np.full((len(texts), 3), LOWEST)
+        out = np.full((len(texts), 4), LOWEST)
         for i, segments in enumerate(made):
-            top = nlargest(3, map(known.__getitem__, segments))
+            value = np.fromiter(map(known.__getitem__, segments), float, len(segments))
+            top = np.sort(value)[:-4:-1] if len(value) < 4 else np.sort(np.partition(value, -3)[-3:])[::-1]
             out[i, : len(top)] = top
+            toxic = np.clip((value - TOXIC[0]) / (TOXIC[1] - TOXIC[0]), 0, 1).sum()
+            out[i, 3] = min(100 * toxic / max(len(value), LEAST), DENSEST)
+        out[:, :3] = np.clip(out[:, :3], *READ)
         if len(known) > REMEMBERED:
             known.clear()
         return out
 
     def score(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        worst = self.worst(texts, known) if texts else np.zeros((0, 3))
-        return 1 / (1 + np.exp(-np.clip(worst @ self.curve[:3] + self.curve[3], -30, 30)))
+        found = self.evidence(texts, known) if texts else np.zeros((0, 4))
+        return 1 / (1 + np.exp(-np.clip(found @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def altered(word: str, rng: random.Random) -> list[str]:
@@ -230,20 +242,22 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e
     return w[:-1], float(w[-1])
 
 
-def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression on the three values, never falling in any of them."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 6000, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+    """Logistic regression on the evidence, never falling in any of it, by accelerated gradient steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(4)
+    w = v = np.zeros(x.shape[1])
     weight = weight / weight.mean()
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += 0.2 * (x.T @ (weight * (y - p)) / len(y) - 1e-4 * np.append(w[:3], 0))
-        w[:3] = np.maximum(w[:3], 0)
+    for k in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        new = v + rate * (x.T @ (weight * (y - p)) / len(y) - decay * np.append(v[:-1], 0))
+        new[:-1] = np.maximum(new[:-1], 0)
+        v = new + k / (k + 3) * (new - w)
+        w = new
     return w
 
 
 def fit_texts(texts: list[str], y: np.ndarray, share_toxic: float, seed: int = 42) -> Model:
-    none = Model(None, np.zeros(0), LOWEST, np.array([0, 0, 0, math.log(max(share_toxic, 1e-6) / max(1 - share_toxic, 0.5))]))
+    none = Model(None, np.zeros(0), LOWEST, np.array([0, 0, 0, 0, math.log(max(share_toxic, 1e-6) / max(1 - share_toxic, 0.5))]))
     if not (y == 1).any() or not (y == 0).any():
         return none
     rng = random.Random(seed)
@@ -278,9 +292,9 @@ def fit_texts(texts: list[str], y: np.ndarray, share_toxic: float, seed: int = 4
         if turn == 0:
             all_clean = sorted(x for x in clean if len(x) >= LENGTH)
             hard = Counter({x: clean[x] for x, v in zip(all_clean, model.values(all_clean)) if v > 0})
-    worst = np.concatenate([model.worst(texts[i : i + 500], {}) for i in range(0, len(texts), 500)])
-    weights = np.where(y == 1, share_toxic / (y == 1).mean(), (1 - share_toxic) / (y == 0).mean())
-    model.curve = _curve(worst, y, weights)
+    found = np.concatenate([model.evidence(texts[i : i + 500], {}) for i in range(0, len(texts), 500)])
+    weights = np.where(y == 1, MISSED * share_toxic / (y == 1).mean(), (1 - share_toxic) / (y == 0).mean())
+    model.curve = _curve(found, y, weights)
     return model
 
 
