@@ -108,3 +108,23 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, ranges):
     table = csv_scan.read_csv(spark, str(tmp_path / "a.csv"), SMALL, as_text(SMALL))
     got = table.rows.agg(F.count("*"), F.countDistinct("a"), F.count_if(F.col("b") == F.concat(F.lit("two\nlines "), F.col("a")))).first()
     assert tuple(got) == (200_000,) * 3 and table.rejects.isEmpty()
+
+
+def test_numbers_in_any_form_are_read_by_casts_that_do_not_throw(spark):
+    kinds = {"a": T.LongType(), "b": T.IntegerType(), "c": T.DoubleType()}
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    forms = ["22", "22.0", " 7 ", "+5", "-3", "1e3", "1E2", "22.5", "bad", "x1", "NA", "", "inf", "-Infinity", "NaN ", "1d", "0x1p3", ".5", "5.", "99999999999", "1e300", "--1", "é"]
+    typed = files._typed(schema, ["NA", ""], False)
+    df = spark.createDataFrame([(f, f, f) for f in forms], "a string, b string, c string")
+    got = df.select(*(text.alias(n) for n, (_, text) in typed.items())).select("*", *(value.alias(f"{n}_value") for n, (value, _) in typed.items())).collect()
+    for r in got:
+        text = r.a
+        number = spark.sql("SELECT try_cast(:t AS double) d, try_cast(:t AS long) a, try_cast(:t AS int) b", args={"t": text}).first() if text is not None else None
+        for n in "ab":
+            whole = None if number is None else number[n]
+            if number is not None and whole is None and number.d is not None and number.d == number.d and abs(number.d) < 2 ** (63 if n == "a" else 31) and number.d == int(number.d):
+                whole = int(number.d)
+            assert r[f"{n}_value"] == whole, (text, n)
+        assert r.c_value == (None if number is None or number.d is None or number.d != number.d else number.d), text
+    plan = df.select(*(text.alias(n) for n, (_, text) in typed.items())).select(typed["b"][0].alias("v"))
+    assert "rlike" in plan._jdf.queryExecution().optimizedPlan().toString().lower()  # "22.0" and "bad" reach no cast that throws
