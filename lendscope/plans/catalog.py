@@ -923,14 +923,19 @@ UNION ALL SELECT '2 fields', NULL, record, count(*) FROM t WHERE app_id % 5 <> 0
 UNION ALL SELECT 'type', 'status', 'x', count(*) FROM t WHERE app_id % 5 <> 0 AND app_id % 11 <> 0 AND app_id % 13 = 0
 UNION ALL SELECT 'row', NULL, NULL, count(*) FROM t WHERE app_id % 5 <> 0 AND app_id % 11 <> 0""")
 def q_csv_rejects(spark, sf_dir):
-    """A1 and A2 over one file with malformed records, quoted line breaks and
-    values that can't be cast: each is in the rejects, the rest are rows."""
+    """A1 and A2 over files with malformed records, quoted line breaks and
+    values that can't be cast: each is in the rejects, the rest are rows. Every
+    task writes a file of its own, with a header."""
     path = scratch_path(spark, f"csv_{uuid.uuid4().hex[:12]}")
     record = F.expr(_CSV_DAMAGED.replace("VARCHAR", "STRING"))
     header = ",".join(RAW_APPLICATION_SCHEMA.fieldNames())
-    lines = _apps(spark, sf_dir).select(F.lit(1).alias("at"), record.alias("value"))
-    lines = lines.unionByName(spark.range(1).select(F.lit(0).alias("at"), F.lit(header).alias("value")))
-    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+
+    def headed(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_pydict({"value": [header]})
+        yield from batches
+
+    _apps(spark, sf_dir).select(record.alias("value")).mapInArrow(headed, "value string").write.text(path)
     table = files.scan_applications_csv(spark, path)
     listed = table.rejects.groupBy("reason", "column_name", "value").agg(F.count("*").alias("n"))
     whole = table.rows.agg(F.lit("row").alias("reason"), F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n"))
