@@ -207,3 +207,12 @@ def test_chart_and_kpis_with_model(spark, trained, apps_mid):
     kpis = {r.name: r.text for r in reports.kpi_rows(stats, trained.summary["accuracy_percent"]).collect()}
     assert kpis["total_applications"] == "15,000" and kpis["model_accuracy"].endswith("%")
     assert kpis["approval_rate"] == "35.5%" and kpis["rejection_rate"] == "64.5%"
+
+
+def test_few_partitions_are_dealt_out_for_the_forest(spark):
+    rows = spark.range(0, 60_000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    n = 60_000 // training.LEAST_ROWS
+    out = training.spread(rows, 60_000)
+    parts = out.rdd.getNumPartitions()
+    assert 2 <= parts == min(n, 3 * spark.sparkContext.defaultParallelism) and out.exceptAll(rows).isEmpty() and out.count() == 60_000
+    assert training.spread(rows, 15_000) is rows
