@@ -2,9 +2,12 @@
 
 Every text gets the statistics of the usual quality rules. Trees of random
 splits are grown on the statistics of labelled documents; a document whose
-path through them is short is an anomaly. The threshold is set on labelled
-rows: the one that finds most bad documents while at most ``max_loss`` of the
-good ones is lost. A document is kept unless a base rule fails or it is an
+path through them is short is an anomaly. All labelled documents count: the
+cells' box spans them, each tree's rows are drawn from all good ones (an
+isolation tree is grown on few rows by design), its leaves weigh as many rows
+as all good ones put there, and the threshold is set on all of them: the one
+that finds most bad documents while at most ``max_loss`` of the good ones is
+lost. A document is kept unless a base rule fails or it is an
 anomaly.
 
 Defined results: null and empty texts have no words and fail; rows are judged
@@ -23,14 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lendscope.operators import joins
 from lendscope.sources.tables import load_table
 
-from .common import free_name, labelled_sample, load_documents, raw, share
+from .common import free_name, load_documents, raw, share, ship_package, stored
 
-#: At most so many labelled documents of either class are fitted on.
-SAMPLE = 3000
+#: Trees, the good rows drawn for each, and the levels of a tree.
+TREES, PSI, LEVELS = 200, 256, 14
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = b"!?.,;:"
@@ -89,34 +94,64 @@ class Forest:
     left: list[np.ndarray]
     psi: int
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / usual path): near 1 for anomalies."""
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of each row, tree by tree."""
         rows = np.arange(len(x))
         for f, v, left in zip(self.feature, self.value, self.left):
             at = np.zeros(len(x), np.int64)
             while (inner := f[at] >= 0).any():
                 go = x[rows, np.maximum(f[at], 0)] >= v[at]
                 at = np.where(inner, left[at] + go, at)
+            yield at
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path / usual path): near 1 for anomalies."""
+        total = np.zeros(len(x))
+        for v, at in zip(self.value, self.leaves(x)):
             total += v[at]
         return np.exp2(-total / len(self.feature) / _usual_path(self.psi))
 
+    def weighed(self, counts: dict[tuple[int, int], int], n: int) -> Forest:
+        """The same trees, whose leaves hold as many of ``psi`` rows as their
+        share of all ``n`` rows; ``counts`` has the rows of each (tree, leaf)."""
+        values = []
+        for t, (feature, value, left) in enumerate(zip(self.feature, self.value, self.left)):
+            depth, value = np.zeros(len(feature)), value.copy()
+            for i in np.flatnonzero(feature >= 0):  # a node stands before those below it
+                depth[left[i]] = depth[left[i] + 1] = depth[i] + 1
+            for i in np.flatnonzero(feature < 0):
+                held = self.psi * counts.get((t, int(i)), 0) / n
+                low = math.floor(held)
+                value[i] = depth[i] + _usual_path(low) + (held - low) * (_usual_path(low + 1) - _usual_path(low))
+            values.append(value)
+        return Forest(self.feature, values, self.left, self.psi)
+
 
 def _usual_path(n: int) -> float:
     """Mean length of an unsuccessful search in a binary tree of ``n`` rows."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 200, psi: int = 256, limit: int = 14, seed: int = 42) -> Forest:
-    """Trees over ``psi`` random rows of ``x`` each. A split is drawn uniformly
+def drawn(n: int, trees: int = TREES, psi: int = PSI, seed: int = 42) -> list[np.ndarray]:
+    """For each tree, the numbers of ``psi`` of ``n`` rows."""
+    return [np.random.default_rng([seed, t]).choice(n, min(psi, n), replace=False) for t in range(trees)]
+
+
+def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, psi: int = PSI, limit: int = LEVELS, seed: int = 42) -> Forest:
+    """Trees over ``psi`` random rows of ``x`` each."""
+    return grow_drawn([x[i] for i in drawn(len(x), trees, psi, seed)], low, high, limit, seed)
+
+
+def grow_drawn(rows_of_trees: list[np.ndarray], low: np.ndarray, high: np.ndarray, limit: int = LEVELS, seed: int = 42) -> Forest:
+    """A tree over each of some sets of rows. A split is drawn uniformly
     within the node's cell of the box from ``low`` to ``high``, not within the
     range of its rows, so that regions without usual documents end early."""
     rng = np.random.default_rng(seed)
-    psi = min(psi, len(x))
+    psi = len(rows_of_trees[0])
     features, values, lefts = [], [], []
-    for _ in range(trees):
+    for first in rows_of_trees:
         feature, value, left = [-1], [0.0], [0]
-        todo = [(0, x[rng.choice(len(x), psi, replace=False)], low, high, 0)]
+        todo = [(0, first, low, high, 0)]
         while todo:
             node, rows, lo, hi, depth = todo.pop()
             free = np.flatnonzero(hi > lo)
@@ -140,10 +175,15 @@ def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 2
     return Forest(features, values, lefts, psi)
 
 
+def lost(n: int, max_loss: float) -> int:
+    """How many of ``n`` good rows may be lost; one always stays."""
+    return min(n - 1, int(max_loss * n))
+
+
 def calibrated(good: np.ndarray, bad: np.ndarray, max_loss: float = 0.002) -> float:
     """The lowest score cut that loses at most ``max_loss`` of the good rows:
     halfway to the next bad row's score, so that neither side is at the edge."""
-    edge = np.sort(good)[::-1][min(len(good) - 1, int(max_loss * len(good)))]
+    edge = np.sort(good)[::-1][lost(len(good), max_loss)]
     above = bad[bad > edge]
     return float((edge + above.min()) / 2) if len(above) else float(edge)
 
@@ -154,27 +194,73 @@ class RuleModel:
     threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, max_loss: float = 0.002) -> RuleModel:
-    """Trees on the good labelled rows (what a usual document looks like),
-    threshold on both classes; rows that fail the base rules are left out.
-    Statistics are made on the executors; at most ``2 * per_class`` short rows
-    reach the driver."""
-    sample = labelled_sample(docs, labels, "quality", per_class)
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, y), stored: the statistics and label of every labelled document that
+    passes the base rules. A document id with several labels has the largest;
+    null ids and labels are left out. Texts stay where they are: the statistics,
+    a hundred bytes a row, are joined."""
+    ship_package(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [rule_counts(b) for b in batch.column("raw").to_pylist()]
-            out = [None if base_failed(c) else rule_statistics(b, c, w) for b, (c, w) in zip(batch.column("raw").to_pylist(), made)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
+            texts = batch.column("raw").to_pylist()
+            made = [rule_counts(b) for b in texts]
+            out = [None if base_failed(c) else rule_statistics(b, c, w) for b, (c, w) in zip(texts, made)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    lab = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
+    made = docs.where("doc_id is not null").select("doc_id", raw("text").alias("raw")).mapInArrow(stats, schema).where("x is not null")
+    return stored(made.join(lab, "doc_id").select("x", "y"), "rule-statistics")
+
 
-    rows = sample.mapInArrow(stats, "x array<double>, y int").where("x is not null").collect()
-    if {r.y for r in rows} != {0, 1}:
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_loss: float = 0.002) -> RuleModel:
+    """Trees on the good labelled rows (what a usual document looks like),
+    threshold on both classes; rows that fail the base rules are left out.
+    Every labelled row counts. The driver holds the trees and the rows drawn for
+    them, ``TREES * PSI`` at most."""
+    spark = docs.sparkSession
+    rows = labelled_statistics(docs, labels)
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if set(sizes) != {0, 1}:
         return RuleModel(None, 1.0)
-    x, y = np.array([r.x for r in rows], float), np.array([r.y for r in rows], int)
-    order = np.lexsort(x.T)
-    x, y = x[order], y[order]
-    forest = grow_forest(x[y == 1], x.min(0), x.max(0))
-    return RuleModel(forest, calibrated(forest.scores(x[y == 1]), forest.scores(x[y == 0]), max_loss))
+    n = sizes[1]
+    width = len(rows.first().x)
+    low, high = np.array(rows.agg(*(f(F.col("x")[i]) for f in (F.min, F.max) for i in range(width))).first(), float).reshape(2, width)
+    good = stored(joins.numbered(rows.where("y = 1").select("x"), [F.col("x")], "at"), "rule-good")
+    picks = drawn(n)
+    wanted = spark.createDataFrame([(int(i),) for i in sorted({int(i) for p in picks for i in p})], "at long")
+    found = {r["at"]: r.x for r in good.join(wanted, "at").collect()}
+    grown = grow_drawn([np.array([found[int(i)] for i in p]) for p in picks], low, high)
+    shared = share(spark, grown)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(f), np.int64) for f in shared.value.feature]
+        for batch in batches:
+            for total, at in zip(totals, shared.value.leaves(_matrix(batch))):
+                total += np.bincount(at, minlength=len(total))
+        for tree, total in enumerate(totals):
+            leaf = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), tree, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(total[leaf])], names=["tree", "leaf", "n"])
+
+    counts = good.select("x").mapInArrow(count, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()
+    forest = grown.weighed({(r.tree, r.leaf): r.n for r in counts}, n)
+    model = share(spark, forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.scores(_matrix(batch))), batch.column("y")], names=["score", "y"])
+
+    scores = stored(rows.mapInArrow(score, "score double, y int"), "rule-scores")
+    ranked = joins.numbered(scores.where("y = 1").select("score"), [F.desc("score")], "at")
+    edge = ranked.where(F.col("at") == lost(n, max_loss)).first().score
+    above = scores.where((F.col("y") == 0) & (F.col("score") > edge)).agg(F.min("score")).first()[0]
+    return RuleModel(forest, edge if above is None else (edge + above) / 2)
 
 
 def judge(texts: list[bytes], model: RuleModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

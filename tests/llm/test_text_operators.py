@@ -508,6 +508,24 @@ def test_rules_keep_good_rows(spark, tables):
     assert np.mean([not r.kept for r in out if r.quality == 0]) > 0.9
 
 
+def test_rules_are_fitted_on_every_labelled_row(spark):
+    words = "abcdefghijklmnop"
+    rows = [(i, " ".join(words[(i * 7 + j * (i % 5 + 1)) % 16] * (1 + (i + j) % 6) for j in range(12 + i % 9)), int(i % 4 > 0)) for i in range(9000)]
+    rows += [(9000, "Zz!" * 100_000 + " a b c d e f g h i j k", 0)]  # longer than the former sample took
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    stats = quality_rules.labelled_statistics(docs, labels)
+    passed = {i for i, t, _ in rows if not quality_rules.base_failed(quality_rules.rule_counts(t.encode())[0])}
+    assert stats.count() == len(passed) and stats.where("y = 1").count() == sum(1 for r in rows if r[0] in passed and r[2]) > 3000
+    model = quality_rules.fit(docs, labels)
+    again = quality_rules.fit(docs.repartition(3), labels)
+    assert model.threshold == again.threshold and all((a == b).all() for a, b in zip(model.forest.value, again.forest.value))
+    x, y = zip(*((np.array(r.x), r.y) for r in stats.collect()))
+    scores, y = model.forest.scores(np.array(x)), np.array(y)
+    assert model.threshold == pytest.approx(quality_rules.calibrated(scores[y == 1], scores[y == 0]), abs=1e-12)
+    assert (scores[y == 1] > model.threshold).sum() <= 0.002 * (y == 1).sum()
+
+
 # op10
 
 
