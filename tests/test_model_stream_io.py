@@ -216,3 +216,26 @@ def test_few_partitions_are_dealt_out_for_the_forest(spark):
     parts = out.rdd.getNumPartitions()
     assert 2 <= parts == min(n, 3 * spark.sparkContext.defaultParallelism) and out.exceptAll(rows).isEmpty() and out.count() == 60_000
     assert training.spread(rows, 15_000) is rows
+
+
+def test_forest_grown_a_few_trees_at_a_time(spark, tmp_path):
+    """Over many rows no fit has all trees; the joined forest answers with all of them, also when saved and loaded."""
+    assert model.trees_at_a_time(1000) == (None, 1)
+    sizes = [model.trees_at_a_time(n)[0] for n in (720_000, 43_200_000)]
+    assert sizes == sorted(sizes, reverse=True) and all(s < model.ForestParams().num_trees for s in sizes)
+    rows = spark.range(2000).select("id", ((F.col("id") * 7919) % 101).cast("double").alias("x"), ((F.col("id") * 104729) % 97).cast("double").alias("y"))
+    rows = encode.assemble(rows.withColumn("status", ((F.col("x") > 50) != (F.col("y") > 30)).cast("int")), ["x", "y"]).cache()
+    params = model.ForestParams(num_trees=5, max_depth=4, features_per_split="1")
+    whole = model.fit_forest(rows, params)
+    forest = model.fit_forest(rows, params, at_a_time=2, side_by_side=2)
+    assert forest.getNumTrees == len(forest.trees) == 5 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 5
+    assert (forest.numFeatures, forest.numClasses) == (whole.numFeatures, whole.numClasses) == (2, 2)
+    assert abs(sum(forest.featureImportances.toArray()) - 1) < 1e-9
+    answers = lambda m: [(r.id, r.prediction_code, r.probability) for r in model.predict(m, rows).select("id", "prediction_code", "probability").orderBy("id").collect()]
+    got = answers(forest)
+    trees = [{r.id: r.probability for r in t.transform(rows).select("id", "probability").collect()} for t in forest.trees]
+    assert all(abs(sum(t[i][1] for t in trees) / 5 - p[1]) < 1e-9 for i, _, p in got)
+    model.save_model(model.scoring_pipeline(forest, ["x", "y"]), str(tmp_path / "joined"))
+    loaded = model.load_model(str(tmp_path / "joined")).stages[1]
+    assert loaded.getNumTrees == 5 and answers(loaded) == got
+    rows.unpersist()
