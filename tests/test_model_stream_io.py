@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendscope.operators import encode, model, score
-from lendscope.plans import reports, training
+from lendscope.plans import model_queries, reports, training
 from lendscope.schema import AGE_BIN_LABELS
 from lendscope.sources import files
 from lendscope.streaming import scoring as stream
@@ -239,3 +239,50 @@ def test_forest_grown_a_few_trees_at_a_time(spark, tmp_path):
     loaded = model.load_model(str(tmp_path / "joined")).stages[1]
     assert loaded.getNumTrees == 5 and answers(loaded) == got
     rows.unpersist()
+
+
+def _one_partition(spark, n):
+    """``n`` applications in one partition, as a table of one row group has them."""
+    x = F.col("id")
+    return spark.range(0, n, 1, 1).select(
+        x.alias("app_id"), (18 + x % 53).cast("int").alias("age"), (20_000 + x * 7919 % 90_000).cast("double").alias("income"),
+        F.when(x % 3 == 0, "RENT").otherwise("OWN").alias("home"), (x % 41).cast("double").alias("emp_length"),
+        F.when(x % 2 == 0, "MEDICAL").otherwise("VENTURE").alias("intent"), (500 + x % 9000).cast("double").alias("amount"),
+        (5 + x % 17).cast("double").alias("rate"), F.when(x % 6 == 1, "Y").otherwise("N").alias("default_flag"),
+        (2 + x % 29).cast("int").alias("cred_length"), (x % 100 / 100).alias("percent_income"), (x % 100 > 60).cast("int").alias("status"))
+
+
+def test_rows_to_be_scored_are_dealt_over_the_cores(spark, trained, monkeypatch):
+    """Asking the forest is the work of scoring: a table in one partition no longer keeps one core busy and the rest idle."""
+    rows = _one_partition(spark, 60_000)
+    monkeypatch.setattr(model_queries, "applications", lambda *_: rows)
+    monkeypatch.setattr(model_queries, "trained", lambda *_: dataclasses.replace(trained, sizes={"train_rows": 48_000, "test_rows": 12_000}))
+    parts = training.pieces(rows, 60_000)
+    assert parts >= 2
+    for name in ("rf_score", "rf_stream_score"):
+        out = model_queries.Q[name](spark, "").select("app_id", F.spark_partition_id().alias("p")).collect()
+        assert sorted(r.app_id for r in out) == list(range(60_000))
+        if name == "rf_score":
+            sizes = [sum(r.p == p for r in out) for p in {r.p for r in out}]
+            assert len(sizes) == parts and max(sizes) <= 2 * 60_000 / parts
+    small = rows.limit(100)
+    assert training.deal(small, 100, model_queries.NEAR) is small
+
+
+def test_training_keeps_its_rows_dealt_over_the_cores(spark, monkeypatch):
+    seen, keep = [], training._materialize
+    monkeypatch.setattr(training, "_materialize", lambda s, df, *a: seen.append(df.rdd.getNumPartitions()) or keep(s, df, *a))
+    rows = _one_partition(spark, 30_000)
+    res = training.train(spark, rows, training.TrainConfig(forest=model.ForestParams(num_trees=2, max_depth=3)))
+    assert seen == [training.pieces(rows, 30_000)] and seen[0] >= 2
+    assert res.sizes == {"train_rows": 24_000, "test_rows": 6_000}
+    assert model.trees_at_a_time(720_000)[1] > model.trees_at_a_time(5_000_000)[1] > model.trees_at_a_time(43_200_000)[1]
+    res.test_predictions.unpersist()
+
+
+def test_rows_for_the_forest_stand_by_value(spark):
+    """Rows that take the same way through the trees follow each other in a partition."""
+    rows = _one_partition(spark, 30_000).select("app_id", F.when(F.col("home") == "OWN", 1).otherwise(0).alias("home_code"), "percent_income")
+    for part in training.spread(rows, 30_000).rdd.glom().collect():
+        keys = [(r.home_code, r.percent_income, r.app_id) for r in part]
+        assert keys == sorted(keys) and len(keys) > 1000
