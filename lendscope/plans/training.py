@@ -165,25 +165,21 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
 
     n_train = train_rows.count()
     lap("train_vectors")
-    at_a_time, side_by_side = model.trees_at_a_time(n_train)
-    forest = model.fit_forest(train_rows, cfg.forest, label_col=TARGET, at_a_time=at_a_time, side_by_side=side_by_side)
+    # The dataset statistics are computed while the trees grow: Spark runs jobs from several driver threads side by side.
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        stats_f = pool.submit(lambda: joins.stored(reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw), "stats"))
+        at_a_time, side_by_side = model.trees_at_a_time(n_train)
+        forest = model.fit_forest(train_rows, cfg.forest, label_col=TARGET, at_a_time=at_a_time, side_by_side=side_by_side)
+        stats = stats_f.result()
     lap("forest_fit")
-    # The test side is scored and evaluated while the dataset statistics are
-    # computed: Spark runs jobs from several driver threads side by side.
-    pool = ThreadPoolExecutor(max_workers=1)
-    stats_f = pool.submit(lambda: joins.stored(reports.dataset_stats(raw, TARGET, cfg.rounding, cfg.median_kw), "stats"))
-    predictions = model.predict(forest, test_rows).select(
-        ID, TARGET, "prediction_code", "probability")
-    pred_kept = predictions.persist(StorageLevel.MEMORY_AND_DISK)
-    summary_row = evaluate.report_summary(pred_kept, TARGET, "prediction_code", cfg.rounding).first()
+    # Stored, so that readers of the predictions do not load the forest again, as a kept frame's plan would have them do.
+    predictions = joins.stored(model.predict(forest, test_rows).select(ID, TARGET, "prediction_code", "probability"), "predictions")
+    summary_row = evaluate.report_summary(predictions, TARGET, "prediction_code", cfg.rounding).first()
     sizes = {"train_rows": n_train, "test_rows": int(sum(sum(r) for r in summary_row["confusion_matrix"]))}
     train_rows.unpersist()
-    lap("evaluate")
-    stats = stats_f.result()
-    pool.shutdown()
     if cfg.materialize == "persist" and not kept_before:
-        raw.unpersist()  # the test predictions, kept, no longer need it
-    lap("report_overlap")
+        raw.unpersist()  # the test predictions, stored, no longer need it
+    lap("evaluate")
 
     importance = model.feature_importance(spark, forest, FEATURE_DISPLAY_NAMES, cfg.rounding)
     summary = summary_row.asDict(recursive=True)
@@ -194,7 +190,7 @@ def train(spark: SparkSession, raw_df: DataFrame, cfg: TrainConfig | None = None
         confusion_matrix=summary["confusion_matrix"])
     pipeline = model.scoring_pipeline(forest, inputs)
     lap("report")
-    return TrainResult(pipeline, forest, codes, imp, cap, summary, importance, stats, report, pred_kept, sizes, timings)
+    return TrainResult(pipeline, forest, codes, imp, cap, summary, importance, stats, report, predictions, sizes, timings)
 
 
 def codes_path(model_path: str) -> str:

@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,3 +287,20 @@ def test_rows_for_the_forest_stand_by_value(spark):
     for part in training.spread(rows, 30_000).rdd.glom().collect():
         keys = [(r.home_code, r.percent_income, r.app_id) for r in part]
         assert keys == sorted(keys) and len(keys) > 1000
+
+
+def test_readers_of_the_test_predictions_do_not_load_the_forest(trained):
+    """A kept frame's tasks carry the plan behind it, with the whole forest, also when they only read kept rows."""
+    plan = trained.test_predictions._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryRelation" not in plan and "UDF" not in plan and trained.test_predictions.inputFiles()
+    assert trained.test_predictions.count() == trained.sizes["test_rows"]
+
+
+def test_statistics_are_computed_while_the_trees_grow(spark, monkeypatch):
+    begun, stats, fit = threading.Event(), reports.dataset_stats, model.fit_forest
+    monkeypatch.setattr(reports, "dataset_stats", lambda *a, **k: begun.set() or stats(*a, **k))
+    waited = []
+    monkeypatch.setattr(model, "fit_forest", lambda *a, **k: waited.append(begun.wait(60)) or fit(*a, **k))
+    res = training.train(spark, _one_partition(spark, 2_000), training.TrainConfig(forest=model.ForestParams(num_trees=2, max_depth=3)))
+    assert waited == [True]
+    assert {r.key: r.value for r in res.stats.where("section = 'total_records'").collect()} == {None: 2000.0}
