@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators import encode, model, score
+from lendscope.operators import encode, model, quality, score
 from lendscope.plans import model_queries, reports, training
 from lendscope.schema import AGE_BIN_LABELS
 from lendscope.sources import files
@@ -289,6 +289,26 @@ def test_rows_for_the_forest_stand_by_value(spark):
         assert keys == sorted(keys) and len(keys) > 1000
 
 
+def test_rows_alike_stand_together_when_the_forest_is_asked(spark, trained, monkeypatch):
+    """The sort must stand after the joins with the code table: Spark drops one before them."""
+    rows = _one_partition(spark, 60_000)
+    monkeypatch.setattr(model_queries, "applications", lambda *_: rows)
+    monkeypatch.setattr(model_queries, "trained", lambda *_: dataclasses.replace(trained, sizes={"train_rows": 48_000, "test_rows": 12_000}))
+    near = training.NEAR[0]
+    for name in ("rf_score", "rf_score_factors"):
+        plan = model_queries.Q[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+        sort = next((line for line in plan.splitlines() if "Sort [" in line), "")
+        assert f"Sort [{near}#" in sort and plan.index(sort) < plan.index("Join ")
+        # The largest probability is taken once, not for each step of its rounding; the factors do without it.
+        assert plan.count("array_max(") == (name == "rf_score")
+    got = {r.app_id: r for r in model_queries.Q["rf_score"](spark, "").collect()}
+    checked = quality.validate(rows, quality.API_RULES)
+    plain = score.score(checked, trained.pipeline, trained.codes, columns={}, keep=["app_id"], refused=F.size("violations") > 0).collect()
+    assert len(got) == len(plain) == 60_000
+    results = ("prediction", "prediction_code", "confidence", "risk_level")
+    assert all(got[r.app_id][c] == r[c] for r in plain for c in results)
+
+
 def test_readers_of_the_test_predictions_do_not_load_the_forest(trained):
     """A kept frame's tasks carry the plan behind it, with the whole forest, also when they only read kept rows."""
     plan = trained.test_predictions._jdf.queryExecution().executedPlan().toString()
