@@ -9,12 +9,14 @@ the weighted (multiset) Jaccard similarity of the shingles of the whole item
 and of as many words at the place found must reach ``similarity``.
 
 An item of n words has windows of one size from a ladder, 48 to 62 % of n, at
-each of its positions; a document has windows of that size from its own first
-word on at every few positions, and at its end, or at all positions where it
-has few. The step is at most the number of windows that remain of an item less
-a fifth of its words, so a copied or shortened item always has a window that
-begins where one of the item's windows does, whatever stands around it, in the
-document or beside it in the batch.
+each of its positions, and a document has windows of that size at each of its
+own. So every part of a copied, changed or shortened item is compared, whatever
+stands around it, in the document or beside it in the batch.
+
+Words that reach the similarity to an item have few shingles that are not the
+item's: of I shingles of the item at most I (1 - similarity) / (1 + similarity).
+A window with more shingles than that which stand in no item can't be part of
+any match, so no fingerprint is made of it; the matches are those of all windows.
 
 Defined results: null and empty texts match nothing, nor do items without
 words; an item of fewer than five words is one shingle of all its words; a
@@ -61,21 +63,10 @@ def window_size(n: int) -> int:
     return size
 
 
-def step_of(size: int) -> int:
-    return max(1, size // 5) if size > SHINGLE + 1 else 1
-
-
 def window_starts(begins: np.ndarray, size: int) -> np.ndarray:
-    """Where windows of one size begin: from each text's first word on, at every
-    ``step_of`` words and for its last window; at every word of a text that has
-    at most ``size`` windows. Texts are looked at one by one."""
-    windows = np.diff(begins) - size + 1
-    some = np.flatnonzero(windows > 0)
-    last = windows[some] - 1
-    step = np.where(last < size, 1, step_of(size))
-    count = -(-last // step) + 1
-    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(begins[some], count) + np.minimum(nth * np.repeat(step, count), np.repeat(last, count))
+    """Where windows of one size begin: at every word of each text that still has ``size`` words from there on."""
+    windows = np.maximum(np.diff(begins) - size + 1, 0)
+    return np.arange(int(windows.sum())) + np.repeat(begins[:-1] - np.cumsum(windows) + windows, windows)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +123,7 @@ class SizeIndex:
     item: np.ndarray
     offset: np.ndarray
     radius: int
+    spare: int | None = None  # a window with more shingles of no item is part of no match (None: any may be)
     begins: list[np.ndarray] = field(default_factory=list)
     near: list[np.ndarray] = field(default_factory=list)
 
@@ -169,10 +161,17 @@ class ItemIndex:
     ids: list[int]
     sizes: dict[int, SizeIndex]
     similarity: float
+    known: dict[int, np.ndarray]  # by the width: the items' shingles in order, and one more that ends them
+
+    def foreign(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        """How many shingles before each, and before the end, are of no item."""
+        known = self.known[width]
+        return np.concatenate(([0], np.cumsum(known[np.searchsorted(known[:-1], hashes)] != hashes)))
 
 
 def build_index(ids: list[int], texts: list[bytes], similarity: float = SIMILARITY, radius: int = RADIUS) -> ItemIndex:
-    lengths, shingles, found = [], [], defaultdict(list)
+    lengths, shingles, found, longest = [], [], defaultdict(list), defaultdict(int)
+    known: dict[int, set[int]] = defaultdict(set)
     for i, text in enumerate(texts):
         words, _ = word_hashes([text])
         n = len(words)
@@ -182,10 +181,15 @@ def build_index(ids: list[int], texts: list[bytes], similarity: float = SIMILARI
         shingles.append(Counter(hashes.tolist()))
         if n:
             size = window_size(n)
+            known[width].update(shingles[-1])
+            longest[size] = max(longest[size], len(hashes))
             starts = np.arange(n - size + 1)
             found[size].append((simhashes(bit_sums(hashes), starts, size - width + 1), np.full(len(starts), i), starts))
-    sizes = {size: SizeIndex(*(np.concatenate(v) for v in zip(*parts)), radius) for size, parts in found.items()}
-    return ItemIndex(lengths, shingles, list(ids), sizes, similarity)
+    # Two sets of a and b <= a shingles with s shared reach the similarity t if s >= t (a + b) / (1 + t), so b - s <= a (1 - t) / (1 + t).
+    spare = {size: int(n * (1 - similarity) / (1 + similarity) + 1e-6) for size, n in longest.items()}
+    sizes = {size: SizeIndex(*(np.concatenate(v) for v in zip(*parts)), radius, spare[size]) for size, parts in found.items()}
+    ends = {width: np.array([*sorted(some), max(some)], np.uint64) for width, some in known.items()}
+    return ItemIndex(lengths, shingles, list(ids), sizes, similarity, ends)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -197,8 +201,9 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 def search(texts: list[bytes], index: ItemIndex, segment: int = 1 << 16) -> list[dict[int, float]]:
     """For each text the items that it contains, with their best similarity.
 
-    Sums of bits are made for ``segment`` words at a time, with the words that
-    the last windows reach into, so that memory doesn't grow with a text.
+    Windows that can be part of a match are compared. Sums of bits are made for
+    ``segment`` of their shingles at a time, with those that the last windows
+    reach into, so that memory for them doesn't grow with a text.
     """
     out: list[dict[int, float]] = [{} for _ in texts]
     reach = max(index.sizes, default=0)
@@ -206,16 +211,28 @@ def search(texts: list[bytes], index: ItemIndex, segment: int = 1 << 16) -> list
     for a, b in slices(texts):
         words, begins = word_hashes(texts[a:b])
         owner = np.repeat(np.arange(b - a), np.diff(begins))
-        hashes = {w: shingle_hashes(words, w) for w in {min(SHINGLE, size) for size in index.sizes}}
-        begin_of = {size: window_starts(begins, size) for size in index.sizes}
+        hashes = {w: shingle_hashes(words, w) for w in index.known}
         places: set[tuple[int, int, int]] = set()
-        for low in range(0, len(words), segment):
-            sums = {w: bit_sums(h[low : low + segment + reach], lane) for w, h in hashes.items()}
+        for width, h in hashes.items():
+            begin_of, covered, foreign = {}, np.zeros(len(h) + 1, np.int32), index.foreign(h, width)
             for size, one in index.sizes.items():
-                width = min(SHINGLE, size)
-                starts = begin_of[size][slice(*np.searchsorted(begin_of[size], (low, low + segment)))]
-                at, of = one.find(simhashes(sums[width], starts - low, size - width + 1, lane))
-                places.update(zip(owner[starts[at]].tolist(), one.item[of].tolist(), (starts[at] - one.offset[of]).tolist()))
+                if min(SHINGLE, size) != width:
+                    continue
+                starts, count = window_starts(begins, size), size - width + 1
+                if one.spare is not None:
+                    starts = starts[foreign[starts + count] - foreign[starts] <= one.spare]
+                begin_of[size] = starts
+                covered[starts] += 1
+                covered[starts + count] -= 1
+            kept = np.flatnonzero(np.cumsum(covered[:-1]) > 0)  # shingles of the windows that are compared; those of one window stand side by side
+            place_of = {size: np.searchsorted(kept, starts) for size, starts in begin_of.items()}
+            for low in range(0, len(kept), segment):
+                sums = bit_sums(h[kept[low : low + segment + reach]], lane)
+                for size, place in place_of.items():
+                    one, some = index.sizes[size], slice(*np.searchsorted(place, (low, low + segment)))
+                    starts = begin_of[size][some]
+                    at, of = one.find(simhashes(sums, place[some] - low, size - width + 1, lane))
+                    places.update(zip(owner[starts[at]].tolist(), one.item[of].tolist(), (starts[at] - one.offset[of]).tolist()))
         for doc, item, start in places:
             n = index.lengths[item]
             width = min(SHINGLE, n)

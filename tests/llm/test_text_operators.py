@@ -374,6 +374,51 @@ def test_shortened_and_changed_items_are_found(n, change, inside, least):
     assert got == dec.search(texts[::-1], index)[::-1]
 
 
+def test_windows_at_every_word_are_compared():
+    begins = np.array([0, 30, 30, 33, 50])
+    assert dec.window_starts(begins, 12).tolist() == [*range(19), *range(33, 39)] and dec.window_starts(begins[:1], 5).tolist() == []
+    items, texts, _ = _altered_items(100, 3, True, random.Random(11), trials=150)
+    index = dec.build_index(list(range(len(items))), items)
+    for one in index.sizes.values():
+        one.build()
+    got = dec.search(texts, index)
+    (size, one), found = next(iter(index.sizes.items())), 0
+    for i, text in enumerate(texts):  # each text with its own item, by all windows of both
+        words, n = dec.word_hashes([text])[0], index.lengths[i]
+        h = dec.shingle_hashes(words, 5)
+        prints = dec.simhashes(dec.bit_sums(h), np.arange(len(words) - size + 1), size - 4)
+        near = np.bitwise_count(prints[:, None] ^ one.prints[one.item == i][None, :]) <= dec.RADIUS
+        places = {int(at - offset) for at, offset in zip(*np.nonzero(near))}
+        best = max((dec.weighted_similarity(Counter(h[max(p, 0) : p + n - 4].tolist()), index.shingles[i]) for p in places), default=0.0)
+        assert got[i].get(i, 0.0) == (best if best >= 0.8 else 0.0)
+        found += best >= 0.8
+    assert found >= 20
+    assert any(s.spare is not None for s in index.sizes.values())
+    for s in index.sizes.values():
+        s.spare = None  # also those that can't be part of a match
+    assert got == dec.search(texts, index)
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.3, 0.8, 1.0])
+def test_windows_that_are_passed_over_are_in_no_match(similarity):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [" ".join(rng.choices(vocabulary, k=k)).encode() for k in (1, 2, 4, 5, 6, 7, 9, 14, 30, 70) * 3]
+    texts = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.randrange(40))
+        part = items[i % len(items)].decode().split()
+        words[len(words) // 2 : len(words) // 2] = part[rng.randrange(2) : len(part) - rng.randrange(2)]
+        texts.append(" ".join(words).encode())
+    index = dec.build_index(list(range(len(items))), items, similarity)
+    for one in index.sizes.values():
+        one.build()
+    got = dec.search(texts, index)
+    for one in index.sizes.values():
+        one.spare = None
+    assert got == dec.search(texts, index) and any(got)
+
+
 def test_several_blocks_of_items_match_as_one_does(spark, documents):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(400)]
