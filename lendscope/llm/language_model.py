@@ -18,9 +18,12 @@ is believed with r(L) c / (r(L) c + f(L) V), and the believed counts after a
 context add up to c, whether true or false ones prevail.
 
 The filter grows with the corpus: every n-gram seen once has a level at every
-size. Up to ``FILTER_MB`` it is broadcast; a larger one stays in its stored
-segments, and the distinct n-grams of some texts are sent to the segments and
-their levels back. Both ways read the same bits and give the same scores.
+size. Where the corpus has so few bytes that the filter can't exceed
+``FILTER_MB`` it is broadcast. Elsewhere texts are put together in bundles; a
+bundle sends its distinct n-grams, with their counts, to their parts once. The
+task of a part makes the segment, reads from it the level of each n-gram that
+was sent, and levels go back to the bundles. Both ways read the same bits and,
+with as many parts, give the same scores.
 
 The base score uses exact counts: the most frequent words are broadcast (at
 most ``HEAD`` of them), all others are joined. Frequent contexts have the
@@ -53,8 +56,10 @@ from .common import crc_mod, load_documents, raw, share, slices, small_batches,
 #: A filter up to so large is broadcast. A count's first level has so many bits
 #: set, each further level so many; a segment is filled to one half.
 FILTER_MB, FIRST, FURTHER = 256, 16, 4
-#: Texts of about so many bytes ask a larger filter together.
-ASK_BYTES = 4 << 20
+#: Texts of about so many bytes ask a larger filter together, and a part has n-grams of so many such bundles at most.
+ASK_BYTES, BUNDLES = 8 << 20, 4
+#: So many n-grams are looked up at once.
+LOOKUP = 1 << 17
 #: At most so many words have their exact counts broadcast.
 HEAD = 500_000
 #: Weight of the word's probability in a pair's.
@@ -127,11 +132,11 @@ def segment(h: np.ndarray, counts: np.ndarray, base: float) -> tuple[bytes, int]
     """Filter of one part: its bytes and number of bits."""
     level = levels(counts, base)
     bits = max(4096, int((FIRST * len(level) + FURTHER * int((level - 1).sum())) / math.log(2)))
-    out = np.zeros(bits // 8 + 1, np.uint8)
+    out = np.zeros(8 * (bits // 8 + 1), bool)
     for at in range(1, int(level.max(initial=0)) + 1):
         for p in positions(h[level >= at], at, bits):
-            np.bitwise_or.at(out, (p >> _U(3)).astype(np.int64), (1 << (p & _U(7)).astype(np.uint8)).astype(np.uint8))
-    return out.tobytes(), bits
+            out[p.view(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes(), bits
 
 
 def probed(data: np.ndarray, h: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -210,25 +215,33 @@ def dealt_counts(train: DataFrame, parts: int) -> DataFrame:
     return train.select(raw("text").alias("raw")).mapInArrow(run, "n int, part int, hashes binary, counts binary")
 
 
+MERGED = ("n int, part int, filter binary, bits long, ones long, hashes binary, counts binary, tokens long, types long, histogram array<long>, "
+          "of_level array<long>, level_sum array<long>")
+_MERGED_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *(pa.list_(pa.int64()) for _ in range(3))]
+
+
+def names_of(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def merged_row(n: int, part: int, h: np.ndarray, c: np.ndarray) -> list:
+    """The row of an order and part (``MERGED``), from its n-grams and their counts."""
+    data, bits = segment(h, c, BASES[n])
+    ones = int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum(dtype=np.int64))
+    logs = np.bincount(np.log2(c).astype(np.int64), minlength=64) if n == 1 else np.zeros(64, np.int64)
+    level = levels(c, BASES[n])
+    of, sums = np.bincount(level, minlength=LEVELS), np.bincount(level, c, minlength=LEVELS).astype(np.int64)
+    return [n, part, data, bits, ones, h.tobytes() if n == 1 else b"", c.tobytes() if n == 1 else b"", int(c.sum()), len(c), logs.tolist(), of.tolist(), sums.tolist()]
+
+
 def merged_counts(dealt: DataFrame) -> DataFrame:
     """One row for each order and part: its filter segment and, of words, all
     hashes with exact counts (``histogram``: words by the binary logarithm;
     ``ones``: bits that are set; ``of_level`` and ``level_sum``: n-grams of each
     level, and their counts in all)."""
-    schema = ("n int, part int, filter binary, bits long, ones long, hashes binary, counts binary, tokens long, types long, histogram array<long>, "
-              "of_level array<long>, level_sum array<long>")
-
     def done(n: int, part: int, hashes: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
         h, c = counted(np.frombuffer(b"".join(hashes), _U), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-        data, bits = segment(h, c, BASES[n])
-        ones = int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum(dtype=np.int64))
-        logs = np.bincount(np.log2(c).astype(np.int64), minlength=64) if n == 1 else np.zeros(64, np.int64)
-        level = levels(c, BASES[n])
-        of, sums = np.bincount(level, minlength=LEVELS), np.bincount(level, c, minlength=LEVELS).astype(np.int64)
-        row = [[n], [part], [data], [bits], [ones], [h.tobytes() if n == 1 else b""], [c.tobytes() if n == 1 else b""], [int(c.sum())], [len(c)], [logs.tolist()],
-               [of.tolist()], [sums.tolist()]]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *(pa.list_(pa.int64()) for _ in range(3))]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[f.split()[0] for f in schema.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(merged_row(n, part, h, c), _MERGED_KINDS)], names=names_of(MERGED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hashes, counts = None, [], []
@@ -243,7 +256,131 @@ def merged_counts(dealt: DataFrame) -> DataFrame:
         if key is not None:
             yield done(*key, hashes, counts)
 
-    return dealt.repartition("n", "part").sortWithinPartitions("n", "part").mapInArrow(run, schema)
+    return dealt.repartition("n", "part").sortWithinPartitions("n", "part").mapInArrow(run, MERGED)
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """(bundle, data): the rows of ``docs`` (doc_id, held_out, raw) in packed
+    bundles of about ``ASK_BYTES`` of text, stored; a longer text is alone."""
+    def packed(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pieces[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for piece in pieces:
+                out.write_batch(piece)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, size = [], 0
+        for batch in batches:
+            texts = batch.column("raw").to_pylist()
+            for a, b in slices(texts):
+                more = sum(map(len, texts[a:b]))
+                if pieces and size + more > ASK_BYTES:
+                    yield packed(pieces)
+                    pieces, size = [], 0
+                pieces.append(batch.slice(a, b - a))
+                size += more
+        if pieces:
+            yield packed(pieces)
+
+    return stored(docs.mapInArrow(run, "data binary").withColumn("bundle", F.monotonically_increasing_id()), "lm-bundles").select("bundle", "data")
+
+
+def unbundled(data: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a bundle, the hashes of its tokens and each text's number of them."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    texts = table["raw"].to_pylist()
+    h, counts = zip(*(tokens(texts[a:b]) for a, b in slices(texts)))
+    return table, np.concatenate(h), np.concatenate(counts)
+
+
+def distinct_counts(h: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct hashes in order, and how often each is where ``some`` holds."""
+    one, c = counted(h[some])
+    others = counted(h[~some])[0]
+    if len(one):
+        others = others[one[np.minimum(np.searchsorted(one, others), len(one) - 1)] != others]
+    at = np.searchsorted(one, others)
+    return np.insert(one, at, others), np.insert(c, at, 0)
+
+
+def asked_counts(bundles: DataFrame, parts: int) -> DataFrame:
+    """(n, part, bundle, wide, hashes, counts): distinct n-grams of each bundle
+    and their counts in its training documents. Hashes are sent as their
+    distances, in order, from the part's first, of ``wide`` bytes each."""
+    edges = part_edges(parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, data in zip(*(c.to_pylist() for c in batch.columns)):
+                table, h, counts = unbundled(data)
+                train = np.repeat([x is False for x in table["held_out"].to_pylist()], counts)
+                for n, all_of in ((1, h), (2, pairs(h, counts))):
+                    one, c = distinct_counts(all_of, train)
+                    cut = np.concatenate(([0], np.searchsorted(one, edges), [len(one)]))
+                    some = np.flatnonzero(np.diff(cut))
+                    apart = np.diff(one, prepend=_U(0))
+                    apart[cut[some]] = one[cut[some]] - np.concatenate(([_U(0)], edges))[some]
+                    wide = max(1, (int(apart.max(initial=0)).bit_length() + 7) // 8)
+                    sent = np.ascontiguousarray(apart.view(np.uint8).reshape(-1, 8)[:, :wide])
+                    c = c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(some), n, np.int32)), pa.array(some.astype(np.int32)),
+                        pa.array(np.full(len(some), bundle, np.int64)), pa.array(np.full(len(some), wide, np.int32)),
+                        pa.array([sent[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
+                        pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["n", "part", "bundle", "wide", "hashes", "counts"])
+
+    return bundles.select("bundle", "data").mapInArrow(ask, "n int, part int, bundle long, wide int, hashes binary, counts binary")
+
+
+def answered_counts(asked: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``merged_counts`` and, where ``bundle`` is not null, the
+    ``levels`` that the part's segment gives for what a bundle sent to it."""
+    schema = f"{MERGED}, bundle long, levels binary"
+    kinds = [*_MERGED_KINDS, pa.int64(), pa.binary()]
+    shift = 64 - (parts.bit_length() - 1)
+
+    def received(part: int, wide: int, hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = len(hashes) // wide
+        apart = np.zeros((k, 8), np.uint8)
+        apart[:, :wide] = np.frombuffer(hashes, np.uint8).reshape(k, wide)
+        first = _U(part << shift) if parts > 1 else _U(0)
+        return np.cumsum(apart.view(_U).ravel()) + first, np.frombuffer(counts, np.uint8 if len(counts) == k else np.uint32)
+
+    def done(n: int, part: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x for _, x, _ in held])
+        order = np.argsort(h)
+        h = h[order]
+        new = np.concatenate((np.ones(1, bool), h[1:] != h[:-1]))
+        one = h[new]
+        c = np.add.reduceat(np.concatenate([x for _, _, x in held])[order].astype(np.int64), np.flatnonzero(new))
+        row = merged_row(n, part, one[c > 0], c[c > 0])
+        data = np.frombuffer(row[2], np.uint8)
+        found = np.empty(len(one), np.uint8)
+        for a in range(0, len(one), LOOKUP):
+            some = one[a : a + LOOKUP]
+            found[a : a + LOOKUP] = probed(data, some, np.zeros(len(some), np.int64), np.full(len(some), row[3]))
+        level = np.empty(len(h), np.uint8)
+        level[order] = found[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) for _, x, _ in held])
+        back = [level[e - len(x) : e].tobytes() for (_, x, _), e in zip(held, ends)]
+        rows = [[*row, None, None]] if row[8] else []  # not without an n-gram of a training document
+        rows += [[n, part, *[None] * (len(row) - 2), bundle, some] for (bundle, _, _), some in zip(held, back)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names_of(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for n, part, bundle, wide, hashes, counts in zip(*(col.to_pylist() for col in batch.columns)):
+                if key is not None and key != (n, part):
+                    yield from done(*key, held)
+                    held = []
+                key = (n, part)
+                held.append((bundle, *received(part, wide, hashes, counts)))
+        if key is not None:
+            yield from done(*key, held)
+
+    return asked.repartition("n", "part").sortWithinPartitions("n", "part").mapInArrow(run, schema)
 
 
 @dataclass
@@ -305,10 +442,19 @@ def word_counts(merged: DataFrame, low: int, high: int | None = None) -> DataFra
     return merged.where("n = 1").select("hashes", "counts").mapInArrow(run, "h long, c long")
 
 
+def parts_of(docs: DataFrame) -> int:
+    return 1 << max(9, math.ceil(math.log2(max(8 * docs.rdd.getNumPartitions(), 1))))
+
+
 def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and the stored counts that it was made from."""
-    parts = 1 << max(9, math.ceil(math.log2(max(8 * train.rdd.getNumPartitions(), 1))))
+    parts = parts_of(train)
     merged = stored(merged_counts(dealt_counts(train, parts)), "lm-counts")
+    return _model(merged, parts, filter_mb, head), merged
+
+
+def _model(merged: DataFrame, parts: int, filter_mb: int, head: int) -> Model:
+    """The model from the stored counts."""
     rows = merged.drop("filter", "hashes", "counts").collect()  # one short row for each part
     words = [r for r in rows if r.n == 1]
     upwards = np.cumsum(np.sum([r.histogram for r in words], axis=0)[::-1])[::-1] if words else np.zeros(64, np.int64)
@@ -327,8 +473,15 @@ def fit(train: DataFrame, filter_mb: int = FILTER_MB, head: int = HEAD) -> tuple
     fill = [r.ones / r.bits for r in rows if r.n == 2] + [0.5] * (parts - sum(r.n == 2 for r in rows)) if tokens else [0.0]
     first, further = np.mean(np.power(fill, FIRST)), np.mean(np.power(fill, FURTHER))
     false = types * first * further ** np.maximum(np.arange(LEVELS) - 1.0, 0) * (1 - further)
-    model = Model(tokens, types, h[order], c[order], least, parts, values, of[2] / max(tokens, 1), false, filters[1], filters[2])
-    return model, merged
+    return Model(tokens, types, h[order], c[order], least, parts, values, of[2] / max(tokens, 1), false, filters[1], filters[2])
+
+
+def filter_bound(docs: DataFrame) -> float:
+    """MB that a filter of all these texts can't exceed: a text has at most half as many tokens as bytes, and one and a
+    half; each sets ``FIRST`` bits for a word and a pair at most, of a segment that is filled to one half."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    tokens = ((size.b or 0) + 3 * size.n) / 2
+    return 2 * (FIRST / math.log(2) / 8 * tokens + 514 * parts_of(docs)) / 1_000_000
 
 
 Scored = tuple[int, int, float, float, list[int]]
@@ -370,74 +523,49 @@ def score_columns(rows: list[Scored]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
 
 
-def scored_by_parts(docs: DataFrame, merged: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
-    """The rows of ``docs`` (doc_id, held_out, raw) with their scores, by a
-    filter of any size: a task holds one segment, or the levels of one bundle
-    of texts. A bundle asks for each of its distinct n-grams once."""
-    edges = part_edges(parts)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column("raw").to_pylist(), ASK_BYTES):
-                columns = [pa.array([c.slice(a, b - a).to_pylist()], pa.list_(c.type)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "raw"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bundle, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                h, counts = tokens(texts)
-                for n, all_of in ((1, h), (2, pairs(h, counts))):
-                    one = np.unique(all_of)
-                    cut = np.concatenate(([0], np.searchsorted(one, edges), [len(one)]))
-                    some = np.flatnonzero(np.diff(cut))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(some), n, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), bundle, np.int64)),
-                        pa.array([one[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.int64())],
-                        names=["n", "part", "bundle", "data", "bits"])
+def scored_by_parts(bundles: DataFrame, answers: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
+    """The rows in the bundles with their scores, by the levels that came back:
+    a task holds one bundle and its levels."""
+    def done(data: bytes, level: dict[int, list[bytes]]) -> pa.RecordBatch:
+        table, h, counts = unbundled(data)
+        value = {n: np.frombuffer(b"".join(v), np.uint8) for n, v in level.items()}
+        distinct, of = np.unique(h, return_inverse=True)
+        at = np.unique(pairs(h, counts), return_inverse=True)[1]
+        rows = list(score_slice(h, counts, distinct, of, value[1], value[2][at], shared.value, PRIOR))
+        ids, held = (pa.concat_arrays(table[c].chunks) for c in ("doc_id", "held_out"))
+        return pa.RecordBatch.from_arrays([ids, held, *score_columns(rows)], names=["doc_id", "held_out", *names_of(SCORES)])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, data, bits = None, None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, level = None, {}
         for batch in batches:
-            out = []
-            for n, part, bundle, some, size in zip(*(c.to_pylist() for c in batch.columns)):
-                if bundle is None:  # the segment comes before what asks it
-                    key, data, bits = (n, part), np.frombuffer(some, np.uint8), size
+            for n, some in zip(*(batch.column(c).to_pylist() for c in ("n", "data"))):
+                if n:
+                    level[n].append(some)
                     continue
-                h = np.frombuffer(some, _U)
-                level = probed(data, h, np.zeros(len(h), np.int64), np.full(len(h), bits)) if key == (n, part) else np.zeros(len(h))
-                out.append((bundle, n, part, level.astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bundle", "n", "part", "levels"])
+                if data is not None:
+                    yield done(data, level)
+                data, level = some, {1: [], 2: []}  # a bundle comes before its levels, which are in order
+        if data is not None:
+            yield done(data, level)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, held, texts = (batch.column(c)[i].values for c in ("doc_id", "held_out", "raw"))
-                level: dict[int, list[bytes]] = {1: [], 2: []}
-                for a in sorted(batch.column("answers")[i].as_py(), key=lambda a: (a["n"], a["part"])):
-                    level[a["n"]].append(a["levels"])
-                value = {n: np.frombuffer(b"".join(v), np.uint8) for n, v in level.items()}
-                h, counts = tokens(texts.to_pylist())
-                distinct, of = np.unique(h, return_inverse=True)
-                _, at = np.unique(pairs(h, counts), return_inverse=True)
-                rows = list(score_slice(h, counts, distinct, of, value[1], value[2][at], shared.value, PRIOR))
-                yield pa.RecordBatch.from_arrays([ids, held, *score_columns(rows)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-    bundles = docs.mapInArrow(bundled, f"doc_id array<{kind}>, held_out array<boolean>, raw array<binary>")
-    bundles = stored(bundles.withColumn("bundle", F.monotonically_increasing_id()), "lm-bundles")
-    asked = bundles.select("bundle", "raw").mapInArrow(ask, "n int, part int, bundle long, data binary, bits long")
-    segments = merged.select("n", "part", F.lit(None).cast("long").alias("bundle"), F.col("filter").alias("data"), "bits")
-    dealt = segments.unionByName(asked).repartition("n", "part").sortWithinPartitions("n", "part", F.col("bundle").asc_nulls_first())
-    answers = dealt.mapInArrow(answer, "bundle long, n int, part int, levels binary").groupBy("bundle").agg(F.collect_list(F.struct("n", "part", "levels")).alias("answers"))
-    return bundles.join(answers, "bundle").select("doc_id", "held_out", "raw", "answers").mapInArrow(score, f"doc_id {kind}, held_out boolean, {SCORES}")
+    rows = bundles.select("bundle", F.lit(0).alias("n"), F.lit(0).alias("part"), "data")
+    rows = rows.unionByName(answers.select("bundle", "n", "part", F.col("levels").alias("data")))
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "n", "part").mapInArrow(run, f"doc_id {kind}, held_out boolean, {SCORES}")
 
 
 def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head: int = HEAD) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    first = docs.select("doc_id", held_out.alias("held_out"), raw("text").alias("raw"))
     with small_batches(spark):  # beside its batch, a worker holds the counts or the filter
-        model, merged = fit(docs.where(~held_out), filter_mb, head)
+        if small := filter_bound(docs) <= filter_mb:
+            model, merged = fit(docs.where(~held_out), filter_mb, head)
+        else:
+            bundles = bundled(first)
+            parts = 1 << max(9, math.ceil(math.log2(max(bundles.count() / BUNDLES, 1))))
+            answered = stored(answered_counts(asked_counts(bundles, parts), parts), "lm-counts")
+            merged = answered.where("bundle is null").drop("bundle", "levels")
+            model = _model(merged, parts, 0, head)
     shared = share(spark, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, {SCORES}"
@@ -447,9 +575,8 @@ def scored(docs: DataFrame, held_out: Column, filter_mb: int = FILTER_MB, head:
             rows = list(score_texts(batch.column("raw").to_pylist(), shared.value))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *score_columns(rows)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-    first = docs.select("doc_id", held_out.alias("held_out"), raw("text").alias("raw"))
     with small_batches(spark):
-        first = first.mapInArrow(run, schema) if model.words else scored_by_parts(first, merged, shared, model.parts)
+        first = first.mapInArrow(run, schema) if small else scored_by_parts(bundles, answered.where("bundle is not null"), shared, kind)
         first = stored(first.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     rare = first.select("uid", F.explode("rare").alias("h")).join(word_counts(merged, 1, model.least_head), "h", "left")
     c, total = F.coalesce("c", F.lit(0)), model.tokens + 0.1 * (model.types + 1)

@@ -598,6 +598,44 @@ def test_filter_too_large_to_broadcast_gives_the_same_scores(spark, documents):
     assert got == want
 
 
+def test_bundles_send_each_ngram_once_and_get_the_same_scores(spark, documents, monkeypatch):
+    rows = [(i, t) for i, t in _texts(300)] + [(9001, None), (9002, ""), (9003, "never seen zzyzx"), (None, "no id"), (5, "a row of the same id")]
+    docs, held = documents(rows), crc_mod("doc_id", 10) == 0
+    want = sorted(map(str, lm.scored(docs, held).collect()))
+    monkeypatch.setattr(lm, "ASK_BYTES", 60_000)
+    first = docs.select("doc_id", held.alias("held_out"), raw("text").alias("raw"))
+    bundles = lm.bundled(first)
+    assert 5 < bundles.count() < 60
+    asked = lm.asked_counts(bundles, 512).collect()
+    assert len({(r.n, r.part, r.bundle) for r in asked}) == len(asked)
+    total = Counter()
+    for r in bundles.collect():
+        table, h, counts = lm.unbundled(r.data)
+        train = np.repeat(~np.array(table["held_out"].to_pylist()), counts)
+        for n, of in ((1, h), (2, lm.pairs(h, counts))):
+            some = [a for a in asked if a.bundle == r.bundle and a.n == n]
+            assert sum(len(a.hashes) // a.wide for a in some) == len(set(of.tolist()))
+            total[n] += int(train.sum())
+    answered = lm.answered_counts(lm.asked_counts(bundles, 512), 512)
+    one = answered.where("bundle is null").drop("bundle", "levels").orderBy("n", "part").collect()
+    assert one == lm.merged_counts(lm.dealt_counts(docs.where(~held), 512)).orderBy("n", "part").collect()
+    assert {n: sum(r.tokens for r in one if r.n == n) for n in (1, 2)} == total
+    assert sorted(map(str, lm.scored(docs, held, filter_mb=0).collect())) == want
+
+
+def test_large_filter_without_rows_or_training_documents(spark, documents):
+    docs = documents([(i, t) for i, t in _texts(20)] + [(None, None)])
+    for some, held in ((docs.where("false"), F.lit(False)), (docs, F.lit(True)), (docs, F.lit(False))):
+        want, got = (sorted(map(str, lm.scored(some, held, filter_mb=mb).collect())) for mb in (lm.FILTER_MB, 0))
+        assert got == want and len(got) == some.count()
+
+
+def test_filter_is_within_its_bound(spark, documents):
+    docs = documents([(i, " ".join(f"{chr(97 + i)}{chr(97 + j)}" if j % 3 else "x" for j in range(26))) for i in range(26)] + [(99, None), (100, "a " * 500)])
+    rows = lm.merged_counts(lm.dealt_counts(docs, 512)).collect()
+    assert sum(r.bits // 8 + 1 for r in rows) <= lm.filter_bound(docs) * 1_000_000
+
+
 def test_bloom_levels():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
